@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, urls
+from . import mixing, quality, sharding, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -27,6 +27,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(tables(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(tables(spark, sf_dir, "pages"))
+    number = lambda c: F.expr(f"try_cast({c} AS bigint)")
+    return found.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+_OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM m
+"""
 _OP2_SQL = r"""
 WITH rules(rule, verdict) AS (VALUES ('com/en/','block'), ('example.com/en/7','allow'), ('net/de/','allow'), ('example.net/de/8','block'), ('org/es/','block')),
 r AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rh, substr(rule, instr(rule, '/')) AS rp FROM rules),
@@ -41,8 +61,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_source_mix, op7_quality_rules)}
+    return {f.__name__: f for f in (op2_url_filters, op4_source_mix, op7_quality_rules, op8_kd_shards, op9_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2_SQL}
+    return {"op2_url_filters": _OP2_SQL, "op9_warc_round_trip": _OP9_SQL}
