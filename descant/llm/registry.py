@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, sharding, urls, warc
+from . import html, mixing, quality, sharding, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -38,6 +38,10 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(tables(spark, sf_dir, "pages"))
+
+
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -61,7 +65,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_source_mix, op7_quality_rules, op8_kd_shards, op9_warc_round_trip)}
+    return {f.__name__: f for f in (op2_url_filters, op4_source_mix, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
