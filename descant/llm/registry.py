@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html, mixing, quality, sharding, urls, warc
+from . import decontamination, html, mixing, quality, sharding, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -22,6 +22,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(tables(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
@@ -65,7 +69,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_source_mix, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
+    return {f.__name__: f for f in (op2_url_filters, op4_source_mix, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
