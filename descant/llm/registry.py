@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html, mixing, quality, sharding, urls, warc
+from . import decontamination, html, mixing, neardup, quality, sharding, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -18,6 +18,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(tables(spark, sf_dir, "pages"), rules)
 
 
+def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(tables(spark, sf_dir, "documents"))
+    return found.withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +74,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_source_mix, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
+    return {f.__name__: f for f in (op2_url_filters, op3_bag_minhash, op4_source_mix, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
