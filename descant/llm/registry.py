@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html, mixing, neardup, quality, sharding, urls, warc
+from . import decontamination, html, mixing, neardup, paragraphs, quality, sharding, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents, those that lose something have n_removed > 0; the others are whole."""
+    return paragraphs.dedup(tables(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return urls.judge(tables(spark, sf_dir, "pages"), rules)
@@ -74,7 +79,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_bag_minhash, op4_source_mix, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
+    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
