@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html, mixing, neardup, paragraphs, quality, sharding, urls, warc
+from . import decontamination, html, mixing, neardup, paragraphs, quality, sharding, substrings, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -32,6 +32,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(tables(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
@@ -79,7 +83,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
+    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op5_deep_shallow, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
