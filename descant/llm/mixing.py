@@ -108,3 +108,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     full = blocks.groupBy("doc_id", "order", "begin", "size", "source_size", "target", "source").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     empty = known.where("size = 0").select("doc_id", "order", F.lit(0).cast("long").alias("begin"), "size", "source_size", "target", "source", F.lit(0).cast("long").alias("taken"))
     return full.unionByName(empty).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("order").alias("row_key"))
+
+
+def materialise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:  # noqa: ANN003
+    """The rows of docs as often as the mix takes them: round(taken / size) times, 0 to `most`."""
+    found = mix(docs, id_col, text, source, **options)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    counts = cut(found.where("size > 0").select(F.col("row_key").alias("__key"), F.col("source").alias("__source"), times.alias("__times"), F.lit(1).alias("__one")).groupBy("__key", "__source").agg(F.sum("__times").alias("__times"), F.sum("__one").alias("__rows")))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text))
+    marked = docs.withColumn("__mix_key", key).join(counts, (F.col("__mix_key") == F.col("__key")) & F.col(source).cast("string").eqNullSafe(F.col("__source")))
+    # equal rows share their sum: the mean, rounded, for each
+    mean = F.floor(F.col("__times") / F.col("__rows") + 0.5).cast("int")
+    return marked.withColumn("__times", mean).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -173,3 +173,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
         "kept",
         ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE),
     )
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns. Verdicts belong to texts, not ids,
+    so rows that share an id but not the text are judged apart."""
+    mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text), F.col(lang))
+    marked = docs.withColumn("__mark", mark)
+    verdicts = judge(docs.select(mark.alias("__mark"), F.col(text).alias("__text"), F.col(lang).alias("__lang")), "__mark", "__text", "__lang")
+    gone = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__mark")).distinct())
+    return marked.join(gone, "__mark", "left_anti").select(*docs.columns)
