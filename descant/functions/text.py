@@ -274,12 +274,12 @@ def same_word(a: Column, b: Column) -> Column:
 def clock(seconds: Column) -> Column:
     """M:SS of whole seconds."""
     s = F.floor(seconds).cast("long")
-    return F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60)
+    return F.when(s.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60))
 
 
 def ass_time(s: Column) -> Column:
     """H:MM:SS.cc, truncated."""
-    return F.format_string("%d:%02d:%02d.%02d", F.floor(s / 3600).cast("long"), F.floor((s % 3600) / 60).cast("long"), F.floor(s % 60).cast("long"), F.floor((s % 1) * 100).cast("long"))
+    return F.when(s.isNotNull(), F.format_string("%d:%02d:%02d.%02d", F.floor(s / 3600).cast("long"), F.floor((s % 3600) / 60).cast("long"), F.floor(s % 60).cast("long"), F.floor((s % 1) * 100).cast("long")))
 
 
 def length_tag(duration: Column) -> Column:

@@ -15,26 +15,32 @@ def _word_match(part: Column, track: Column) -> Column:
     return F.when(F.exists(F.split(part, r"\s+"), lambda w: (F.length(w) > 3) & track.contains(w)), 20).otherwise(0)
 
 
-def relevance(query: Column, name: Column, artist: Column, mbid: Column) -> Column:
-    """How well a candidate (name, artist) fits a query; -1000 for what is unrelated."""
-    parts = T.query_parts(query)
-    fold = lambda c: T.clean_query(T.strip_accents(c))
-    a, b = fold(parts["a"]), fold(parts["b"])
-    low_name, low_artist = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(artist, F.lit("")))
-    track, who = T.strip_accents(low_name), T.strip_accents(low_artist)
+def scored(rows: DataFrame, query: str = "query", name: str = "name", artist: str = "artist", mbid: str | None = None) -> DataFrame:
+    """rows with `score`: how well a candidate (name, artist) fits its query; -1000 for what is unrelated."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    parts = T.query_parts(F.col(query))
+    # folded texts are columns of their own: each is folded once, and lambdas may use them
+    folded = rows.withColumns({"__a": T.strip_accents(parts["a"]), "__b": T.strip_accents(parts["b"]), "__track": T.strip_accents(F.lower(text(name))), "__who": T.strip_accents(F.lower(text(artist)))})
+    ready = folded.withColumns({"__a": T.clean_query(F.col("__a")), "__b": T.clean_query(F.col("__b"))})
+    score = _score(F.col("__a"), F.col("__b"), F.col("__track"), F.col("__who"), text(name), text(artist), F.lit("") if mbid is None else text(mbid))
+    return ready.withColumn("score", score).drop("__a", "__b", "__track", "__who")
+
+
+def _score(a: Column, b: Column, track: Column, who: Column, name: Column, artist: Column, mbid: Column) -> Column:
+    low_name, low_artist = F.lower(name), F.lower(artist)
     two = b != ""
     ta, tb, wa, wb = _title_match(a, track), _title_match(b, track), _word_match(a, track), _word_match(b, track)
     both = two & (((a == track) & (b == who)) | ((b == track) & (a == who)))
     # the first rule that gives anything decides
     match = F.when(both, 100).when(ta > 0, ta).when(two & (tb > 0), tb).when(wa > 0, wa).when(two & (wb > 0), wb).otherwise(-1000)
     shouts = lambda c: (c == F.upper(c)) & (c != F.lower(c))
-    loud = F.when(shouts(F.coalesce(name, F.lit(""))) | shouts(F.coalesce(artist, F.lit(""))), -10).otherwise(0)
+    loud = F.when(shouts(name) | shouts(artist), -10).otherwise(0)
     stranger = F.when(~a.contains(who) & ~b.contains(who), -100).otherwise(0)
     inside = F.when(low_name.contains(low_artist), -50).otherwise(0)
     marked = F.lit(False)
     for m in T.VERSION_MARKS:
         marked = marked | low_name.contains(m)
-    return loud + match + stranger + inside + F.when(marked, -30).otherwise(0) + F.when(F.length(low_name) > 60, -20).otherwise(0) + F.when(F.coalesce(mbid, F.lit("")) != "", 5).otherwise(0)
+    return loud + match + stranger + inside + F.when(marked, -30).otherwise(0) + F.when(F.length(low_name) > 60, -20).otherwise(0) + F.when(mbid != "", 5).otherwise(0)
 
 
 def first_best(rows: DataFrame, key: list[str], score: list[Column], place: str) -> DataFrame:

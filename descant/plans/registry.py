@@ -1,6 +1,6 @@
 """All queries of the library; importing the plan modules fills the register."""
 
-from . import library  # noqa: F401
+from . import library, lyrics, state, words  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
