@@ -255,7 +255,7 @@ def plain_line(c: Column) -> Column:
 
 def expand(c: Column) -> Column:
     """What a contraction stands for, else null."""
-    return F.create_map(*(F.lit(x) for pair in CONTRACTIONS.items() for x in pair)).getItem(c)
+    return F.create_map(*(F.lit(x) for pair in CONTRACTIONS.items() for x in pair))[c]
 
 
 def same_word(a: Column, b: Column) -> Column:
