@@ -34,16 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/descant-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between Spark and Python workers. By rows alone (Spark's default) a batch of long
+#: texts takes hundreds of MB on both sides.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes in this session, unless the session has a lower limit of its own."""
+    if int(spark.conf.get(_BATCH, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there, and a
     lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -137,7 +151,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows whose texts take about `most` bytes, so that work arrays stay small; null is ''."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0

@@ -1,11 +1,22 @@
 """Verified links from colliding keys, and connected components, without all pairs of a group.
 
-`link` gets (id, key) rows and the bag (sorted 64-bit hashes, as bytes) of each id. In the first round
-each key has one pivot, the member that collides most over all its keys (the original of edited copies
-collides more than the copies do); members are compared with pivots only. Keys whose members are still
-in different components go on with GROW times as many pivots each round, one per sub-bucket of ids, until
-every member has been a pivot: what is left then has been compared in full, so no link between
-components is lost, and groups that hang together cost pairs in proportion to their size.
+`link` gets (id, key) rows and the bag (sorted 64-bit hashes, as bytes) of each id. Each key has one
+pivot, at first the member that collides most over all its keys (the original of edited copies collides
+more than the copies do), later the smallest one, and members are compared with their pivots only: pairs
+grow with the rows. That finds nearly all links of copies. The rest comes from what the comparisons say:
+
+Let X be a member that is not similar enough to its pivot P, and Y another member of P's star. With
+D_X, D_Y the symmetric differences to P, |X ^ Y| = |D_X| + |D_Y| - 2 |D_X & D_Y|. Similarity of at least t
+means |X ^ Y| <= b (|X| + |Y|) with b = (1 - t) / (1 + t), and X's failure |D_X| > b (|X| + |P|). So X and Y
+can be similar only if |D_X & D_Y| > (|D_Y| + b (|P| - |Y|)) / 2: they share about half of what sets Y apart
+from P. Then one of Y's rarest |D_Y| - m + 1 differences (m the least such count) is one of X's. As
+|D_X & D_Y| >= |D_X| - |X ^ Y| too, it is one of X's rarest b (|X| + |Y|) + 1, where |Y| <= |X| / t. Those
+are the keys of the next step, for stars that still hold members of several components. In keys of at most
+SMALL members the open pairs are compared outright, and by their differences alone, since these give
+|X ^ Y|: at most SMALL pairs a row. Larger keys are groups of a next level, with pivots, stars and
+differences of their own. It ends when no star has an open member, or after LEVELS levels. So a candidate
+pair that the first keys made can be lost only in a group of over SMALL members that share their
+differences to two pivots and are still open then; all others are settled, up to links inside a component.
 """
 
 from __future__ import annotations
@@ -16,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, jaccard
-
-GROW = 16
+from .common import cut
 
+SMALL, LEVELS = 64, 2
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of the ids of edges (a, b); the label is the smallest id of the component. Minimum
@@ -38,60 +48,111 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(least: float):  # noqa: ANN202
+_FOUND = "id {0}, p {0}, linked boolean, n_y int, n_p int, diff array<long>"
+
+
+def _compare(least: float):  # noqa: ANN202
+    """Rows (id, p, x, y) with bags x of id and y of p."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = batch.columns
-            ok = [jaccard(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) >= least for p, q in zip(x, y, strict=True)]
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a, b, mask], names=["a", "b", "linked"])
+            for begin in range(0, len(batch), 1024):
+                ids, ps, xs, ys = batch.slice(begin, 1024).columns
+                out: list[tuple] = []
+                for x, y in zip(xs, ys, strict=True):
+                    a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = np.concatenate([a, b])
+                    both.sort()
+                    twice = both[1:] == both[:-1]
+                    common = int(twice.sum())
+                    linked = common >= least * (len(both) - common)
+                    single = np.ones(len(both), bool)
+                    single[1:] &= ~twice
+                    single[:-1] &= ~twice
+                    out.append((linked, len(a), len(b), both[single].view(np.int64)))
+                linked, n_y, n_p, diff = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([ids, ps, pa.array(linked), pa.array(n_y, pa.int32()), pa.array(n_p, pa.int32()), pa.array(diff, pa.list_(pa.int64()))], names=["id", "p", "linked", "n_y", "n_p", "diff"])
 
     return run
 
 
-def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) whose bags' Jaccard similarity is at least `least`."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    left = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a")
-    full = left.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(_verify(least), f"a {kind}, b {kind}, linked boolean").where("linked").select("a", "b")
+def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """pairs (id, p) with `linked` (Jaccard similarity of at least `least`), bag sizes and differences."""
+    kind = pairs.schema["id"].dataType.simpleString()
+    left = pairs.join(bags.select("id", F.col("bag").alias("x")), "id")
+    full = left.join(bags.select(F.col("id").alias("p"), F.col("bag").alias("y")), "p").select("id", "p", "x", "y")
+    return full.mapInArrow(_compare(least), _FOUND.format(kind))
+
 
+def _open_rows(found: DataFrame, labels: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Of the compared stars that hold members of other components: (their rows, (id, p, key, ...) of the
+    differences that can show a link)."""
+    name = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    known = found.join(name("id"), "id", "left").join(name("p"), "p", "left").withColumn("label", F.coalesce("id_label", "id")).withColumn("failed", ~F.col("linked") & (F.col("label") != F.coalesce("p_label", "p")))
+    stars = known.groupBy("p").agg(F.bool_or("failed").alias("open")).where("open").select("p")
+    rows = cut(known.join(stars, "p").select("id", "p", "label", "failed", "n_y", "n_p", "diff"))
+    beta = (1 - least) / (1 + least)
+    # rarest differences first; `take` of them are index keys, `probe` of a failed member's are probes
+    m = F.greatest(F.floor((F.size("diff") + beta * (F.col("n_p") - F.col("n_y"))) / 2 - 1e-6) + 1, F.lit(1))
+    each = rows.select("id", "p", "label", "failed", "n_y", F.size("diff").alias("n_d"), (F.size("diff") - m + 1).cast("int").alias("take"), F.explode("diff").alias("e"))
+    freq = each.groupBy("p", "e").agg(F.count("*").alias("c"), (F.bool_or("failed") & (F.min("label") < F.max("label"))).alias("useful"))
+    ranked = each.join(freq, ["p", "e"]).groupBy("id", "p").agg(F.first("label").alias("label"), F.first("failed").alias("failed"), F.first("take").alias("take"), F.first("n_y").alias("n_y"), F.first("n_d").alias("n_d"), F.sort_array(F.collect_list(F.struct("c", "e", "useful"))).alias("es"))
+    probe = F.col("failed") & (F.col("at") <= F.floor(beta * F.col("n_y") * (1 + 1 / least) + 1e-6))
+    placed = ranked.select("id", "p", "label", "failed", "take", "n_y", "n_d", F.posexplode("es").alias("at", "x")).where("x.useful")
+    held = placed.select("id", "p", "label", probe.alias("failed"), "n_y", "n_d", F.xxhash64("p", "x.e").alias("key"), (F.col("at") < F.col("take")).alias("index")).where("index or failed")
+    held = cut(held)
+    wanted = held.groupBy("key").agg(F.bool_or("index").alias("i"), F.bool_or("failed").alias("f"), F.count("*").alias("n")).where("i and f and n > 1").select("key", "n")
+    return rows, cut(held.join(wanted, "key"))
 
-def link(keys: DataFrame, bags_of, least: float) -> DataFrame | None:  # noqa: ANN001
-    """Labels (id, label) of the components of ids that share a key and have similar bags. keys (id,
-    key), each pair once. bags_of(ids) gives the bags (id, bag) of the ids that have any candidate."""
+
+def _direct(rows: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of open members that share a small key, from their differences to a common pivot."""
+    small = held.where(F.col("n") <= SMALL)
+    x = small.where("failed").select("key", "p", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n_y").alias("sa"), F.col("n_d").alias("ca"))
+    y = small.where("index").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_y").alias("sb"), F.col("n_d").alias("cb"))
+    # sizes and counts of differences must be near enough
+    beta = (1 - least) / (1 + least)
+    near = (F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-6) & (F.abs(F.col("ca") - F.col("cb")) <= beta * (F.col("sa") + F.col("sb")) + 1e-6)
+    pairs = x.join(y, "key").where((F.col("la") != F.col("lb")) & near).select("p", "a", "b").distinct()
+    side = lambda c: rows.select("p", F.col("id").alias(c), F.col("diff").alias(f"d{c}"), F.col("n_y").alias(f"n{c}"))
+    full = pairs.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    total = F.col("na") + F.col("nb")
+    return full.where(total - apart >= least * (total + apart)).select("a", "b").distinct()
+
+
+def link(keys: DataFrame, bags_of, least: float, levels: int = LEVELS) -> DataFrame | None:  # noqa: ANN001
+    """Labels (id, label) of the components of ids that share a key and have similar bags; None if no
+    two are similar. keys (id, key), each pair once. bags_of(ids) gives the bags (id, bag) of the ids
+    that have any candidate."""
     keys = cut(keys)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keys.join(sizes, "key"))
-    if shared.isEmpty():
-        return None
-    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    members = cut(shared.join(score, "id").select("id", "key", "n", "score"))
-    bags = cut(bags_of(score.select("id")))
-    edges, labels, subs, tested = None, None, 1, None
-    while True:
-        if labels is None:
-            open_ = members.withColumn("label", F.col("id"))
-        else:
-            known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            undecided = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            open_ = cut(known.join(undecided, "key"))
-            if open_.isEmpty():
-                return labels
-        # one pivot per sub-bucket of a key; past the group's size every member is a pivot
-        sub = F.when(F.col("n") <= subs, F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(subs)))
-        best = F.max(F.struct("score", F.col("id"), F.col("label"))).alias("pivot")
-        pivots = open_.groupBy("key", sub.alias("sub")).agg(best).select("key", F.col("pivot.id").alias("p"), F.col("pivot.label").alias("p_label"))
-        met = open_.join(pivots, "key").where(F.col("label") != F.col("p_label"))
-        pairs = cut(met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
-        if tested is not None:
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(verified(pairs, bags, least))
-        edges = found if edges is None else edges.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty():
+    edges = labels = bags = None
+    for level in range(levels):
+        sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = cut(keys.join(sizes, "key"))
+        if shared.isEmpty():
+            return labels
+        score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+        if bags is None:
+            bags = cut(bags_of(score.select("id")))
+            sizes_of = bags.select("id", (-F.octet_length("bag")).alias("score"))
+            rank = score
+        members = shared.join(rank, "id")
+        pivots = members.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("p"))
+        rank = sizes_of  # from now on the smallest member: what sets it apart is in no one's way
+        pairs = members.select("id", "key").join(pivots, "key").where("id <> p").select("id", "p").distinct()
+        found = cut(compared(pairs, bags, least))
+        new = found.where("linked").select(F.col("id").alias("a"), F.col("p").alias("b"))
+        edges = new if edges is None else edges.unionByName(new)
+        if labels is None or not new.isEmpty():
             labels = cut(components(edges))
-        largest = open_.agg(F.max("n")).first()[0]
-        if subs >= largest:
+        rows, held = _open_rows(found, labels, least)
+        if held.isEmpty():
             return labels
-        subs *= GROW
+        direct = cut(_direct(rows, held, least))
+        if not direct.isEmpty():
+            edges = edges.unionByName(direct)
+            labels = cut(components(edges))
+        if level + 1 < levels:
+            keys = cut(held.where(F.col("n") > SMALL).select("id", "key").distinct())
+    return labels
