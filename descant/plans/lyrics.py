@@ -156,7 +156,7 @@ def upper_median(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("conv_id", S.upper_median(F.col("x")).alias("mid"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 WHEN event_id % 7 = 0 THEN CASE WHEN t0 <= a0 AND a0 <= t1 THEN 1.0 ELSE 0.0 END ELSE least(1.0, greatest(least(t1, a1) - greatest(t0, a0), 0.0) / (a1 - a0)) END AS agreement, CASE WHEN event_id % 4 >= 2 AND event_id % 3 <> 0 THEN 0.0 ELSE 1.0 END AS weight
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE WHEN event_id % 7 = 0 THEN CASE WHEN t0 <= a0 AND a0 <= t1 THEN 1.0 ELSE 0.0 END ELSE least(1.0, greatest(least(t1, a1) - greatest(t0, a0), 0.0) / (a1 - a0)) END AS agreement, CASE WHEN event_id % 4 >= 2 AND event_id % 3 <> 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
 FROM (SELECT event_id, (event_id % 10)::DOUBLE AS t0, (event_id % 10 + 3)::DOUBLE AS t1, (event_id % 8)::DOUBLE AS a0, (event_id % 8 + 2)::DOUBLE AS a1 FROM events)""")
 def agreement(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("event_id")
