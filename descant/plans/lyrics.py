@@ -95,7 +95,7 @@ def range_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, len(list(turn)) AS n_lines FROM conversations GROUP BY 1), l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_id, (turn * 7) % 5 AS n FROM conversations),
-c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY line_id) AS upto FROM l) SELECT conv_id AS song, line_id, CASE WHEN n > 0 THEN upto - n END AS "from", CASE WHEN n > 0 THEN upto END AS "to" FROM c""")
+c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY line_id) AS upto FROM l) SELECT conv_id AS song, line_id, (CASE WHEN n > 0 THEN upto - n END)::BIGINT AS "from", (CASE WHEN n > 0 THEN upto END)::BIGINT AS "to" FROM c""")
 def align_ranges(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("song")).agg(F.array_sort(F.collect_list(F.struct("turn", ((F.col("turn") * 7) % 5).cast("int").alias("n")))).alias("x")).select("song", F.col("x.n").alias("sizes"))
     n = t.select("song", F.lit(1_000_000).alias("n"))
