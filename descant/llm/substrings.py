@@ -38,8 +38,9 @@ from .common import cut, mix, slices
 from .deepshallow import sort
 
 LENGTH, GRAM = 50, 16
-CHUNK = 4 << 20
-BUCKET_KEYS, LEAST_BUCKETS = 400_000, 64
+CHUNK = 1 << 20
+BUCKET_KEYS, LEAST_BUCKETS = 50_000, 64
+SUFFIXES = 100_000  # sorted at a time in a bucket
 _SPAN = LENGTH - GRAM + 1  # grams in a window
 _WIDTH = 88  # bytes of the longest run string (LENGTH + _SPAN - 1), in whole words
 _NO_ID = np.iinfo(np.int64).max
@@ -121,12 +122,17 @@ class Chunk:
         return Shared(self, np.flatnonzero(hot[place]), keys, place)
 
 
-def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """The strings data[start : start + size], zero-filled to width, as big-endian words."""
-    at = start[:, None] + np.arange(width)
-    rows = data[np.minimum(at, max(len(data) - 1, 0))]
-    rows[np.arange(width) >= size[:, None]] = 0
-    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+_TAIL = np.array([0] + [((1 << 8 * k) - 1) << 8 * (8 - k) for k in range(1, 9)], np.uint64)
+
+
+def _matrix(words: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The strings of `size` bytes from `start` on, zero-filled to width, as big-endian numbers; words
+    has the 8 bytes from each position on."""
+    out = np.empty((len(start), width // 8), np.uint64)
+    for i in range(width // 8):
+        w = words[np.minimum(start + 8 * i, len(words) - 1)].byteswap()
+        out[:, i] = w & _TAIL[np.clip(size - 8 * i, 0, 8)]
+    return out
 
 
 class Shared:
@@ -135,7 +141,7 @@ class Shared:
     def __init__(self, chunk: Chunk, runs: np.ndarray, keys: np.ndarray, place: np.ndarray) -> None:
         self.runs = runs
         n, off, lo = chunk.n[runs], chunk.off[runs], chunk.lo[runs]
-        strings = _matrix(chunk.data, lo, n + LENGTH - 1, _WIDTH)
+        strings = _matrix(_words_at(chunk.data), lo, n + LENGTH - 1, _WIDTH)
         order, group = sort(np.hstack([strings, (n * 256 + off).astype(np.uint64)[:, None]]))
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         rep = order[first]
@@ -212,6 +218,7 @@ def _shared_of(r: dict, bits: int) -> tuple[Chunk, Shared]:
 
 def _send_classes(bits: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)  # sorted strings have long common prefixes
         for batch in batches:
             for r in _rows(batch):
                 chunk, s = _shared_of(r, bits)
@@ -224,7 +231,7 @@ def _send_classes(bits: int):  # noqa: ANN202
                         c = order[x:y]
                         size = s.n[c] + LENGTH - 1
                         at = np.repeat(s.lo[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        out.append({"bucket": b, "chunk": r["chunk"], "payload": np.int64(y - x).tobytes() + s.least[c].tobytes() + s.n[c].astype(np.uint8).tobytes() + s.off[c].astype(np.uint8).tobytes() + chunk.data[at].tobytes()})
+                        out.append({"bucket": b, "chunk": r["chunk"], "payload": z.compress(np.int64(y - x).tobytes() + s.least[c].tobytes() + s.n[c].astype(np.uint8).tobytes() + s.off[c].astype(np.uint8).tobytes() + chunk.data[at].tobytes())})
                 yield pa.RecordBatch.from_pylist(out, _TO_BUCKET)
 
     return run
@@ -232,35 +239,40 @@ def _send_classes(bits: int):  # noqa: ANN202
 
 def window_least(data: np.ndarray, start: np.ndarray, n: np.ndarray, off: np.ndarray, least: np.ndarray) -> np.ndarray:
     """The smallest document of each window of the run strings, run after run."""
-    order, group = sort(np.hstack([_matrix(data, start, n + LENGTH - 1, _WIDTH), (n * 256 + off).astype(np.uint64)[:, None]]))
+    words = _words_at(data)
+    order, group = sort(np.hstack([_matrix(words, start, n + LENGTH - 1, _WIDTH), (n * 256 + off).astype(np.uint64)[:, None]]))
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     rep = order[edge]
     low = np.minimum.reduceat(least[order], edge)
     string_of = np.empty(len(n), np.int64)
     string_of[order] = group
-    key = _hash_at(_words_at(data), start[rep] + off[rep])
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    alone = counts[inverse] == 1
+    _, key, counts = np.unique(_hash_at(words, start[rep] + off[rep]), return_inverse=True, return_counts=True)
     size = n[rep]
     at = np.cumsum(size) - size
     out = np.repeat(low, size)
-    many = np.flatnonzero(~alone)
-    if len(many):
-        k = size[many]
+    many = np.flatnonzero(counts[key] > 1)
+    many = many[np.argsort(key[many], kind="stable")]
+    # equal suffixes have the same anchor: anchors are sorted in groups of bounded size
+    upto = np.cumsum(size[many])
+    edge = np.flatnonzero(np.concatenate([[True], key[many[1:]] != key[many[:-1]]])) if len(many) else np.zeros(0, np.int64)
+    piece = upto[edge] // SUFFIXES
+    for part in np.split(many, edge[1:][piece[1:] != piece[:-1]]) if len(many) else ():
+        k = size[part]
         inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        suffix = np.repeat(start[rep[many]], k) + inside
-        order, group = sort(_matrix(data, suffix, np.full(len(suffix), LENGTH), -(-LENGTH // 8) * 8))
-        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        suffix = np.repeat(start[rep[part]], k) + inside
+        order, group = sort(_matrix(words, suffix, np.full(len(suffix), LENGTH), -(-LENGTH // 8) * 8))
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         found = np.empty(len(suffix), np.int64)
-        found[order] = np.minimum.reduceat(np.repeat(low[many], k)[order], edge)[group]
-        out[np.repeat(at[many], k) + inside] = found
+        found[order] = np.minimum.reduceat(np.repeat(low[part], k)[order], first)[group]
+        out[np.repeat(at[part], k) + inside] = found
     take = np.repeat(at[string_of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return out[take]
 
 
 def _answer_classes(rows: pd.DataFrame) -> pd.DataFrame:
     least, n, off, data, counts = [], [], [], [], []
-    for p in rows["payload"]:
+    z = zstandard.ZstdDecompressor()
+    for p in map(z.decompress, rows["payload"]):
         k = int(np.frombuffer(p, np.int64, 1)[0])
         counts.append(k)
         least.append(np.frombuffer(p, np.int64, k, 8))
