@@ -14,9 +14,10 @@ from P. Then one of Y's rarest |D_Y| - m + 1 differences (m the least such count
 are the keys of the next step, for stars that still hold members of several components. In keys of at most
 SMALL members the open pairs are compared outright, and by their differences alone, since these give
 |X ^ Y|: at most SMALL pairs a row. Larger keys are groups of a next level, with pivots, stars and
-differences of their own. It ends when no star has an open member, or after LEVELS levels. So a candidate
-pair that the first keys made can be lost only in a group of over SMALL members that share their
-differences to two pivots and are still open then; all others are settled, up to links inside a component.
+differences of their own. After LEVELS levels the open members of larger keys are compared with a growing
+number of them: each round takes GROW times as many pivots, until every member has been one. Pairs of one
+component are not compared again, so only members that hang together nowhere meet in full. No candidate
+pair that the first keys made is lost, up to links inside a component.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 
-SMALL, LEVELS = 64, 2
+SMALL, LEVELS, GROW = 64, 2, 16
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of the ids of edges (a, b); the label is the smallest id of the component. Minimum
@@ -105,15 +106,15 @@ def _open_rows(found: DataFrame, labels: DataFrame, least: float) -> tuple[DataF
     return rows, cut(held.join(wanted, "key"))
 
 
-def _direct(rows: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of open members that share a small key, from their differences to a common pivot."""
-    small = held.where(F.col("n") <= SMALL)
-    x = small.where("failed").select("key", "p", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n_y").alias("sa"), F.col("n_d").alias("ca"))
-    y = small.where("index").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_y").alias("sb"), F.col("n_d").alias("cb"))
-    # sizes and counts of differences must be near enough
+def _may_link(a: str, b: str, least: float) -> Column:
+    """Rows with label l, size s and count of differences c of two members: sizes and counts of differences are near enough."""
     beta = (1 - least) / (1 + least)
-    near = (F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-6) & (F.abs(F.col("ca") - F.col("cb")) <= beta * (F.col("sa") + F.col("sb")) + 1e-6)
-    pairs = x.join(y, "key").where((F.col("la") != F.col("lb")) & near).select("p", "a", "b").distinct()
+    la, sa, ca, lb, sb, cb = (F.col(x + y) for y in (a, b) for x in "lsc")
+    return (la != lb) & (F.least(sa, sb) >= least * F.greatest(sa, sb) - 1e-6) & (F.abs(ca - cb) <= beta * (sa + sb) + 1e-6)
+
+
+def _settled(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of pairs (p, a, b), from their differences to the common pivot."""
     side = lambda c: rows.select("p", F.col("id").alias(c), F.col("diff").alias(f"d{c}"), F.col("n_y").alias(f"n{c}"))
     full = pairs.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"])
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
@@ -121,6 +122,46 @@ def _direct(rows: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return full.where(total - apart >= least * (total + apart)).select("a", "b").distinct()
 
 
+def _direct(rows: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of open members that share a small key, from their differences to a common pivot."""
+    small = held.where(F.col("n") <= SMALL)
+    x = small.where("failed").select("key", "p", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n_y").alias("sa"), F.col("n_d").alias("ca"))
+    y = small.where("index").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_y").alias("sb"), F.col("n_d").alias("cb"))
+    return _settled(x.join(y, "key").where(_may_link("a", "b", least)).select("p", "a", "b").distinct(), rows, least)
+
+
+def _finished(rows: DataFrame, held: DataFrame, edges: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Labels after all open pairs of held's larger keys: by sub-buckets of a key's members with a pivot
+    each, GROW times as many every round, at last every member."""
+    large = cut(held.where(F.col("n") > SMALL).select("key", "p", "id", "failed", "index", F.col("n_y").alias("s"), F.col("n_d").alias("c"), "n"))
+    most = large.agg(F.max("n")).first()[0] or 0
+    subs, tested = 1, None
+    while subs < most:
+        subs *= GROW
+        known = large.join(labels, "id", "left").withColumn("l", F.coalesce("label", "id")).drop("label")
+        undecided = known.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("key")
+        open_ = cut(known.join(undecided, "key"))
+        if open_.isEmpty():
+            return labels
+        every = F.col("n") <= subs
+        best = F.max(F.struct("failed", "index", "id", "l", "s", "c")).alias("x")
+        pivots = open_.groupBy("key", F.when(every, F.col("id")).alias("own"), F.when(~every, F.pmod(F.xxhash64("id"), F.lit(subs))).alias("sub")).agg(best)
+        a = open_.select("key", "p", *(F.col(c).alias(f"{c}a") for c in ("id", "failed", "index", "l", "s", "c")))
+        b = pivots.select("key", *(F.col(f"x.{c}").alias(f"{c}b") for c in ("id", "failed", "index", "l", "s", "c")))
+        roles = F.col("faileda") & F.col("indexb") | F.col("failedb") & F.col("indexa")
+        met = a.join(b, "key").where(roles & _may_link("a", "b", least))
+        pairs = met.select("p", F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["p", "a", "b"], "left_anti")
+        pairs = cut(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = cut(_settled(pairs, rows, least))
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = cut(components(edges))
+    return labels
+
+
 def link(keys: DataFrame, bags_of, least: float, levels: int = LEVELS) -> DataFrame | None:  # noqa: ANN001
     """Labels (id, label) of the components of ids that share a key and have similar bags; None if no
     two are similar. keys (id, key), each pair once. bags_of(ids) gives the bags (id, bag) of the ids
@@ -155,4 +196,4 @@ def link(keys: DataFrame, bags_of, least: float, levels: int = LEVELS) -> DataFr
             labels = cut(components(edges))
         if level + 1 < levels:
             keys = cut(held.where(F.col("n") > SMALL).select("id", "key").distinct())
-    return labels
+    return _finished(rows, held, edges, labels, least)

@@ -150,6 +150,37 @@ def test_family_of_edited_copies_is_whole(spark):
     assert len(set(got.values())) > 1
 
 
+def linked_by_brute_force(sets):
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(sets))}
+
+
+def test_large_open_groups_are_compared_in_full(spark):
+    """Families of two blocks each: every difference to a pivot is shared by over SMALL members of several families."""
+    rng = random.Random(11)
+    draw = lambda n: {rng.randrange(1 << 62) for _ in range(n)}
+    parts = [draw(40 + k) for k in range(5)]
+    sets = [parts[i] | parts[j] | draw(2) for i in range(5) for j in range(i) for _ in range(67)]
+    rng.shuffle(sets)
+    bags = spark.createDataFrame([(i, np.sort(np.array([*s], np.uint64)).tobytes()) for i, s in enumerate(sets)], "id long, bag binary")
+    keys = spark.createDataFrame([(i, 1) for i in range(len(sets))], "id long, key long")
+    labels = {r.id: r.label for r in graph.link(keys, lambda ids: bags.join(ids, "id", "left_semi"), 0.8).collect()}
+    want = linked_by_brute_force(sets)
+    assert {i: labels.get(i, i) for i in want} == want
+    assert len(set(want.values())) == 10
+
+
 def test_keep_one_keeps_all_columns(spark, corpus):
     rows = [*corpus, corpus[7]]
     docs = frame(spark, rows)
