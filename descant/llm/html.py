@@ -9,8 +9,10 @@ tokens covered by a run of at least MIN_RUN tokens that MIN_PAGES distinct pages
 block goes if COVERED of its tokens are covered. Text inside an article is never removed for being
 repeated: passages that articles share are content.
 
-Hosts are dealt into shards of about SHARD pages by the hash of the page, so that no task holds a hot
-host; boilerplate recurs within each shard, and pages with equal streams count once.
+Hosts are dealt into shards of about SHARD pages by the hash of their blocks, so that no task holds a hot
+host. Pages with equal streams are in one shard and count once; for hosts of several shards each shard's
+suffix array gives its runs with their pages, these are summed over the host, and the runs that MIN_PAGES
+pages hold go back to the shards that have them.
 
 Edge cases: null or empty html gives the empty text; a null url has the empty host; pages without a
 closing tag end where the document ends; repeated rows give equal rows; other columns are ignored.
@@ -18,6 +20,7 @@ closing tag end where the document ends; repeated rows give equal rows; other co
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, mix
 from .urls import host_of
 
 MIN_RUN, MIN_PAGES, SHARD = 6, 3, 1_000
@@ -156,39 +159,78 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
+class Runs:
+    """The runs of min_run tokens of streams, each stream of distinct content once."""
+
+    def __init__(self, streams: list[list[str]], min_run: int = MIN_RUN) -> None:
+        self.streams, self.min_run = streams, min_run
+        self.distinct = list({tuple(s): None for s in streams})
+        ids: dict[str, int] = {}
+        parts, owner = [], []
+        for k, s in enumerate(self.distinct):
+            parts += [ids.setdefault(t, len(ids)) for t in s]
+            parts.append(-1 - k)  # a separator of its own: no run crosses pages
+            owner += [k] * (len(s) + 1)
+        tokens, own = np.array(parts, np.int64), np.array(owner, np.int64)
+        self.words = list(ids)
+        self.order, self.group, self.pages = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.n = len(tokens)
+        if self.n:
+            self.order = suffix_array(tokens)
+            padded = np.concatenate([tokens, np.full(min_run, -(1 << 40))])
+            self.heads = np.stack([padded[self.order + i] for i in range(min_run)])
+            same = np.concatenate([[False], (self.heads[:, 1:] == self.heads[:, :-1]).all(0)])
+            self.group = np.cumsum(~same)
+            pairs = np.unique(np.stack([self.group, own[self.order]]), axis=1)
+            self.pages = np.bincount(pairs[0], minlength=self.group[-1] + 1)
+
+    def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, hash that streams elsewhere share, pages) of each run that lies inside a page."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], self.group[1:] != self.group[:-1]]))
+        first = first[(self.heads[:, first] >= 0).all(0)]
+        word = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in self.words], np.uint64)
+        h = np.zeros(len(first), np.uint64)
+        with np.errstate(over="ignore"):
+            for row in self.heads[:, first]:
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word[row])
+        return self.group[first], h, self.pages[self.group[first]]
+
+    def covered(self, wanted: np.ndarray) -> list[np.ndarray]:
+        """Per stream which tokens lie in a run whose group is wanted."""
+        covered = np.zeros(self.n, bool)
+        for start in self.order[wanted[self.group]] if self.n else ():
+            covered[start : start + self.min_run] = True
+        out, at = {}, 0
+        for s in self.distinct:
+            out[s] = covered[at : at + len(s)]
+            at += len(s) + 1
+        return [out[tuple(s)] for s in self.streams]
+
+
 def repeated(streams: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
     """Per stream which tokens lie in a run of min_run tokens that min_pages streams of distinct content hold."""
-    distinct = {tuple(s): None for s in streams}
-    ids: dict[str, int] = {}
-    parts, owner = [], []
-    for k, s in enumerate(distinct):
-        parts += [ids.setdefault(t, len(ids)) for t in s]
-        parts.append(-1 - k)  # a separator of its own: no run crosses pages
-        owner += [k] * (len(s) + 1)
-    tokens, own = np.array(parts, np.int64), np.array(owner, np.int64)
-    covered = np.zeros(len(tokens), bool)
-    if len(tokens) and len(distinct) >= min_pages:
-        order = suffix_array(tokens)
-        padded = np.concatenate([tokens, np.full(min_run, -(1 << 40))])
-        heads = np.stack([padded[order + i] for i in range(min_run)])
-        same = np.concatenate([[False], (heads[:, 1:] == heads[:, :-1]).all(0)])
-        group = np.cumsum(~same)
-        pairs = np.unique(np.stack([group, own[order]]), axis=1)
-        pages = np.bincount(pairs[0], minlength=group[-1] + 1)
-        for start in order[pages[group] >= min_pages]:
-            covered[start : start + min_run] = True
-    out, at = {}, 0
-    for s in distinct:
-        out[s] = covered[at : at + len(s)]
-        at += len(s) + 1
-    return [out[tuple(s)] for s in streams]
-
-
-def unique_text(pages: list[list[str]]) -> list[str]:
-    """The main text of a host's pages, each a list of blocks: without blocks that repeated runs cover."""
+    runs = Runs(streams, min_run)
+    return runs.covered(runs.pages >= min_pages)
+
+
+def _streams(pages: list[list[str]]) -> list[list[str]]:
+    return [[t for b in page for t in b.split()] for page in pages]
+
+
+def unique_text(pages: list[list[str]], frequent: set[int] | None = None) -> list[str]:
+    """The main text of a host's pages, each a list of blocks: without blocks that repeated runs cover.
+    frequent: hashes of the host's repeated runs, where the pages are but a part of the host."""
     split = [[b.split() for b in page] for page in pages]
+    runs = Runs(_streams(pages))
+    wanted = runs.pages >= MIN_PAGES
+    if frequent is not None:
+        group, h, _ = runs.hashed()
+        wanted = np.zeros(len(runs.pages), bool)
+        wanted[group] = np.isin(h.view(np.int64), np.fromiter(frequent, np.int64, len(frequent)))
     out = []
-    for page, words, hit in zip(pages, split, repeated([[t for b in p for t in b] for p in split]), strict=True):
+    for page, words, hit in zip(pages, split, runs.covered(wanted), strict=True):
         kept, at = [], 0
         for block, tokens in zip(page, words, strict=True):
             if hit[at : at + len(tokens)].sum() < COVERED * max(len(tokens), 1):
@@ -217,11 +259,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     found = cut(plain.mapInArrow(run, "page_id long, url string, text string, open array<string>"))
     left = found.where("text is null").withColumn("host", host_of(F.coalesce("url", F.lit(""))))
     shards = left.groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64(F.concat_ws(" ", "open")), F.col("shards")))
+    dealt = cut(dealt.select("host", "shard", "shards", "page_id", "url", "open"))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        _, h, n = Runs(_streams([list(x) for x in rows["open"]])).hashed()
+        return pd.DataFrame({"host": rows["host"].iloc[0], "shard": rows["shard"].iloc[0], "run": h.view(np.int64), "n": n})
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": unique_text([list(x) for x in rows["open"]])})
 
-    judged = dealt.select("host", "shard", "page_id", "url", "open").groupBy("host", "shard").applyInPandas(judge, "page_id long, url string, text string")
+    def judge_part(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": unique_text([list(x) for x in rows["open"]], set(runs["run"]))})
+
+    kind = "page_id long, url string, text string"
+    judged = dealt.where("shards = 1").groupBy("host", "shard").applyInPandas(judge, kind)
+    parts = dealt.where("shards > 1")
+    runs = parts.groupBy("host", "shard").applyInPandas(count, "host string, shard long, run long, n long")
+    if not parts.isEmpty():
+        runs = cut(runs)
+        frequent = runs.groupBy("host", "run").agg(F.sum("n").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", "run")
+        back = runs.join(frequent, ["host", "run"]).select("host", "shard", "run")
+        judged = judged.unionByName(parts.groupBy("host", "shard").cogroup(back.groupBy("host", "shard")).applyInPandas(judge_part, kind))
     whole = found.where("text is not null").select("page_id", "url", "text").unionByName(judged)
     return whole.withColumn("n_chars", F.length("text").cast("long"))

@@ -104,6 +104,15 @@ def test_repeated_runs_are_boilerplate_where_structure_is_silent(spark):
     assert "Home About" in got[9] and all("Home About" in got[20 + k] for k in range(5))  # one distinct page proves nothing
 
 
+def test_boilerplate_of_a_few_pages_goes_whatever_the_shards(spark, monkeypatch):
+    body = lambda k: "<body>" + ("<div>Only some pages have this menu</div>" if k % 10 == 0 else "") + f"<p>Text number {k} is about topic{k} and thing{k} only here</p></body>"
+    rows = [(k, "http://h.com/x", body(k)) for k in range(40)] + [(100 + k, "http://h.com/y", "<body><div>A menu that copies of one page have</div></body>") for k in range(4)]
+    whole = {r.page_id: r.text for r in html.extract(pages_of(spark, rows)).collect()}
+    monkeypatch.setattr(html, "SHARD", 5)
+    assert {r.page_id: r.text for r in html.extract(pages_of(spark, rows)).collect()} == whole
+    assert whole[0] == "Text number 0 is about topic0 and thing0 only here" and whole[100].startswith("A menu")
+
+
 def test_suffix_runs_equal_brute_force():
     import random
 
