@@ -4,9 +4,10 @@
    most `most` times its own; the level is where the targets sum up (the fixed point of resharing the
    excess by weight).
 2. Streams: each source's documents stand in an order shuffled by a hash of their id and text; their
-   words, end to end, are cut into blocks of `block` words (the last may be shorter).
+   words, end to end, are cut into blocks of `block` words, or of 1/PARTS of the source's words if that
+   is less (the last may be shorter), so that a slot is a small part of any source.
 3. Schedule: slot i takes the point frac((i + 0.5) * golden ratio); the source whose interval of the
-   cumulative targets holds the point owns the slot. A source's k-th slot takes its block
+   cumulative targets, in its own blocks, holds the point owns the slot. A source's k-th slot takes its block
    k modulo the number of its blocks, for at most `most` rounds.
 4. A document's taken words are its words in taken blocks, repeats counted.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut
 
-WEIGHTS, SHARE, MOST, BLOCK = (5, 2, 1), 1.5, 2, 256
+WEIGHTS, SHARE, MOST, BLOCK, PARTS = (5, 2, 1), 1.5, 2, 256, 64
 #: Buckets of the shuffled order per source: as many as keep a bucket near ROWS rows.
 ROWS, LEAST_BUCKETS = 20_000, 256
 GOLDEN = 0.6180339887498949
@@ -67,13 +68,14 @@ def offsets(docs: DataFrame, buckets: int) -> DataFrame:
     return own.join(base, ["rank", "bucket"]).withColumn("begin", F.col("base") + F.col("inside")).drop("base", "inside", "bucket")
 
 
-def schedule(goals: DataFrame, n_slots: int, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """(rank, block_no, times): how often the schedule takes each block of each source."""
+def schedule(goals: DataFrame, n_slots: int, most: int = MOST) -> DataFrame:
+    """(rank, block_no, times): how often the schedule takes each block of each source. goals (rank, source_size, target, block)."""
     spark = goals.sparkSession
     running = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("target").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    bounds = goals.withColumn("upto", F.sum("target").over(running) / total).withColumn("from", F.coalesce(F.lag("upto").over(W.orderBy("rank")), F.lit(0.0)))
-    bounds = bounds.where(F.col("target") > 0).select("rank", "from", F.when(F.col("rank") == F.max("rank").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), 1.0).otherwise(F.col("upto")).alias("upto"), F.ceil(F.col("source_size") / block).alias("n_blocks"))
+    n = F.col("target") / F.col("block")
+    total = F.sum(n).over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    bounds = goals.withColumn("upto", F.sum(n).over(running) / total).withColumn("from", F.coalesce(F.lag("upto").over(W.orderBy("rank")), F.lit(0.0)))
+    bounds = bounds.where(F.col("target") > 0).select("rank", "from", F.when(F.col("rank") == F.max("rank").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), 1.0).otherwise(F.col("upto")).alias("upto"), F.ceil(F.col("source_size") / F.col("block")).alias("n_blocks"))
     # intervals meet points in 1024 bins of [0, 1): an equi-join, whatever the number of sources
     bins = bounds.withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") * 1024), F.least(F.floor(F.col("upto") * 1024), F.lit(1023)))))
     slots = spark.range(n_slots).select("id", ((F.col("id") + 0.5) * GOLDEN).alias("x")).select("id", (F.col("x") - F.floor("x")).alias("point"))
@@ -93,17 +95,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     repeated rows' groups: rows with the same key are the same document."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text))
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), key.alias("order")))
-    sums = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")).select("source", "source_size", "n_rows"), weights, share, most).join(sized.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_rows")), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    head = sums.agg(F.max("n_rows"), F.sum("target")).first()
+    sums = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")).select("source", "source_size", "n_rows"), weights, share, most).join(sized.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_rows")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", F.greatest(F.least(F.ceil(F.col("source_size") / PARTS), F.lit(block)), F.lit(1)).cast("long")))
+    head = sums.agg(F.max("n_rows"), F.sum(F.col("target") / F.col("block"))).first()
     buckets = LEAST_BUCKETS
     while buckets * ROWS < (head[0] or 0):
         buckets *= 2
-    n_slots = int(round((head[1] or 0) / block))
-    known = sized.join(sums.select(F.col("source").alias("s"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    n_slots = int(round(head[1] or 0))
+    known = sized.join(sums.select(F.col("source").alias("s"), "rank", "source_size", "target", "block"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     streams = offsets(known, buckets)
-    taken = schedule(sums, n_slots, block, most)
-    pieces = streams.where("size > 0").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
-    inside = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("begin"), F.col("block_no") * block)
+    taken = schedule(sums, n_slots, most)
+    pieces = streams.where("size > 0").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((F.col("begin") + F.col("size") - 1) / F.col("block")))))
+    inside = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * F.col("block")) - F.greatest(F.col("begin"), F.col("block_no") * F.col("block"))
     blocks = pieces.select("doc_id", "order", "begin", "size", "source_size", "target", "source", "rank", "block_no", inside.alias("words")).join(taken, ["rank", "block_no"], "left")
     full = blocks.groupBy("doc_id", "order", "begin", "size", "source_size", "target", "source").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     empty = known.where("size = 0").select("doc_id", "order", F.lit(0).cast("long").alias("begin"), "size", "source_size", "target", "source", F.lit(0).cast("long").alias("taken"))

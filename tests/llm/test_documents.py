@@ -363,6 +363,15 @@ def test_mix_follows_targets(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_small_sources_beside_a_hot_one_meet_their_targets(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng, 200)), None, "hot", 0) for i in range(150)]
+    for k in range(20):
+        rows += [(1000 + 10 * k + j, " ".join(words(rng, 20 + 4 * k)), None, f"tail{k:02}", 0) for j in range(3)]
+    got = mixing.mix(frame(spark, rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 21 and all(abs(r.taken - r.target) <= 0.1 * r.target for r in got)
+
+
 def test_mix_materialised(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(words(rng, 50)), "en", "abc"[i % 3], 0) for i in range(300)] + [(7, " ".join(["x"] * 40), "en", None, 0)]
