@@ -7,6 +7,7 @@ with ASCII punctuation turned into separators.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: 64-bit odd constants of the mixing functions (fixed values).
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -25,10 +26,12 @@ SHINGLE = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Where the setting
-    is absent (tests on one machine) a temporary folder is set as the checkpoint folder first."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where the setting is
+    absent and all runs on this machine (tests) a temporary folder is set as the checkpoint folder first."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='descant-')}"
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/descant-{uuid.uuid4().hex}"
@@ -53,7 +56,29 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     bounded_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._descant_path = path
+    return out
+
+
+def release(*written: DataFrame | None) -> None:
+    """Delete tables of `cut`. Only for tables whose readers are written themselves."""
+    for df in written:
+        path = getattr(df, "_descant_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a few numbers each that a join may broadcast: some tens of MB in every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(written: DataFrame) -> DataFrame:
+    """A table of `cut` for a join with texts: broadcast if it is counted to have at most BROADCAST_ROWS
+    rows, so that the texts stay where they are; else a sorted join moves every text once."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge")
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

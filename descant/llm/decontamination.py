@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SHINGLE, normal_bytes, shingles, slices, word_hashes
+from .common import SHINGLE, bounded, cut, normal_bytes, shingles, slices, word_hashes
 
 OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
 K1, B = 1.2, 0.75
@@ -216,3 +216,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     if out is None:
         return spark.createDataFrame([], schema)
     return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "overlap", "answer_overlap")))
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, text: str = "text", **items: str) -> DataFrame:
+    """The rows of docs whose text holds no item, with all their columns. Texts are judged, not ids."""
+    mark = F.xxhash64(F.col(text).cast("string"))
+    found = leaks(docs.select(mark.alias("doc_id"), F.col(text).alias("text")), benchmark, **items)
+    gone = cut(found.select(F.col("doc_id").alias("__mark")).distinct())
+    return docs.withColumn("__mark", mark).join(bounded(gone), "__mark", "left_anti").select(*docs.columns)

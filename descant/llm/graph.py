@@ -1,52 +1,173 @@
 """Verified links from colliding keys, and connected components, without all pairs of a group.
 
-`link` gets (id, key) rows and the bag (sorted 64-bit hashes, as bytes) of each id. Each key has one
-pivot, at first the member that collides most over all its keys (the original of edited copies collides
-more than the copies do), later the smallest one, and members are compared with their pivots only: pairs
-grow with the rows. That finds nearly all links of copies. The rest comes from what the comparisons say:
-
-Let X be a member that is not similar enough to its pivot P, and Y another member of P's star. With
-D_X, D_Y the symmetric differences to P, |X ^ Y| = |D_X| + |D_Y| - 2 |D_X & D_Y|. Similarity of at least t
-means |X ^ Y| <= b (|X| + |Y|) with b = (1 - t) / (1 + t), and X's failure |D_X| > b (|X| + |P|). So X and Y
-can be similar only if |D_X & D_Y| > (|D_Y| + b (|P| - |Y|)) / 2: they share about half of what sets Y apart
-from P. Then one of Y's rarest |D_Y| - m + 1 differences (m the least such count) is one of X's. As
-|D_X & D_Y| >= |D_X| - |X ^ Y| too, it is one of X's rarest b (|X| + |Y|) + 1, where |Y| <= |X| / t. Those
-are the keys of the next step, for stars that still hold members of several components. In keys of at most
-SMALL members the open pairs are compared outright, and by their differences alone, since these give
-|X ^ Y|: at most SMALL pairs a row. Larger keys are groups of a next level, with pivots, stars and
-differences of their own. After LEVELS levels the open members of larger keys are compared with a growing
-number of them: each round takes GROW times as many pivots, until every member has been one. Pairs of one
-component are not compared again, so only members that hang together nowhere meet in full. No candidate
-pair that the first keys made is lost, up to links inside a component.
+`link` gets (id, key) rows; two ids are candidates if they share a key. Each key has one pivot, the member
+that collides most over all its keys (the original of edited copies collides more than the copies do), and
+a pivot with all members of its keys is a star. Every candidate pair lies inside a star, and a member's bag
+(the sorted hashes of its shingles) travels once to each of its stars.
+
+Stars of at most STAR members and ELEMENTS hashes are settled where they meet, one at a time and exactly:
+members are compared with the pivot, and those that are not similar to it with every other member that
+shares one of their rarest hashes. By the prefix principle a set X that has similarity of at least t with Y
+shares at least t |X| hashes with it, so one of the |X| - t |X| + 1 rarest hashes of X is in Y. What goes
+out is a spanning tree of the links that were found, not the pairs.
+
+In larger stars members are compared with the pivot only, one row a member. The rest comes from what these
+comparisons say. Let X be a member that is not similar enough to its pivot P, and Y another member of P's
+star. With D_X, D_Y the symmetric differences to P, |X ^ Y| = |D_X| + |D_Y| - 2 |D_X & D_Y|. Similarity of
+at least t means |X ^ Y| <= b (|X| + |Y|) with b = (1 - t) / (1 + t), and X's failure |D_X| > b (|X| + |P|).
+So X and Y can be similar only if |D_X & D_Y| > (|D_Y| + b (|P| - |Y|)) / 2: they share about half of what
+sets Y apart from P. Then one of Y's rarest |D_Y| - m + 1 differences (m the least such count) is one of
+X's. As |D_X & D_Y| >= |D_X| - |X ^ Y| too, it is one of X's rarest b (|X| + |Y|) + 1, where |Y| <= |X| / t.
+Those (pivot, difference) pairs are the keys of the next step, where they have members of several
+components. The pivot itself is in none of them, so groups shrink, and steps go on until no large star has
+an open member: no candidate pair is lost, up to links inside a component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import bounded, cut, release
+
+STAR, ELEMENTS = 1_024, 1 << 20
+#: Bytes of a hash in a bag. Two bags of 20,000 hashes have one in common by chance once in 700,000 pairs.
+WIDTH = 6
+
+
+def pack(hashes: np.ndarray) -> bytes:
+    """A bag: distinct hashes in order, cut to the upper WIDTH bytes of 64 bits."""
+    short = np.unique(hashes >> np.uint64(64 - 8 * WIDTH))
+    return short.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
+
+
+def unpack(bag: memoryview | bytes) -> np.ndarray:
+    raw = np.frombuffer(bag, np.uint8).reshape(-1, WIDTH)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - WIDTH :] = raw
+    return out.view(">u8").ravel().astype(np.int64)
 
-SMALL, LEVELS, GROW = 64, 2, 16
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of the ids of edges (a, b); the label is the smallest id of the component. Minimum
-    label propagation with pointer jumping; every round is written and read back."""
+    label propagation with pointer jumping; every round is one job, written and read back."""
     both = cut(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
     labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        own = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = cut(own)
-        far = own.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        jumped = own.join(far, "label", "left").select("id", F.coalesce("far", "label").alias("label"), "old")
-        jumped = cut(jumped)
-        labels = jumped.select("id", "label")
-        if jumped.where("label <> old").isEmpty():
-            return labels
+        near = both.join(labels.select(F.col("id").alias("dst"), F.col("label").alias("n")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("n").alias("near"))
+        far = labels.select(F.col("id").alias("old"), F.col("label").alias("far"))
+        step = labels.select("id", F.col("label").alias("old")).join(near, "id").join(far, "old")
+        after = cut(step.select("id", F.least("near", "far").alias("label"), "old"))
+        done = after.where("label <> old").isEmpty()
+        release(labels)
+        labels = after
+        if done:
+            release(both)
+            out = labels.select("id", "label")
+            out._descant_path = labels._descant_path
+            return out
+
+
+# small stars
+
+
+class _Forest:
+    def __init__(self, ids: list) -> None:
+        known: dict = {}
+        self.parent = [known.setdefault(x, k) for k, x in enumerate(ids)]  # rows of one id hang together
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.find(x), self.find(y)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def star_links(ids: list, pivot: int, bags: list[np.ndarray], least: float) -> list[tuple]:
+    """Links (a, b) that hold together what is similar among the members; bags are sorted and distinct."""
+    n = len(bags)
+    size = np.array([len(b) for b in bags])
+    first = np.cumsum(size) - size
+    forest, out = _Forest(ids), []
+
+    def links(x: int, y: int) -> None:
+        if forest.join(x, y):
+            out.append((ids[x], ids[y]))
+
+    flat = np.concatenate(bags)
+    if n == 2:
+        common = len(flat) - len(np.unique(flat))
+        if common >= least * (len(flat) - common):
+            links(1 - pivot, pivot)
+        return out
+    values, code = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    mark = np.zeros(len(values), bool)
+    own = lambda k: code[first[k] : first[k] + size[k]]
+    mark[own(pivot)] = True
+    common = np.bincount(owner, mark[code], n)
+    for x in np.flatnonzero(common >= least * (size + size[pivot] - common)).tolist():
+        links(x, pivot)
+    open_ = [x for x in range(n) if forest.find(x) != forest.find(pivot)]
+    if not open_:
+        return out
+    counts = np.bincount(code)
+    by_code = owner[np.argsort(code, kind="stable")]
+    ends = np.cumsum(counts)
+    for x in open_:
+        mine = own(x)
+        rare = mine[np.argsort(counts[mine], kind="stable")[: size[x] - int(np.ceil(least * size[x] - 1e-9)) + 1]]
+        near = np.unique(np.concatenate([by_code[ends[c] - counts[c] : ends[c]] for c in rare.tolist()] or [np.zeros(0, np.int64)]))
+        near = near[(np.minimum(size[near], size[x]) >= least * np.maximum(size[near], size[x]) - 1e-9) & (near != x)]
+        if not len(near):
+            continue
+        mark[:] = False
+        mark[mine] = True
+        for y in near.tolist():
+            if forest.find(x) != forest.find(y):
+                both = int(mark[own(y)].sum())
+                if both >= least * (size[x] + size[y] - both):
+                    links(x, y)
+    return out
+
+
+def _settle(least: float, kind: pa.DataType):  # noqa: ANN202
+    """Rows (id, p, bag), those of a star one after the other, to links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, ids, bags = None, [], []
+        found: list[tuple] = []
+
+        def done() -> None:
+            if len(ids) > 1:
+                found.extend(star_links(ids, ids.index(star), bags, least))
+
+        for batch in batches:
+            for i, p, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if p != star:
+                    done()
+                    star, ids, bags = p, [], []
+                ids.append(i)
+                bags.append(unpack(bag.as_buffer()))
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found, strict=True)], names=["a", "b"])
+                found.clear()
+        done()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
+# large stars
 
 
 _FOUND = "id {0}, p {0}, linked boolean, n_y int, n_p int, diff array<long>"
@@ -61,139 +182,93 @@ def _compare(least: float):  # noqa: ANN202
                 ids, ps, xs, ys = batch.slice(begin, 1024).columns
                 out: list[tuple] = []
                 for x, y in zip(xs, ys, strict=True):
-                    a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    a, b = unpack(x.as_buffer()), unpack(y.as_buffer())
                     both = np.concatenate([a, b])
                     both.sort()
                     twice = both[1:] == both[:-1]
                     common = int(twice.sum())
-                    linked = common >= least * (len(both) - common)
                     single = np.ones(len(both), bool)
                     single[1:] &= ~twice
                     single[:-1] &= ~twice
-                    out.append((linked, len(a), len(b), both[single].view(np.int64)))
+                    out.append((common >= least * (len(both) - common), len(a), len(b), both[single]))
                 linked, n_y, n_p, diff = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([ids, ps, pa.array(linked), pa.array(n_y, pa.int32()), pa.array(n_p, pa.int32()), pa.array(diff, pa.list_(pa.int64()))], names=["id", "p", "linked", "n_y", "n_p", "diff"])
 
     return run
 
 
-def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """pairs (id, p) with `linked` (Jaccard similarity of at least `least`), bag sizes and differences."""
-    kind = pairs.schema["id"].dataType.simpleString()
-    left = pairs.join(bags.select("id", F.col("bag").alias("x")), "id")
-    full = left.join(bags.select(F.col("id").alias("p"), F.col("bag").alias("y")), "p").select("id", "p", "x", "y")
-    return full.mapInArrow(_compare(least), _FOUND.format(kind))
-
-
-def _open_rows(found: DataFrame, labels: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Of the compared stars that hold members of other components: (their rows, (id, p, key, ...) of the
-    differences that can show a link)."""
+def _differences(found: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(id, key) of the differences to pivots that can show a link of open members; found has the rows of large stars."""
     name = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
     known = found.join(name("id"), "id", "left").join(name("p"), "p", "left").withColumn("label", F.coalesce("id_label", "id")).withColumn("failed", ~F.col("linked") & (F.col("label") != F.coalesce("p_label", "p")))
     stars = known.groupBy("p").agg(F.bool_or("failed").alias("open")).where("open").select("p")
-    rows = cut(known.join(stars, "p").select("id", "p", "label", "failed", "n_y", "n_p", "diff"))
     beta = (1 - least) / (1 + least)
     # rarest differences first; `take` of them are index keys, `probe` of a failed member's are probes
     m = F.greatest(F.floor((F.size("diff") + beta * (F.col("n_p") - F.col("n_y"))) / 2 - 1e-6) + 1, F.lit(1))
-    each = rows.select("id", "p", "label", "failed", "n_y", F.size("diff").alias("n_d"), (F.size("diff") - m + 1).cast("int").alias("take"), F.explode("diff").alias("e"))
+    each = cut(known.join(stars, "p").select("id", "p", "label", "failed", "n_y", (F.size("diff") - m + 1).cast("int").alias("take"), F.explode("diff").alias("e")))
     freq = each.groupBy("p", "e").agg(F.count("*").alias("c"), (F.bool_or("failed") & (F.min("label") < F.max("label"))).alias("useful"))
-    ranked = each.join(freq, ["p", "e"]).groupBy("id", "p").agg(F.first("label").alias("label"), F.first("failed").alias("failed"), F.first("take").alias("take"), F.first("n_y").alias("n_y"), F.first("n_d").alias("n_d"), F.sort_array(F.collect_list(F.struct("c", "e", "useful"))).alias("es"))
+    ranked = each.join(freq, ["p", "e"]).groupBy("id", "p").agg(F.first("label").alias("label"), F.first("failed").alias("failed"), F.first("take").alias("take"), F.first("n_y").alias("n_y"), F.sort_array(F.collect_list(F.struct("c", "e", "useful"))).alias("es"))
     probe = F.col("failed") & (F.col("at") <= F.floor(beta * F.col("n_y") * (1 + 1 / least) + 1e-6))
-    placed = ranked.select("id", "p", "label", "failed", "take", "n_y", "n_d", F.posexplode("es").alias("at", "x")).where("x.useful")
-    held = placed.select("id", "p", "label", probe.alias("failed"), "n_y", "n_d", F.xxhash64("p", "x.e").alias("key"), (F.col("at") < F.col("take")).alias("index")).where("index or failed")
-    held = cut(held)
-    wanted = held.groupBy("key").agg(F.bool_or("index").alias("i"), F.bool_or("failed").alias("f"), F.count("*").alias("n")).where("i and f and n > 1").select("key", "n")
-    return rows, cut(held.join(wanted, "key"))
+    placed = ranked.select("id", "p", "label", "failed", "take", "n_y", F.posexplode("es").alias("at", "x")).where("x.useful")
+    held = cut(placed.select("id", "label", probe.alias("failed"), F.xxhash64("p", "x.e").alias("key"), (F.col("at") < F.col("take")).alias("index")).where("index or failed"))
+    release(each)
+    wanted = held.groupBy("key").agg(F.bool_or("index").alias("i"), F.bool_or("failed").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("i and f and lo < hi").select("key")
+    out = cut(held.join(wanted, "key").select("id", "key").distinct())
+    release(held)
+    return out
 
 
-def _may_link(a: str, b: str, least: float) -> Column:
-    """Rows with label l, size s and count of differences c of two members: sizes and counts of differences are near enough."""
-    beta = (1 - least) / (1 + least)
-    la, sa, ca, lb, sb, cb = (F.col(x + y) for y in (a, b) for x in "lsc")
-    return (la != lb) & (F.least(sa, sb) >= least * F.greatest(sa, sb) - 1e-6) & (F.abs(ca - cb) <= beta * (sa + sb) + 1e-6)
-
-
-def _settled(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of pairs (p, a, b), from their differences to the common pivot."""
-    side = lambda c: rows.select("p", F.col("id").alias(c), F.col("diff").alias(f"d{c}"), F.col("n_y").alias(f"n{c}"))
-    full = pairs.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"])
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    total = F.col("na") + F.col("nb")
-    return full.where(total - apart >= least * (total + apart)).select("a", "b").distinct()
-
-
-def _direct(rows: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of open members that share a small key, from their differences to a common pivot."""
-    small = held.where(F.col("n") <= SMALL)
-    x = small.where("failed").select("key", "p", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n_y").alias("sa"), F.col("n_d").alias("ca"))
-    y = small.where("index").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_y").alias("sb"), F.col("n_d").alias("cb"))
-    return _settled(x.join(y, "key").where(_may_link("a", "b", least)).select("p", "a", "b").distinct(), rows, least)
-
-
-def _finished(rows: DataFrame, held: DataFrame, edges: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Labels after all open pairs of held's larger keys: by sub-buckets of a key's members with a pivot
-    each, GROW times as many every round, at last every member."""
-    large = cut(held.where(F.col("n") > SMALL).select("key", "p", "id", "failed", "index", F.col("n_y").alias("s"), F.col("n_d").alias("c"), "n"))
-    most = large.agg(F.max("n")).first()[0] or 0
-    subs, tested = 1, None
-    while subs < most:
-        subs *= GROW
-        known = large.join(labels, "id", "left").withColumn("l", F.coalesce("label", "id")).drop("label")
-        undecided = known.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("key")
-        open_ = cut(known.join(undecided, "key"))
-        if open_.isEmpty():
-            return labels
-        every = F.col("n") <= subs
-        best = F.max(F.struct("failed", "index", "id", "l", "s", "c")).alias("x")
-        pivots = open_.groupBy("key", F.when(every, F.col("id")).alias("own"), F.when(~every, F.pmod(F.xxhash64("id"), F.lit(subs))).alias("sub")).agg(best)
-        a = open_.select("key", "p", *(F.col(c).alias(f"{c}a") for c in ("id", "failed", "index", "l", "s", "c")))
-        b = pivots.select("key", *(F.col(f"x.{c}").alias(f"{c}b") for c in ("id", "failed", "index", "l", "s", "c")))
-        roles = F.col("faileda") & F.col("indexb") | F.col("failedb") & F.col("indexa")
-        met = a.join(b, "key").where(roles & _may_link("a", "b", least))
-        pairs = met.select("p", F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["p", "a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut(_settled(pairs, rows, least))
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = cut(components(edges))
-    return labels
-
-
-def link(keys: DataFrame, bags_of, least: float, levels: int = LEVELS) -> DataFrame | None:  # noqa: ANN001
-    """Labels (id, label) of the components of ids that share a key and have similar bags; None if no
-    two are similar. keys (id, key), each pair once. bags_of(ids) gives the bags (id, bag) of the ids
-    that have any candidate."""
-    keys = cut(keys)
-    edges = labels = bags = None
-    for level in range(levels):
-        sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = cut(keys.join(sizes, "key"))
-        if shared.isEmpty():
-            return labels
-        score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+def stars(keys: DataFrame) -> DataFrame:
+    """(id, ps) of the ids that share a key: the pivots of its keys, one of them itself if it is a pivot."""
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # the keys of one id are as many as there are bands, or as its text has differences
+    mine = cut(keys.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("score"), F.collect_set("key").alias("keys")))
+    each = mine.select("id", "score", F.explode("keys").alias("key"))
+    pivots = each.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("p"))
+    out = cut(each.select("id", "key").join(pivots, "key").groupBy("id").agg(F.collect_set("p").alias("ps")))
+    release(mine)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def link(keys: DataFrame, ship: Callable[[DataFrame], DataFrame], least: float) -> DataFrame | None:
+    """Labels (id, label) of the components of ids that share a key and have similar bags; None if no two
+    are similar. keys (id, key), each pair once. ship(wanted) adds `bag` to the written table wanted
+    (id, ps) from the texts."""
+    kind = keys.schema["id"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "binary": pa.binary()}[kind]
+    edges: list[DataFrame] = []
+    bags = None
+    while True:
+        wanted = stars(keys)
+        release(keys)
         if bags is None:
-            bags = cut(bags_of(score.select("id")))
-            sizes_of = bags.select("id", (-F.octet_length("bag")).alias("score"))
-            rank = score
-        members = shared.join(rank, "id")
-        pivots = members.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("p"))
-        rank = sizes_of  # from now on the smallest member: what sets it apart is in no one's way
-        pairs = members.select("id", "key").join(pivots, "key").where("id <> p").select("id", "p").distinct()
-        found = cut(compared(pairs, bags, least))
-        new = found.where("linked").select(F.col("id").alias("a"), F.col("p").alias("b"))
-        edges = new if edges is None else edges.unionByName(new)
-        if labels is None or not new.isEmpty():
-            labels = cut(components(edges))
-        rows, held = _open_rows(found, labels, least)
-        if held.isEmpty():
-            return labels
-        direct = cut(_direct(rows, held, least))
-        if not direct.isEmpty():
-            edges = edges.unionByName(direct)
-            labels = cut(components(edges))
-        if level + 1 < levels:
-            keys = cut(held.where(F.col("n") > SMALL).select("id", "key").distinct())
-    return _finished(rows, held, edges, labels, least)
+            if wanted.isEmpty():
+                return None
+            held = bags = cut(ship(wanted))
+        else:
+            held = bags.select("id", "bag").join(bounded(wanted), "id")
+        rows = held.select("id", F.explode("ps").alias("p"), "bag")
+        large = cut(rows.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.octet_length("bag")).alias("size")).where((F.col("n") > STAR) | (F.col("size") > ELEMENTS * WIDTH)).select("p"))
+        some = not large.isEmpty()
+        small = rows.join(bounded(large), "p", "left_anti") if some else rows
+        edges.append(cut(small.repartition("p").sortWithinPartitions("p").mapInArrow(_settle(least, arrow), f"a {kind}, b {kind}")))
+        if not some:
+            break
+        pivots = bags.select(F.col("id").alias("p"), F.col("bag").alias("y")).join(bounded(large), "p", "left_semi")
+        pairs = rows.where("id <> p").join(pivots, "p").select("id", "p", F.col("bag").alias("x"), "y")
+        found = cut(pairs.mapInArrow(_compare(least), _FOUND.format(kind)))
+        edges.append(cut(found.where("linked").select(F.col("id").alias("a"), F.col("p").alias("b"))))
+        labels = components(_union(edges))
+        keys = _differences(found, labels, least)
+        release(found, large, wanted, labels)
+    links = _union(edges)
+    out = None if links.isEmpty() else components(links)
+    release(bags, wanted, *edges)
+    return out

@@ -4,16 +4,17 @@ Weighted Jaccard similarity of multisets: sum of minima over sum of maxima of th
 count w owns the interval [0, w) of a Poisson process in time of rate 1 per unit of weight. The weight
 axis is cut into dyadic parts [0, 1), [1, 2), [2, 4), ...; each part has a process of its own whose points
 come in order of time, seeded by shingle and part, so equal shingles have equal points whatever their
-counts. Inside a part that the count covers in part only, a point is followed down the halves of the part
-and counts if it ends below w. A point belongs to one of M signature components, each of which keeps its
-earliest time. A shingle is done once its next point is later than all of its document's components:
+counts. Inside a part that the count covers in part only, a point counts if its place on the weight axis,
+drawn in one step at full depth from the point's own seed, lies below w. A point belongs to one of M
+signature components, each of which keeps its earliest time. A shingle is done once its next point is later than all of its document's components:
 long documents need about one point a shingle.
 
 Signatures are banded; documents with equal bags are one node from the start, so a group of copies costs
 one row; `graph.link` verifies overlap of whole multisets and gives the components.
 
 Edge cases: a null or wordless text has no shingles and is a class of its own; under five words the whole
-text is the one shingle; repeated rows (same id) are in one class; other columns are ignored.
+text is the one shingle; an id with several texts is one node, so its copies hang together; a row with a
+null id belongs to the class of the rows with its very words, if there are any; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import graph
-from .common import as_long, bag_as_set, cut, mix, normal_bytes, shingles, slices, word_hashes
+from .common import as_long, bag_as_set, bounded, cut, mix, normal_bytes, release, shingles, slices, word_hashes
 
 LEAST = 0.8
 #: 20 bands of 5 components: a pair of similarity 0.8 shares a band with probability 0.9996.
@@ -101,48 +102,70 @@ def signatures(texts: list[str]) -> tuple[list[bytes | None], np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, texts in slices(batch.column(1)):
+        for begin, texts in slices(batch.column(2)):
             digests, keys = signatures(texts)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * BANDS, BANDS), pa.int32()), pa.array(as_long(keys.ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(digests, pa.binary()), flat], names=["doc_id", "digest", "keys"])
+            own = [batch.column(i).slice(begin, len(texts)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(digests, pa.binary()), flat], names=["doc_id", "mark", "digest", "keys"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, ps, text) to (id, ps, bag)."""
     for batch in batches:
-        for begin, texts in slices(batch.column(1)):
+        for begin, texts in slices(batch.column(2)):
             words, first = word_hashes([normal_bytes(t) for t in texts])
-            bags = [bag_as_set(shingles(words[first[k] : first[k + 1]])).tobytes() for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(bags, pa.binary())], names=["id", "bag"])
+            bags = [graph.pack(bag_as_set(shingles(words[first[k] : first[k + 1]]))) for k in range(len(texts))]
+            own = [batch.column(i).slice(begin, len(texts)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(bags, pa.binary())], names=["id", "ps", "bag"])
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, class_id) per row of docs; class_id is the smallest id of the class."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = cut(plain.mapInArrow(_sign, "doc_id long, digest binary, keys array<long>"))
-    nodes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    nodes = cut(nodes)
-    # an id with several texts is one node: its copies hang together
+def _mark(id_col: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text).cast("string"))
+
+
+def marked_classes(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
+    """(doc_id, mark, class_id) per row of docs, written; mark tells rows with other ids or texts apart."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(id_col, text).alias("mark"), F.col(text).cast("string").alias("text"))
+    signed = cut(plain.mapInArrow(_sign, "doc_id long, mark long, digest binary, keys array<long>"))
+    nodes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    nodes = cut(nodes.where("node is not null"))
     keys = nodes.select(F.col("node").alias("id"), F.explode("keys").alias("key")).distinct()
 
-    def bags_of(ids: DataFrame) -> DataFrame:
-        texts = plain.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return texts.mapInArrow(_bags, "id long, bag binary").groupBy("id").agg(F.first("bag").alias("bag"))
-
-    labels = graph.link(keys, bags_of, least)
-    own = signed.join(nodes.select("digest", "node"), "digest", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
-    if labels is None:
-        return own.select("doc_id", F.col("node").alias("class_id"))
-    return own.join(labels.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
-
-
-def keep_one(docs: DataFrame, **names: str) -> DataFrame:
-    """docs with one document of each class: the one with the smallest id. All columns stay."""
-    id_col = names.get("id_col", "doc_id")
-    found = classes(docs, **names)
-    gone = cut(found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct())
-    twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    left = docs.join(gone, id_col, "left_anti")
-    twice = cut(twice)
-    if twice.isEmpty():
-        return left
-    return left.join(twice, id_col, "left_anti").unionByName(left.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
+    def ship(wanted: DataFrame) -> DataFrame:
+        texts = plain.join(bounded(wanted.withColumnRenamed("id", "doc_id")), "doc_id").select("doc_id", "ps", "text")
+        bags = texts.mapInArrow(_bags, f"id {kind}, ps array<{kind}>, bag binary")
+        return bags if once else bags.dropDuplicates(["id", "bag"])
+
+    kind = "bigint"
+    once = signed.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+    labels = graph.link(keys, ship, least)
+    own = signed.join(nodes.select("digest", "node"), "digest", "left").select("doc_id", "mark", F.coalesce("node", "doc_id").alias("node"))
+    if labels is not None:
+        own = own.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("node", F.coalesce("label", "node"))
+    out = cut(own.select("doc_id", "mark", F.col("node").alias("class_id")))
+    release(signed, nodes, labels)
+    return out
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """(doc_id, class_id) per row of docs; class_id is the smallest id of the class."""
+    return marked_classes(docs, id_col, text, least).select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """docs with one row of each class: the one with the smallest id, of several rows with that id any
+    one, the same in each run. A null id counts as larger than all; rows without class are one class together
+    if their texts are equal. All columns stay. Only marks of rows that go are joined with the texts."""
+    found = marked_classes(docs, id_col, text, least)
+    # rows without class_id have no id and no twin with one: their mark stands for the class
+    known = found.select("mark", F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.struct("class_id", F.when(F.col("class_id").isNull(), F.col("mark")).alias("own")).alias("class"))
+    best = known.groupBy(F.col("class").alias("of")).agg(F.min(F.struct("unnamed", "doc_id", "mark")).alias("best"))
+    stays = known.join(best, F.col("class").eqNullSafe(F.col("of"))).select("mark", (F.col("mark") == F.col("best.mark")).alias("stays"))
+    verdict = cut(stays.groupBy("mark").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    gone = cut(verdict.where("not stays").select(F.col("mark").alias("__mark")))
+    twice = cut(verdict.where("stays").select(F.col("mark").alias("__mark")))
+    left = docs.withColumn("__mark", _mark(id_col, text)).join(bounded(gone), "__mark", "left_anti")
+    if not twice.isEmpty():
+        left = left.join(bounded(twice), "__mark", "left_anti").unionByName(left.join(bounded(twice), "__mark", "left_semi").dropDuplicates(["__mark"]))
+    release(found, verdict)
+    return left.select(*docs.columns)

@@ -1,6 +1,8 @@
 """Document operators against brute force, and their edge cases."""
 
 import hashlib
+import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from descant.llm import decontamination, deepshallow, graph, mixing, neardup, paragraphs, quality, sharding, substrings
 from descant.llm.common import bag_as_set, jaccard, normal_bytes, shingles, word_hashes
+from tests import oracle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,21 +169,74 @@ def linked_by_brute_force(sets):
     return {i: find(i) for i in range(len(sets))}
 
 
-def test_large_open_groups_are_compared_in_full(spark):
-    """Families of two blocks each: every difference to a pivot is shared by over SMALL members of several families."""
+@pytest.mark.parametrize("star", [8, 1024])
+def test_open_groups_are_compared_in_full(spark, monkeypatch, star):
+    """Families of two blocks each: every difference to a pivot is shared by members of several families."""
+    monkeypatch.setattr(graph, "STAR", star)
     rng = random.Random(11)
-    draw = lambda n: {rng.randrange(1 << 62) for _ in range(n)}
+    draw = lambda n: {rng.randrange(1 << 64) for _ in range(n)}
     parts = [draw(40 + k) for k in range(5)]
-    sets = [parts[i] | parts[j] | draw(2) for i in range(5) for j in range(i) for _ in range(67)]
+    sets = [parts[i] | parts[j] | draw(2) for i in range(5) for j in range(i) for _ in range(50)]
     rng.shuffle(sets)
-    bags = spark.createDataFrame([(i, np.sort(np.array([*s], np.uint64)).tobytes()) for i, s in enumerate(sets)], "id long, bag binary")
+    bags = spark.createDataFrame([(i, graph.pack(np.sort(np.array([*s], np.uint64)))) for i, s in enumerate(sets)], "id long, bag binary")
     keys = spark.createDataFrame([(i, 1) for i in range(len(sets))], "id long, key long")
-    labels = {r.id: r.label for r in graph.link(keys, lambda ids: bags.join(ids, "id", "left_semi"), 0.8).collect()}
+    labels = {r.id: r.label for r in graph.link(keys, lambda wanted: wanted.join(bags, "id"), 0.8).collect()}
     want = linked_by_brute_force(sets)
     assert {i: labels.get(i, i) for i in want} == want
     assert len(set(want.values())) == 10
 
 
+def test_a_hot_group_of_edited_copies_equals_brute_force(spark, monkeypatch):
+    """500 copies of one text in three families, compared both as one small star and as large ones."""
+    rng = random.Random(5)
+    base = words(rng, 100, 10**6)
+    rows = []
+    for v in range(3):
+        variant = list(base)
+        variant[30 * v : 30 * v + 22] = words(rng, 22, 10**6)
+        for _ in range(166):
+            w = list(variant)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(100)] = f"edit{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(w), None, None, 0))
+    rows += [(498, " ".join(base), None, None, 0), (499, " ".join(base), None, None, 0)]
+    want = classes_by_brute_force(rows)
+    for star in (1024, 64):
+        monkeypatch.setattr(graph, "STAR", star)
+        assert {r.doc_id: r.class_id for r in neardup.classes(frame(spark, rows)).collect()} == want
+    assert 1 < len(set(want.values())) < 200
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no driver tables")
+def test_near_duplicates_of_the_given_table_equal_brute_force(spark):
+    """Pairs that share a rare shingle are all that can be similar: the prefix principle, on one machine."""
+    docs = spark.read.parquet(f"{oracle.SF.replace('0.001', '0.01')}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").sort("doc_id").collect()]
+    sets = [set(b.tolist()) for b in bags(rows)]
+    count = Counter(x for s in sets for x in s)
+    index = defaultdict(list)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, s in enumerate(sets):
+        near = set()
+        for x in sorted(s, key=lambda x: (count[x], x))[: len(s) - -(-4 * len(s) // 5) + 1]:
+            near.update(index[x])
+            index[x].append(k)
+        for j in near:
+            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+                a, b = find(k), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {rows[k][0]: rows[find(k)][0] for k in range(len(rows))}
+    wrong = [i for i in want if want[i] != got[i]]
+    assert not wrong and len(set(want.values())) < len(rows)
+
+
 def test_keep_one_keeps_all_columns(spark, corpus):
     rows = [*corpus, corpus[7]]
     docs = frame(spark, rows)
@@ -188,6 +244,9 @@ def test_keep_one_keeps_all_columns(spark, corpus):
     assert got.columns == docs.columns
     want = {i for i, c in classes_by_brute_force(corpus).items() if i == c}
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    odd = [(None, corpus[7][1], None, None, 0), (None, None, None, None, 0), (None, None, None, None, 0), (7, "other words " * 20, None, None, 0)]
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in neardup.keep_one(frame(spark, [*rows, *odd])).collect())
+    assert got == sorted([(False, i) for i in want] + [(True, 0)])
     assert neardup.keep_one(frame(spark, [])).count() == 0
 
 
@@ -253,6 +312,65 @@ def test_quality_figures_equal_brute_force(spark, corpus):
         assert not (r.kept and r.base_failed)
 
 
+def share(counts):
+    total = sum(counts)
+    return [c * 1_000_000 // max(total, 1) for c in counts]
+
+
+def histograms(text):
+    """Parts per million of the character classes and of the common words of a text."""
+    t = text or ""
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\t\x0b\x0c\r ", "\n", ".,;:!?'\"()-", "#*$%&|<>"]
+    chars = [0] * 9
+    for c in t:
+        chars[8 if ord(c) > 127 else next((k for k, s in enumerate(kinds) if c in s), 7)] += 1
+    order = sorted(set(quality.COMMON_WORDS), key=lambda w: int(word_hashes([normal_bytes(w)])[0][0]))
+    words = Counter(normal_bytes(t).split())
+    own = [words[w.encode()] for w in order]
+    return share(chars), share([*own, sum(words.values()) - sum(own)])
+
+
+def divergence(p, q):
+    p, q = [x / max(sum(p), 1) for x in p], [x / max(sum(q), 1) for x in q]
+    part = lambda a: sum(x * math.log2(2 * x / (x + y)) for x, y in a if x > 0)
+    return math.sqrt(max((part(zip(p, q)) + part(zip(q, p))) / 2, 0))
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    common = quality.COMMON_WORDS
+    rows = []
+    for i in range(150):
+        kind = i % 15
+        if kind < 13:
+            t = " ".join(rng.choice(common) if rng.random() < 0.4 else f"w{'abcdefgh'[rng.randrange(8)] * rng.randrange(2, 7)}{rng.randrange(9)}" for _ in range(rng.randrange(40, 300))) + ".\nÄnd"
+        elif kind == 13:
+            t = " ".join(f"{rng.randrange(10**6)} # {rng.choice('<>|')}" for _ in range(rng.randrange(20, 90)))
+        else:
+            t = " ".join(rng.choice(["XX", "YY", "the"]) + str(rng.randrange(50)) for _ in range(rng.randrange(90, 130)))
+        rows.append((i, t, [None, "en", "rare"][0 if i % 3 == 0 else 1 if i % 40 else 2], None, 0))
+    rows += [(150, None, None, None, 0), (151, "", "en", None, 0), rows[3]]
+    base = {i: base_by_brute_force(t) for i, t, *_ in rows}
+    failed = lambda i: base[i][0] < 50 or 100 * base[i][4] > 50 * base[i][0]
+    hist = {i: histograms(t) for i, t, *_ in rows}
+    refs = {}
+    for lang in {r[2] for r in rows}:
+        good = [r[0] for r in rows if r[2] == lang and not failed(r[0])]
+        if len(good) >= quality.MIN_REFERENCE:
+            refs[lang] = [[sum(c) for c in zip(*(hist[i][k] for i in good))] for k in (0, 1)]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    kept = set()
+    for i, _, lang, *_ in rows:
+        want = [divergence(hist[i][k], refs[lang][k]) if lang in refs and base[i][0] >= least else None for k, least in ((0, 50), (1, 100))]
+        have = [got[i].char_distance, got[i].word_distance]
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(want, have)), i
+        ok = not failed(i) and all(d is None or d <= most for d, most in zip(want, (quality.MAX_CHAR_DISTANCE, quality.MAX_WORD_DISTANCE)))
+        assert got[i].kept == ok, i
+        kept |= {i} if ok else set()
+    assert "rare" not in refs and None in refs and 20 < len(kept) < 140
+    assert sorted(r.doc_id for r in quality.keep(frame(spark, rows)).collect()) == sorted(i for i, *_ in rows if i in kept)
+
+
 def test_quality_rejects_junk_and_keeps_prose(spark):
     rng = random.Random(1)
     prose = "the of and to in is that for it as with was on are by this be".split()
