@@ -29,8 +29,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    held = cut(decontamination.leaks(docs, tables(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.keep(docs, tables(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
