@@ -1,120 +1,363 @@
-"""The timing algorithms on tables: one row per song with its nested lists, processed in Arrow batches."""
+"""Alignment of time-stamped words to the lines of songs, on a table with one row per song: the aligned
+words, the heard words, the lines as shown and as aligned. Songs are small, so a song's lists stay in its
+row and nothing is shuffled until a repair splits a song into spans. Steps are column expressions; windows,
+chains and word pairs come from the kernels of `timing`, in Arrow batches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions import text as T
 from . import timing as M
 
-_WORD = pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])
-_LINE = pa.struct([("line_id", pa.int32()), ("text", pa.string()), ("words", pa.list_(_WORD)), ("start", pa.float64()), ("end", pa.float64()), ("source", pa.string())])
-_KINDS = {
-    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "lines": pa.list_(_LINE),
-    "map": pa.list_(pa.struct([("line_id", pa.int32()), ("cue", pa.int32())])), "window": pa.list_(pa.struct([("line_id", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.int32())])),
-    "chain": pa.list_(pa.struct([("line_id", pa.int32()), ("t0", pa.float64()), ("t1", pa.float64()), ("score", pa.float64())])),
-    "span": pa.list_(pa.struct([("lid_lo", pa.int32()), ("lid_hi", pa.int32()), ("t0", pa.float64()), ("t1", pa.float64())])),
-}
-_DDL = {
-    "lines": "array<struct<line_id:int,text:string,words:array<struct<word:string,start:double,end:double>>,start:double,end:double,source:string>>",
-    "map": "array<struct<line_id:int,cue:int>>", "window": "array<struct<line_id:int,start:int,end:int,score:int>>",
-    "chain": "array<struct<line_id:int,t0:double,t1:double,score:double>>", "span": "array<struct<lid_lo:int,lid_hi:int,t0:double,t1:double>>",
-}
-
-
-def songs(table: DataFrame, inputs: list[str], outputs: dict[str, str], run: Callable[..., dict], key: str = "song") -> DataFrame:
-    """key and the outputs (name to kind) of run(*inputs) for each row."""
-    schema = table.select(key).schema[key].dataType.simpleString()
-    ddl = ", ".join([f"`{key}` {schema}", *(f"`{n}` {_DDL.get(k, k)}" for n, k in outputs.items())])
+WORDS = "array<struct<word:string,start:double,end:double>>"
+LINES = f"array<struct<line_id:int,text:string,words:{WORDS},start:double,end:double,source:string>>"
+_TOKENS = "array<array<struct<norm:string,raw:string>>>"
+_WINDOWS = "array<struct<line_id:int,from:int,to:int,score:int,rescued:boolean>>"
+_CHAIN = "array<struct<line_id:int,source:string,t0:double,t1:double,score:double,from:int,to:int,pairs:array<int>>>"
+
+
+def songs(table: DataFrame, inputs: list[str], outputs: dict[str, str], run: Callable[..., dict]) -> DataFrame:
+    """table with the outputs (name to type) of run(*inputs) for each row as further columns."""
+    kinds = [to_arrow_type(DataType.fromDDL(k)) for k in outputs.values()]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = [run(*(r[c] for c in inputs)) for r in batch.select(inputs).to_pylist()]
-            cols = [pa.array([r[n] for r in rows], _KINDS[k]) for n, k in outputs.items()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[key, *outputs])
+            cols = [pa.array([r[n] for r in rows], k) for n, k in zip(outputs, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *outputs])
 
-    return table.select(key, *inputs).mapInArrow(batches, ddl)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+    return table.mapInArrow(batches, ", ".join([own, *(f"`{n}` {k}" for n, k in outputs.items())]))
 
 
-def fuzzy(table: DataFrame, ratio: float = M.EDIT_RATIO) -> DataFrame:
-    """All fuzzy windows of each line (lines) among heard words (heard, strings)."""
-    run = lambda lines, heard: {"windows": [{"line_id": k, "start": b, "end": e, "score": s} for k, x in enumerate(lines) for b, e, s in M.fuzzy_windows(x.split(), heard, ratio)]}
-    return songs(table, ["lines", "heard"], {"windows": "window"}, run)
+def _window_rows(found: list[list[tuple[int, int, int]]], rescued: bool) -> list[dict]:
+    return [{"line_id": k, "from": b, "to": e, "score": s, "rescued": rescued} for k, line in enumerate(found) for b, e, s in line]
 
 
-def rescue(table: DataFrame, ratio: float = M.EDIT_RATIO) -> DataFrame:
-    """Run windows of the lines that have no fuzzy window."""
+def windows(table: DataFrame, ratio: float = M.EDIT_RATIO, fallback: bool = True) -> DataFrame:
+    """table (lines: list of token lists, heard: tokens) with `windows`: all fuzzy windows of each line, and
+    run windows of the lines that have none."""
 
-    def run(lines: list[str], heard: list[str]) -> dict:
-        left = [(k, x.split()) for k, x in enumerate(lines) if x.split() and not M.fuzzy_windows(x.split(), heard, ratio)]
-        return {"windows": [{"line_id": k, "start": b, "end": e, "score": s} for k, x in left for b, e, s in M.run_windows(x, heard)]}
+    def run(lines: list[list[str]], heard: list[str]) -> dict:
+        main = [M.fuzzy_windows(x, heard, ratio) for x in lines]
+        other = [M.run_windows(x, heard) if fallback and not m else [] for x, m in zip(lines, main, strict=True)]
+        return {"windows": _window_rows(main, False) + _window_rows(other, True)}
 
-    return songs(table, ["lines", "heard"], {"windows": "window"}, run)
+    return songs(table, ["lines", "heard"], {"windows": _WINDOWS}, run)
 
 
 def schedule(table: DataFrame) -> DataFrame:
-    """The best chain of candidates (line_id, t0, t1, score) of each song."""
-    return songs(table, ["candidates"], {"chain": "chain"}, lambda c: {"chain": M.best_chain(c)})
+    """table with `chain`: the best chain of the candidates (line_id, t0, t1, score) of each song."""
 
+    def run(c: list[dict]) -> dict:
+        cols = [np.array([x[k] for x in c], t) for k, t in (("line_id", np.int64), ("t0", float), ("t1", float), ("score", float))]
+        return {"chain": [c[k] for k in M.best_chain(*cols)]}
 
-STATS = {k: "int" for k in ("n_lines", "n_align_words", "n_transcribe_words", "n_main_candidates", "n_anchor_candidates", "n_align_candidates", "n_selected", "align_won", "transcribe_won")} | {"interpolated": "array<int>", "score": "double"}
+    return songs(table, ["candidates"], {"chain": "array<struct<line_id:int,t0:double,t1:double,score:double>>"}, run)
 
 
-def joint(table: DataFrame, **knobs: float) -> DataFrame:
-    """Placement of the lines (text, align_text lists) of each song, with its counts."""
+def mapped(table: DataFrame) -> DataFrame:
+    """table with `pairs`: lines of `sheet` paired with lines of `cue_lines`, both normalised (plain_line)."""
+    return songs(table, ["sheet", "cue_lines"], {"pairs": "array<struct<line_id:int,cue:int>>"}, lambda a, b: {"pairs": [{"line_id": i, "cue": j} for i, j in M.map_lines(a, b)]})
 
-    def run(aligned: list, heard: list, lines: list, align_lines: list) -> dict:
-        objects, stats = M.joint(aligned, heard, lines, align_lines, **knobs)
-        return {"placed": objects} | stats
 
-    return songs(table, ["aligned", "heard", "lines", "align_lines"], {"placed": "lines"} | STATS, run)
+def cue_spans(pairs: Column, cues: Column) -> Column:
+    """(line_id, start, end) of the lines that map to a cue (start, end); null if none does."""
+    spans = F.transform(pairs, lambda p: F.struct(p["line_id"].alias("line_id"), F.get(cues, p["cue"])["start"].alias("start"), F.get(cues, p["cue"])["end"].alias("end")))
+    return F.when(F.size(pairs) > 0, spans)
 
 
-def repaired(table: DataFrame) -> DataFrame:
-    """joint, then the windowed repair. table has `duration` too."""
+# placement
 
-    def run(aligned: list, heard: list, lines: list, align_lines: list, duration: float) -> dict:
-        objects, _ = M.joint(aligned, heard, lines, align_lines)
-        out, stats = M.repair(objects, aligned, heard, lines, align_lines, duration)
-        return {"placed": out} | stats
 
-    return songs(table, ["aligned", "heard", "lines", "align_lines", "duration"], {"placed": "lines", "n_anchors": "int", "n_suspects": "int", "n_spans": "int", "n_replayed": "int"}, run)
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))
 
 
-def with_prior(table: DataFrame, source: str = "srt") -> DataFrame:
-    """joint, then the timing prior from cues (line_id, start, end)."""
+def _of_line(objects: Column, k: Column) -> Column:
+    return _first(F.filter(objects, lambda o: o["line_id"] == k))
 
-    def run(aligned: list, heard: list, lines: list, align_lines: list, cues: list) -> dict:
-        objects, _ = M.joint(aligned, heard, lines, align_lines)
-        out, stats = M.prior(objects, heard, lines, align_lines, {c["line_id"]: (c["start"], c["end"]) for c in cues or []}, source)
-        return {"placed": out} | stats
 
-    return songs(table, ["aligned", "heard", "lines", "align_lines", "cues"], {"placed": "lines", "n_fit": "int", "bailed": "string", "offset": "double", "spread": "double", "snapped": "array<int>", "filled": "array<int>"}, run)
+def _before(heard: Column, at: Column) -> Column:
+    """How many words start before a time: the words are in order."""
+    return F.size(F.filter(heard, lambda w: w["start"] < at))
 
 
-def mapped(table: DataFrame) -> DataFrame:
-    """Lines of a sheet paired with cue lines, both normalised (plain_line)."""
-    return songs(table, ["sheet", "cue_lines"], {"pairs": "map"}, lambda a, b: {"pairs": [{"line_id": i, "cue": j} for i, j in sorted(M.map_lines(a, b).items())]})
+def ranges(sizes: Column, n: Column) -> Column:
+    """Per line its slice (from, to) of n aligned words. A line without tokens, or one that does not fit into
+    what is left, has none and takes none, so a shorter one may follow."""
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
 
+    def step(a: Column, size: Column) -> Column:
+        upto = (a["at"] + size).cast("int")
+        fits = (size > 0) & (upto <= n)
+        own = F.struct(F.when(fits, a["at"]).otherwise(none).alias("from"), F.when(fits, upto).otherwise(none).alias("to"))
+        return F.struct(F.when(fits, upto).otherwise(a["at"]).alias("at"), F.array_append(a["out"], own).alias("out"))
 
-# native pieces
+    return F.aggregate(sizes, start, step)["out"]
 
 
-def token_ranges(lines: DataFrame, n_words: DataFrame) -> DataFrame:
-    """(song, line_id, from, to): slices of the aligned words by a fold; lines (song, sizes), n_words (song, n)."""
-    joined = lines.join(n_words, "song")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
-    none = F.struct(F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"))
+def heard_in(k: Column, t0: Column, t1: Column) -> tuple[Column, Column, Column]:
+    """Of the heard words that start in the padded range: best score of line k's fuzzy windows among them,
+    whether any token of the line is among them, and how many there are."""
+    lo, hi = _before(F.col("heard"), t0 - F.col("margin")), _before(F.col("heard"), t1 + F.col("margin"))
+    best = F.array_max(F.transform(F.filter("windows", lambda w: (w["line_id"] == k) & ~w["rescued"] & (w["from"] >= lo) & (w["to"] <= hi)), lambda w: w["score"]))
+    overlap = F.arrays_overlap(F.transform(F.get("tokens", k), lambda t: t["norm"]), F.slice("names", lo + 1, hi - lo))
+    return F.coalesce(best, F.lit(0)), F.coalesce(overlap, F.lit(False)), hi - lo
+
+
+def prepared(table: DataFrame, ratio: float, margin: float, fallback: bool) -> DataFrame:
+    """table with `tokens` of the lines, `names` of the heard words, `windows` and `slices`."""
+
+    def run(align_lines: list[str], heard: list[dict]) -> dict:
+        toks, names = [M.tokens_of(x or "") for x in align_lines], [M.token(w["word"] or "") for w in heard]
+        norms = [[t for t, _ in x] for x in toks]
+        main = [M.fuzzy_windows(x, names, ratio) for x in norms]
+        other = [M.run_windows(x, names) if fallback and not m else [] for x, m in zip(norms, main, strict=True)]
+        return {"tokens": [[{"norm": t, "raw": w} for t, w in x] for x in toks], "names": names, "windows": _window_rows(main, False) + _window_rows(other, True)}
+
+    found = songs(table, ["align_lines", "heard"], {"tokens": _TOKENS, "names": "array<string>", "windows": _WINDOWS}, run)
+    slices = F.transform(ranges(F.transform("tokens", lambda t: F.size(t)), F.size("aligned")), lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), F.get("aligned", r["from"])["start"].alias("t0"), F.greatest(F.get("aligned", r["from"])["start"], F.get("aligned", r["to"] - 1)["end"]).alias("t1")))
+    return found.withColumns({"margin": F.lit(margin), "slices": slices})
+
+
+def _candidate(k: Column, source: str, t0: Column, t1: Column, score: Column, begin: Column, end: Column) -> Column:
+    return F.struct(k.cast("int").alias("line_id"), F.lit(source).alias("source"), t0.alias("t0"), t1.alias("t1"), score.cast("double").alias("score"), begin.alias("from"), end.alias("to"))
+
+
+def candidates(alpha: float) -> Column:
+    """Aligned ranges first, then windows by line, fuzzy ones before rescued ones."""
+
+    def aligned(s: Column, k: Column) -> Column:
+        short = s["t1"] - s["t0"] < M.MIN_WIDTH
+        pad = (M.MIN_WIDTH - (s["t1"] - s["t0"])) / 2.0
+        t0, t1 = F.when(short, F.greatest(s["t0"] - pad, F.lit(0.0))).otherwise(s["t0"]), F.when(short, s["t1"] + pad).otherwise(s["t1"])
+        match, overlap, count = heard_in(k, t0, t1)
+        return F.when(s["from"].isNotNull(), _candidate(k, "align", t0, t1, match + alpha * alpha_weight(overlap, count), s["from"], s["to"]))
+
+    def heard(w: Column) -> Column:
+        t0, t1, s = F.get("heard", w["from"])["start"], F.get("heard", w["to"] - 1)["end"], F.get("slices", w["line_id"])
+        return _candidate(w["line_id"], "transcribe", t0, t1, w["score"] + alpha * agreement(t0, t1, s["t0"], s["t1"]), w["from"], w["to"])
+
+    return F.concat(F.array_compact(F.transform("slices", aligned)), F.transform("windows", heard))
+
+
+def _aligned_words(c: Column) -> Column:
+    return F.transform(F.get("tokens", c["line_id"]), lambda t, i: F.struct(t["raw"].alias("word"), F.get("aligned", c["from"] + i)["start"].alias("start"), F.get("aligned", c["from"] + i)["end"].alias("end")))
+
+
+def _heard_words(c: Column) -> Column:
+    """The line's words with the times of their partners; runs without one share the gap evenly."""
+    own = lambda at: F.get("heard", c["from"] + F.get(c["pairs"], at))
+
+    def word(t: Column, i: Column) -> Column:
+        prev = F.array_max(F.transform(c["pairs"], lambda p, j: F.when(p.isNotNull() & (j < i), j)))
+        following = F.array_min(F.transform(c["pairs"], lambda p, j: F.when(p.isNotNull() & (j > i), j)))
+        begin = F.coalesce(own(prev)["end"], F.get("heard", c["from"])["start"])
+        end = F.greatest(begin, F.coalesce(own(following)["start"], F.get("heard", c["to"] - 1)["end"]))
+        before = F.coalesce(prev, F.lit(-1))
+        slot = (end - begin) / (F.coalesce(following, F.size(c["pairs"])) - before - 1)
+        at = i - before - 1
+        alone = F.get(c["pairs"], i).isNull()
+        return F.struct(t["raw"].alias("word"), F.when(alone, begin + at * slot).otherwise(own(i)["start"]).alias("start"), F.when(alone, begin + (at + 1) * slot).otherwise(own(i)["end"]).alias("end"))
+
+    return F.transform(F.get("tokens", c["line_id"]), word)
+
 
-    def step(a: Column, n: Column) -> Column:
-        fits = (n > 0) & (a["at"] + n <= F.col("n"))
-        own = F.when(fits, F.struct(a["at"].alias("from"), (a["at"] + n).alias("to"))).otherwise(none)
-        return F.struct(F.when(fits, a["at"] + n).otherwise(a["at"]).alias("at"), F.concat(a["out"], F.array(own)).alias("out"))
+def _line(k: Column, text: Column, words: Column, start: Column, end: Column, source: Column) -> Column:
+    return F.struct(k.cast("int").alias("line_id"), text.alias("text"), words.cast(WORDS).alias("words"), start.alias("start"), end.alias("end"), source.alias("source"))
 
-    folded = joined.withColumn("ranges", F.aggregate("sizes", start, step)["out"])
+
+def _numbers(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def interpolated(placed: Column, n_lines: Column, song_end: Column) -> Column:
+    """One object per line: lines without a placement get an empty one from the end of the nearest placed
+    line before to the start of the nearest one after."""
+
+    def line(k: Column) -> Column:
+        last = F.coalesce(F.try_element_at(F.filter(placed, lambda o: (o["line_id"] < k) & o["end"].isNotNull()), F.lit(-1))["end"], F.lit(0.0))
+        following = F.coalesce(_first(F.filter(placed, lambda o: (o["line_id"] > k) & o["start"].isNotNull()))["start"], song_end)
+        return F.coalesce(_of_line(placed, k), _line(k, F.lit(""), F.array(), last, F.greatest(last, following), F.lit("interp")))
+
+    return F.transform(_numbers(n_lines), line)
+
+
+def _song_end() -> Column:
+    return F.coalesce(F.try_element_at("aligned", F.lit(-1))["end"], F.lit(0.0))
+
+
+STATS = {k: "int" for k in ("n_lines", "n_align_words", "n_transcribe_words", "n_main_candidates", "n_anchor_candidates", "n_align_candidates", "n_selected", "align_won", "transcribe_won")} | {"interpolated": "array<int>", "score": "double"}
+_WORK = ("tokens", "names", "windows", "margin", "slices", "candidates", "chain")
+
+
+def placement(table: DataFrame, alpha: float = M.ALPHA, margin: float = M.MARGIN, ratio: float = M.EDIT_RATIO, fallback: bool = True) -> DataFrame:
+    """table (aligned, heard, lines, align_lines) with `placed` (LINES), STATS and what they come from: each
+    line stands where its aligned words or a window of heard words say, whichever chain scores best."""
+
+    def run(found: list[dict], tokens: list, names: list[str]) -> dict:
+        cols = [np.array([x[k] for x in found], t) for k, t in (("line_id", np.int64), ("t0", float), ("t1", float), ("score", float))]
+        out = []
+        for k in M.best_chain(*cols):
+            c = dict(found[k])
+            if c["source"] == "transcribe":
+                c["pairs"] = M.lockstep([t["norm"] for t in tokens[c["line_id"]]], names[c["from"] : c["to"]], M.LOOKAHEAD, M.LOOKAHEAD, confirm=1, budget=1)
+            out.append(c)
+        return {"chain": out}
+
+    ready = prepared(table, ratio, margin, fallback).withColumn("candidates", candidates(alpha))
+    chosen = songs(ready, ["candidates", "tokens", "names"], {"chain": _CHAIN}, run)
+
+    def line(c: Column) -> Column:
+        words = F.when(c["source"] == "align", _aligned_words(c)).otherwise(_heard_words(c))
+        return _line(c["line_id"], F.get("lines", c["line_id"]), words, _first(words)["start"], F.try_element_at(words, F.lit(-1))["end"], c["source"])
+
+    won = chosen.withColumn("placed", F.transform("chain", line)).withColumn("placed", interpolated(F.col("placed"), F.size("lines"), _song_end()))
+    count = lambda name, keep: F.size(F.filter(name, keep))
+    return won.withColumns({
+        "n_lines": F.size("lines"), "n_align_words": F.size("aligned"), "n_transcribe_words": F.size("heard"), "n_main_candidates": count("windows", lambda w: ~w["rescued"]), "n_anchor_candidates": count("windows", lambda w: w["rescued"]),
+        "n_align_candidates": count("candidates", lambda c: c["source"] == "align"), "n_selected": F.size("chain"), "align_won": count("placed", lambda o: o["source"] == "align"), "transcribe_won": count("placed", lambda o: o["source"] == "transcribe"),
+        "interpolated": F.transform(F.filter("placed", lambda o: o["source"] == "interp"), lambda o: o["line_id"]), "score": F.aggregate("chain", F.lit(0.0), lambda a, c: a + c["score"]),
+    })
+
+
+def joint(table: DataFrame, **knobs: float) -> DataFrame:
+    """Placement of the lines of each song, with its counts."""
+    return placement(table, **knobs).drop(*_WORK)
+
+
+# repair and prior
+
+
+def _anchors_and_suspects(placed: DataFrame) -> DataFrame:
+    """placement with `anchors` (line_id, start, end) and `suspects` (line ids). Lines without tokens are
+    neither; a line that nothing placed is suspect; the rest is judged by how much of it was heard there."""
+
+    def judged(o: Column) -> Column:
+        k = o["line_id"]
+        norms = lambda t: F.transform(t, lambda x: x["norm"])
+        n = F.size(F.get("tokens", k))
+        heard = heard_in(k, o["start"], o["end"])[0] / n
+        unplaced = ~o["source"].isin("align", "transcribe") | o["start"].isNull()
+        alone = F.size(F.filter("tokens", lambda t: norms(t) == norms(F.get("tokens", k)))) == 1
+        return F.struct(
+            k.alias("line_id"), o["start"].alias("start"), o["end"].alias("end"), ((n > 0) & (unplaced | (heard < M.SUSPECT_RATIO))).alias("suspect"),
+            (~unplaced & (n >= M.ANCHOR_TOKENS) & alone & (heard >= M.ANCHOR_RATIO)).alias("anchor"),
+        )
+
+    known = placed.withColumn("judged", F.transform("placed", judged))
+    anchors = F.transform(F.filter("judged", lambda j: j["anchor"]), lambda j: F.struct(j["line_id"].alias("line_id"), j["start"].alias("start"), j["end"].alias("end")))
+    return known.withColumns({"anchors": anchors, "suspects": F.transform(F.filter("judged", lambda j: j["suspect"]), lambda j: j["line_id"])}).drop("judged")
+
+
+def spans(anchors: Column, n_lines: Column, duration: Column, pad: float = M.SLICE_PAD) -> Column:
+    """Spans (after, before, t0, t1) of the lines between neighbouring anchors; the song's ends are edges
+    before the first and after the last line. Spans without a line inside are left out."""
+    edge = lambda k, at: F.array(F.struct(k.cast("int").alias("line_id"), at.alias("start"), at.alias("end")))
+    edges = F.concat(edge(F.lit(-1), F.lit(0.0)), anchors, edge(n_lines, duration))
+    pairs = F.transform(_numbers(F.size(anchors) + 1), lambda i: F.struct(F.get(edges, i).alias("a"), F.get(edges, i + 1).alias("b")))
+    inner = F.filter(pairs, lambda p: p["b"]["line_id"] - p["a"]["line_id"] > 1)
+    return F.transform(inner, lambda p: F.struct(p["a"]["line_id"].alias("after"), p["b"]["line_id"].alias("before"), F.greatest(p["a"]["start"] - pad, F.lit(0.0)).alias("t0"), F.least(p["b"]["end"] + pad, duration).alias("t1")))
+
+
+def _sung(objects: Column) -> Column:
+    return F.filter(objects, lambda o: (F.size(o["words"]) > 0) & o["start"].isNotNull())
+
+
+def merged(first: Column, results: Column, n_lines: Column, song_end: Column) -> Column:
+    """Per line the first placement or that of the span around it, results (after, before, placed). The first
+    one stays outside of spans; where it is missing and the new one was not heard; and where the new one reaches
+    more than the tolerance into an edge anchor. Else the new one holds, also if it left the line out."""
+    old = _sung(first)
+
+    def line(k: Column) -> Column:
+        own, span = _of_line(old, k), _first(F.filter(results, lambda r: (r["after"] < k) & (k < r["before"])))
+        new, said = _of_line(_sung(span["placed"]), k), _of_line(span["placed"], k)["source"]
+        low, high = _of_line(old, span["after"])["end"] - M.EDGE_TOLERANCE, _of_line(old, span["before"])["start"] + M.EDGE_TOLERANCE
+        deep = F.coalesce(new["start"] < low, F.lit(False)) | F.coalesce(new["end"] > high, F.lit(False))
+        stays = span.isNull() | (own.isNull() & ~said.eqNullSafe(F.lit("transcribe"))) | deep
+        return F.when(stays, own).otherwise(new)
+
+    return interpolated(F.array_compact(F.transform(_numbers(n_lines), line)), n_lines, song_end)
+
+
+def repaired(table: DataFrame, key: str = "song") -> DataFrame:
+    """joint, then each span that holds a suspect line placed anew as a song of its own, with the words
+    around it. table has `duration` too. Spans of a song meet again by its key."""
+    base = _anchors_and_suspects(placement(table))
+    base = base.withColumn("spans", spans(F.col("anchors"), F.size("lines"), F.col("duration")))
+    chosen = F.filter("spans", lambda s: F.exists("suspects", lambda k: (s["after"] < k) & (k < s["before"])))
+    counts = {"n_anchors": F.size("anchors"), "n_suspects": F.size("suspects"), "n_spans": F.size("spans"), "n_replayed": F.size("chosen")}
+    whole = base.withColumn("chosen", chosen).withColumns(counts).select(key, "aligned", "heard", "lines", "align_lines", F.col("placed").alias("first"), *counts, F.explode_outer("chosen").alias("span"), _song_end().alias("song_end"), F.size("lines").alias("n"))
+    lo = F.greatest(F.col("span.after"), F.lit(0))
+    hi = F.least(F.col("span.before"), F.col("n") - 1)
+    none = F.array()
+    within = lambda words, pad: F.filter(words, lambda w: (w["start"] >= F.col("span.t0") - pad) & (w["start"] <= F.col("span.t1") + pad))
+    part = lambda name: F.coalesce(F.slice(name, lo + 1, hi - lo + 1), none.cast("array<string>"))
+    small = whole.select(
+        key, "first", "song_end", "n", *counts, "span", lo.alias("lo"), F.coalesce(within("aligned", 0.0), none.cast(WORDS)).alias("aligned"), F.coalesce(within("heard", M.WORD_PAD), none.cast(WORDS)).alias("heard"), part("lines").alias("lines"), part("align_lines").alias("align_lines")
+    )
+    again = placement(small)
+    moved = F.transform("placed", lambda o: o.withField("line_id", (o["line_id"] + F.col("lo")).cast("int")))
+    result = F.when(F.col("span").isNotNull() & (F.size("aligned") > 0), F.struct(F.col("span.after").alias("after"), F.col("span.before").alias("before"), moved.alias("placed")))
+    one = lambda c: F.first(c).alias(c)
+    back = again.select(key, "first", "song_end", "n", *counts, result.alias("result")).groupBy(key).agg(one("first"), one("song_end"), one("n"), *map(one, counts), F.collect_list("result").alias("results"))
+    return back.select(key, merged(F.col("first"), F.col("results"), F.col("n"), F.col("song_end")).alias("placed"), *counts)
+
+
+def middle(values: Column) -> Column:
+    """The median of a list; null for an empty one."""
+    s, n = F.array_sort(values), F.size(values)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
+def with_prior(table: DataFrame, source: str = "srt") -> DataFrame:
+    """joint, then gross errors corrected and gaps filled from cue times (cues: line_id, start, end), if the
+    anchors agree on one offset to them: median and median absolute deviation of anchor less cue start."""
+    base = _anchors_and_suspects(placement(table)).withColumn("cues", F.coalesce("cues", F.array().cast("array<struct<line_id:int,start:double,end:double>>")))
+    off = F.array_compact(F.transform("anchors", lambda a: a["start"] - _of_line(F.col("cues"), a["line_id"])["start"]))
+    few = F.col("n_fit") < M.MIN_ANCHORS
+    fitted = base.withColumn("off", off).withColumn("n_fit", F.size("off")).withColumn("offset", F.when(~few, middle(F.col("off"))))
+    fitted = fitted.withColumn("spread", F.when(~few, middle(F.transform("off", lambda x: F.abs(x - F.col("offset"))))))
+    fitted = fitted.withColumn("bailed", F.when(few, "few_anchors").when(F.col("spread") > M.MAX_SPREAD, "wide_spread"))
+
+    def moved(o: Column) -> Column:
+        """(line, what happened to it)"""
+        cue, toks = _of_line(F.col("cues"), o["line_id"]), F.get("tokens", o["line_id"])
+        target, raw_end = F.greatest(cue["start"] + F.col("offset"), F.lit(0.0)), cue["end"] + F.col("offset")
+        sung = (F.size(o["words"]) > 0) & o["start"].isNotNull()
+        by = target - o["start"]
+        later = lambda x: F.struct(x["word"].alias("word"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"))
+        snapped = _line(o["line_id"], o["text"], F.transform(o["words"], later), o["start"] + by, o["end"] + by, F.lit(source))
+        end = F.when(raw_end > target, raw_end).otherwise(target + M.MIN_FILL)
+        step = (end - target) / F.size(toks)
+        even = F.transform(toks, lambda t, i: F.struct(t["raw"].alias("word"), (target + i * step).alias("start"), (target + (i + 1) * step).alias("end")))
+        filled = _line(o["line_id"], F.get("lines", o["line_id"]), even, target, end, F.lit(source))
+        use = F.col("bailed").isNull() & cue.isNotNull()
+        what = F.when(use & sung & (F.abs(by) > M.SNAP), "snapped").when(use & ~sung & (F.size(toks) > 0), "filled")
+        return F.struct(F.when(what == "snapped", snapped).when(what == "filled", filled).otherwise(o).alias("line"), what.alias("what"))
+
+    done = fitted.withColumn("moved", F.transform("placed", moved))
+    ids = lambda what: F.transform(F.filter("moved", lambda m: m["what"] == what), lambda m: m["line"]["line_id"])
+    return done.withColumns({"placed": F.transform("moved", lambda m: m["line"]), "snapped": ids("snapped"), "filled": ids("filled")}).drop("moved", "off", "anchors", "suspects", *_WORK, *STATS)
+
+
+# native pieces
+
+
+def token_ranges(lines: DataFrame, n_words: DataFrame) -> DataFrame:
+    """(song, line_id, from, to): slices of the aligned words; lines (song, sizes), n_words (song, n)."""
+    folded = lines.join(n_words, "song").withColumn("ranges", ranges(F.col("sizes"), F.col("n")))
     return folded.select("song", F.posexplode("ranges").alias("line_id", "r")).select("song", "line_id", "r.from", "r.to")
 
 

@@ -9,9 +9,9 @@ from .base import query, table
 
 
 def songs(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per conversation: lines of up to eight words, words aligned 0.6 s apart, and heard words
-    with gaps: every seventh is missing, and from the fourth line on they come 4 s later than aligned."""
-    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("song"), "turn", F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 8), " ").alias("line"))
+    """One row per conversation: its turns as lines, words aligned 0.6 s apart, and heard words with gaps:
+    every seventh is missing, and from the fourth line on they come 4 s later than aligned."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("song"), "turn", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("line"))
     t = turns.groupBy("song").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")).select("song", F.col("ls.line").alias("lines"))
     t = t.withColumn("flat", F.flatten(F.transform("lines", lambda line, i: F.transform(F.filter(F.split(line, " "), lambda w: w.rlike(r"[\p{L}\p{N}_]")), lambda w: F.struct(w.alias("word"), i.alias("line"))))))
     timed = lambda extra: F.transform("flat", lambda x, i: F.struct(x["word"].alias("word"), (i * 0.6 + extra(x)).alias("start"), (i * 0.6 + 0.5 + extra(x)).alias("end"), i.alias("i")))
@@ -21,21 +21,6 @@ def songs(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("song", "lines", F.col("lines").alias("align_lines"), aligned.alias("aligned"), heard.alias("heard"), cues.alias("cues"), (F.size("flat") * 0.6 + 5.0).alias("duration"))
 
 
-def _norms(spark: SparkSession, sf: str) -> DataFrame:
-    low = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_ ]", "")
-    return songs(spark, sf).select("song", F.transform("lines", low).alias("lines"), F.transform("heard", lambda w: low(w["word"])).alias("heard"))
-
-
-@query()
-def fuzzy_window(spark: SparkSession, sf: str) -> DataFrame:
-    return S.fuzzy(_norms(spark, sf)).select("song", F.inline("windows"))
-
-
-@query()
-def anchor_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    return S.rescue(_norms(spark, sf), ratio=0.1).select("song", F.inline("windows"))
-
-
 @query()
 def joint(spark: SparkSession, sf: str) -> DataFrame:
     return S.joint(songs(spark, sf)).select("song", *S.STATS, F.col("placed.source").alias("sources"))
@@ -53,29 +38,18 @@ def timing_prior(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def global_align(spark: SparkSession, sf: str) -> DataFrame:
-    n = _norms(spark, sf).select("song", F.col("lines").alias("sheet"), F.filter(F.transform("lines", lambda x, i: F.when(i % 4 != 3, F.regexp_replace(x, "e$", ""))), lambda x: x.isNotNull()).alias("cue_lines"))
+    low = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_ ]", "")
+    n = songs(spark, sf).select("song", "cues", F.transform("lines", low).alias("sheet"))
+    n = n.withColumn("cue_lines", F.filter(F.transform("sheet", lambda x, i: F.when(i % 4 != 3, F.regexp_replace(x, "e$", ""))), lambda x: x.isNotNull()))
     return S.mapped(n).select("song", F.inline("pairs"))
 
 
-@query()
-def interval_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("user_id").alias("song"), F.struct((F.col("event_id") % 12).cast("int").alias("line_id"), (F.col("event_id") % 97).cast("double").alias("t0"), (F.col("event_id") % 97 + F.abs("value") % 9).cast("double").alias("t1"), F.round(F.abs("value")).alias("score")).alias("c"))
-    c = e.groupBy("song").agg(F.array_sort(F.collect_list("c")).alias("candidates"))
-    return S.schedule(c).select("song", F.inline("chain"))
-
-
 @query()
 def render_script(spark: SparkSession, sf: str) -> DataFrame:
     placed = S.joint(songs(spark, sf)).select("song", F.inline("placed"))
     return R.karaoke_script(placed, "song")
 
 
-@query()
-def render_captions(spark: SparkSession, sf: str) -> DataFrame:
-    placed = S.joint(songs(spark, sf)).select("song", F.inline("placed"))
-    return R.captions(placed, "song")
-
-
 @query()
 def bundle_summary(spark: SparkSession, sf: str) -> DataFrame:
     placed = S.joint(songs(spark, sf)).select("song", "placed")
