@@ -26,9 +26,8 @@ PREFIX_HEX = 8  # 4 bytes
 
 
 def host_of(url: Column) -> Column:
-    rest = F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", "\x00"), "\x00", -1)
-    host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
-    return F.when(url.contains("://"), F.translate(host, string.ascii_uppercase, string.ascii_lowercase)).otherwise("")
+    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)  # empty without a match
+    return F.translate(host, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def path_of(url: Column) -> Column:
