@@ -61,24 +61,28 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(*written: DataFrame | None) -> None:
     """Delete tables of `cut`. Only for tables whose readers are written themselves."""
     for df in written:
         path = getattr(df, "_descant_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
 
 
-#: Rows of a few numbers each that a join may broadcast: some tens of MB in every executor.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that a join may broadcast to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
-def bounded(written: DataFrame) -> DataFrame:
-    """A table of `cut` for a join with texts: broadcast if it is counted to have at most BROADCAST_ROWS
-    rows, so that the texts stay where they are; else a sorted join moves every text once."""
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge")
+def bounded(written: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """A table of `cut` for a join with texts: broadcast if its rows, counted, of about `row_bytes` each
+    take at most BROADCAST_BYTES, so that the texts stay where they are; else a sorted join moves every
+    text once."""
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written.hint("merge")
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

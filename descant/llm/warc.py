@@ -3,7 +3,10 @@
 Writing: a page's payload becomes a `response` record, an HTTP message in chunked transfer framing. A
 record block over SEGMENT bytes is cut: the response is segment 1, `continuation` records that name it
 as their origin follow, the last one with the total length. Of equal payloads from MIN_DEDUP bytes on,
-the page with the smallest id has the response; the others get `revisit` records without a body. Spark's
+the page with the smallest id has the response; the others get `revisit` records without a body. A record
+is named after its page, its payload's digest and a number of its row, so that rows with equal ids, or
+none, have records of their own; a revisit names page and digest of what it refers to. Payloads stay where
+they are: only ids and digests of copies are joined with them, broadcast while their size allows it. Spark's
 own text writer makes the files (the record end is its line separator), so they go through the commit
 protocol to any store, gzipped, with at most FILE_RECORDS records of at most SEGMENT bytes each.
 
@@ -13,8 +16,8 @@ place; segments alone are grouped by origin, ordered by segment number and check
 compared. A record that fails is returned with `problem` set.
 
 Edge cases: a null payload is the empty one; a null id sorts after all others and is written as an
-empty name; repeated rows with the same id and payload are written once each with the same type;
-an empty table gives an archive without records; other columns are ignored.
+empty name; every row gives a record, repeated ones too: rows with the smallest id of a payload are all
+responses; an empty table gives an archive without records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir
+from .common import bounded, cut, delete, release, shared_dir
 
 SEGMENT, CHUNK, MIN_DEDUP, FILE_RECORDS = 16_384, 4_096, 100, 2_048
 END = b"\r\n\r\n"
@@ -34,7 +38,7 @@ RECORDS = "record_type string, record_id string, page string, uri string, refers
 
 
 def _record(kind: str, name: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
-    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), *headers, ("Content-Length", str(len(block)))]
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), *headers, ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode("utf-8", "surrogatepass") + b"\r\n" + block
 
 
@@ -58,13 +62,22 @@ def unchunked(body: bytes) -> bytes:
         at += n + 2
 
 
-def page_records(name: str, uri: str, payload: bytes, digest: str, first: str | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page. first: the name of the page that has the equal payload, for a revisit."""
+def name_of(page: str, digest: str, row: int | None = None) -> str:
+    return f"urn:page:{quote(page, safe='')}:{digest}" + (f":{row}" if row is not None else "")
+
+
+def page_of(name: str) -> str:
+    return unquote(name.split(":")[2])
+
+
+def page_records(page: str, row: int, uri: str, payload: bytes, digest: str, first: str | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page. first: the page that has the equal payload, for a revisit."""
+    name = name_of(page, digest, row)
     uri = "".join(c for c in uri if c not in "\r\n")
     common = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if first is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield _record("revisit", name, [*common, ("WARC-Refers-To", f"<urn:page:{first}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], head)
+        yield _record("revisit", name, [*common, ("WARC-Refers-To", f"<{name_of(first, digest)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], head)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -74,30 +87,31 @@ def page_records(name: str, uri: str, payload: bytes, digest: str, first: str |
     yield _record("response", name, [*common, ("WARC-Segment-Number", "1")], parts[0])
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        yield _record("continuation", f"{name}:{k}", [("WARC-Segment-Number", str(k)), ("WARC-Segment-Origin-ID", f"<urn:page:{name}>"), *total], part)
+        yield _record("continuation", f"{name}:{k}", [("WARC-Segment-Number", str(k)), ("WARC-Segment-Origin-ID", f"<{name}>"), *total], part)
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT) -> None:
     """Write the archive of all rows as gzipped files below path."""
     plain = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("uri"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     plain = plain.withColumn("digest", F.sha2("payload", 256))
-    # light rows find the copies; payloads move only where a page has to learn what it refers to
     large = plain.where(F.octet_length("payload") >= MIN_DEDUP).select("id", "digest")
     first = large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = large.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("rid"), F.col("digest").alias("rdigest")).agg(F.min("first").alias("first"))
-    known = plain.join(later, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
-    rows = known.select(F.col("id").cast("string").alias("id"), "uri", "payload", "digest", F.col("first").cast("string").alias("first"), F.col("rid").isNotNull().alias("again"))
+    later = cut(later)
+    known = plain.join(bounded(later, 128), F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+    rows = known.select(F.col("id").cast("string").alias("id"), "uri", "payload", "digest", F.col("first").cast("string").alias("first"), F.col("rdigest").isNotNull().alias("again"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, len(batch), 256):
                 out = []
                 for r in batch.slice(begin, 256).to_pylist():
-                    out += page_records(r["id"] or "", r["uri"], r["payload"], r["digest"], (r["first"] or "") if r["first"] is not None else None, segment)
+                    out += page_records(r["id"] or "", r["row"], r["uri"], r["payload"], r["digest"], (r["first"] or "") if r["again"] else None, segment)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    release(later)
 
 
 def _parse(data: bytes) -> Iterator[dict]:
@@ -115,8 +129,8 @@ def _parse(data: bytes) -> Iterator[dict]:
             raise ValueError(f"record at byte {at} has a wrong length")
         name = h["warc-record-id"].strip("<>")
         yield {
-            "record_type": h["warc-type"], "record_id": name, "page": name.removeprefix("urn:page:"), "uri": h.get("warc-target-uri"),
-            "refers_to": h["warc-refers-to"].strip("<>").removeprefix("urn:page:") if "warc-refers-to" in h else None,
+            "record_type": h["warc-type"], "record_id": name, "page": page_of(name), "uri": h.get("warc-target-uri"),
+            "refers_to": page_of(h["warc-refers-to"].strip("<>")) if "warc-refers-to" in h else None,
             "segment": int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
             "origin": h["warc-segment-origin-id"].strip("<>") if "warc-segment-origin-id" in h else None,
             "total_length": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
@@ -192,16 +206,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     records = read_records(spark, path)
     part = F.struct("segment", "total_length", "block")
     whole = records.where("record_type in ('response', 'revisit') and segment is null").select("page", "uri", "record_type", "refers_to", "digest", F.array(part).alias("parts"))
-    origin = F.coalesce("origin", "record_id")
-    # the origin's own fields come from its first segment; equal rows of a repeated page are told apart by their count
-    cut_up = records.where("segment is not null").groupBy(origin.alias("origin"), "segment", "total_length", "block").agg(F.count("*").alias("copies"), F.max("uri").alias("uri"), F.max("digest").alias("digest"))
-    joined = cut_up.groupBy("origin").agg(F.max("uri").alias("uri"), F.max("digest").alias("digest"), F.max("copies").alias("copies"), F.sort_array(F.collect_list(part)).alias("parts"))
-    long = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(F.regexp_replace("origin", "^urn:page:", "").alias("page"), "uri", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "digest", "parts")
+    # the origin's own fields come from its first segment; a record's segments are as many as its length needs
+    own = records.where("segment is not null").groupBy(F.coalesce("origin", "record_id").alias("origin")).agg(F.max(F.when(F.col("segment") == 1, F.col("page"))).alias("page"), F.max("uri").alias("uri"), F.max("digest").alias("digest"), F.sort_array(F.collect_list(part)).alias("parts"))
+    long = own.select("page", "uri", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "digest", "parts")
     return whole.mapInArrow(_decode, RESULT).unionByName(long.mapInArrow(_decode, RESULT))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to a new archive in the shared folder and read it back."""
-    path = shared_dir(pages.sparkSession)
+    """Write the pages to a new archive in the shared folder, read it back and delete it."""
+    spark = pages.sparkSession
+    path = shared_dir(spark)
     write(pages, path)
-    return read(pages.sparkSession, path)
+    out = cut(read(spark, path))
+    delete(spark, path)
+    return out
