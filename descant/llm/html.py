@@ -1,18 +1,23 @@
-"""Main text of web pages: page structure, and a suffix array per host for what structure leaves open.
-
-A page is cut into blocks by its block-level tags. Menus, headers, footers, asides, forms, scripts and
-the like, and elements whose class, id or role names such a part (comments, adverts, notices), are
-dropped with all they hold. What stands inside `article` (else `main`) is the main text. Only where a
-page has neither, its remaining blocks are judged by the host suffix array: the token streams of the
-host's distinct pages are concatenated, the suffix array over them is built by prefix doubling, and
-tokens covered by a run of at least MIN_RUN tokens that MIN_PAGES distinct pages hold are boilerplate; a
-block goes if COVERED of its tokens are covered. Text inside an article is never removed for being
-repeated: passages that articles share are content.
-
-Hosts are dealt into shards of about SHARD pages by the hash of their blocks, so that no task holds a hot
-host. Pages with equal streams are in one shard and count once; for hosts of several shards each shard's
-suffix array gives its runs with their pages, these are summed over the host, and the runs that MIN_PAGES
-pages hold go back to the shards that have them.
+"""Main text of web pages: the host suffix array, with page structure as protection and evidence.
+
+A page is cut into blocks by its block-level tags. Structure says of each block what it can: parts that
+HTML itself names (nav, footer, aside, form and the like) and elements whose class, id or role names such a
+part (comments, adverts, notices) are marked; prose inside the article is protected, headings too. The
+article is the clean `article` elements, else those that stand in marked wrappers; `main` where the
+articles are not half of its text. An element that holds the article is never marked by its name. What
+structure leaves open is decided by the host suffix array: blocks of pages without article and main, and
+short blocks inside an article that are no sentence (share lines, labels). Outside the article of a page
+that has one, nothing is text.
+
+The token streams of marked and open blocks of all distinct pages of a host are concatenated, the suffix
+array over them is built by prefix doubling, and tokens covered by a run of at least MIN_RUN tokens that
+MIN_PAGES distinct pages hold are boilerplate; an open block goes if COVERED of its tokens are covered.
+Prose inside an article is never removed for being repeated: passages that articles share are content.
+
+Hosts are dealt into shards of about SHARD pages by the hash of the whole page, so that no task holds a hot
+host. Equal pages are in one shard and count once; for hosts of several shards each shard's suffix array
+gives its runs with their pages, these are summed over the host, and the runs that MIN_PAGES pages hold go
+back to the shards that have them.
 
 Edge cases: null or empty html gives the empty text; a null url has the empty host; pages without a
 closing tag end where the document ends; repeated rows give equal rows; other columns are ignored.
@@ -30,86 +35,119 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, mix
+from .common import bounded, cut, mix, release
 from .urls import host_of
 
 MIN_RUN, MIN_PAGES, SHARD = 6, 3, 1_000
 COVERED = 0.9  # of a block's tokens, to drop it
-#: Elements that are dropped with all they hold (fixed values).
-DROPPED = frozenset("head title nav aside footer form script style noscript template iframe object embed svg canvas math button select option textarea input label fieldset dialog menu audio video figure map".split())
-#: Elements without an end tag, and those whose start ends a block (fixed values of HTML).
+LABEL_WORDS = 8  # a block inside an article of at most so many words and without a sentence end is open
+#: Elements that hold no text of the page, and those that HTML itself names as no part of an article (fixed values).
+SILENT = frozenset("head title script style noscript template iframe object embed svg canvas audio video select option optgroup textarea button datalist".split())
+NAMED = frozenset("nav aside footer form dialog menu".split())
+#: Elements without an end tag, those whose start ends a block, and those without markup inside (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
-#: Parts of names that mark what is not the article.
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|"
-    r"header|footer|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|"
-    r"comments?|commentlist|disqus|respond|reply|replies|widget|toolbar|pagination|pager|copyright|disclaimer|search|form)(?:$|[\s_-])",
-    re.I,
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of class tokens and ids that mark what is not the article, and those that take it back (fixed values).
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar menu menus nav navbar navigation breadcrumb breadcrumbs masthead "
+    "header footer cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended recommendations comment comments commentlist disqus "
+    "respond reply replies widget widgets toolbar pagination pager copyright disclaimer search form".split()
 )
+STATES = frozenset("has no with without is not hide show js".split())
+OWN = frozenset("article content entry page post story".split())  # "post-header" holds a title
+ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|aria-label|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
-_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+_SENTENCE = re.compile(r"[.!?…:;。！？]\W*$")
+MARKED, OPEN, SAFE = 0, 1, 2
 
 
-def _dropped(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
-    if not attributes or tag in ("html", "body"):
+def _is_mark(token: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    if not parts or parts[0] in STATES or parts[0] in OWN and parts[-1] in ("header", "form"):
         return False
+    return not MARKS.isdisjoint(parts)
+
+
+#: How sure a mark is: by a class, id or role, or by the element itself.
+BY_NAME, BY_TAG = 1, 2
+
+
+def _marked(tag: str, attributes: str, inside: bool) -> int:
+    if tag in NAMED or tag == "header" and not inside:
+        return BY_TAG
+    if not attributes or tag in ("html", "body"):
+        return 0
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" and not value or name == "role" and value in _ROLES or name in ("class", "id") and _MARKS.search(value):
-            return True
-    return False
+        if name == "hidden" and value in ("", "hidden"):
+            return BY_TAG
+        if name == "role" and value in ROLES or name in ("class", "id") and any(map(_is_mark, value.split())):
+            return BY_NAME
+    return 0
+
+
+class _Element:
+    __slots__ = ("article", "main", "marked", "tag", "tainted")
+
+    def __init__(self, tag: str, marked: int) -> None:
+        self.tag, self.marked = tag, marked
+        self.article = self.main = self.tainted = False
+
+
+class _Block:
+    """A block's text, the tag it stands in, its mark, and whether it stands in an article, in one outside
+    marked wrappers, in main."""
+
+    __slots__ = ("article", "clean", "main", "marked", "tag", "text")
 
+    def __init__(self, text: str, marked: int, stack: list[_Element]) -> None:
+        self.text, self.marked = text, marked
+        self.tag = stack[-1].tag if stack else ""
+        self.article, self.main = any(e.article for e in stack), any(e.main for e in stack)
+        self.clean = self.article and not any(e.tainted for e in stack)
 
-def blocks(page: str) -> tuple[list[str], list[str] | None]:
-    """(blocks of the page outside dropped parts, those inside article or main; None if there is none)."""
-    found: list[tuple[str, int]] = []  # text, depth of article or main
-    text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, root
-    skip = roots = 0
-    has = {"article": False, "main": False}
-    kind_at: list[str] = []
-    at = 0
+
+def _pieces(page: str) -> list[_Block]:
+    """The blocks of a page in its order, silent parts left out."""
+    found: list[_Block] = []
+    text: list[tuple[str, int]] = []
+    stack: list[_Element] = []
+
+    def add(s: str) -> None:
+        if s and not any(e.tag in SILENT for e in stack):
+            # the wrappers of an article say nothing about its text, marks inside it do
+            root = next((k for k, e in enumerate(stack) if e.article or e.main), 0)
+            text.append((s, max((e.marked for e in stack[root:]), default=0)))
 
     def flush() -> None:
-        nonlocal text
-        if text:
-            s = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
+        for marked in sorted({m for _, m in text}):
+            s = _SPACE.sub(" ", _html.unescape("".join(t for t, m in text if m == marked))).strip()
             if s:
-                found.append((s, (1 if "article" in kind_at else 0) + (2 if "main" in kind_at else 0)))
-            text = []
+                found.append(_Block(s, marked, stack))
+        text.clear()
 
     pos, n = 0, len(page)
     while pos < n:
         m = _TAG.search(page, pos)
+        add(page[pos : m.start() if m else n])
         if m is None:
-            if not skip:
-                text.append(page[pos:])
             break
-        if not skip and m.start() > pos:
-            text.append(page[pos : m.start()])
         pos = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if tag in BLOCK:
             flush()
-        elif tag == "br" and not skip:
-            text.append(" ")
+        elif tag == "br":
+            add(" ")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for t, dropped, root in stack[i:]:
-                        skip -= dropped
-                        if root:
-                            kind_at.remove(t)
-                    del stack[i:]
-                    break
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
+            if k is not None:
+                del stack[k:]
             continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -117,26 +155,42 @@ def blocks(page: str) -> tuple[list[str], list[str] | None]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # a new one ends the open one
-            for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                if stack[i][0] == tag and not stack[i][1]:
-                    del stack[i]
+        if tag in BLOCK:  # a block ends an open paragraph; an item ends the open one of its kind
+            kinds = {"p"} | ({tag} if tag in ("li", "tr", "td", "th") else {"dt", "dd"} if tag in ("dt", "dd") else set())
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag in kinds:
+                    del stack[k:]
                     break
-                if stack[i][0] in BLOCK:
+                if stack[k].tag in BLOCK and (tag != "tr" or stack[k].tag not in ("td", "th")):
                     break
-        dropped = _dropped(tag, m[3], bool(kind_at))
-        root = tag in has and not dropped and not skip
-        if root:
-            has[tag] = True
-            kind_at.append(tag)
-        skip += dropped
-        stack.append((tag, dropped, root))
+        inside = any(e.article or e.main for e in stack)
+        e = _Element(tag, _marked(tag, m[3], inside))
+        if tag == "article" and not (inside and e.marked) or tag == "main":
+            # a page's own article is not marked by its class
+            e.article, e.main, e.tainted, e.marked = tag == "article", tag == "main", any(x.marked for x in stack), 0
+        stack.append(e)
     flush()
-    if has["article"]:
-        return [], [s for s, k in found if k & 1]
-    if has["main"]:
-        return [], [s for s, k in found if k & 2]
-    return [s for s, _ in found], None
+    return found
+
+
+def blocks(page: str) -> list[tuple[str, int]]:
+    """(text, MARKED, OPEN or SAFE) of the blocks of a page."""
+    found = _pieces(page)
+    size = lambda keep: sum(len(b.text) for b in found if keep(b) and not b.marked)
+    article = (lambda b: b.clean) if size(lambda b: b.clean) else (lambda b: b.article)
+    in_article, in_main = size(article), size(lambda b: b.main)
+    text = (lambda b: b.main or article(b)) if 2 * in_article < in_main else article if in_article else None
+    # where everything is marked by names alone, they are not believed
+    least = BY_NAME if text or size(lambda b: True) else BY_TAG
+    out = []
+    for b in found:
+        if b.marked >= least or text is not None and not text(b):
+            out.append((b.text, MARKED))
+        elif text is None or len(b.text.split()) <= LABEL_WORDS and b.tag not in HEADINGS and not _SENTENCE.search(b.text):
+            out.append((b.text, OPEN))
+        else:
+            out.append((b.text, SAFE))
+    return out
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -160,11 +214,15 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """The runs of min_run tokens of streams, each stream of distinct content once."""
-
-    def __init__(self, streams: list[list[str]], min_run: int = MIN_RUN) -> None:
-        self.streams, self.min_run = streams, min_run
-        self.distinct = list({tuple(s): None for s in streams})
+    """The runs of min_run tokens of streams; streams of one page, or of equal ones, count once."""
+
+    def __init__(self, streams: list[list[str]], pages: list | None = None, min_run: int = MIN_RUN) -> None:
+        self.min_run = min_run
+        pages = list(map(tuple, streams)) if pages is None else pages
+        first: dict = {}
+        self.of = [first.setdefault(p, len(first)) for p in pages]
+        self.distinct = list(dict(zip(self.of[::-1], streams[::-1], strict=True)).items())
+        self.distinct = [s for _, s in sorted(self.distinct, key=lambda x: x[0])]
         ids: dict[str, int] = {}
         parts, owner = [], []
         for k, s in enumerate(self.distinct):
@@ -202,84 +260,103 @@ class Runs:
         covered = np.zeros(self.n, bool)
         for start in self.order[wanted[self.group]] if self.n else ():
             covered[start : start + self.min_run] = True
-        out, at = {}, 0
+        out, at = [], 0
         for s in self.distinct:
-            out[s] = covered[at : at + len(s)]
+            out.append(covered[at : at + len(s)])
             at += len(s) + 1
-        return [out[tuple(s)] for s in self.streams]
+        return [out[k] for k in self.of]
 
 
 def repeated(streams: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
     """Per stream which tokens lie in a run of min_run tokens that min_pages streams of distinct content hold."""
-    runs = Runs(streams, min_run)
+    runs = Runs(streams, min_run=min_run)
     return runs.covered(runs.pages >= min_pages)
 
 
-def _streams(pages: list[list[str]]) -> list[list[str]]:
-    return [[t for b in page for t in b.split()] for page in pages]
+def _stream(page: list[tuple[str, int]]) -> list[str]:
+    return [t for block, _ in page for t in block.split()]
 
 
-def unique_text(pages: list[list[str]], frequent: set[int] | None = None) -> list[str]:
-    """The main text of a host's pages, each a list of blocks: without blocks that repeated runs cover.
-    frequent: hashes of the host's repeated runs, where the pages are but a part of the host."""
-    split = [[b.split() for b in page] for page in pages]
-    runs = Runs(_streams(pages))
+def boilerplate(pages: list[list[tuple[str, int]]], marks: list, frequent: set[int] | None = None) -> list[list[int]]:
+    """Per page, given as its marked and open blocks, the numbers of the open blocks that repeated runs
+    cover. frequent: hashes of the host's repeated runs, where the pages are but a part of the host."""
+    runs = Runs(list(map(_stream, pages)), marks)
     wanted = runs.pages >= MIN_PAGES
     if frequent is not None:
         group, h, _ = runs.hashed()
         wanted = np.zeros(len(runs.pages), bool)
         wanted[group] = np.isin(h.view(np.int64), np.fromiter(frequent, np.int64, len(frequent)))
     out = []
-    for page, words, hit in zip(pages, split, runs.covered(wanted), strict=True):
-        kept, at = [], 0
-        for block, tokens in zip(page, words, strict=True):
-            if hit[at : at + len(tokens)].sum() < COVERED * max(len(tokens), 1):
-                kept.append(block)
-            at += len(tokens)
-        out.append("\n\n".join(kept))
+    for page, hit in zip(pages, runs.covered(wanted), strict=True):
+        gone, at, k = [], 0, 0
+        for block, kind in page:
+            n = len(block.split())
+            if kind == OPEN:
+                if hit[at : at + n].sum() >= COVERED * max(n, 1):
+                    gone.append(k)
+                k += 1
+            at += n
+        out.append(gone)
     return out
 
 
-_FOUND = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("open", pa.list_(pa.string()))])
+_BLOCK = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int8())]))
+_FOUND = pa.schema([("mark", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("kept", _BLOCK), ("stream", _BLOCK)])
+_FOUND_DDL = "mark long, page_id long, url string, kept array<struct<text:string,kind:tinyint>>, stream array<struct<text:string,kind:tinyint>>"
+
+
+def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, len(batch), 128):
+            out = []
+            for r in batch.slice(begin, 128).to_pylist():
+                found = [{"text": t, "kind": k} for t, k in blocks(r["html"] or "")]
+                out.append({"mark": r["mark"], "page_id": r["page_id"], "url": r["url"], "kept": [b for b in found if b["kind"] != MARKED], "stream": [b for b in found if b["kind"] != SAFE]})
+            yield pa.RecordBatch.from_pylist(out, _FOUND)
+
+
+def _lists(rows: pd.DataFrame) -> list[list[tuple[str, int]]]:
+    return [[(b["text"], b["kind"]) for b in page] for page in rows["stream"]]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, len(batch), 128):
-                out = []
-                for r in batch.slice(begin, 128).to_pylist():
-                    rest, main = blocks(r["html"] or "")
-                    out.append({"page_id": r["page_id"], "url": r["url"], "text": None if main is None else "\n\n".join(main), "open": rest if main is None else None})
-                yield pa.RecordBatch.from_pylist(out, _FOUND)
-
-    plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = cut(plain.mapInArrow(run, "page_id long, url string, text string, open array<string>"))
-    left = found.where("text is null").withColumn("host", host_of(F.coalesce("url", F.lit(""))))
-    shards = left.groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64(F.concat_ws(" ", "open")), F.col("shards")))
-    dealt = cut(dealt.select("host", "shard", "shards", "page_id", "url", "open"))
+    url, page = F.col(url_col).cast("string"), F.col(html_col).cast("string")
+    plain = pages.select(F.xxhash64(page).alias("mark"), F.col(id_col).cast("long").alias("page_id"), url.alias("url"), page.alias("html"))
+    found = cut(plain.mapInArrow(_cut_pages, _FOUND_DDL)).withColumn("host", host_of(F.coalesce("url", F.lit(""))))
+    # equal pages of a host are judged once; one without marked or open blocks says nothing
+    each = found.where("size(stream) > 0").select("host", "mark", "stream").dropDuplicates(["host", "mark"])
+    shards = each.groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
+    streams = cut(each.join(shards, "host").withColumn("shard", F.pmod("mark", F.col("shards"))))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        _, h, n = Runs(_streams([list(x) for x in rows["open"]])).hashed()
+        _, h, n = Runs(list(map(_stream, _lists(rows)))).hashed()
         return pd.DataFrame({"host": rows["host"].iloc[0], "shard": rows["shard"].iloc[0], "run": h.view(np.int64), "n": n})
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": unique_text([list(x) for x in rows["open"]])})
-
-    def judge_part(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": unique_text([list(x) for x in rows["open"]], set(runs["run"]))})
+    def judge(rows: pd.DataFrame, runs: pd.DataFrame | None = None) -> pd.DataFrame:
+        gone = boilerplate(_lists(rows), list(rows["mark"]), None if runs is None else set(runs["run"]))
+        some = [bool(g) for g in gone]
+        return pd.DataFrame({"host": rows["host"][some], "mark": rows["mark"][some], "gone": pd.Series([g for g in gone if g], index=rows.index[some], dtype=object)})
 
-    kind = "page_id long, url string, text string"
-    judged = dealt.where("shards = 1").groupBy("host", "shard").applyInPandas(judge, kind)
-    parts = dealt.where("shards > 1")
-    runs = parts.groupBy("host", "shard").applyInPandas(count, "host string, shard long, run long, n long")
+    kind = "host string, mark long, gone array<int>"
+    gone = streams.where("shards = 1").groupBy("host", "shard").applyInPandas(lambda rows: judge(rows), kind)
+    parts = streams.where("shards > 1")
     if not parts.isEmpty():
-        runs = cut(runs)
+        runs = cut(parts.groupBy("host", "shard").applyInPandas(count, "host string, shard long, run long, n long"))
         frequent = runs.groupBy("host", "run").agg(F.sum("n").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", "run")
         back = runs.join(frequent, ["host", "run"]).select("host", "shard", "run")
-        judged = judged.unionByName(parts.groupBy("host", "shard").cogroup(back.groupBy("host", "shard")).applyInPandas(judge_part, kind))
-    whole = found.where("text is not null").select("page_id", "url", "text").unionByName(judged)
-    return whole.withColumn("n_chars", F.length("text").cast("long"))
+        gone = gone.unionByName(parts.groupBy("host", "shard").cogroup(back.groupBy("host", "shard")).applyInPandas(lambda rows, runs: judge(rows, runs), kind))
+    gone = cut(gone)
+    release(streams)
+    # the k-th open block goes if k is in `gone`
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, b):  # noqa: ANN001, ANN202
+        is_open = b["kind"] == OPEN
+        stays = ~is_open | ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), a["k"])
+        return F.struct((a["k"] + is_open.cast("int")).alias("k"), F.when(stays, F.array_append(a["out"], b["text"])).otherwise(a["out"]).alias("out"))
+
+    all_ = F.array_join(F.col("kept.text"), "\n\n")
+    text = F.when(F.col("gone").isNull(), all_).otherwise(F.array_join(F.aggregate("kept", start, step)["out"], "\n\n"))
+    out = found.join(bounded(gone, 128), ["host", "mark"], "left").select("page_id", "url", text.alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -28,7 +28,7 @@ def url_by_brute_force(url):
 
 
 def test_urls_equal_brute_force(spark):
-    cases = [None, "", "nothing", "http://", "http://a.COM/en/7", "https://example.com/en/71?x", "https://m.example.com/en/8#t", "http://com/en/", "http://xcom/en/1", "http://net/de/", "http://a.example.net/de/8x", "http://a.example.net/de/9", "ftp://Ä.Org/es/ü?://", "x://u@b.org:80/es/", "http://org?/es/", "a://b://c/en/", "http://a.b.c.d.e.f.com/en/x/y", "http://.com/en/", "http://com./en/", "HTTP://EXAMPLE.COM/EN/7"]
+    cases = [None, "", "nothing", "http://", "http://a.COM/en/7", "https://example.com/en/71?x", "https://m.example.com/en/8#t", "http://com/en/", "http://xcom/en/1", "http://net/de/", "http://a.example.net/de/8x", "http://a.example.net/de/9", "ftp://Ä.Org/es/ü?://", "x://u@b.org:80/es/", "http://org?/es/", "a://b://c/en/", "http://a.com/x\x00b.org/es/1", "http://com/en/\x001", "http://m.com/en/\n://net/de/", "a b://c.com/en/ /x", "http://a.b.c.d.e.f.com/en/x/y", "http://.com/en/", "http://com./en/", "HTTP://EXAMPLE.COM/EN/7"]
     cases += ["http://hot.example.com/en/1"] * 50
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(cases)] + [(3, cases[3])], "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit("r"), "short": F.lit("s")})
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, spark.createDataFrame(RULES, "rule string, verdict string")).withColumn("rule", F.coalesce("rule", F.lit("-"))).collect())
@@ -65,6 +65,12 @@ def test_warc_edges(spark):
     twice = [(1, "u", "y" * 40_000)] * 2 + [(2, "u", "z" * 200)] * 2 + [(None, "u", "z" * 200)]
     got = sorted((r.page, r.record_type, r.payload_bytes) for r in warc.round_trip(pages_of(spark, twice)).collect())
     assert got == [("", "revisit", 200)] + [("1", "response", 40_000)] * 2 + [("2", "response", 200)] * 2
+    same = [(1, "u", "a" * 40_000), (1, "u", "b" * 50_000), (None, "u", "c" * 60_000), (None, "u", "d" * 20_000), (None, "u", "d" * 20_000), (3, "u", "s")]
+    got = sorted((r.page, r.record_type, r.payload_bytes, r.problem) for r in warc.round_trip(pages_of(spark, same)).collect())
+    assert got == sorted((str(i or ""), "response", len(t), None) for i, _, t in same)
+    text = spark.createDataFrame([("a:b>\n1", "u", "y" * 200), ("a:c", "u", "y" * 200)], "page_id string, url string, html string")
+    got = sorted((r.page, r.record_type, r.refers_to) for r in warc.round_trip(text).collect())
+    assert got == [("a:b>\n1", "response", None), ("a:c", "revisit", "a:b>\n1")]
 
 
 def test_warc_reader_reports_broken_segments():
@@ -96,6 +102,33 @@ def test_main_text_of_an_article(spark):
     assert html.extract(pages_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>Text of it.</div>', "Text of it."),
+        ('<div id="page" class="no-sidebar"><main><p>Text of it.', "Text of it."),
+        ('<div class="menu-open sidebar"><article><p>Text of it.</article></div>', "Text of it."),
+        ('<article class="post social"><p class="share">Share<p>Real text.</article>', "Real text."),
+        ('<article><div class="post-header"><h1>Title</h1></div><figure><img><figcaption>Caption.</figcaption></figure><p>A <math>x</math> b.', "Title\n\nCaption.\n\nA x b."),
+        ('<main><p>The main text is long here.</p><p>Still more of it.</p><article class="teaser">Next.</article></main>', "The main text is long here.\n\nStill more of it.\n\nNext."),
+        ('<div class="related"><article>Other things.</article></div><article>Own things.</article>', "Own things."),
+        ('<article><p>One <span class="ad">buy</span>two.<table><tr><td>a.<td>b.<tr><td>c.</table></article>', "One two.\n\na.\n\nb.\n\nc."),
+        ('<body class="menu"><div class="widget">Only this is here.</div>', "Only this is here."),
+        ("<article><p>One.<div class=comments><article><p>No.</article></div><footer>No.</footer><p>Two.", "One.\n\nTwo."),
+    ],
+)
+def test_structure_of_pages(page, text):
+    assert "\n\n".join(t for t, kind in html.blocks(page) if kind != html.MARKED) == text
+
+
+def test_short_repeated_labels_inside_articles_go_and_prose_stays(spark):
+    passage = "A passage that all of these articles share with each other."
+    body = lambda k: f"<article><h1>A title that all the pages here have</h1><p>Text number {k} is about topic{k}.</p><p>{passage}</p><p>Print this page for your friends</p></article>"
+    got = {r.page_id: r.text for r in html.extract(pages_of(spark, [(k, "http://h.com/x", body(k)) for k in range(4)] + [(9, "http://i.com", body(9))])).collect()}
+    assert all(got[k] == f"A title that all the pages here have\n\nText number {k} is about topic{k}.\n\n{passage}" for k in range(4))
+    assert got[9].endswith("friends")  # one page of its host
+
+
 def test_repeated_runs_are_boilerplate_where_structure_is_silent(spark):
     body = lambda k: f"<body><div>Home About Contact Us Now Please Today</div><p>Text number {k} is about topic{k} and thing{k} only here</p><p>All rights reserved by the owner of site</p></body>"
     rows = [(k, "http://h.com/x", body(k)) for k in range(5)] + [(9, "http://other.com/", body(9))] + [(20 + k, "http://copies.com/", body(20)) for k in range(5)]
