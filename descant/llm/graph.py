@@ -253,7 +253,7 @@ def link(keys: DataFrame, ship: Callable[[DataFrame], DataFrame], least: float)
                 return None
             held = bags = cut(ship(wanted))
         else:
-            held = bags.select("id", "bag").join(bounded(wanted), "id")
+            held = bags.select("id", "bag").join(bounded(wanted, 64), "id")
         rows = held.select("id", F.explode("ps").alias("p"), "bag")
         large = cut(rows.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.octet_length("bag")).alias("size")).where((F.col("n") > STAR) | (F.col("size") > ELEMENTS * WIDTH)).select("p"))
         some = not large.isEmpty()

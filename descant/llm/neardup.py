@@ -132,7 +132,7 @@ def marked_classes(docs: DataFrame, id_col: str, text: str, least: float) -> Dat
     keys = nodes.select(F.col("node").alias("id"), F.explode("keys").alias("key")).distinct()
 
     def ship(wanted: DataFrame) -> DataFrame:
-        texts = plain.join(bounded(wanted.withColumnRenamed("id", "doc_id")), "doc_id").select("doc_id", "ps", "text")
+        texts = plain.join(bounded(wanted.withColumnRenamed("id", "doc_id"), 64), "doc_id").select("doc_id", "ps", "text")
         bags = texts.mapInArrow(_bags, f"id {kind}, ps array<{kind}>, bag binary")
         return bags if once else bags.dropDuplicates(["id", "bag"])
 
