@@ -270,6 +270,76 @@ def test_paragraphs_catch_passages_and_leave_the_rest(spark, corpus):
     assert paragraphs.dedup(frame(spark, [])).count() == 0
 
 
+def plain_words(raw):
+    """(word, begin, end) of the bytes: lower case, ASCII punctuation as separators."""
+    low = bytes(c + 32 if 65 <= c <= 90 else 32 if 33 <= c <= 126 and not chr(c).isalnum() else c for c in raw)
+    return [(m.group(), m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", low)]
+
+
+def spans_by_brute_force(rows):
+    """Removed byte spans per row number, from all pairs of paragraphs and all sentences."""
+    lines, sentences = [], []
+    for n, (i, t, *_) in enumerate(rows):
+        raw, at = (t or "").encode(), 0
+        for line in raw.split(b"\n"):
+            w = [(x, b + at, e + at) for x, b, e in plain_words(line)]
+            if len(w) >= paragraphs.MIN_WORDS and i is not None:
+                names = [x for x, *_ in w]
+                lines.append((n, i, w[0][1], w[-1][2], {tuple(names[k : k + 5]) for k in range(len(names) - 4)}))
+            begin = 0
+            for m in [*re.finditer(rb"[.!?](?=[\x20\x09-\x0D]|$)", line), None]:
+                end = m.end() if m else len(line)
+                own = [x for x in w if begin <= x[1] - at < end]
+                if len(own) >= paragraphs.MIN_SENTENCE and i is not None:
+                    sentences.append((n, i, own[0][1], own[-1][2], len(own), b" ".join(x for x, *_ in own)))
+                begin = end
+            at += len(line) + 1
+    group = linked_by_brute_force([p[4] for p in lines])
+    first = {}
+    for k, p in enumerate(lines):
+        first[group[k]] = min(first.get(group[k], p[1]), p[1])
+    found = defaultdict(list)
+    for k, (n, i, b, e, _) in enumerate(lines):
+        if i > first[group[k]]:
+            found[n].append((b, e))
+    earliest = {}
+    for _, i, _, _, _, text in sentences:
+        earliest[text] = min(earliest.get(text, i), i)
+    for n in range(len(rows)):
+        run = []
+        for s in [*(s for s in sentences if s[0] == n), None]:
+            if s is not None and earliest[s[5]] < s[1]:
+                run.append(s)
+                continue
+            if sum(x[4] for x in run) >= paragraphs.MIN_WORDS:
+                found[n].append((run[0][2], run[-1][3]))
+            run = []
+    gone = {}
+    for n, (_, t, *_) in enumerate(rows):
+        marks = bytearray(len((t or "").encode()))
+        for b, e in found[n]:
+            marks[b:e] = b"\1" * (e - b)
+        gone[n] = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(marks))]
+    return gone
+
+
+def test_paragraphs_equal_brute_force(spark, corpus):
+    rng = random.Random(21)
+    rows = list(corpus)
+    for k in range(12):  # near copies of paragraphs, several edits apart, in new surroundings
+        lines = rows[k % 6][1].split("\n")
+        w = lines[0].split(" ")
+        for _ in range(k % 3):
+            w[rng.randrange(len(w))] = "edit"
+        rows.append((200 + k, "\n".join([" ".join(words(rng, 30)), " ".join(w), ""]), None, None, 0))
+    rows += [(None, rows[0][1], None, None, 0), rows[41], (41, rows[1][1], None, None, 0)]
+    want = spans_by_brute_force(rows)
+    got = paragraphs.dedup(frame(spark, rows)).collect()
+    key = lambda i, n, spans: (i is None, i or 0, n, spans)
+    assert sorted(key(r.doc_id, r.n_bytes, [(s.begin, s.end) for s in r.spans]) for r in got) == sorted(key(r[0], len((r[1] or "").encode()), want[n]) for n, r in enumerate(rows))
+    assert sum(bool(x) for x in want.values()) >= 12
+
+
 def test_min_hash_bands_find_similar_paragraphs(spark):
     rng = random.Random(2)
     rows = []
@@ -503,6 +573,54 @@ def test_mix_materialised(spark):
 # sharding
 
 
+def tree_by_brute_force(units, leaves):
+    """Shard of each unit (row of units_of): the rule of the tree, on sorted lists."""
+    home = {}
+
+    def halve(own, first, share, level):
+        if share == 1 or not own:
+            home.update({(u.group, u.size, u.part): first for u in own})
+            return
+        total = sum(u.weight for u in own)
+        spread = []
+        for d in sharding.DIMENSIONS:
+            x = [u[d] >> (sharding.BITS - sharding.COARSE) for u in own]
+            spread.append(total * sum(u.weight * v * v for u, v in zip(own, x)) - sum(u.weight * v for u, v in zip(own, x)) ** 2)
+        dim = sharding.DIMENSIONS[spread.index(max(spread))]
+        order = sorted(own, key=lambda u: ((((2 << sharding.BITS) - 1 if u.tie >> level & 1 else 0) if u.heavy else u[dim] + 1), u.tie))
+        left = share // 2
+        goal, upto, k = total * left // share, 0, 0
+        while upto + order[k].weight <= goal:
+            upto, k = upto + order[k].weight, k + 1
+        if upto + order[k].weight - goal < goal - upto:
+            k += 1
+        halve(order[:k], first, left, level + 1)
+        halve(order[k:], first + left, share - left, level + 1)
+
+    halve(list(units), 0, leaves, 0)
+    return home
+
+
+def test_tree_equals_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(i, "y" * int(2 ** (rng.random() * 11)) + str(rng.randrange(700)), rng.choice(["en", "fr", None]), f"s{min(int(rng.expovariate(0.3)), 9)}", 0) for i in range(1200)]
+    rows += [(2000 + i, "copy " * 30, "en", "hot", 0) for i in range(60)] + [(3000 + i, "hot copy " * 40, "en", "hot", 0) for i in range(300)]
+    light = sharding._light(frame(spark, rows), "doc_id", "text", "source", "lang")
+    total = light.agg(F.sum("size")).first()[0]
+    for leaves in (1, 5, 16):
+        parts, units = sharding.units_of(light, leaves, total)
+        listed = units.collect()
+        got = {(r.group, r.size, r.part): r.shard for r in sharding.tree(units, leaves).collect()}
+        assert got == tree_by_brute_force(listed, leaves)
+        assert sum(u.weight for u in listed) == total and parts.count() == len(rows)
+    # of groups of equal texts only those above SPLIT of a target are dealt out
+    several = {g for g, n in Counter((u.group, u.size) for u in listed).items() if n > 1}
+    weight = Counter()
+    for u in listed:
+        weight[u.group, u.size] += u.weight
+    assert several and several == {g for g, w in weight.items() if w > sharding.SPLIT * total / 16}
+
+
 def test_shards_are_even_and_slots_gapless(spark, corpus):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randrange(2000), rng.choice(["en", "fr", None]), f"s{rng.randrange(5)}", 0) for i in range(1500)] + [(5000 + i, "copy " * 200, "en", "hot", 0) for i in range(800)] + [(None, None, None, None, 0), (3, "dup", None, None, 0), (3, "dup", None, None, 0)]
