@@ -9,18 +9,14 @@ Stars of at most STAR members and ELEMENTS hashes are settled where they meet, o
 members are compared with the pivot, and those that are not similar to it with every other member that
 shares one of their rarest hashes. By the prefix principle a set X that has similarity of at least t with Y
 shares at least t |X| hashes with it, so one of the |X| - t |X| + 1 rarest hashes of X is in Y. What goes
-out is a spanning tree of the links that were found, not the pairs.
-
-In larger stars members are compared with the pivot only, one row a member. The rest comes from what these
-comparisons say. Let X be a member that is not similar enough to its pivot P, and Y another member of P's
-star. With D_X, D_Y the symmetric differences to P, |X ^ Y| = |D_X| + |D_Y| - 2 |D_X & D_Y|. Similarity of
-at least t means |X ^ Y| <= b (|X| + |Y|) with b = (1 - t) / (1 + t), and X's failure |D_X| > b (|X| + |P|).
-So X and Y can be similar only if |D_X & D_Y| > (|D_Y| + b (|P| - |Y|)) / 2: they share about half of what
-sets Y apart from P. Then one of Y's rarest |D_Y| - m + 1 differences (m the least such count) is one of
-X's. As |D_X & D_Y| >= |D_X| - |X ^ Y| too, it is one of X's rarest b (|X| + |Y|) + 1, where |Y| <= |X| / t.
-Those (pivot, difference) pairs are the keys of the next step, where they have members of several
-components. The pivot itself is in none of them, so groups shrink, and steps go on until no large star has
-an open member: no candidate pair is lost, up to links inside a component.
+out is one link a member, to the smallest one of its component, not the pairs.
+
+In larger stars members are compared with the pivot only, one row a member. If members of several components
+are left then, the same principle parts the star: with the hashes of a star in one order, rarest first, X and
+Y can be similar only if they share one of the first |X| - t |X| + 1 hashes of X that is also among the first
+|Y| - t |Y| + 1 of Y. Those (pivot, hash) pairs are the keys of the next step, where members of several
+components have them. The pivot itself is in none of them, so groups shrink, and steps go on until no large
+star has an open member: no candidate pair is lost, up to links inside a component.
 """
 
 from __future__ import annotations
@@ -33,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded, cut, release
 
-STAR, ELEMENTS = 1_024, 1 << 20
+STAR, ELEMENTS = 8_192, 1 << 20
 #: Bytes of a hash in a bag. Two bags of 20,000 hashes have one in common by chance once in 700,000 pairs.
 WIDTH = 6
 
@@ -85,29 +81,27 @@ class _Forest:
             x = self.parent[x]
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         a, b = self.find(x), self.find(y)
         self.parent[max(a, b)] = min(a, b)
-        return a != b
 
 
 def star_links(ids: list, pivot: int, bags: list[np.ndarray], least: float) -> list[tuple]:
-    """Links (a, b) that hold together what is similar among the members; bags are sorted and distinct."""
+    """Links (id, smallest id of its component) of what is similar among the members; bags are sorted and
+    distinct. Rows of one id hang together."""
     n = len(bags)
     size = np.array([len(b) for b in bags])
     first = np.cumsum(size) - size
-    forest, out = _Forest(ids), []
+    forest = _Forest(ids)
 
-    def links(x: int, y: int) -> None:
-        if forest.join(x, y):
-            out.append((ids[x], ids[y]))
+    def found() -> list[tuple]:
+        least_of: dict[int, object] = {}
+        roots = [forest.find(k) for k in range(n)]
+        for k, i in zip(roots, ids, strict=True):
+            least_of[k] = min(i, least_of.get(k, i))
+        return list({(i, least_of[k]) for k, i in zip(roots, ids, strict=True) if i != least_of[k]})
 
     flat = np.concatenate(bags)
-    if n == 2:
-        common = len(flat) - len(np.unique(flat))
-        if common >= least * (len(flat) - common):
-            links(1 - pivot, pivot)
-        return out
     values, code = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(n), size)
     mark = np.zeros(len(values), bool)
@@ -115,10 +109,10 @@ def star_links(ids: list, pivot: int, bags: list[np.ndarray], least: float) -> l
     mark[own(pivot)] = True
     common = np.bincount(owner, mark[code], n)
     for x in np.flatnonzero(common >= least * (size + size[pivot] - common)).tolist():
-        links(x, pivot)
+        forest.join(x, pivot)
     open_ = [x for x in range(n) if forest.find(x) != forest.find(pivot)]
-    if not open_:
-        return out
+    if not open_ or n == 2:
+        return found()
     counts = np.bincount(code)
     by_code = owner[np.argsort(code, kind="stable")]
     ends = np.cumsum(counts)
@@ -135,8 +129,8 @@ def star_links(ids: list, pivot: int, bags: list[np.ndarray], least: float) -> l
             if forest.find(x) != forest.find(y):
                 both = int(mark[own(y)].sum())
                 if both >= least * (size[x] + size[y] - both):
-                    links(x, y)
-    return out
+                    forest.join(x, y)
+    return found()
 
 
 def _settle(least: float, kind: pa.DataType):  # noqa: ANN202
@@ -170,51 +164,47 @@ def _settle(least: float, kind: pa.DataType):  # noqa: ANN202
 # large stars
 
 
-_FOUND = "id {0}, p {0}, linked boolean, n_y int, n_p int, diff array<long>"
-
-
 def _compare(least: float):  # noqa: ANN202
-    """Rows (id, p, x, y) with bags x of id and y of p."""
+    """Rows (id, p, x, y) with bags x of id and y of p to (id, p, linked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, len(batch), 1024):
-                ids, ps, xs, ys = batch.slice(begin, 1024).columns
-                out: list[tuple] = []
-                for x, y in zip(xs, ys, strict=True):
-                    a, b = unpack(x.as_buffer()), unpack(y.as_buffer())
-                    both = np.concatenate([a, b])
-                    both.sort()
-                    twice = both[1:] == both[:-1]
-                    common = int(twice.sum())
-                    single = np.ones(len(both), bool)
-                    single[1:] &= ~twice
-                    single[:-1] &= ~twice
-                    out.append((common >= least * (len(both) - common), len(a), len(b), both[single]))
-                linked, n_y, n_p, diff = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([ids, ps, pa.array(linked), pa.array(n_y, pa.int32()), pa.array(n_p, pa.int32()), pa.array(diff, pa.list_(pa.int64()))], names=["id", "p", "linked", "n_y", "n_p", "diff"])
+            ids, ps, xs, ys = batch.columns
+            linked = []
+            for x, y in zip(xs, ys, strict=True):
+                both = np.concatenate([unpack(x.as_buffer()), unpack(y.as_buffer())])
+                common = len(both) - len(np.unique(both))
+                linked.append(common >= least * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([ids, ps, pa.array(linked, pa.bool_())], names=["id", "p", "linked"])
 
     return run
 
 
-def _differences(found: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(id, key) of the differences to pivots that can show a link of open members; found has the rows of large stars."""
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, p, bag) to (id, p, es)."""
+    for batch in batches:
+        for begin in range(0, len(batch), 1024):
+            ids, ps, bags = batch.slice(begin, 1024).columns
+            yield pa.RecordBatch.from_arrays([ids, ps, pa.array([unpack(b.as_buffer()) for b in bags], pa.list_(pa.int64()))], names=["id", "p", "es"])
+
+
+def _parted(rows: DataFrame, found: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(id, key) by which open large stars are parted; rows (id, p, bag) and found (id, p, linked) of large stars."""
+    kind = rows.schema["id"].dataType.simpleString()
     name = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-    known = found.join(name("id"), "id", "left").join(name("p"), "p", "left").withColumn("label", F.coalesce("id_label", "id")).withColumn("failed", ~F.col("linked") & (F.col("label") != F.coalesce("p_label", "p")))
-    stars = known.groupBy("p").agg(F.bool_or("failed").alias("open")).where("open").select("p")
-    beta = (1 - least) / (1 + least)
-    # rarest differences first; `take` of them are index keys, `probe` of a failed member's are probes
-    m = F.greatest(F.floor((F.size("diff") + beta * (F.col("n_p") - F.col("n_y"))) / 2 - 1e-6) + 1, F.lit(1))
-    each = cut(known.join(stars, "p").select("id", "p", "label", "failed", "n_y", (F.size("diff") - m + 1).cast("int").alias("take"), F.explode("diff").alias("e")))
-    freq = each.groupBy("p", "e").agg(F.count("*").alias("c"), (F.bool_or("failed") & (F.min("label") < F.max("label"))).alias("useful"))
-    ranked = each.join(freq, ["p", "e"]).groupBy("id", "p").agg(F.first("label").alias("label"), F.first("failed").alias("failed"), F.first("take").alias("take"), F.first("n_y").alias("n_y"), F.sort_array(F.collect_list(F.struct("c", "e", "useful"))).alias("es"))
-    probe = F.col("failed") & (F.col("at") <= F.floor(beta * F.col("n_y") * (1 + 1 / least) + 1e-6))
-    placed = ranked.select("id", "p", "label", "failed", "take", "n_y", F.posexplode("es").alias("at", "x")).where("x.useful")
-    held = cut(placed.select("id", "label", probe.alias("failed"), F.xxhash64("p", "x.e").alias("key"), (F.col("at") < F.col("take")).alias("index")).where("index or failed"))
-    release(each)
-    wanted = held.groupBy("key").agg(F.bool_or("index").alias("i"), F.bool_or("failed").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("i and f and lo < hi").select("key")
+    known = found.join(name("id"), "id", "left").join(name("p"), "p", "left").select("id", "p", F.coalesce("id_label", "id").alias("label"), (~F.col("linked") & (F.coalesce("id_label", "id") != F.coalesce("p_label", "p"))).alias("failed"))
+    open_ = cut(known.groupBy("p").agg(F.bool_or("failed").alias("open")).where("open").select("p"))
+    known = cut(known.join(bounded(open_, 64), "p"))
+    es = rows.join(bounded(open_, 64), "p").where("id <> p").select("id", "p", "bag").mapInArrow(_hashes, f"id {kind}, p {kind}, es array<bigint>")
+    each = cut(es.join(known, ["id", "p"]).select("id", "p", "label", "failed", F.size("es").alias("n"), F.explode("es").alias("e")))
+    counts = each.groupBy("p", "e").agg(F.count("*").alias("c"), (F.bool_or("failed") & (F.min("label") < F.max("label"))).alias("useful"))
+    first = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
+    ranked = each.join(counts, ["p", "e"]).groupBy("id", "p").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "e", "useful"))).alias("es"))  # of one bag
+    kept = ranked.select("id", "p", F.explode(F.filter(F.slice("es", F.lit(1), first), lambda x: x["useful"])).alias("x"))
+    held = cut(kept.select("id", "p", F.xxhash64("p", "x.e").alias("key")).join(known, ["id", "p"]).select("id", "key", "label", "failed"))
+    wanted = held.groupBy("key").agg(F.bool_or("failed").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("f and lo < hi").select("key")
     out = cut(held.join(wanted, "key").select("id", "key").distinct())
-    release(held)
+    release(open_, known, each, held)
     return out
 
 
@@ -257,16 +247,16 @@ def link(keys: DataFrame, ship: Callable[[DataFrame], DataFrame], least: float)
         rows = held.select("id", F.explode("ps").alias("p"), "bag")
         large = cut(rows.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.octet_length("bag")).alias("size")).where((F.col("n") > STAR) | (F.col("size") > ELEMENTS * WIDTH)).select("p"))
         some = not large.isEmpty()
-        small = rows.join(bounded(large), "p", "left_anti") if some else rows
-        edges.append(cut(small.repartition("p").sortWithinPartitions("p").mapInArrow(_settle(least, arrow), f"a {kind}, b {kind}")))
+        small = rows.join(bounded(large, 64), "p", "left_anti") if some else rows
+        edges.append(cut(small.select("id", "p", "bag").repartition("p").sortWithinPartitions("p").mapInArrow(_settle(least, arrow), f"a {kind}, b {kind}")))
         if not some:
             break
-        pivots = bags.select(F.col("id").alias("p"), F.col("bag").alias("y")).join(bounded(large), "p", "left_semi")
+        pivots = bags.select(F.col("id").alias("p"), F.col("bag").alias("y")).join(bounded(large, 64), "p", "left_semi")
         pairs = rows.where("id <> p").join(pivots, "p").select("id", "p", F.col("bag").alias("x"), "y")
-        found = cut(pairs.mapInArrow(_compare(least), _FOUND.format(kind)))
+        found = cut(pairs.mapInArrow(_compare(least), f"id {kind}, p {kind}, linked boolean"))
         edges.append(cut(found.where("linked").select(F.col("id").alias("a"), F.col("p").alias("b"))))
         labels = components(_union(edges))
-        keys = _differences(found, labels, least)
+        keys = _parted(rows.join(bounded(large, 64), "p", "left_semi"), found, labels, least)
         release(found, large, wanted, labels)
     links = _union(edges)
     out = None if links.isEmpty() else components(links)
