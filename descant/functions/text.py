@@ -47,8 +47,16 @@ CONTRACTIONS = {
 MEDIA_FORMATS = ["mp4", "mp3", "zip", "mkv", "avi", "webm", "mov"]
 
 
+#: White space as in Unicode: what `strip` takes from the ends and what collapses (fixed values).
+SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, rf"{SPACE}+", " "))
 
 
 def remove_all(c: Column, *patterns: str) -> Column:
@@ -164,13 +172,13 @@ def clean_lyric_query(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """A display name: with a credit phrase `title - artist`, else without trailing groups and noise."""
-    c = F.translate(remove_all(c, EMOJI), "_", " ")
+    c = F.translate(F.regexp_replace(remove_all(c, EMOJI), SPACE, " "), "_", " ")
     in_parens, inline = F.regexp_extract(c, CREDIT_IN_PARENS, 1), F.regexp_extract(c, CREDIT_INLINE, 1)
     artist = F.trim(F.when(c.rlike(CREDIT_IN_PARENS), in_parens).otherwise(inline))
-    title = remove_all(c, CREDIT_IN_PARENS, CREDIT_INLINE, r"\s*[\(\[][^\)\]]*[\)\]]\s*$", TAIL_KARAOKE, TAIL_NOISE)
+    title = remove_all(c, CREDIT_IN_PARENS, CREDIT_INLINE, rf"{SPACE}*[\(\[][^\)\]]*[\)\]]{SPACE}*$", TAIL_KARAOKE, TAIL_NOISE)
     credited = F.concat(F.trim(remove_all(title, r"\s*-\s*$")), F.lit(" - "), artist)
-    plain = remove_all(c, r"\s*\([^)]*\)\s*$", r"\s*\[[^\]]*\]\s*$", TAIL_KARAOKE, TAIL_NOISE)
-    c = F.regexp_replace(F.when(artist != "", credited).otherwise(plain), r"\s*[–—]\s*", " - ")
+    plain = remove_all(c, rf"{SPACE}*\([^)]*\){SPACE}*$", rf"{SPACE}*\[[^\]]*\]{SPACE}*$", TAIL_KARAOKE, TAIL_NOISE)
+    c = F.regexp_replace(F.when(artist != "", credited).otherwise(plain), rf"{SPACE}*[–—]{SPACE}*", " - ")
     return remove_all(collapse(c), r"\s*-\s*$")
 
 
@@ -196,26 +204,27 @@ def has_separator(c: Column) -> Column:
 def query_parts(c: Column) -> Column:
     """The first two parts around a spaced separator, else around any; struct (a, b)."""
     q = F.lower(c)
-    spaced, tight = F.split(q, r"\s+[-|｜]\s+"), F.split(q, r"\s*[-|｜]\s*")
+    spaced, tight = F.split(q, r"(?U)\s+[-|｜]\s+"), F.split(q, r"(?U)\s*[-|｜]\s*")
     parts = F.when(F.size(spaced) > 1, spaced).otherwise(tight)
-    return F.struct(F.trim(parts[0]).alias("a"), F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("b"))
+    return F.struct(strip(parts[0]).alias("a"), strip(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("b"))
 
 
 def without_artist(track: Column, artist: Column) -> Column:
     """The track without a leading artist and separator, if what stands before the separator is the artist."""
-    sep = r"(?s)^(.{0,50}?(?:\s*[-–—|:]\s*|\s+/\s+))(.+)$"
-    before = F.regexp_replace(F.trim(F.regexp_extract(track, sep, 1)), r"\s*[-–—|:/]\s*$", "")
+    sep = r"(?sU)^(.{0,50}?(?:\s*[-–—|:]\s*|\s+/\s+))(.+)$"
+    before = F.regexp_replace(strip(F.regexp_extract(track, sep, 1)), r"(?U)\s*[-–—|:/]\s*$", "")
     leads = F.startswith(comparable(track), F.concat(comparable(artist), F.lit(" ")))
     return F.when(leads & track.rlike(sep) & (comparable(before) == comparable(artist)), F.regexp_extract(track, sep, 2)).otherwise(track)
 
 
-_FEAT = r"(?i)\s*[(\[]?\s*(?:feat\.?|ft\.?|featuring)\b.*$"
+#: Credits of further artists (fixed value).
+_FEAT = r"(?iU)\s*[(\[]?\s*(?:feat\.?|ft\.?|featuring)\b.*$"
 
 
 def clean_key(c: Column) -> Column:
     """Without feature credits and trailing groups; the trimmed original if nothing is left."""
-    cleaned = F.trim(F.regexp_replace(remove_all(c, _FEAT), r"(?:\s*[(\[][^)\]]*[)\]]\s*)+$", ""))
-    return F.when(cleaned == "", F.trim(c)).otherwise(cleaned)
+    cleaned = strip(F.regexp_replace(remove_all(c, _FEAT), r"(?U)(?:\s*[(\[][^)\]]*[)\]]\s*)+$", ""))
+    return F.when(cleaned == "", strip(c)).otherwise(cleaned)
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -244,7 +253,7 @@ def align_text(c: Column) -> Column:
 
 def is_lyric(c: Column) -> Column:
     """A stripped line that is neither blank nor a bracketed header and has a letter once cleaned."""
-    return (F.trim(c) != "") & ~F.trim(c).rlike(r"^\s*\[[^\]]*\]\s*$") & lyric_line(F.trim(c)).rlike(_LETTER)
+    return (strip(c) != "") & ~strip(c).rlike(r"^\[[^\]]*\]$") & lyric_line(strip(c)).rlike(_LETTER)
 
 
 def plain_line(c: Column) -> Column:
@@ -294,11 +303,18 @@ def length_seconds(tag: Column) -> Column:
     return F.when(F.size(parts) == 2, (m * 60 + s).cast("double"))
 
 
-def setting(c: Column) -> Column:
-    """A typed reading of a stored setting: struct (kind, as_bool, as_long, as_double, as_string)."""
+def safe_name(c: Column, windows: bool = False) -> Column:
+    """A file name without white space around it; on Windows, without the characters illegal there."""
+    return strip(F.regexp_replace(c, r'[<>:"/\\|?*]', "-") if windows else c)
+
+
+def setting(c: Column, text: Column | bool = False) -> Column:
+    """A typed reading of a stored setting: struct (kind, as_bool, as_long, as_double, as_string). text:
+    whether the setting's default is text; then it is read as it stands."""
     low, bare = F.lower(c), F.regexp_replace(c, "^-+", "")
     kind = (
-        F.when(low.isin("true", "yes", "on", "false", "no", "off"), "bool")
+        F.when(F.lit(text) if isinstance(text, bool) else text, "string")
+        .when(low.isin("true", "yes", "on", "false", "no", "off"), "bool")
         .when(bare.rlike("^[0-9]+$"), "int")
         .when(F.regexp_replace(bare, r"^([^.]*)\.([^.]*.*)$", "$1$2").rlike("^[0-9]+$"), "float")
         .otherwise("string")

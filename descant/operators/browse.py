@@ -41,7 +41,7 @@ def page(songs: DataFrame, order: list[Column], number: int, size: int = 100) ->
     return rows.withColumn("position", place).where(F.col("position") > (number - 1) * size)
 
 
-def enrich(rows: DataFrame, states: DataFrame, jobs: DataFrame, active: str | None, key: str = "file_path") -> DataFrame:
+def enrich(rows: DataFrame, states: DataFrame, jobs: DataFrame, active: object, key: str = "file_path") -> DataFrame:
     """Adds the stored state (default skipped), the last job's status and whether the row is active.
     jobs: (key, seq, status)."""
     last = jobs.groupBy(key).agg(F.max_by("status", "seq").alias("job_status"))
@@ -69,4 +69,4 @@ def rename_page(songs: DataFrame, name: str, suggestion: str, order: str, start:
 
 def sample(songs: DataFrame, queued: DataFrame, k: int, key: str = "file_path", seed: int = 0) -> DataFrame:
     """k rows not in the queue, without replacement, by a seeded hash of the key."""
-    return songs.join(queued.select(key), key, "left_anti").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    return songs.join(queued.select(key), key, "left_anti").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(k)

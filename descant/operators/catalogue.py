@@ -120,16 +120,23 @@ def apply_diff(target: DataFrame, moves: DataFrame, inserts: DataFrame, deletes:
     return both.crossJoin(broken).where(F.col("__new") != F.col("broken")).select(*columns)
 
 
+#: Ranges of keys for numbering, whose bounds are that many keys of an even sample.
+RANGES = 256
+
+
 def with_ids(target: DataFrame, rows: DataFrame, key: str = "file_path") -> DataFrame:
-    """rows with ids after the target's largest, in the order of their keys. Row numbers come from ranges
-    of keys with offsets, so no task holds all rows."""
+    """rows with ids after the target's largest, in the order of their keys, which are unique. Numbers come
+    from ranges of keys with offsets, so no task holds all rows. A key's range is a function of the key
+    alone: the bounds are constants of the plan, drawn before by a hash of the keys (RANGES keys about)."""
+    n = rows.count()
+    drawn = rows.select(key).where(F.pmod(F.xxhash64(key), F.lit(max(1, n // RANGES))) == 0).distinct().sort(key).limit(4 * RANGES)
+    bounds = [r[0] for r in drawn.collect()]
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    held = rows.drop("id").withColumn("__part", part)
+    base = held.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     top = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    held = rows.drop("id").repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    held = held.withColumn("__k", F.row_number().over(W.partitionBy("__part").orderBy(key)))
-    counts = held.groupBy("__part").agg(F.count("*").alias("__n"))
-    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    out = held.join(base, "__part").crossJoin(top)
-    return out.withColumn("id", (F.col("top") + F.col("__base") + F.col("__k")).cast("bigint")).drop("__part", "__k", "__base", "top")
+    numbered = held.withColumn("__k", F.row_number().over(W.partitionBy("__part").orderBy(key))).join(base, "__part").crossJoin(top)  # top is one row
+    return numbered.withColumn("id", (F.col("top") + F.col("__base") + F.col("__k")).cast("bigint")).drop("__part", "__k", "__base", "top")
 
 
 def migrate(old: DataFrame) -> DataFrame:
@@ -183,6 +190,92 @@ def lyric_origin(songs: DataFrame) -> DataFrame:
     return songs.withColumn("origin", F.when(F.col("genius_id").isNotNull(), "genius").when(F.col("mode") == "raw", "none").otherwise(srt))
 
 
+def subtitle_choice(songs: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
+    """(path, source, target): of the subtitle files whose names begin with the song's stem, in its folder, one
+    with `.en.srt` in its name, else any; of equals the smallest name. It goes to the song's subtitles folder.
+    A file is joined by each beginning of its name, so the join has keys."""
+    song = songs.select(F.col(path).alias("path"), T.dirname(F.col(path)).alias("dir"), T.stem(F.col(path)).alias("stem"))
+    f = files.where(T.detect_format(F.col("path")) == "srt").select(F.col("path").alias("source"), T.dirname(F.col("path")).alias("dir"), T.basename(F.col("path")).alias("name"))
+    starts = f.withColumn("stem", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - 4), lambda n: F.substring(F.col("name"), F.lit(1), n))))
+    met = song.join(starts, ["dir", "stem"])
+    best = met.groupBy("path", "dir", "stem").agg(F.min_by("source", F.struct(~F.col("name").contains(".en.srt"), "name")).alias("source"))
+    return best.select("path", "source", F.concat(F.when(F.col("dir") != "", F.concat("dir", F.lit("/"))).otherwise(""), F.lit("subtitles/"), "stem", F.lit(".srt")).alias("target"))
+
+
+def reused_lines(songs: DataFrame, bundles: DataFrame, path: str = "file_path") -> DataFrame:
+    """(path, align_lines) of the songs that lack karaoke or subtitles, have no choice yet and have a stored
+    bundle (stem, align_lines). songs: path, missing, choice."""
+    lacks = F.array_contains("missing", "karaoke") | F.array_contains("missing", "subtitles")
+    open_ = songs.where(lacks & F.col("choice").isNull()).select(F.col(path).alias("path"), T.stem(F.col(path)).alias("stem"))
+    return open_.join(bundles.select("stem", "align_lines"), "stem").select("path", "align_lines")
+
+
+# reads by key, counts and gates
+
+
+def value_of(pairs: DataFrame, key: str) -> DataFrame:
+    """The value under one key (one row or none)."""
+    return pairs.where(F.col("key") == F.lit(key)).select("value")
+
+
+def stored_of(keys: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """keys with what target has under them, null where it has nothing."""
+    return keys.join(target, key, "left")
+
+
+def found_of(keys: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """What target has under the keys; keys that it lacks are left out."""
+    return keys.select(key).distinct().join(target, key)
+
+
+def stats(songs: DataFrame, kind: str) -> DataFrame:
+    """One row (songs, kinds)."""
+    return songs.agg(F.count("*").alias("songs"), F.count_distinct(kind).alias("kinds"))
+
+
+def accepts(state: Column) -> Column:
+    """Whether a song may be queued: not while it waits for processing or has failed it."""
+    return ~F.coalesce(state.isin("pending", "failed"), F.lit(False))
+
+
+def due(jobs: DataFrame, songs: DataFrame, key: str = "file_path") -> DataFrame:
+    """jobs with `action`: songs that are ready, or that someone skipped, are complete at once."""
+    known = songs.select(key, F.col("pipeline_state").alias("__state"))
+    return jobs.join(known, key, "left").withColumn("action", F.when(F.col("__state").isin("ready", "skipped"), "complete").otherwise("process")).drop("__state")
+
+
+def distinct_of(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select(column).distinct()
+
+
+def by_basename(paths: DataFrame, path: str, *kept: str) -> DataFrame:
+    """(name, n, first, last): how many paths share a base name, and the smallest and largest of `path`.
+    Aggregates instead of lists: a name that half of the library has takes one row per task."""
+    p = F.col(path)
+    return paths.groupBy(T.basename(p).alias("name")).agg(F.count("*").alias("n"), F.min(p).alias("first"), F.max(p).alias("last"), *(F.min(c).alias(c) for c in kept))
+
+
+def cleared(stored: DataFrame) -> DataFrame:
+    """The stored settings after a reset: none."""
+    return stored.limit(0)
+
+
+def seeded(stored: DataFrame, hidden: DataFrame) -> DataFrame:
+    """stored (key, value) with blank placeholders for the hidden keys that it lacks."""
+    return insert_ignore(stored, hidden.select("key", F.lit("").alias("value")), "key")
+
+
+def write_choices(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """Lyric choices (yt_id, payload as JSON): rows replace older ones; a payload without yt_id gets it."""
+    own = F.regexp_replace("payload", r"^\s*\{\s*", F.concat(F.lit('{"yt_id":"'), "yt_id", F.when(F.col("payload").rlike(r"^\s*\{\s*\}"), '"').otherwise('",')))
+    return upsert(target, rows.withColumn("payload", F.when(F.get_json_object("payload", "$.yt_id").isNull(), own).otherwise(F.col("payload"))), "yt_id")
+
+
+def delete_choices(target: DataFrame, keys: DataFrame) -> DataFrame:
+    """Unknown keys are no error."""
+    return delete_keys(target, keys, "yt_id")
+
+
 # snapshots
 
 

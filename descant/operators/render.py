@@ -34,6 +34,7 @@ def karaoke_event(words: Column) -> Column:
 
 def karaoke_script(lines: DataFrame, key: str, style: str = "Arial,72,&H00FFFFFF,&H000000FF,&H00000000,&H64000000,0,0,0,0,100,100,0,0,1,3,1,2,40,40,60,1") -> DataFrame:
     """(key, script): the whole file of a song, from lines (key, line_id, words)."""
+    # the header of the file format (fixed values)
     head = (
         "[Script Info]\nTitle: Karaoke Subtitles\nScriptType: v4.00+\nPlayResX: 1920\nPlayResY: 1080\nTimer: 100.0000\n\n[V4+ Styles]\n"
         "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\n"
@@ -70,3 +71,14 @@ def stamped_lyrics(record: str) -> Column:
 def bundle(fields: dict[str, Column], version: int = 6) -> Column:
     """A debug bundle as JSON."""
     return F.to_json(F.struct(F.lit(version).alias("schema_version"), *(c.alias(n) for n, c in fields.items())))
+
+
+def line_timings(placed: Column) -> Column:
+    """What the placement said, for comparison with other timings: (line_id, start, end, n_words) per line."""
+    return F.transform(placed, lambda o, k: F.struct(F.coalesce(o["line_id"], k).alias("line_id"), o["start"].alias("start"), o["end"].alias("end"), F.coalesce(F.size(o["words"]), F.lit(0)).alias("n_words")))
+
+
+def write_bundles(bundles: DataFrame, path: str) -> None:
+    """bundles (stem, bundle as JSON) as text files below path, a folder a stem; Spark's commit protocol
+    shows a bundle whole or not at all."""
+    bundles.select("stem", F.col("bundle").alias("value")).write.partitionBy("stem").mode("overwrite").text(path)

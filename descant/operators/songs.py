@@ -38,8 +38,8 @@ def songs(table: DataFrame, inputs: list[str], outputs: dict[str, str], run: Cal
     return table.mapInArrow(batches, ", ".join([own, *(f"`{n}` {k}" for n, k in outputs.items())]))
 
 
-def _window_rows(found: list[list[tuple[int, int, int]]], rescued: bool) -> list[dict]:
-    return [{"line_id": k, "from": b, "to": e, "score": s, "rescued": rescued} for k, line in enumerate(found) for b, e, s in line]
+def _window_rows(found: list[M.Windows], rescued: bool) -> list[dict]:
+    return [{"line_id": k, "from": b, "to": e, "score": s, "rescued": rescued} for k, line in enumerate(found) for b, e, s in zip(*(c.tolist() for c in line), strict=True)]
 
 
 def windows(table: DataFrame, ratio: float = M.EDIT_RATIO, fallback: bool = True) -> DataFrame:
@@ -48,7 +48,7 @@ def windows(table: DataFrame, ratio: float = M.EDIT_RATIO, fallback: bool = True
 
     def run(lines: list[list[str]], heard: list[str]) -> dict:
         main = [M.fuzzy_windows(x, heard, ratio) for x in lines]
-        other = [M.run_windows(x, heard) if fallback and not m else [] for x, m in zip(lines, main, strict=True)]
+        other = [M.run_windows(x, heard) if fallback and not len(m[0]) else M._NONE for x, m in zip(lines, main, strict=True)]
         return {"windows": _window_rows(main, False) + _window_rows(other, True)}
 
     return songs(table, ["lines", "heard"], {"windows": _WINDOWS}, run)
@@ -86,11 +86,6 @@ def _of_line(objects: Column, k: Column) -> Column:
     return _first(F.filter(objects, lambda o: o["line_id"] == k))
 
 
-def _before(heard: Column, at: Column) -> Column:
-    """How many words start before a time: the words are in order."""
-    return F.size(F.filter(heard, lambda w: w["start"] < at))
-
-
 def ranges(sizes: Column, n: Column) -> Column:
     """Per line its slice (from, to) of n aligned words. A line without tokens, or one that does not fit into
     what is left, has none and takes none, so a shorter one may follow."""
@@ -106,51 +101,6 @@ def ranges(sizes: Column, n: Column) -> Column:
     return F.aggregate(sizes, start, step)["out"]
 
 
-def heard_in(k: Column, t0: Column, t1: Column) -> tuple[Column, Column, Column]:
-    """Of the heard words that start in the padded range: best score of line k's fuzzy windows among them,
-    whether any token of the line is among them, and how many there are."""
-    lo, hi = _before(F.col("heard"), t0 - F.col("margin")), _before(F.col("heard"), t1 + F.col("margin"))
-    best = F.array_max(F.transform(F.filter("windows", lambda w: (w["line_id"] == k) & ~w["rescued"] & (w["from"] >= lo) & (w["to"] <= hi)), lambda w: w["score"]))
-    overlap = F.arrays_overlap(F.transform(F.get("tokens", k), lambda t: t["norm"]), F.slice("names", lo + 1, hi - lo))
-    return F.coalesce(best, F.lit(0)), F.coalesce(overlap, F.lit(False)), hi - lo
-
-
-def prepared(table: DataFrame, ratio: float, margin: float, fallback: bool) -> DataFrame:
-    """table with `tokens` of the lines, `names` of the heard words, `windows` and `slices`."""
-
-    def run(align_lines: list[str], heard: list[dict]) -> dict:
-        toks, names = [M.tokens_of(x or "") for x in align_lines], [M.token(w["word"] or "") for w in heard]
-        norms = [[t for t, _ in x] for x in toks]
-        main = [M.fuzzy_windows(x, names, ratio) for x in norms]
-        other = [M.run_windows(x, names) if fallback and not m else [] for x, m in zip(norms, main, strict=True)]
-        return {"tokens": [[{"norm": t, "raw": w} for t, w in x] for x in toks], "names": names, "windows": _window_rows(main, False) + _window_rows(other, True)}
-
-    found = songs(table, ["align_lines", "heard"], {"tokens": _TOKENS, "names": "array<string>", "windows": _WINDOWS}, run)
-    slices = F.transform(ranges(F.transform("tokens", lambda t: F.size(t)), F.size("aligned")), lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), F.get("aligned", r["from"])["start"].alias("t0"), F.greatest(F.get("aligned", r["from"])["start"], F.get("aligned", r["to"] - 1)["end"]).alias("t1")))
-    return found.withColumns({"margin": F.lit(margin), "slices": slices})
-
-
-def _candidate(k: Column, source: str, t0: Column, t1: Column, score: Column, begin: Column, end: Column) -> Column:
-    return F.struct(k.cast("int").alias("line_id"), F.lit(source).alias("source"), t0.alias("t0"), t1.alias("t1"), score.cast("double").alias("score"), begin.alias("from"), end.alias("to"))
-
-
-def candidates(alpha: float) -> Column:
-    """Aligned ranges first, then windows by line, fuzzy ones before rescued ones."""
-
-    def aligned(s: Column, k: Column) -> Column:
-        short = s["t1"] - s["t0"] < M.MIN_WIDTH
-        pad = (M.MIN_WIDTH - (s["t1"] - s["t0"])) / 2.0
-        t0, t1 = F.when(short, F.greatest(s["t0"] - pad, F.lit(0.0))).otherwise(s["t0"]), F.when(short, s["t1"] + pad).otherwise(s["t1"])
-        match, overlap, count = heard_in(k, t0, t1)
-        return F.when(s["from"].isNotNull(), _candidate(k, "align", t0, t1, match + alpha * alpha_weight(overlap, count), s["from"], s["to"]))
-
-    def heard(w: Column) -> Column:
-        t0, t1, s = F.get("heard", w["from"])["start"], F.get("heard", w["to"] - 1)["end"], F.get("slices", w["line_id"])
-        return _candidate(w["line_id"], "transcribe", t0, t1, w["score"] + alpha * agreement(t0, t1, s["t0"], s["t1"]), w["from"], w["to"])
-
-    return F.concat(F.array_compact(F.transform("slices", aligned)), F.transform("windows", heard))
-
-
 def _aligned_words(c: Column) -> Column:
     return F.transform(F.get("tokens", c["line_id"]), lambda t, i: F.struct(t["raw"].alias("word"), F.get("aligned", c["from"] + i)["start"].alias("start"), F.get("aligned", c["from"] + i)["end"].alias("end")))
 
@@ -197,36 +147,46 @@ def _song_end() -> Column:
     return F.coalesce(F.try_element_at("aligned", F.lit(-1))["end"], F.lit(0.0))
 
 
+#: Counts of a placement and their types.
 STATS = {k: "int" for k in ("n_lines", "n_align_words", "n_transcribe_words", "n_main_candidates", "n_anchor_candidates", "n_align_candidates", "n_selected", "align_won", "transcribe_won")} | {"interpolated": "array<int>", "score": "double"}
-_WORK = ("tokens", "names", "windows", "margin", "slices", "candidates", "chain")
+_COUNTS = ("n_main_candidates", "n_anchor_candidates", "n_align_candidates")
+_WORK = ("tokens", "names", "slices", "chain")
+
+
+def _times(words: list[dict]) -> np.ndarray:
+    return np.array([(w["start"], w["end"]) for w in words], float).reshape(-1, 2)
+
+
+def _names(heard: list[dict]) -> list[str]:
+    return [M.token(w["word"] or "") for w in heard]
 
 
 def placement(table: DataFrame, alpha: float = M.ALPHA, margin: float = M.MARGIN, ratio: float = M.EDIT_RATIO, fallback: bool = True) -> DataFrame:
     """table (aligned, heard, lines, align_lines) with `placed` (LINES), STATS and what they come from: each
     line stands where its aligned words or a window of heard words say, whichever chain scores best."""
 
-    def run(found: list[dict], tokens: list, names: list[str]) -> dict:
-        cols = [np.array([x[k] for x in found], t) for k, t in (("line_id", np.int64), ("t0", float), ("t1", float), ("score", float))]
-        out = []
-        for k in M.best_chain(*cols):
-            c = dict(found[k])
+    def cut(align_lines: list[str]) -> dict:
+        return {"tokens": [[{"norm": t, "raw": w} for t, w in M.tokens_of(x or "")] for x in align_lines]}
+
+    def run(tokens: list, slices: list[dict], aligned: list[dict], heard: list[dict]) -> dict:
+        norms, names = [[t["norm"] for t in x] for x in tokens], _names(heard)
+        chain, counts = M.chosen(norms, names, _times(heard), [None if s["from"] is None else (s["from"], s["to"]) for s in slices], _times(aligned), alpha, margin, ratio, fallback)
+        for c in chain:
             if c["source"] == "transcribe":
-                c["pairs"] = M.lockstep([t["norm"] for t in tokens[c["line_id"]]], names[c["from"] : c["to"]], M.LOOKAHEAD, M.LOOKAHEAD, confirm=1, budget=1)
-            out.append(c)
-        return {"chain": out}
+                c["pairs"] = M.lockstep(norms[c["line_id"]], names[c["from"] : c["to"]], M.LOOKAHEAD, M.LOOKAHEAD, confirm=1, budget=1)
+        return {"chain": chain} | counts
 
-    ready = prepared(table, ratio, margin, fallback).withColumn("candidates", candidates(alpha))
-    chosen = songs(ready, ["candidates", "tokens", "names"], {"chain": _CHAIN}, run)
+    ready = songs(table, ["align_lines"], {"tokens": _TOKENS}, cut).withColumn("slices", ranges(F.transform("tokens", lambda t: F.size(t)), F.size("aligned")))
+    chosen = songs(ready, ["tokens", "slices", "aligned", "heard"], {"chain": _CHAIN} | dict.fromkeys(_COUNTS, "int"), run)
 
     def line(c: Column) -> Column:
         words = F.when(c["source"] == "align", _aligned_words(c)).otherwise(_heard_words(c))
         return _line(c["line_id"], F.get("lines", c["line_id"]), words, _first(words)["start"], F.try_element_at(words, F.lit(-1))["end"], c["source"])
 
     won = chosen.withColumn("placed", F.transform("chain", line)).withColumn("placed", interpolated(F.col("placed"), F.size("lines"), _song_end()))
-    count = lambda name, keep: F.size(F.filter(name, keep))
+    count = lambda source: F.size(F.filter("placed", lambda o: o["source"] == source))
     return won.withColumns({
-        "n_lines": F.size("lines"), "n_align_words": F.size("aligned"), "n_transcribe_words": F.size("heard"), "n_main_candidates": count("windows", lambda w: ~w["rescued"]), "n_anchor_candidates": count("windows", lambda w: w["rescued"]),
-        "n_align_candidates": count("candidates", lambda c: c["source"] == "align"), "n_selected": F.size("chain"), "align_won": count("placed", lambda o: o["source"] == "align"), "transcribe_won": count("placed", lambda o: o["source"] == "transcribe"),
+        "n_lines": F.size("lines"), "n_align_words": F.size("aligned"), "n_transcribe_words": F.size("heard"), "n_selected": F.size("chain"), "align_won": count("align"), "transcribe_won": count("transcribe"),
         "interpolated": F.transform(F.filter("placed", lambda o: o["source"] == "interp"), lambda o: o["line_id"]), "score": F.aggregate("chain", F.lit(0.0), lambda a, c: a + c["score"]),
     })
 
@@ -239,25 +199,35 @@ def joint(table: DataFrame, **knobs: float) -> DataFrame:
 # repair and prior
 
 
-def _anchors_and_suspects(placed: DataFrame) -> DataFrame:
+def _anchors_and_suspects(placed: DataFrame, margin: float = M.MARGIN, ratio: float = M.EDIT_RATIO) -> DataFrame:
     """placement with `anchors` (line_id, start, end) and `suspects` (line ids). Lines without tokens are
     neither; a line that nothing placed is suspect; the rest is judged by how much of it was heard there."""
 
-    def judged(o: Column) -> Column:
-        k = o["line_id"]
+    def run(objects: list[dict], tokens: list, heard: list[dict]) -> dict:
+        names, starts = _names(heard), np.array([w["start"] for w in heard], float)
+        out = []
+        for o in objects:
+            line = [t["norm"] for t in tokens[o["line_id"]]]
+            if not line or o["start"] is None:
+                out.append(0.0)
+                continue
+            lo, hi = np.searchsorted(starts, [o["start"] - margin, o["end"] + margin])
+            out.append(M.heard_in(line, names, lo, hi, ratio)[0] / len(line))
+        return {"shares": out}
+
+    def judged(o: Column, k: Column) -> Column:
         norms = lambda t: F.transform(t, lambda x: x["norm"])
-        n = F.size(F.get("tokens", k))
-        heard = heard_in(k, o["start"], o["end"])[0] / n
+        n, share = F.size(F.get("tokens", o["line_id"])), F.get("shares", k)
         unplaced = ~o["source"].isin("align", "transcribe") | o["start"].isNull()
-        alone = F.size(F.filter("tokens", lambda t: norms(t) == norms(F.get("tokens", k)))) == 1
+        alone = F.size(F.filter("tokens", lambda t: norms(t) == norms(F.get("tokens", o["line_id"])))) == 1
         return F.struct(
-            k.alias("line_id"), o["start"].alias("start"), o["end"].alias("end"), ((n > 0) & (unplaced | (heard < M.SUSPECT_RATIO))).alias("suspect"),
-            (~unplaced & (n >= M.ANCHOR_TOKENS) & alone & (heard >= M.ANCHOR_RATIO)).alias("anchor"),
+            o["line_id"].alias("line_id"), o["start"].alias("start"), o["end"].alias("end"), ((n > 0) & (unplaced | (share < M.SUSPECT_RATIO))).alias("suspect"),
+            (~unplaced & (n >= M.ANCHOR_TOKENS) & alone & (share >= M.ANCHOR_RATIO)).alias("anchor"),
         )
 
-    known = placed.withColumn("judged", F.transform("placed", judged))
+    known = songs(placed, ["placed", "tokens", "heard"], {"shares": "array<double>"}, run).withColumn("judged", F.transform("placed", judged))
     anchors = F.transform(F.filter("judged", lambda j: j["anchor"]), lambda j: F.struct(j["line_id"].alias("line_id"), j["start"].alias("start"), j["end"].alias("end")))
-    return known.withColumns({"anchors": anchors, "suspects": F.transform(F.filter("judged", lambda j: j["suspect"]), lambda j: j["line_id"])}).drop("judged")
+    return known.withColumns({"anchors": anchors, "suspects": F.transform(F.filter("judged", lambda j: j["suspect"]), lambda j: j["line_id"])}).drop("judged", "shares")
 
 
 def spans(anchors: Column, n_lines: Column, duration: Column, pad: float = M.SLICE_PAD) -> Column:
@@ -325,6 +295,12 @@ def with_prior(table: DataFrame, source: str = "srt") -> DataFrame:
     """joint, then gross errors corrected and gaps filled from cue times (cues: line_id, start, end), if the
     anchors agree on one offset to them: median and median absolute deviation of anchor less cue start."""
     base = _anchors_and_suspects(placement(table)).withColumn("cues", F.coalesce("cues", F.array().cast("array<struct<line_id:int,start:double,end:double>>")))
+    return corrected(base, source).drop("anchors", "suspects", *_WORK, *STATS)
+
+
+def corrected(base: DataFrame, source: str = "srt") -> DataFrame:
+    """base (placed, anchors, cues, lines, tokens) with `placed` moved to the cues where they say so, n_fit,
+    offset, spread, why it bailed out, and the lines snapped and filled."""
     off = F.array_compact(F.transform("anchors", lambda a: a["start"] - _of_line(F.col("cues"), a["line_id"])["start"]))
     few = F.col("n_fit") < M.MIN_ANCHORS
     fitted = base.withColumn("off", off).withColumn("n_fit", F.size("off")).withColumn("offset", F.when(~few, middle(F.col("off"))))
@@ -349,7 +325,7 @@ def with_prior(table: DataFrame, source: str = "srt") -> DataFrame:
 
     done = fitted.withColumn("moved", F.transform("placed", moved))
     ids = lambda what: F.transform(F.filter("moved", lambda m: m["what"] == what), lambda m: m["line"]["line_id"])
-    return done.withColumns({"placed": F.transform("moved", lambda m: m["line"]), "snapped": ids("snapped"), "filled": ids("filled")}).drop("moved", "off", "anchors", "suspects", *_WORK, *STATS)
+    return done.withColumns({"placed": F.transform("moved", lambda m: m["line"]), "snapped": ids("snapped"), "filled": ids("filled")}).drop("moved", "off")
 
 
 # native pieces
@@ -396,6 +372,25 @@ def neighbours(rows: DataFrame, key: str, order: str, start: str, end: str) -> D
     return rows.withColumn("prev_end", F.last(end, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("next_start", F.first(start, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
 
 
+def cue_ends(cues: DataFrame, key: str, order: list[str], hold: float = 4.0) -> DataFrame:
+    """cues (start) with `end`: where the next one starts; the last holds a while."""
+    w = W.partitionBy(key).orderBy(*order)
+    return cues.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("start") + hold))
+
+
+def word_gaps(words: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """words (start, end) with `gap`: the silence before each; the first has none."""
+    w = W.partitionBy(key).orderBy(*order)
+    return words.withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(w), F.col("start")))
+
+
+def unique_sequences(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `is_unique`: no other row has an equal sequence. Counted by aggregation, so that a sequence that
+    many rows have is no group of rows."""
+    counts = rows.groupBy(F.col(column).alias("__seq")).agg(F.count("*").alias("__n"))
+    return rows.join(counts, F.col(column) == F.col("__seq")).withColumn("is_unique", F.col("__n") == 1).drop("__seq", "__n")
+
+
 def spread_runs(rows: DataFrame, key: str, order: str) -> DataFrame:
     """rows (start, end, null where unmatched): runs of unmatched rows share the gap between their neighbours evenly."""
     w = W.partitionBy(key).orderBy(order)

@@ -125,10 +125,11 @@ def migrate(spark: SparkSession, sf: str) -> DataFrame:
     return C.migrate(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("file_path"), F.lit("mp4").alias("format")))
 
 
-@query("SELECT 1000000 + row_number() OVER (ORDER BY p_name, p_partkey) AS id, p_name || '#' || lpad(p_partkey::VARCHAR, 9, '0') AS file_path FROM part".replace("ORDER BY p_name, p_partkey", "ORDER BY p_name || '#' || lpad(p_partkey::VARCHAR, 9, '0')"))
+@query("SELECT 1000000 + row_number() OVER (ORDER BY p_name || '#' || lpad(p_partkey::VARCHAR, 9, '0')) AS id, p_name || '#' || lpad(p_partkey::VARCHAR, 9, '0') AS file_path, p_brand AS artist, p_size AS year FROM part")
 def register_downloads(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").select(F.lit(0).cast("bigint").alias("id"), F.concat("p_name", F.lit("#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("file_path"))
-    return C.with_ids(spark.createDataFrame([(1_000_000, "first")], "id bigint, file_path string"), rows).select("id", "file_path")
+    path = F.concat("p_name", F.lit("#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    rows = table(spark, sf, "part").select(F.lit(0).cast("bigint").alias("id"), path.alias("file_path"), F.col("p_brand").alias("artist"), F.col("p_size").alias("year"))
+    return C.with_ids(spark.createDataFrame([(1_000_000, "first")], "id bigint, file_path string"), rows)
 
 
 @query("SELECT c_name AS key, CASE WHEN c_custkey % 3 = 0 THEN 'given' WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'default' END AS value, CASE WHEN c_custkey % 3 = 0 THEN 'given' WHEN c_custkey % 2 = 0 THEN 'stored' ELSE 'default' END AS origin FROM customer")
@@ -142,17 +143,17 @@ def settings_precedence(spark: SparkSession, sf: str) -> DataFrame:
 def batch_lookup(spark: SparkSession, sf: str) -> DataFrame:
     keys = table(spark, sf, "orders").where("o_orderkey % 9 = 0").select("o_orderkey")
     states = table(spark, sf, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
-    return keys.join(states, "o_orderkey")
+    return C.found_of(keys, states, "o_orderkey")
 
 
 @query("SELECT k AS c_custkey, c_acctbal FROM (VALUES (1::BIGINT), (2::BIGINT), (-5::BIGINT)) t(k) LEFT JOIN customer ON c_custkey = k")
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(1,), (2,), (-5,)], "c_custkey bigint").join(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "left")
+    return C.stored_of(spark.createDataFrame([(1,), (2,), (-5,)], "c_custkey bigint"), table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
 
 
 @query("SELECT count(*) AS songs, count(DISTINCT p_type) AS kinds FROM part")
 def library_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").agg(F.count("*").alias("songs"), F.count_distinct("p_type").alias("kinds"))
+    return C.stats(table(spark, sf, "part"), "p_type")
 
 
 _ART = """WITH p AS (SELECT 'lib/s' || page_id AS stem, page_id FROM pages),
@@ -225,9 +226,9 @@ def blocked_words(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", B.blocked(F.col("p_name"), "re, , BLUE").alias("blocked"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 1)")
 def exclude_queued(spark: SparkSession, sf: str) -> DataFrame:
-    return C.delete_keys(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return C.delete_keys(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").where("o_custkey % 3 <> 1").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""WITH j AS (SELECT user_id AS doc_id, arg_max(event_type, event_id) AS job_status FROM events GROUP BY 1)
@@ -236,7 +237,7 @@ def enrich_left(spark: SparkSession, sf: str) -> DataFrame:
     states = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "ready").otherwise("failed").alias("pipeline_state"))
     jobs = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
     rows = table(spark, sf, "documents").select("doc_id", "source")
-    return B.enrich(rows, states, jobs, None, "doc_id").withColumn("is_active", F.col("doc_id") == 7)
+    return B.enrich(rows, states, jobs, 7, "doc_id")
 
 
 @query("SELECT lpad((page_id * 2)::VARCHAR, 11, 'v') AS video_id, CASE WHEN (page_id * 2) <= (SELECT max(page_id) FROM pages) AND (page_id * 2) IN (SELECT page_id FROM pages) THEN 'lib/s---' || lpad((page_id * 2)::VARCHAR, 11, 'v') || '.mp4' END AS local_path FROM pages")
@@ -253,16 +254,10 @@ def rename_scan(spark: SparkSession, sf: str) -> DataFrame:
     return B.rename_page(p, "p_name", "suggestion", "p_partkey", 20)
 
 
-@query()
-def random_sample(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("file_path"))
-    return B.sample(d, d.where("file_path % 10 = 0"), 25)
-
-
 @query("SELECT page_id, NOT coalesce(page_id % 4 = 0, false) AS accepted FROM pages")
 def enqueue_gate(spark: SparkSession, sf: str) -> DataFrame:
     state = F.when(F.col("page_id") % 8 == 0, "pending").when(F.col("page_id") % 4 == 0, "failed").otherwise("ready")
-    return table(spark, sf, "pages").select("page_id", (~state.isin("pending", "failed")).alias("accepted"))
+    return table(spark, sf, "pages").select("page_id", C.accepts(state).alias("accepted"))
 
 
 @query("SELECT page_id, split_part(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^.*@', ''), '.', 1) AS head, regexp_matches(lpad(page_id::VARCHAR, CASE WHEN page_id % 2 = 0 THEN 11 ELSE 10 END, 'x'), '^[A-Za-z0-9_-]{11}$') AS valid FROM pages")
@@ -275,9 +270,9 @@ def id_validity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT source FROM documents")
 def distinct_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("source").distinct()
+    return C.distinct_of(table(spark, sf, "documents"), "source")
 
 
-@query("SELECT regexp_extract(url, '[^/]*$') AS name, count(*) AS n, list_sort(list(page_id)) AS pages FROM pages GROUP BY 1")
+@query("SELECT regexp_extract(url, '[^/]*$') AS name, count(*) AS n, min(url) AS first, max(url) AS last FROM pages GROUP BY 1")
 def group_by_basename(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").groupBy(T.basename(F.col("url")).alias("name")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("page_id")).alias("pages"))
+    return C.by_basename(table(spark, sf, "pages"), "url")

@@ -9,10 +9,11 @@ from .base import query, table
 
 
 def songs(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per conversation: its turns as lines, words aligned 0.6 s apart, and heard words with gaps:
-    every seventh is missing, and from the fourth line on they come 4 s later than aligned."""
-    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("song"), "turn", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("line"))
-    t = turns.groupBy("song").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")).select("song", F.col("ls.line").alias("lines"))
+    """One row per conversation: the sentences of its turns as lines, words aligned 0.6 s apart, and heard words
+    with gaps: every seventh is missing, and from the fourth line on they come 4 s later than aligned."""
+    sentences = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), r"(?<=[.!?]) ")
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("song"), "turn", sentences.alias("said"))
+    t = turns.groupBy("song").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("ls")).select("song", F.flatten("ls.said").alias("lines"))
     t = t.withColumn("flat", F.flatten(F.transform("lines", lambda line, i: F.transform(F.filter(F.split(line, " "), lambda w: w.rlike(r"[\p{L}\p{N}_]")), lambda w: F.struct(w.alias("word"), i.alias("line"))))))
     timed = lambda extra: F.transform("flat", lambda x, i: F.struct(x["word"].alias("word"), (i * 0.6 + extra(x)).alias("start"), (i * 0.6 + 0.5 + extra(x)).alias("end"), i.alias("i")))
     aligned = F.transform(timed(lambda x: F.lit(0.0)), lambda w: w.dropFields("i"))
@@ -46,7 +47,7 @@ def global_align(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def render_script(spark: SparkSession, sf: str) -> DataFrame:
-    placed = S.joint(songs(spark, sf)).select("song", F.inline("placed"))
+    placed = S.joint(songs(spark, sf)).select("song", F.inline_outer("placed")).where("line_id is not null")
     return R.karaoke_script(placed, "song")
 
 
@@ -56,38 +57,163 @@ def bundle_summary(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("song", S.summary(F.col("placed")).alias("s")).select("song", "s.*", R.bundle({"summary": F.col("s")}).alias("bundle"))
 
 
+# windows and chains
+
+
+_SAID = r"""s AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, turn, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS ls FROM conversations)),
+l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS line_id, list_filter(string_split(regexp_replace(lower(line), '[^\p{L}\p{N}_ ]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM s),
+h AS (SELECT conv_id, list_transform(list_filter(list_zip(ws, range(0, len(ws)::BIGINT)), lambda x: x[2] % 5 <> 4), lambda x: x[1]) AS hs FROM (SELECT conv_id, flatten(list(ws ORDER BY line_id)) AS ws FROM l GROUP BY 1)),
+e AS (SELECT l.conv_id, line_id, len(ws) AS n, len(hs) AS m, array_to_string(list_transform(ws, lambda x: chr((32 + list_position(ws, x))::INTEGER)), '') AS a, array_to_string(list_transform(hs, lambda x: chr((32 + coalesce(nullif(list_position(ws, x), 0), 94))::INTEGER)), '') AS b FROM l JOIN h ON h.conv_id = l.conv_id),
+z AS (SELECT *, unnest(range(greatest(1, n - 2), n + 4)) AS size FROM e WHERE n > 0),
+w AS (SELECT conv_id, line_id, n, a, size, start, substr(b, start + 1, size) AS win FROM (SELECT *, unnest(range(0, m - size + 1)) AS start FROM z WHERE m >= size)),"""
+
+
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Per conversation its sentences and what was heard of them (four words of five), as tokens. A sentence has
+    93 words at most in the given tables, which lets the SQL use one letter a word."""
+    said = F.split(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), r"([.!?]) ", "$1\n"), "\n")
+    tokens = F.transform(said, lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_ ]", ""), " "), lambda w: w != ""))
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("song"), F.struct("turn", tokens.alias("ls")).alias("t"))
+    g = t.groupBy("song").agg(F.array_sort(F.collect_list("t")).alias("ts")).select("song", F.flatten("ts.ls").alias("lines"))
+    return g.withColumn("heard", F.filter(F.flatten("lines"), lambda w, i: i % 5 != 4))
+
+
+def _found(df: DataFrame, rescued: bool) -> DataFrame:
+    rows = df.select("song", F.inline_outer("windows")).where(F.col("rescued") == rescued)
+    return rows.select("song", *(F.col(c).cast("bigint").alias(c) for c in ("line_id", "from", "to", "score")))
+
+
+@query(f"""WITH {_SAID} d AS (SELECT *, levenshtein(a, win) AS d FROM w) SELECT conv_id AS song, line_id, start AS "from", start + size AS "to", n - d AS score FROM d WHERE d <= greatest(1, floor(n * 0.25)) AND n - d >= least(2, n)""")
+def fuzzy_window(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(S.windows(_sentences(spark, sf), ratio=0.25, fallback=False), False)
+
+
+@query(f"""WITH {_SAID} d AS (SELECT *, levenshtein(a, win) AS d FROM w), f AS (SELECT DISTINCT conv_id, line_id FROM d WHERE d <= greatest(1, floor(n * 0.1)) AND n - d >= least(2, n)),
+o AS (SELECT w.*, greatest(3, n // 3) AS need FROM w ANTI JOIN f ON f.conv_id = w.conv_id AND f.line_id = w.line_id),
+k AS (SELECT *, list_max(list_filter(range(need, n + 1), lambda k: len(list_filter(range(1, n - k + 2), lambda i: contains(win, substr(a, i, k)))) > 0)) AS score FROM o WHERE n >= need AND len(list_filter(range(1, n - need + 2), lambda i: contains(win, substr(a, i, need)))) > 0)
+SELECT conv_id AS song, line_id, start AS "from", start + size AS "to", score FROM k""")
+def anchor_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(S.windows(_sentences(spark, sf), ratio=0.1), True)
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY line_id, t0, t1, score) AS i, line_id, t0, t1, score FROM (SELECT user_id, event_id % 12 AS line_id, (event_id % 97)::DOUBLE AS t0, (event_id % 97 + abs(value) % 9)::DOUBLE AS t1, round_even(abs(value), 0) + 1 AS score FROM events)),
+g AS (SELECT user_id, count(*) AS n, list(line_id ORDER BY i) AS ls, list(t0 ORDER BY i) AS a, list(t1 ORDER BY i) AS b, list(score ORDER BY i) AS s FROM c GROUP BY 1),
+r AS (SELECT user_id, 0::BIGINT AS i, []::DOUBLE[] AS total, []::BIGINT[] AS link FROM g
+  UNION ALL SELECT user_id, i + 1, list_append(total, s[i + 1] + greatest(best, 0)), list_append(link, CASE WHEN best > 0 THEN list_position(sums, best) ELSE 0 END)
+  FROM (SELECT *, coalesce(list_max(sums), 0) AS best FROM (SELECT r.user_id, r.i, total, link, s, list_transform(range(1, r.i + 1), lambda j: CASE WHEN ls[j] < ls[r.i + 1] AND b[j] <= a[r.i + 1] THEN total[j] END) AS sums FROM r JOIN g ON g.user_id = r.user_id WHERE r.i < n))),
+t AS (SELECT r.user_id, link, list_position(total, list_max(total)) AS pos FROM r JOIN g ON g.user_id = r.user_id WHERE r.i = n),
+p AS (SELECT user_id, link, pos FROM t UNION ALL SELECT user_id, link, link[pos] FROM p WHERE link[pos] > 0)
+SELECT p.user_id AS song, line_id, t0, t1, score FROM p JOIN c ON c.user_id = p.user_id AND c.i = p.pos""")
+def interval_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("event_id")
+    c = F.struct((n % 12).cast("int").alias("line_id"), (n % 97).cast("double").alias("t0"), (n % 97 + F.abs("value") % 9).cast("double").alias("t1"), (F.bround(F.abs("value"), 0) + 1).alias("score"))
+    g = table(spark, sf, "events").groupBy(F.col("user_id").alias("song")).agg(F.array_sort(F.collect_list(c)).alias("candidates"))
+    return S.schedule(g).select("song", F.inline_outer("chain")).where("line_id is not null").withColumn("line_id", F.col("line_id").cast("bigint"))
+
+
+_SRT = "lpad((({0}) // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((({0}) % 1000)::VARCHAR, 3, '0')"
+
+
+@query(f"SELECT conv_id, string_agg((turn + 1)::VARCHAR || chr(10) || {_SRT.format('turn * 2250')} || ' --> ' || {_SRT.format('turn * 2250 + 1125')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS srt FROM conversations WHERE turn % 5 <> 3 AND text IS NOT NULL GROUP BY 1")
+def render_captions(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("turn")
+    words = F.when(t % 5 != 3, F.array("role")).otherwise(F.array().cast("array<string>"))
+    lines = table(spark, sf, "conversations").where("text is not null").select("conv_id", t.alias("line_id"), "text", words.alias("words"), (t * 2.25).alias("start"), (t * 2.25 + 1.125).alias("end"))
+    return R.captions(lines, "conv_id")
+
+
+# repair and prior on placed lines
+
+
+_PLACED = """l AS (SELECT conv_id, turn AS k, CASE WHEN turn % 4 <> 3 THEN turn * 10.0 + (conv_id % 7) / 2.0 END::DOUBLE AS start, CASE WHEN turn % 4 <> 3 THEN turn * 10.0 + 4 END::DOUBLE AS "end" FROM conversations)"""
+
+
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as placed lines, every fourth without a place, and cues that lag by four seconds, some by nine."""
+    t, n = F.col("turn"), F.col("conv_id")
+    there = t % 4 != 3
+    o = F.struct(t.cast("int").alias("line_id"), F.when(there, t * 10.0 + (n % 7) / 2.0).alias("start"), F.when(there, t * 10.0 + 4.0).cast("double").alias("end"))
+    return table(spark, sf, "conversations").groupBy(n.alias("song")).agg(F.array_sort(F.collect_list(o)).alias("placed"))
+
+
+@query(f"""WITH {_PLACED}, n AS (SELECT conv_id, max(k) + 1 AS n, max(k) * 10.0 + 20 AS d FROM l GROUP BY 1),
+e AS (SELECT conv_id, k, start, "end" FROM l WHERE k % 3 = 1 AND start IS NOT NULL UNION ALL SELECT conv_id, -1, 0.0, 0.0 FROM n UNION ALL SELECT conv_id, n, d, d FROM n),
+p AS (SELECT conv_id, k AS a, start AS s, lead(k) OVER w AS b, lead("end") OVER w AS e FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY k))
+SELECT conv_id AS song, a AS after, b AS before, greatest(s - 0.75, 0.0)::DOUBLE AS t0, least(e + 0.75, d)::DOUBLE AS t1 FROM p JOIN n USING (conv_id) WHERE b - a > 1""")
+def repair_spans(spark: SparkSession, sf: str) -> DataFrame:
+    anchors = F.filter("placed", lambda o: (o["line_id"] % 3 == 1) & o["start"].isNotNull())
+    n = F.try_element_at("placed", F.lit(-1))["line_id"]
+    spans = _placed(spark, sf).select("song", F.inline_outer(S.spans(anchors, n + 1, (n * 10.0 + 20).cast("double")))).where("after is not null")
+    return spans.select("song", F.col("after").cast("bigint").alias("after"), F.col("before").cast("bigint").alias("before"), "t0", "t1")
+
+
+@query(f"""WITH {_PLACED}, m AS (SELECT conv_id, k, start AS old, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 2 THEN k * 10.0 - 9 ELSE k * 10.0 + 1 END AS new, k % 2 = 1 AS heard FROM l),
+c AS (SELECT conv_id, max(k) AS last, max(k) // 2 AS b FROM l GROUP BY 1), e AS (SELECT c.*, (SELECT "end" FROM l WHERE l.conv_id = c.conv_id AND k = 0) - 0.5 AS low, (SELECT start FROM l WHERE l.conv_id = c.conv_id AND k = b) + 0.5 AS high FROM c),
+v AS (SELECT m.conv_id, k, CASE WHEN NOT (k > 0 AND k < b) OR (old IS NULL AND NOT heard) OR (new IS NOT NULL AND (coalesce(new < low, false) OR coalesce(new + 2 > high, false))) THEN old ELSE new END AS start FROM m JOIN e USING (conv_id))
+SELECT conv_id AS song, k AS line_id, start::DOUBLE AS start FROM v WHERE start IS NOT NULL""")
+def repair_merge(spark: SparkSession, sf: str) -> DataFrame:
+    k = lambda o: o["line_id"]
+    words = lambda there, s: F.when(there, F.array(F.struct(F.lit("w").alias("word"), s.alias("start"), s.alias("end")))).otherwise(F.array().cast(S.WORDS))
+    line = lambda o, s, e, said: F.struct(k(o).alias("line_id"), F.lit("").alias("text"), words(s.isNotNull(), s).alias("words"), s.alias("start"), e.alias("end"), said.alias("source"))
+    first = F.transform("placed", lambda o: line(o, o["start"], o["end"], F.lit("align")))
+    new_start = lambda o: F.when(k(o) % 6 == 0, None).when(k(o) % 6 == 2, k(o) * 10.0 - 9).otherwise(k(o) * 10.0 + 1).cast("double")
+    again = F.transform("placed", lambda o: line(o, new_start(o), new_start(o) + 2, F.when(k(o) % 2 == 1, "transcribe").otherwise("align")))
+    last = F.try_element_at("placed", F.lit(-1))["line_id"]
+    p = _placed(spark, sf).withColumns({"first": first, "n": last + 1, "results": F.array(F.struct(F.lit(0).alias("after"), F.floor(last / 2).cast("int").alias("before"), again.alias("placed")))})
+    out = p.select("song", F.inline_outer(S.merged(F.col("first"), F.col("results"), F.col("n"), F.lit(0.0)))).where("source <> 'interp'")
+    return out.select("song", F.col("line_id").cast("bigint").alias("line_id"), "start")
+
+
+@query(f"""WITH {_PLACED}, q AS (SELECT *, k * 10.0 - 4 + CASE WHEN k % 5 = 2 THEN -9 ELSE 0 END AS cue FROM l), f AS (SELECT conv_id, count(*) AS n_fit, median(start - cue) AS med FROM q WHERE start IS NOT NULL AND k % 3 <> 0 GROUP BY 1),
+d AS (SELECT conv_id, n_fit, any_value(med) AS med, median(abs(start - cue - med)) AS mad FROM q JOIN f USING (conv_id) WHERE start IS NOT NULL AND k % 3 <> 0 GROUP BY 1, 2),
+a AS (SELECT q.conv_id, k, start, greatest(cue + med, 0.0) AS target, n_fit, CASE WHEN coalesce(n_fit, 0) < 4 THEN 'few_anchors' WHEN mad > 0.75 THEN 'wide_spread' END AS bailed FROM q LEFT JOIN d USING (conv_id))
+SELECT conv_id AS song, k AS line_id, bailed, CASE WHEN bailed IS NOT NULL THEN coalesce(start, 0.0) WHEN start IS NULL OR abs(target - start) > 2 THEN target ELSE start END::DOUBLE AS start FROM a""")
+def prior_moves(spark: SparkSession, sf: str) -> DataFrame:
+    word = lambda s, e: F.array(F.struct(F.lit("w").alias("word"), s.alias("start"), e.alias("end")))
+    line = lambda o: F.struct(o["line_id"].alias("line_id"), F.lit("w").alias("text"), F.when(o["start"].isNotNull(), word(o["start"], o["end"])).otherwise(F.array().cast(S.WORDS)).alias("words"), F.coalesce(o["start"], F.lit(0.0)).alias("start"), F.coalesce(o["end"], F.lit(0.0)).alias("end"), F.lit("align").alias("source"))
+    lag = lambda o: o["line_id"] * 10.0 - 4 + F.when(o["line_id"] % 5 == 2, -9.0).otherwise(0.0)
+    p = _placed(spark, sf).withColumns({
+        "anchors": F.filter("placed", lambda o: o["start"].isNotNull() & (o["line_id"] % 3 != 0)), "lines": F.transform("placed", lambda o: F.lit("w")), "tokens": F.transform("placed", lambda o: F.array(F.struct(F.lit("w").alias("norm"), F.lit("w").alias("raw")))),
+        "cues": F.transform("placed", lambda o: F.struct(o["line_id"].alias("line_id"), lag(o).cast("double").alias("start"), (lag(o) + 3).cast("double").alias("end"))),
+    })
+    out = S.corrected(p.withColumn("placed", F.transform("placed", line)))
+    return out.select("song", "bailed", F.inline_outer("placed")).select("song", F.col("line_id").cast("bigint").alias("line_id"), "bailed", "start")
+
+
 # pieces with an oracle
 
 
-@query("""WITH w AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS start FROM events), r AS (SELECT user_id, event_id AS range_id, epoch(ts)::DOUBLE AS t0, epoch(ts)::DOUBLE + 3600 AS t1 FROM events WHERE event_id % 50 = 0)
-SELECT range_id, count(*) AS n FROM r JOIN w ON w.user_id = r.user_id AND start >= t0 - 0.3 AND start < t1 + 0.3 GROUP BY 1""")
+@query("""WITH w AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS start FROM events)
+SELECT r.event_id AS range_id, count(*) AS n FROM w r JOIN w ON w.user_id = r.user_id AND w.start >= r.start - 0.3 AND w.start < r.start + 3600 + 0.3 GROUP BY 1""")
 def range_join(spark: SparkSession, sf: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     e = table(spark, sf, "events").select(F.col("user_id").alias("song"), "event_id", at.alias("start"))
-    r = e.where("event_id % 50 = 0").select("song", F.col("event_id").alias("range_id"), F.col("start").alias("t0"), (F.col("start") + 3600).alias("t1"))
+    r = e.select("song", F.col("event_id").alias("range_id"), F.col("start").alias("t0"), (F.col("start") + 3600).alias("t1"))
     return S.words_in_range(e, r, width=3600.0).groupBy("range_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH t AS (SELECT conv_id, len(list(turn)) AS n_lines FROM conversations GROUP BY 1), l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_id, (turn * 7) % 5 AS n FROM conversations),
-c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY line_id) AS upto FROM l) SELECT conv_id AS song, line_id, (CASE WHEN n > 0 THEN upto - n END)::BIGINT AS "from", (CASE WHEN n > 0 THEN upto END)::BIGINT AS "to" FROM c""")
+@query("""WITH RECURSIVE l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_id, (turn * 7 + conv_id) % 5 AS n FROM conversations), g AS (SELECT conv_id, list(n ORDER BY line_id) AS ns FROM l GROUP BY 1),
+r AS (SELECT conv_id, -1::BIGINT AS line_id, ns, 0::BIGINT AS pos, NULL::BIGINT AS f, NULL::BIGINT AS t FROM g
+  UNION ALL SELECT conv_id, line_id + 1, ns, CASE WHEN fits THEN pos + n ELSE pos END, CASE WHEN fits THEN pos END, CASE WHEN fits THEN pos + n END FROM (SELECT *, ns[line_id + 2] AS n, ns[line_id + 2] > 0 AND pos + ns[line_id + 2] <= 5 + conv_id % 4 AS fits FROM r WHERE line_id + 1 < len(ns)))
+SELECT conv_id AS song, line_id, f AS "from", t AS "to" FROM r WHERE line_id >= 0""")
 def align_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("song")).agg(F.array_sort(F.collect_list(F.struct("turn", ((F.col("turn") * 7) % 5).cast("int").alias("n")))).alias("x")).select("song", F.col("x.n").alias("sizes"))
-    n = t.select("song", F.lit(1_000_000).alias("n"))
-    return S.token_ranges(t, n).select("song", *(F.col(c).cast("bigint").alias(c) for c in ("line_id", "from", "to")))
+    """Five to eight aligned words a song, so that lines overflow and shorter ones follow."""
+    n = ((F.col("turn") * 7 + F.col("conv_id")) % 5).cast("int")
+    t = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("song")).agg(F.array_sort(F.collect_list(F.struct("turn", n.alias("n")))).alias("x")).select("song", F.col("x.n").alias("sizes"))
+    return S.token_ranges(t, t.select("song", (5 + F.col("song") % 4).cast("int").alias("n"))).select("song", *(F.col(c).cast("bigint").alias(c) for c in ("line_id", "from", "to")))
 
 
 @query("SELECT user_id, event_id, coalesce(lead(epoch(ts)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch(ts)::DOUBLE + 4.0) AS \"end\" FROM events")
 def cue_lead(spark: SparkSession, sf: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", F.coalesce(F.lead(at).over(w), at + 4.0).alias("end"))
+    return S.cue_ends(table(spark, sf, "events").withColumn("start", at), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "end")
 
 
 @query("SELECT user_id, event_id, epoch(ts)::DOUBLE - coalesce(lag(epoch(ts)::DOUBLE + 1) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch(ts)::DOUBLE) AS gap FROM events")
 def gaps(spark: SparkSession, sf: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", (at - F.coalesce(F.lag(at + 1).over(w), at)).alias("gap"))
+    e = table(spark, sf, "events").withColumns({"start": at, "end": at + 1})
+    return S.word_gaps(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "gap")
 
 
 _MASK = "SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN event_id::DOUBLE END AS s, CASE WHEN event_id % 3 = 0 THEN event_id + 0.5::DOUBLE END AS e FROM events"
@@ -103,20 +229,17 @@ def nearest_placed(spark: SparkSession, sf: str) -> DataFrame:
     return S.neighbours(_masked(spark, sf), "user_id", "event_id", "start", "end").select("user_id", "event_id", "prev_end", "next_start")
 
 
-@query(f"""WITH m AS ({_MASK}), r AS (SELECT *, count(s) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m),
-g AS (SELECT user_id, run, count(*) FILTER (s IS NULL) AS k, coalesce(max(e), 0.0) AS lo FROM r GROUP BY 1, 2), h AS (SELECT r.*, lo, k, coalesce((SELECT min(s) FROM m x WHERE x.user_id = r.user_id AND x.event_id > r.event_id AND s IS NOT NULL), lo) AS hi,
-row_number() OVER (PARTITION BY r.user_id, r.run, s IS NULL ORDER BY event_id) - 1 AS k0 FROM r JOIN g USING (user_id, run))
-SELECT user_id, event_id, CASE WHEN s IS NULL THEN lo + k0 * ((greatest(hi, lo) - lo) / k) ELSE s END AS start, CASE WHEN s IS NULL THEN lo + (k0 + 1) * ((greatest(hi, lo) - lo) / k) ELSE e END AS "end" FROM h WHERE user_id < 20""")
+@query(f"""WITH m AS ({_MASK}), r AS (SELECT *, count(s) OVER (PARTITION BY user_id ORDER BY event_id) AS run, first_value(s IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM m),
+g AS (SELECT user_id, run, count(*) FILTER (s IS NULL) AS k, coalesce(max(e), 0.0) AS lo FROM r GROUP BY 1, 2), h AS (SELECT r.*, lo, k, coalesce(nxt, lo) AS hi, row_number() OVER (PARTITION BY r.user_id, r.run, s IS NULL ORDER BY event_id) - 1 AS k0 FROM r JOIN g USING (user_id, run))
+SELECT user_id, event_id, CASE WHEN s IS NULL THEN lo + k0 * ((greatest(hi, lo) - lo) / k) ELSE s END AS start, CASE WHEN s IS NULL THEN lo + (k0 + 1) * ((greatest(hi, lo) - lo) / k) ELSE e END AS "end" FROM h""")
 def spread_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return S.spread_runs(_masked(spark, sf).where("user_id < 20"), "user_id", "event_id").select("user_id", "event_id", "start", "end")
+    return S.spread_runs(_masked(spark, sf), "user_id", "event_id").select("user_id", "event_id", "start", "end")
 
 
 @query("SELECT conv_id, turn, count(*) OVER (PARTITION BY role, len(text)) = 1 AS is_unique FROM conversations")
 def unique_seq(spark: SparkSession, sf: str) -> DataFrame:
-    seq = F.array("role", F.length("text").cast("string"))
-    c = table(spark, sf, "conversations").withColumn("seq", seq)
-    counts = c.groupBy("seq").agg(F.count("*").alias("n"))
-    return c.join(counts, "seq").select("conv_id", "turn", (F.col("n") == 1).alias("is_unique"))
+    seq = F.array("role", F.coalesce(F.length("text").cast("string"), F.lit("-")))
+    return S.unique_sequences(table(spark, sf, "conversations").withColumn("seq", seq), "seq").select("conv_id", "turn", "is_unique")
 
 
 @query("WITH m AS (SELECT user_id, median(value) AS med FROM events GROUP BY 1) SELECT user_id, count(value) AS n, any_value(med) AS median, median(abs(value - med)) AS mad FROM events JOIN m USING (user_id) GROUP BY 1")
@@ -147,12 +270,16 @@ def words_per_minute(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("conv_id", wpm.alias("wpm"), F.coalesce(wpm < 0.5, F.lit(False)).alias("retry"))
 
 
-@query(r"""WITH w AS (SELECT conv_id, turn, role AS word, (turn * 2)::DOUBLE AS start, (turn * 2 + 1.25)::DOUBLE AS "end" FROM conversations)
-SELECT conv_id, turn, 'Dialogue: 0,' || f(greatest(start - 0.8, 0.0)) || ',' || f("end" + 0.2) || ',Karaoke,,0,0,0,,' || CASE WHEN start > 0 THEN '{\k80}' ELSE '' END || '{\kf125}' || word AS event FROM w"""
-       .replace("f(greatest(start - 0.8, 0.0))", "(floor(greatest(start-0.8,0.0)/3600)::BIGINT || ':' || lpad(floor((greatest(start-0.8,0.0)%3600)/60)::BIGINT::VARCHAR,2,'0') || ':' || lpad(floor(greatest(start-0.8,0.0)%60)::BIGINT::VARCHAR,2,'0') || '.' || lpad(floor((greatest(start-0.8,0.0)%1)*100)::BIGINT::VARCHAR,2,'0'))")
-       .replace('f("end" + 0.2)', "(floor((\"end\"+0.2)/3600)::BIGINT || ':' || lpad(floor(((\"end\"+0.2)%3600)/60)::BIGINT::VARCHAR,2,'0') || ':' || lpad(floor((\"end\"+0.2)%60)::BIGINT::VARCHAR,2,'0') || '.' || lpad(floor(((\"end\"+0.2)%1)*100)::BIGINT::VARCHAR,2,'0'))"))
+_ASS = "(floor(({0})/3600)::BIGINT || ':' || lpad(floor((({0})%3600)/60)::BIGINT::VARCHAR,2,'0') || ':' || lpad(floor(({0})%60)::BIGINT::VARCHAR,2,'0') || '.' || lpad(floor((({0})%1)*100)::BIGINT::VARCHAR,2,'0'))"
+
+
+@query(rf"""WITH w AS (SELECT conv_id, turn, (turn * 10.25)::DOUBLE AS s, role FROM conversations)
+SELECT conv_id, turn, 'Dialogue: 0,' || {_ASS.format('greatest(s - 0.8::DOUBLE, 0.0)')} || ',' || {_ASS.format('s + 5.0 + 0.2::DOUBLE')} || ',Karaoke,,0,0,0,,' || CASE WHEN s > 0 THEN '{{\k80}}' ELSE '' END || '{{\kf150}}' || role || ' {{\k50}}{{\kf10}}und {{\kf100}}so {{\k72}}{{\kf125}}' || role AS event FROM w""")
 def render_ass(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.array(F.struct(F.col("role").alias("word"), (F.col("turn") * 2).cast("double").alias("start"), (F.col("turn") * 2 + 1.25).cast("double").alias("end")))
+    """Words with and without gaps between them, one of them shorter than a sweep may be. Times are binary fractions."""
+    at = F.col("turn") * F.lit(10.25)
+    word = lambda w, a, b: F.struct(w.alias("word"), (at + a).alias("start"), (at + b).alias("end"))
+    words = F.array(word(F.col("role"), 0.0, 1.5), word(F.lit("und"), 2.0, 2.03125), word(F.lit("so"), 2.03125, 3.03125), word(F.col("role"), 3.75, 5.0))
     return table(spark, sf, "conversations").select("conv_id", "turn", R.karaoke_event(words).alias("event"))
 
 

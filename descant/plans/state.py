@@ -48,9 +48,9 @@ def next_playable(spark: SparkSession, sf: str) -> DataFrame:
     return Q.next_playable(q).select(F.col("room").cast("bigint").alias("room"), F.substring("file", 5, 20).cast("bigint").alias("event_id"))
 
 
-@query("SELECT event_id, CASE WHEN event_id = 10 THEN 3 WHEN event_id BETWEEN 3 AND 9 THEN event_id + 1 ELSE event_id END AS position FROM events WHERE event_id < 50")
+@query("SELECT event_id, CASE WHEN event_id = 10 THEN 3 WHEN event_id BETWEEN 3 AND 9 THEN event_id + 1 ELSE event_id END AS position FROM events")
 def reorder(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id < 50").select("event_id", F.col("event_id").alias("position"))
+    e = table(spark, sf, "events").select("event_id", F.col("event_id").alias("position"))
     return Q.reordered(e, 10, 3).select("event_id", F.col("position").cast("bigint").alias("position"))
 
 
@@ -66,7 +66,9 @@ def tracker_fold(spark: SparkSession, sf: str) -> DataFrame:
     return now.withColumn("actions", K.actions(F.col("place") % 2 == 0, F.lit("7")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_id / 1000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), n AS (SELECT user_id, list(t ORDER BY i) AS ts, list(event_id ORDER BY i) AS ids FROM e GROUP BY 1),
+r AS (SELECT user_id, ts, ids, 1::BIGINT AS i FROM n UNION ALL SELECT user_id, ts, ids, nxt FROM (SELECT user_id, ts, ids, list_min(list_filter(range(i + 1, len(ts) + 1), lambda j: ts[j] - ts[i] >= 0.5)) AS nxt FROM r) WHERE nxt IS NOT NULL)
+SELECT user_id, ts[i] AS at, ids[i] AS "order" FROM r""")
 def tick_throttle(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") / 1000).alias("at"))
     return K.throttled(e, "user_id", "event_id", "at", 0.5)

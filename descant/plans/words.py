@@ -9,9 +9,6 @@ from ..operators import matching as M
 from ..sources import readers as R
 from .base import query, table
 
-_EMOJI = T.EMOJI
-_NOISE = T.NOISE
-
 
 def _sql_collapse(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
@@ -51,31 +48,37 @@ def id_from_url(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.id_from_url(url).alias("video"), T.before_playlist(F.concat(n, F.lit("&list=abc"))).alias("cut"))
 
 
-_TITLE = "substr(text, 1, 60) || CASE doc_id % 4 WHEN 0 THEN ' (Official Video) HD' WHEN 1 THEN '_Karaoke Version [HQ]' WHEN 2 THEN ' feat. Ann 🎤' ELSE ' live by Bo' END"
+_TITLE = "text || CASE doc_id % 4 WHEN 0 THEN ' (Official Video) HD' WHEN 1 THEN '_Karaoke Version [HQ]' WHEN 2 THEN ' feat. Ann 🎤' ELSE ' live by Bo' END"
 
 
 def _title() -> F.Column:
     k = F.col("doc_id") % 4
-    return F.concat(F.substring("text", 1, 60), F.when(k == 0, " (Official Video) HD").when(k == 1, "_Karaoke Version [HQ]").when(k == 2, " feat. Ann 🎤").otherwise(" live by Bo"))
+    return F.concat(F.col("text"), F.when(k == 0, " (Official Video) HD").when(k == 1, "_Karaoke Version [HQ]").when(k == 2, " feat. Ann 🎤").otherwise(" live by Bo"))
 
 
-_CLEAN = _sql_collapse(_sql_remove(f"replace({_sql_remove(_TITLE, _EMOJI)}, '_', ' ')", r"\([^)]*\)", r"\[[^\]]*\]", f"(?i){_NOISE}"))
+# what the rules take away, written out for the other engine (fixed values)
+_PICTURES = r"[\x{1F1E0}-\x{1F1FF}\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F7FF}\x{1F800}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
+_EMPTY_WORDS = r"(?i)\b(?:official|music|video|audio|lyrics?|karaoke|karaokê|complete|completo|ao vivo|live|remix|version)\b|\bfeat\.?\b|\bft\.?\b|\b(?:remaster|as popularized by|karafun|instrumental|minus one|minusone|made famous by|by|hd|hq|coversph|singkaraoke|in the style of|no lead vocal|with lyrics|cc)\b"
+_BRACKETS = (r"\([^)]*\)", r"\[[^\]]*\]")
+_NAME = f"replace({_sql_remove(_TITLE, _PICTURES)}, '_', ' ')"
 
 
-@query(f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
+@query(f"SELECT doc_id, {_sql_collapse(_sql_remove(_NAME, *_BRACKETS, _EMPTY_WORDS))} AS cleaned FROM documents")
 def clean_query(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.clean_query(_title()).alias("cleaned"))
 
 
-@query(f"""SELECT doc_id, {_sql_collapse(_sql_remove(f"replace({_sql_remove(_TITLE, _EMOJI)}, '_', ' ')", f"(?i){_NOISE}"))} AS cleaned FROM documents""")
+@query(f"SELECT doc_id, {_sql_collapse(_sql_remove(_NAME, _EMPTY_WORDS))} AS cleaned FROM documents")
 def clean_lyric_query(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.clean_lyric_query(_title()).alias("cleaned"))
 
 
-_PLAIN = _sql_remove(f"replace({_sql_remove(_TITLE, _EMOJI)}, '_', ' ')", r"\s*\([^)]*\)\s*$", r"\s*\[[^\]]*\]\s*$", T.TAIL_KARAOKE, T.TAIL_NOISE)
+_END_WORDS = r"(?i)(\s*\b(official\s+video|official\s+music\s+video|lyrics|lyric|hd|hq|instrumental|with\s+lyrics|no\s+lead\s+vocal|cc)\b[\s.!]*)+$"
+_ENDLESS = _sql_remove(_NAME, r"\s*\([^)]*\)\s*$", r"\s*\[[^\]]*\]\s*$", r"(?i)\s*\bkaraoke\b.*$", _END_WORDS)
+_DASHES = _sql_collapse(f"regexp_replace({_ENDLESS}, '\\s*[–—]\\s*', ' - ', 'g')")
 
 
-@query(f"""SELECT doc_id, {_sql_remove(_sql_collapse(f"regexp_replace({_PLAIN}, '\\s*[–—]\\s*', ' - ', 'g')"), r"\s*-\s*$")} AS name FROM documents""")
+@query(f"SELECT doc_id, {_sql_remove(_DASHES, r'\s*-\s*$')} AS name FROM documents")
 def tidy(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.tidy(_title()).alias("name"))
 
@@ -86,17 +89,20 @@ def tidy_credit(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", T.tidy(raw).alias("name"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_name ELSE p_name END AS name FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_name || ' (Live)' ELSE p_name || ' (Live) HD' END AS name FROM part")
 def display_name(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.trim(T.display_name(_dashed())).alias("name"))
+    """Names with an id are tidied, others stand as they are."""
+    end = r"(---.*|\s\[.*|\.MP4)$"
+    marked = F.concat(F.regexp_replace(_dashed(), end, ""), F.lit(" (Live) HD"), F.regexp_extract(_dashed(), end, 1))
+    return table(spark, sf, "part").select("p_partkey", T.display_name(marked).alias("name"))
 
 
-_LINE = "split_part(text, chr(10), 1)"
+_LINE = "replace(text, chr(10), ' / ')"
 _LYRIC = _sql_collapse("translate(" + _sql_remove(f"replace('<i>' || {_LINE} || '</i> [x] ♪ (oh) “q”', chr(10), ' ')", "<[^>]+>", r"\[[^\]]*\]", "[♪♫♬♩]") + ", '‘’“”', '''''\"\"')")
 
 
 def _line() -> F.Column:
-    return F.concat(F.lit("<i>"), F.substring_index("text", "\n", 1), F.lit("</i> [x] ♪ (oh) “q”"))
+    return F.concat(F.lit("<i>"), F.replace(F.col("text"), F.lit("\n"), F.lit(" / ")), F.lit("</i> [x] ♪ (oh) “q”"))
 
 
 @query(f"SELECT doc_id, {_LYRIC} AS line, {_sql_collapse(f'''translate({_LYRIC}, '()', '')''')} AS align_text FROM documents")
@@ -110,9 +116,9 @@ def srt_line(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.caption_line(_line()).alias("line"))
 
 
-@query(f"""SELECT doc_id, {_sql_collapse("regexp_replace(strip_accents(" + _sql_remove(f"regexp_replace(lower({_LINE}), '<[^>]+>', ' ', 'g')", "[''‘’`´]") + "), '[^a-z0-9 ]+', ' ', 'g')")} AS plain FROM documents WHERE lang IN ('en', 'fr', 'es')""".replace("[''''", "[''"))
+@query(f"""SELECT doc_id, {_sql_collapse("regexp_replace(strip_accents(" + _sql_remove(f"regexp_replace(lower({_LINE}), '<[^>]+>', ' ', 'g')", "[''‘’`´]") + "), '[^a-z0-9 ]+', ' ', 'g')")} AS plain FROM documents""".replace("[''''", "[''"))
 def normalize_line(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("lang in ('en', 'fr', 'es')").select("doc_id", T.plain_line(F.substring_index("text", "\n", 1)).alias("plain"))
+    return table(spark, sf, "documents").select("doc_id", T.plain_line(F.replace(F.col("text"), F.lit("\n"), F.lit(" / "))).alias("plain"))
 
 
 @query("SELECT doc_id, strip_accents(text) AS folded FROM documents")
@@ -208,16 +214,22 @@ def lrc_parse(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("""SELECT doc_id, 1 AS cue_no, trim(regexp_replace(substr(regexp_extract(text, '^[^\n]*'), 1, 30), '\\s+', ' ', 'g')) AS text, (doc_id % 60) + 0.25::DOUBLE AS start, (doc_id % 60) + 3605.5::DOUBLE AS "end" FROM documents WHERE lang = 'en' AND regexp_matches(substr(regexp_extract(text, '^[^\n]*'), 1, 30), '\\p{L}')""".replace("\\\\", "\\"))
+_CAPTION = _sql_collapse(_sql_remove(_sql_collapse("translate(" + _sql_remove("x", "<[^>]+>", r"\[[^\]]*\]", "[♪♫♬♩]") + ", '‘’“”', '''''\"\"')"), r"\([^)]*\)"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i, CASE WHEN i % 4 = 3 THEN '(' || translate(x, '()', '') || ')' ELSE '<i>' || x || '</i> ♪' END AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE trim(x, ' ') <> ''),
+t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS cue_no, i, {_CAPTION} AS text FROM l)
+SELECT doc_id, cue_no, text, (i % 60) + 0.25::DOUBLE AS start, 3600 + (i % 60) + 0.5::DOUBLE AS "end" FROM t WHERE regexp_matches(text, '\p{{L}}')""")
 def srt_parse(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("doc_id") % 60
-    body = F.substring(F.substring_index("text", "\n", 1), 1, 30)
-    srt = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,000\n(music)\n\n2\n"), F.format_string("00:00:%02d,250 --> 01:00:%02d,500", s, s), F.lit("\n<i>"), body, F.lit("</i>\n"))
-    shifted = F.format_string("00:00:%02d,250 --> 01:00:%02d,500", s, s)
-    fixed = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,000\n(music)\n\n2\n"), F.regexp_replace(shifted, "--> 01:00:", "--> 01:00:"), F.lit("\n<i>"), body, F.lit("</i>\n"))
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.coalesce(fixed, srt).alias("srt"))
-    out = R.caption_rows(d, ["doc_id"], "srt")
-    return out.select("doc_id", F.col("cue_no").cast("int").alias("cue_no"), "text", "start", (F.col("end") + 5.0).alias("end"))
+    """Every line of a text as a caption of its own, every fourth in parentheses."""
+
+    def cue(x: F.Column, i: F.Column) -> F.Column:
+        aside = F.concat(F.lit("("), F.translate(x, "()", ""), F.lit(")"))
+        body = F.when(i % 4 == 3, aside).otherwise(F.concat(F.lit("<i>"), x, F.lit("</i> ♪")))
+        return F.when(F.trim(x) != "", F.concat((i + 1).cast("string"), F.lit("\n"), F.format_string("00:00:%02d,250 --> 01:00:%02d.500", i % 60, i % 60), F.lit("\n"), body))
+
+    srt = F.array_join(F.array_compact(F.transform(F.split("text", "\n"), cue)), "\n\n")
+    return R.caption_rows(table(spark, sf, "documents").select("doc_id", srt.alias("srt")), ["doc_id"], "srt").withColumn("cue_no", F.col("cue_no").cast("bigint"))
 
 
 @query("SELECT c_custkey, c_name AS \"trackName\", c_mktsegment AS \"artistName\", NULL::VARCHAR AS \"albumName\", c_custkey AS id, (60 * (c_custkey % 7) + 5)::DOUBLE AS duration FROM customer")
@@ -241,24 +253,26 @@ def loudness_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", R.loudness(log).alias("l")).select("s_suppkey", "l.ok", "l.input_i", "l.loudnorm_type")
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_shipmode_ AS word, l_quantity AS start, l_quantity + 0.5 AS "end", CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END AS probability FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem WHERE l_orderkey % 10 = 0))
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_shipmode_ AS word, l_quantity AS start, l_quantity + 0.5 AS "end", CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END AS probability FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem))
 SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, start, word, probability NULLS FIRST) - 1 AS pos, word, start, "end", probability FROM w WHERE probability IS NULL OR probability >= 0.05""")
 def heard_words(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    li = table(spark, sf, "lineitem")
     word = F.struct(F.concat(F.lit(" "), "l_returnflag", "l_linestatus").alias("word"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + 0.5).alias("end"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount")).alias("probability"))
     seg = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("q"), word.alias("w")))).alias("ws")).select("l_orderkey", F.transform("ws", lambda x: F.struct(F.lit(" a ").alias("text"), F.array(x["w"]).alias("words"))).alias("segments"))
     out = R.heard_words(seg, ["l_orderkey"], least=0.05)
     return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("""SELECT l_orderkey, count(*) AS n_lines, min(l_linenumber) AS first_line FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1""")
+@query("""SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, l_linestatus) - 1 AS line_no, l_linenumber || ' x' AS text, l_returnflag || ' ' || l_linestatus AS words, l_quantity AS start, l_quantity + 1.5 AS "end" FROM lineitem WHERE l_linenumber % 4 <> 3""")
 def segment_lines(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
-    word = F.struct(F.col("l_returnflag").alias("word"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + 0.5).alias("end"))
+    """Lines of an order as segments of two words; every fourth has none."""
+    word = lambda c, t: F.struct(F.concat(F.lit(" "), c).alias("word"), (F.col("l_quantity") + t).alias("start"), (F.col("l_quantity") + t + 0.5).alias("end"))
     none = F.array().cast("array<struct<word:string,start:double,end:double>>")
-    seg = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("text"), F.array(word).alias("words"))).alias("s")).withColumn("segments", F.concat("s", F.array(F.struct(F.lit("none").alias("text"), none.alias("words")))))
-    out = R.segment_lines(seg, ["l_orderkey"])
-    return out.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.min(F.col("text").cast("int")).alias("first_line"))
+    words = F.when(F.col("l_linenumber") % 4 != 3, F.array(word(F.col("l_returnflag"), 0.0), word(F.col("l_linestatus"), 1.0))).otherwise(none)
+    seg = F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.lit(" x ")).alias("text"), words.alias("words"))
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
+    out = R.segment_lines(g, ["l_orderkey"])
+    return out.select("l_orderkey", F.col("line_no").cast("bigint").alias("line_no"), "text", F.array_join(F.col("words.word"), " ").alias("words"), "start", "end")
 
 
 # matching
@@ -273,13 +287,22 @@ def first_wins_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return M.first_best(li, ["l_orderkey"], [F.col("l_quantity")], "place").drop("place")
 
 
-@query()
+@query(r"""WITH q AS (SELECT p_partkey AS q, p_brand, p_name, lower(p_brand) AS who, p_partkey % 2 AS k FROM part),
+c AS (SELECT q.*, place, CASE place WHEN 0 THEN p_name || ' (Live)' WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name ELSE 'something else' END AS name, CASE WHEN q % 3 = 0 AND place = 2 THEN 'Someone' ELSE p_brand END AS artist FROM q, (VALUES (0), (1), (2), (3)) x(place)),
+d AS (SELECT *, lower(name) AS track, lower(artist) AS art, CASE WHEN k = 0 THEN who ELSE lower(p_name) END AS a, CASE WHEN k = 0 THEN lower(p_name) ELSE who END AS b FROM c),
+s AS (SELECT *, CASE WHEN a = track AND b = art OR b = track AND a = art THEN 100 WHEN a = track THEN 100 WHEN contains(track, a) THEN 50 WHEN b = track THEN 100 WHEN contains(track, b) THEN 50
+  WHEN len(list_filter(string_split(a, ' '), lambda w: len(w) > 3 AND contains(track, w))) > 0 OR len(list_filter(string_split(b, ' '), lambda w: len(w) > 3 AND contains(track, w))) > 0 THEN 20 ELSE -1000 END
+  + CASE WHEN name = upper(name) THEN -10 ELSE 0 END + CASE WHEN NOT contains(a, art) AND NOT contains(b, art) THEN -100 ELSE 0 END + CASE WHEN contains(track, art) THEN -50 ELSE 0 END + CASE WHEN contains(track, 'live') THEN -30 ELSE 0 END + CASE WHEN len(track) > 60 THEN -20 ELSE 0 END AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, place) AS n, regexp_replace(name, '\s*\([^)]*\)', '', 'g') AS title FROM s)
+SELECT q, place, score, CASE WHEN k = 0 THEN artist || ' - ' || title ELSE title || ' - ' || artist END AS corrected FROM r WHERE n = 1""")
 def relevance(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey <= 400")
-    q = p.select(F.col("p_partkey").alias("q"), F.concat("p_brand", F.lit(" - "), "p_name").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"), "p_name", "p_brand")
-    name = F.when(F.col("place") == 0, F.concat("p_name", F.lit(" (Live)"))).when(F.col("place") == 1, F.col("p_name")).when(F.col("place") == 2, F.upper("p_name")).otherwise("something else")
-    cand = q.withColumn("name", name).withColumn("artist", F.col("p_brand"))
-    cand = M.scored(cand)
+    """Brand first in even rows, name first in odd ones; in every third the plain candidate has a strange artist."""
+    even = F.col("p_partkey") % 2 == 0
+    text = F.when(even, F.concat("p_brand", F.lit(" - "), "p_name")).otherwise(F.concat("p_name", F.lit(" - "), "p_brand"))
+    c = table(spark, sf, "part").select(F.col("p_partkey").alias("q"), text.alias("query"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"), "p_name", "p_brand")
+    name = F.when(F.col("place") == 0, F.concat("p_name", F.lit(" (Live)"))).when(F.col("place") == 1, F.upper("p_name")).when(F.col("place") == 2, F.col("p_name")).otherwise("something else")
+    artist = F.when((F.col("q") % 3 == 0) & (F.col("place") == 2), "Someone").otherwise(F.col("p_brand"))
+    cand = M.scored(c.withColumn("name", name).withColumn("artist", artist))
     best = M.first_best(cand.select("q", "query", "place", "name", "artist", "score"), ["q", "query"], [F.col("score")], "place")
     return best.select("q", "place", "score", M.corrected(F.col("query"), F.lit(None).cast("string"), F.col("name"), F.col("artist")).alias("corrected"))
 
@@ -296,9 +319,8 @@ def select_candidate(spark: SparkSession, sf: str) -> DataFrame:
     return M.best_caption(o, F.lit(100000.0)).select("song", "o_orderkey")
 
 
-@query("SELECT doc_id, pos, raw FROM (SELECT doc_id, w AS raw, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, string_split_regex(trim(regexp_extract(text, '^[^\n]*')), '[ \t\r\v\f]+') AS ws FROM documents WHERE lang = 'en')) WHERE regexp_matches(w, '[\\p{L}\\p{N}_]'))".replace("\\n", "\\n"))
+@query(r"SELECT doc_id, pos, raw FROM (SELECT doc_id, w AS raw, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS ws FROM documents)) WHERE regexp_matches(w, '[\p{L}\p{N}_]'))")
 def line_tokens(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.songs import line_tokens as tokens
 
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    return tokens(d, ["doc_id"], "line").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "raw")
+    return tokens(table(spark, sf, "documents"), ["doc_id"], "text").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "raw")

@@ -70,6 +70,58 @@ def lyrics(rows: DataFrame, key: list[str], path: str, text: str) -> DataFrame:
     return a.unionByName(lyric_rows(rows.where(~srt), key, text).withColumnRenamed("line_id", "line_no"))
 
 
+def track_rows(responses: DataFrame, key: list[str], body: str) -> DataFrame:
+    """Track search answers: (key, pos, name, artist, mbid) of results.trackmatches.track; an answer with an
+    error, or that is no JSON, has none."""
+    kind = "error string, results struct<trackmatches:struct<track:array<struct<name:string,artist:string,mbid:string>>>>"
+    j = responses.select(*key, F.from_json(body, kind).alias("j")).where("j.error is null")
+    return j.select(*key, F.posexplode("j.results.trackmatches.track").alias("pos", "t")).select(*key, "pos", "t.name", "t.artist", "t.mbid")
+
+
+CAPTION_RECORD = "struct<id:bigint,trackName:string,artistName:string,albumName:string,duration:double,syncedLyrics:string>"
+
+
+def caption_records(responses: DataFrame, key: list[str], body: str) -> DataFrame:
+    """Synced lyric answers: (key, pos, record) of a list of records; what is no list has none."""
+    kept = responses.where(F.col(body).rlike(r"^\s*\["))
+    return kept.select(*key, F.posexplode(F.from_json(body, f"array<{CAPTION_RECORD}>")).alias("pos", "record"))
+
+
+def provenance(record: Column) -> Column:
+    """What is known of a caption record besides its text; null fields stay."""
+    return F.struct(*(record[n].alias(n) for n in ("id", "trackName", "artistName", "albumName", "duration")))
+
+
+def song_hits(responses: DataFrame, query: str, body: str, site: str, otherwise: str = "translation", limit: int = 8) -> DataFrame:
+    """Lyric search answers: (query, rank, id, title, artist) of the first section's songs, without those whose
+    artist names the site (or `otherwise`, where the query names the site), `limit` at most. An answer
+    with a hit among them that lacks id or title is broken and has none."""
+    hit = "struct<type:string,result:struct<id:bigint,title:string,artist_names:string,primary_artist:struct<name:string>>>"
+    found = F.get(F.from_json(body, f"sections array<struct<hits:array<{hit}>>>")["sections"], F.lit(0))["hits"]
+    term = F.when(F.lower(query).contains(site), otherwise).otherwise(site)
+    artist = lambda h: F.coalesce(F.nullif(h["result"]["artist_names"], F.lit("")), h["result"]["primary_artist"]["name"], F.lit(""))
+    songs = F.filter(found, lambda h: (h["type"] == "song") & ~F.lower(artist(h)).contains(F.col("term")))
+    first = F.slice(F.transform(songs, lambda h: F.struct(h["result"]["id"].alias("id"), h["result"]["title"].alias("title"), artist(h).alias("artist"))), 1, limit)
+    rows = responses.withColumn("term", term).select(query, first.alias("hits"))
+    whole = rows.where(~F.exists("hits", lambda h: h["id"].isNull() | h["title"].isNull()))
+    return whole.select(query, F.posexplode("hits").alias("rank", "h")).select(query, "rank", "h.id", "h.title", "h.artist")
+
+
+def media_seconds(probed: Column, frames: Column, rate: Column) -> Column:
+    """A file's duration: what the probe said, else the frames of its header by their rate."""
+    return F.coalesce(probed, F.when(rate > 0, frames / rate))
+
+
+def bundle_lines(bundles: DataFrame, body: str) -> DataFrame:
+    """bundles with `align_lines` of their JSON; null where it is broken or lacks them."""
+    return bundles.withColumn("align_lines", F.from_json(body, "lyrics struct<align_lines:array<string>>")["lyrics"]["align_lines"])
+
+
+def bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, align_lines) of stored debug bundles, one JSON file a song."""
+    return bundle_lines(texts(spark, path).select(T.stem(F.col("path")).alias("stem"), "text"), "text").drop("text")
+
+
 def search_rows(lines: DataFrame, line: str) -> DataFrame:
     """Newline-delimited search results: (title, url, id, channel, duration); rows without title or url go.
     A duration counts if it is a number."""

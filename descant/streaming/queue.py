@@ -130,10 +130,14 @@ def stream(events: DataFrame, limit: int = 0, fair: bool = True) -> DataFrame:
 
 
 def fair_order(requests: DataFrame, room: str = "room", user: str = "user", order: str = "seq") -> DataFrame:
-    """For a history of requests only: the fair queue is the order by round, then by arrival."""
+    """For a history of requests only: the fair queue is the order by round, then by arrival. A row's place is
+    the rows of earlier rounds, an offset per (room, round), and its place inside its round."""
     turn = F.row_number().over(W.partitionBy(room, user).orderBy(order)) - 1
     rounds = requests.withColumn("round", turn)
-    return rounds.withColumn("position", F.row_number().over(W.partitionBy(room).orderBy("round", order)) - 1)
+    sizes = rounds.groupBy(room, "round").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(room).orderBy("round").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy(room, "round").orderBy(order)) - 1
+    return rounds.withColumn("__k", inside).join(sizes.withColumn("__base", before).drop("__n"), [room, "round"]).withColumn("position", F.col("__base") + F.col("__k")).drop("__base", "__k")
 
 
 def reordered(queue: DataFrame, old: int, new: int, position: str = "position") -> DataFrame:
@@ -148,6 +152,40 @@ def next_playable(queue: DataFrame, room: str = "room") -> DataFrame:
     return queue.where(~F.coalesce("paused", F.lit(False))).groupBy(room).agg(F.min_by("file", "position").alias("file"), F.min_by("user", "position").alias("user"))
 
 
+def first_place(queue: DataFrame, requests: DataFrame, room: str = "room") -> DataFrame:
+    """requests (room, file, ...) with `index`: the position of the first row with that file, -1 without one."""
+    at = queue.groupBy(room, "file").agg(F.min("position").alias("index"))
+    return requests.join(at, [room, "file"], "left").withColumn("index", F.coalesce("index", F.lit(-1)))
+
+
+def owned(queue: DataFrame, requests: DataFrame, room: str = "room") -> DataFrame:
+    """requests (room, file, user, ...) with `owned`: whether the first row with that file is the user's."""
+    own = queue.groupBy(room, "file").agg(F.min_by("user", "position").alias("__owner"))
+    return requests.join(own, [room, "file"], "left").withColumn("owned", F.coalesce(F.col("__owner") == F.col("user"), F.lit(False))).drop("__owner")
+
+
+def preview(queue: DataFrame, n: int = 5, room: str = "room") -> DataFrame:
+    """Per room the first n rows that are not paused. A list of n rows per task and room, then of those: an
+    aggregate with bounded state instead of a window over the room."""
+    open_ = queue.where(~F.coalesce("paused", F.lit(False)))
+    part = W.partitionBy(room, "__part").orderBy("position")
+    near = open_.withColumn("__part", F.pmod(F.xxhash64("position"), F.lit(64))).withColumn("__k", F.row_number().over(part)).where(F.col("__k") <= n)
+    last = near.drop("__part", "__k").withColumn("rank", F.row_number().over(W.partitionBy(room).orderBy("position")) - 1)
+    return last.where(F.col("rank") < n)
+
+
+def read_model(rows: DataFrame, fields: list[str], order: str, room: str = "room") -> DataFrame:
+    """(room, body): what a view is sent, the room's rows in order as a JSON list. A view holds one room."""
+    item = F.struct(F.col(order).alias("__at"), F.struct(*fields).alias("item"))
+    return rows.groupBy(room).agg(F.to_json(F.array_sort(F.collect_list(item))["item"]).alias("body"))
+
+
+def position_message(waiting: Column, active: Column, title: Column) -> Column:
+    """What a requester is told: the place in line, counting the download that runs."""
+    ahead = waiting + F.when(active, 1).otherwise(0)
+    return F.when(ahead > 0, F.concat(F.lit("Download queued (#"), (ahead + 1).cast("string"), F.lit("): "), title)).otherwise(F.concat(F.lit("Download starting: "), title))
+
+
 def counts_by_user(queue: DataFrame, playing: DataFrame, limit: int) -> DataFrame:
     """(room, user, n, limited): queued songs, one more if the user's song is playing."""
     both = queue.select("room", "user").unionByName(playing.select("room", "user"))

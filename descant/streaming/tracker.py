@@ -7,9 +7,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Values of seq whose calls are put in order in one window.
+RUN = 10_000
 FIELDS = "title url user song_path download_status processing_status error_message cancelling lyric_method".split()
 ROWS = "room string, place int, " + ", ".join(f"{f} {'boolean' if f == 'cancelling' else 'string'}" for f in FIELDS)
 
@@ -116,16 +119,22 @@ def actions(admin: Column, viewer: Column, state: str = "processing_status") ->
 
 
 def throttled(ticks: DataFrame, key: str, order: str, at: str, every: float = 0.5) -> DataFrame:
-    """Ticks that are at least `every` seconds after the last one let through: a fold over each key's list."""
-    t = F.struct(F.col(at).alias("at"), F.col(order).alias("order"))
-    gathered = ticks.groupBy(key).agg(F.array_sort(F.collect_list(t)).alias("ts"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<struct<at:double,order:{ticks.schema[order].dataType.simpleString()}>>").alias("out"))
+    """(key, at, order) of the ticks that are at least `every` seconds after the last one let through. Ticks are
+    sorted by key and time inside partitions and streamed through; a task keeps one time, whatever a key holds."""
+    kinds = {f.name: f.dataType.simpleString() for f in ticks.schema}
 
-    def step(a: Column, x: Column) -> Column:
-        go = a["last"].isNull() | (x["at"] - a["last"] >= every)
-        return F.struct(F.when(go, x["at"]).otherwise(a["last"]).alias("last"), F.when(go, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, 0.0
+        for batch in batches:
+            go = []
+            for k, (name, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if (name,) != held or t - last >= every:
+                    held, last = (name,), t
+                    go.append(k)
+            yield batch.take(pa.array(go, pa.int64()))
 
-    return gathered.select(key, F.inline(F.aggregate("ts", start, step)["out"]))
+    rows = ticks.select(key, F.col(at).cast("double").alias("at"), F.col(order).alias("order")).repartition(key).sortWithinPartitions(key, "at", "order")
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, at double, order {kinds[order]}")
 
 
 def changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
@@ -137,6 +146,12 @@ def changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFr
 
 
 def dispatched(events: DataFrame, handlers: DataFrame) -> DataFrame:
-    """The bus: every (event, handler of its name) with its call order: by seq, then by registration."""
+    """The bus: every (event, handler of its name) with its call order: by seq, then by registration. A call's
+    place is the number of calls of earlier events, summed per run of seq, and its place among its event's own."""
     met = events.join(handlers, "name")
-    return met.withColumn("call", F.row_number().over(W.partitionBy("room").orderBy("seq", "registered")))
+    per = met.groupBy("room", "seq").agg(F.count("*").alias("__n")).withColumn("__run", F.floor(F.col("seq") / RUN))
+    before = lambda *by: F.coalesce(F.sum("__n").over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = per.groupBy("room", "__run").agg(F.sum("__n").alias("__n")).withColumn("__base", before("room", "__run")).drop("__n")
+    placed = per.withColumn("__in", before("room", "__run", "seq")).join(runs, ["room", "__run"]).select("room", "seq", (F.col("__base") + F.col("__in")).alias("__before"))
+    own = F.row_number().over(W.partitionBy("room", "seq").orderBy("registered"))
+    return met.withColumn("call", own).join(placed, ["room", "seq"]).withColumn("call", F.col("__before") + F.col("call")).drop("__before")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from descant.operators import catalogue as C
 from descant.streaming import queue as Q, tracker as K
@@ -125,3 +126,39 @@ def test_snapshot_is_all_or_nothing(spark, tmp_path):
     C.publish(after, str(tmp_path), 2)
     assert C.current(spark, str(tmp_path)).count() == 3
     assert C.integrity(paths(spark, "a", "a", None)).first().asDict() == {"ok": False, "nulls": 1, "duplicates": 1}
+
+
+def test_ids_are_gapless_with_payload_and_the_same_again(spark):
+    rows = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("n")).select(F.lit(0).cast("long").alias("id"), F.format_string("m/%06d.mp4", "n").alias("file_path"), F.repeat(F.lit("x"), 50).alias("payload")).repartition(9)
+    target = spark.createDataFrame([(41, "a", "p"), (3, "b", "p")], "id long, file_path string, payload string")
+    got = C.with_ids(target, rows)
+    one = got.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bool_and(F.col("id") - 42 == F.substring("file_path", 3, 6).cast("int")).alias("ordered")).first()
+    assert (one.n, one.d, one.lo, one.hi, one.ordered) == (400_000, 400_000, 42, 400_041, True)
+    again = C.with_ids(target, rows.repartition(4)).agg(F.sum(F.xxhash64("id", "file_path").cast("decimal(38,0)"))).first()[0]
+    assert again == got.agg(F.sum(F.xxhash64("id", "file_path").cast("decimal(38,0)"))).first()[0]
+    assert C.with_ids(target, rows.limit(0)).count() == 0
+    assert [r.id for r in C.with_ids(target.limit(0), rows.limit(2)).orderBy("id").collect()] == [1, 2]
+
+
+def test_throttle_and_bus_and_preview_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(2)
+    ticks = sorted((rng.choice("ab"), k, round(rng.random() * 20, 2)) for k in range(300))
+    want, last = set(), {}
+    for key, k, t in sorted(ticks, key=lambda x: (x[0], x[2], x[1])):
+        if key not in last or t - last[key] >= 0.5:
+            last[key] = t
+            want.add((key, k))
+    got = {(r.key, r.order) for r in K.throttled(spark.createDataFrame(ticks, "key string, n int, t double"), "key", "n", "t").collect()}
+    assert got == want
+    monkeypatch.setattr(K, "RUN", 7)
+    events = [(rng.choice("rs"), k, rng.choice(["x", "y", "z"])) for k in range(80)]
+    handlers = [("x", 2), ("x", 1), ("y", 5)]
+    calls = {}
+    for room in "rs":
+        order = sorted((k, reg) for r, k, name in events if r == room for h, reg in handlers if h == name)
+        calls |= {(room, *c): i for i, c in enumerate(order, 1)}
+    got = K.dispatched(spark.createDataFrame(events, "room string, seq int, name string"), spark.createDataFrame(handlers, "name string, registered int"))
+    assert {(r.room, r.seq, r.registered): r.call for r in got.collect()} == calls
+    queue = [(rng.choice("rs"), k, f"f{k % 9}", "u", rng.random() < 0.4) for k in range(60)]
+    got = {(r.room, r["rank"], r.position) for r in Q.preview(spark.createDataFrame(queue, "room string, position int, file string, user string, paused boolean")).collect()}
+    assert got == {(room, i, q[1]) for room in "rs" for i, q in enumerate([q for q in queue if q[0] == room and not q[4]][:5])}

@@ -101,7 +101,50 @@ def test_browse(spark):
     assert [r.k for r in B.page(df, [B.sort_key(F.col("name"))], 2, 2).orderBy("position").collect()] == [2, 4]
 
 
-def test_the_library_stands_without_the_optional_operators(tmp_path):
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "descant.llm"])
+def test_the_library_stands_without_the_optional_operators(gone):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    code = f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=here, check=True)
+
+
+def test_a_missing_library_is_an_error():
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(os.path.join(here, "descant", "llm")):
+        assert subprocess.run([sys.executable, "-c", "import sys; sys.modules['zstandard'] = None; import __spark_entry__"], cwd=here, capture_output=True).returncode
+
+
+@pytest.mark.parametrize(
+    "f,value,want",
+    [
+        (T.collapse, "Song\u3000\u3000x \u00a0", "Song x"), (T.clean_query, "Song\u3000 (Live)\u00a0", "Song"), (T.tidy, "Song\u3000 (Live)\u00a0", "Song"), (T.clean_key, "\u2003Song [Live]\u00a0", "Song"), (T.safe_name, "\u00a0a b\u3000", "a b"),
+        (T.lyric_line, "a\u00a0\u2003b", "a b"), (T.strip, "\x1c a\x85", "a"), (T.tidy, "Song\u2009–\u2009Ann", "Song - Ann"),
+    ],
+)
+def test_unicode_spaces(spark, f, value, want):
+    assert one(spark, f, value) == want
+
+
+def test_nested_answers(spark):
+    hits = '{"sections": [{"hits": [{"type": "song", "result": {"id": 1, "title": "A", "artist_names": "", "primary_artist": {"name": "Ann"}}}, {"type": "album", "result": {}}, {"type": "song", "result": {"id": 2, "title": "B", "artist_names": "Site Covers"}}, {"type": "song", "result": {"id": 3, "title": "C"}}]}, {"hits": []}]}'
+    rows = [("q", hits), ("the Site", hits), ("broken", hits.replace('"id": 1, ', "")), ("none", '{"sections": []}'), ("text", "<html>"), ("null", None)]
+    got = sorted((r.query, r.rank, r.id, r.artist) for r in R.song_hits(spark.createDataFrame(rows, "query string, body string"), "query", "body", "site").collect())
+    assert got == [("q", 0, 1, "Ann"), ("q", 1, 3, ""), ("the Site", 0, 1, "Ann"), ("the Site", 1, 2, "Site Covers"), ("the Site", 2, 3, "")]
+    tracks = [("a", '{"results": {"trackmatches": {"track": [{"name": "N", "artist": "A"}]}}}'), ("b", '{"error": 29}'), ("c", "{}"), ("d", "x"), ("e", None)]
+    assert [(r.q, r.pos, r["name"], r.mbid) for r in R.track_rows(spark.createDataFrame(tracks, "q string, b string"), ["q"], "b").collect()] == [("a", 0, "N", None)]
+    records = [("a", '[{"id": 4, "trackName": "T"}, {}]'), ("b", '{"message": "no"}'), ("c", None), ("d", "[]")]
+    got = R.caption_records(spark.createDataFrame(records, "q string, b string"), ["q"], "b").select("q", "pos", R.provenance(F.col("record")).alias("p")).collect()
+    assert sorted((r.q, r.pos, r.p.id, r.p.trackName) for r in got) == [("a", 0, 4, "T"), ("a", 1, None, None)]
+
+
+def test_bundles_round_trip(spark, tmp_path):
+    from descant.operators import render
+
+    rows = spark.createDataFrame([("a", ["x", "y"]), ("b c", [])], "stem string, lines array<string>")
+    made = rows.select("stem", render.bundle({"lyrics": F.struct(F.col("lines").alias("align_lines"))}).alias("bundle"))
+    render.write_bundles(made, f"{tmp_path}/b")
+    held = R.texts(spark, f"{tmp_path}/b/*").select(F.regexp_extract(F.url_decode("path"), "stem=([^/]*)/", 1).alias("stem"), "text")
+    assert {r.stem: r.align_lines for r in R.bundle_lines(held, "text").collect()} == {"a": ["x", "y"], "b c": []}
+    (tmp_path / "song.json").write_text("{broken")
+    (tmp_path / "other.json").write_text('{"lyrics": {"align_lines": ["z"]}}')
+    assert {r.stem: r.align_lines for r in R.bundles(spark, f"{tmp_path}/*.json").collect()} == {"song": None, "other": ["z"]}
