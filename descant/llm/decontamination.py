@@ -13,18 +13,23 @@ a time with pivots, over the windows that are left. Verification asks for OVERLA
 whole item (question and answer) and ANSWER_OVERLAP of the words of its last sentence (the answer), both
 inside the window.
 
-The index is a table of the benchmark only. If the items' text exceeds INDEX_BYTES, they are indexed in
-several parts of at most that size, and each part is run over the documents: the broadcast is bounded.
+The index is a table of the benchmark only: postings, and beside each term's postings the maxima of the
+blocks that it is in. It holds a few numbers for each word of the items. If the items' text exceeds INDEX_BYTES,
+they are indexed in several parts of at most that size, and each part is run over the documents: the
+broadcast is bounded by some tens of MB.
 
-Edge cases: null or empty texts on either side match nothing; items under MIN_ITEM_WORDS words are too
-short to prove a leak and are not indexed; repeated documents or items give repeated rows once per
-(doc_id, item_id); other columns are ignored.
+Items of fewer than SHINGLE words have no shingle; documents hold them by chance. A document whose words are
+just those of such an item is a leak.
+
+Edge cases: null or empty texts on either side match nothing; repeated documents or items give repeated rows
+once per (doc_id, item_id); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -36,9 +41,9 @@ from .common import SHINGLE, bounded, cut, normal_bytes, shingles, slices, word_
 
 OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
 K1, B = 1.2, 0.75
-MIN_ITEM_WORDS = 8
 BLOCK_ITEMS = 8
 INDEX_BYTES = 4 << 20
+EXPANDED = 1 << 21  # (window, block) pairs looked at in one pass
 _LAST = re.compile(r"(?<=[.!?])\s+(?=\S)|\n")
 
 
@@ -53,9 +58,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids, words, answers = [], [], []
+        self.short: defaultdict[bytes, list[int]] = defaultdict(list)
         for i, text in items:
             w = word_hashes([normal_bytes(text)])[0]
-            if len(w) >= MIN_ITEM_WORDS:
+            if 0 < len(w) < SHINGLE:
+                self.short[w.tobytes()].append(i)
+            elif len(w):
                 self.ids.append(i)
                 words.append(w)
                 answers.append(word_hashes([normal_bytes(answer_of(text))])[0])
@@ -81,13 +89,38 @@ class Index:
             may_miss = int((1 - OVERLAP) * max(len(w) - SHINGLE + 1, 1))
             lost = sum(sorted((x / own for x in impact.values()), reverse=True)[:may_miss])
             self.threshold = min(self.threshold, 1 - lost)
-        self.threshold = max(0.05, self.threshold - 1e-6)
-        n_blocks = -(-max(n, 1) // BLOCK_ITEMS)
-        self.block_max = np.zeros((len(at) + 1, n_blocks), np.float32)  # the last row is for unknown words
-        for k, posting in enumerate(self.postings):
+        self.threshold = max(1e-9, self.threshold - 1e-6)  # a verifiable item shares a word
+        self.n_blocks = -(-max(n, 1) // BLOCK_ITEMS)
+        self.blocks: list[tuple[list[int], list[float]]] = []
+        for posting in self.postings:
+            best: dict[int, float] = {}
             for item, x in posting:
-                self.block_max[k, item // BLOCK_ITEMS] = max(self.block_max[k, item // BLOCK_ITEMS], np.nextafter(np.float32(x), np.float32(2)))
-        self.top = self.block_max.max(1) if n else np.zeros(1, np.float32)
+                best[item // BLOCK_ITEMS] = max(x, best.get(item // BLOCK_ITEMS, 0.0))
+            self.blocks.append((list(best), list(best.values())))
+        # the same as flat arrays; the last term is for unknown words and has none
+        self.first = np.cumsum([0, *(len(b) for b, _ in self.blocks), 0])
+        self.flat = np.array([b for bs, _ in self.blocks for b in bs], np.int64), np.array([x for _, xs in self.blocks for x in xs])
+        self.top = np.array([*(max(xs) for _, xs in self.blocks), 0.0])
+
+    def block_max(self, term: int, block: int) -> float:
+        ids, best = self.blocks[term]
+        k = bisect_left(ids, block)
+        return best[k] if k < len(ids) and ids[k] == block else 0.0
+
+    def bounds(self, who: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """For n windows the largest sum of block maxima over all blocks; (who, term) are the windows' known terms."""
+        out = np.zeros(n)
+        if not len(who):
+            return out
+        counts = self.first[term + 1] - self.first[term]
+        starts = np.flatnonzero(np.append(True, np.diff(who) > 0))
+        piece = (np.cumsum(counts) - counts)[starts] // EXPANDED
+        for part in np.split(np.arange(len(who)), starts[1:][np.diff(piece) > 0]):
+            k = counts[part]
+            at = np.repeat(self.first[term[part]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            key, place = np.unique(np.repeat(who[part], k) * self.n_blocks + self.flat[0][at], return_inverse=True)
+            np.maximum.at(out, key // self.n_blocks, np.bincount(place, self.flat[1][at], len(key)))
+        return out
 
     def term_ids(self, words: np.ndarray) -> np.ndarray:
         if not len(self.terms):
@@ -113,7 +146,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0][cursors[pivot + 1][1]][0] == item:
                 pivot += 1
             block = item // BLOCK_ITEMS
-            if sum(float(self.block_max[c[3], block]) for c in cursors[: pivot + 1]) < self.threshold:
+            if sum(self.block_max(c[3], block) for c in cursors[: pivot + 1]) < self.threshold - 1e-12:
                 # nothing before the end of the block, or before the next term's item, can pass
                 to = (block + 1) * BLOCK_ITEMS
                 if pivot + 1 < len(cursors):
@@ -156,6 +189,9 @@ class Index:
         total = np.concatenate([[0.0], np.cumsum(self.top[ids], dtype=np.float64)])
         left = np.flatnonzero(total[end] - total[begin] >= self.threshold - 1e-6)
         leaks: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for k in np.flatnonzero((lengths > 0) & (lengths < SHINGLE)).tolist() if self.short else ():
+            for item in self.short.get(words[first[k] : first[k + 1]].tobytes(), ()):
+                leaks[k, item] = (1.0, 1.0, 1.0)
         for group in np.array_split(left, max(1, len(left) // 2048)) if len(left) else ():
             counts = end[group] - begin[group]
             owner = np.repeat(np.arange(len(group)), counts)
@@ -163,15 +199,14 @@ class Index:
             known = ids[at] < len(self.terms)
             pair = np.unique(owner[known] * (len(self.terms) + 1) + ids[at][known])
             who, term = np.divmod(pair, len(self.terms) + 1)
-            edge = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            bounds = np.add.reduceat(self.block_max[term], edge, axis=0).max(1)
-            for k in np.flatnonzero(bounds >= self.threshold - 1e-5):
-                w = group[who[edge[k]]]
-                upto = edge[k + 1] if k + 1 < len(edge) else len(term)
+            edge = np.searchsorted(who, np.arange(len(group) + 1))
+            bounds = self.bounds(who, term, len(group))
+            for k in np.flatnonzero(bounds >= self.threshold - 1e-5).tolist():
+                w, upto = group[k], edge[k + 1]
                 for item, score in self.wand(term[edge[k] : upto].tolist()):
                     overlap, answer = self.verify(item, words[begin[w] : end[w]])
                     if overlap >= OVERLAP and answer >= ANSWER_OVERLAP:
-                        key = (int(text[w]), item)
+                        key = (int(text[w]), self.ids[item])
                         leaks[key] = max(leaks.get(key, (0.0, 0.0, 0.0)), (score, overlap, answer))
         return leaks
 
@@ -207,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
                 for begin, texts in slices(batch.column(1)):
                     words, first = word_hashes([normal_bytes(t) for t in texts])
                     found = held.search(words, first)
-                    rows = [(ids[begin + k].as_py(), held.ids[item], *map(float, v)) for (k, item), v in sorted(found.items())]
+                    rows = [(ids[begin + k].as_py(), item, *map(float, v)) for (k, item), v in sorted(found.items())]
                     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=["doc_id", "item_id", "score", "overlap", "answer_overlap"])
 
