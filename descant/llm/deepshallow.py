@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 6  # words of 8 bytes: most ties end within them, and each costs one vectorised pass
+SHALLOW = 3  # words of 8 bytes: what is tied after them shares a long prefix and goes to the tries
 
 
 class BlindTrie:

@@ -15,8 +15,9 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 4. spans: each chunk gets back the smallest documents of its windows, marks those smaller than its own
    documents and cuts the covered bytes out.
 
-A hot string costs one class a chunk, whatever the number of copies. Buckets grow in number with the
-input, so tasks stay of bounded size. Comparisons are of bytes, hashes only route.
+A hot string costs one class a chunk, whatever the number of copies, and those meet in one bucket: a task reads
+one row of some hundred bytes a chunk of 1 MB for it, 100 MB at a terabyte. Buckets grow in number with the
+input, so that all other tasks stay of bounded size. Comparisons are of bytes, hashes only route.
 
 Edge cases: null is the empty text; texts under LENGTH bytes keep everything; a null id counts as larger
 than all others; rows with equal ids never remove each other; other columns are ignored.
@@ -156,6 +157,12 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _held(buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the buckets that sorted numbers hold: as many as there are keys at most."""
+    edge = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    return list(zip(buckets[edge].tolist(), edge.tolist(), np.append(edge[1:], len(buckets)).tolist(), strict=True))
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     for i in range(len(batch)):
         yield batch.slice(i, 1).to_pylist()[0]
@@ -179,11 +186,10 @@ def _send_keys(bits: int):  # noqa: ANN202
         for batch in batches:
             for r in _rows(batch):
                 keys, many, _ = Chunk.of(r).keys()
-                edge = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1))
                 # five bytes below the bucket's bits tell keys apart well enough: a false share costs time only
                 low = (keys << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 body = np.hstack([low, many.astype(np.uint8)[:, None]])
-                out = [{"bucket": b, "chunk": r["chunk"], "payload": body[x:y].T.tobytes()} for b, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if y > x]
+                out = [{"bucket": b, "chunk": r["chunk"], "payload": body[x:y].T.tobytes()} for b, x, y in _held(_bucket(keys, bits))]
                 yield pa.RecordBatch.from_pylist(out, _TO_BUCKET)
 
     return run
@@ -202,10 +208,10 @@ def _answer_keys(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _hot(answers: list[dict], keys: np.ndarray, bits: int) -> np.ndarray:
-    edge = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1))
+    bucket = _bucket(keys, bits)
     hot = np.zeros(len(keys), bool)
     for a in answers or []:
-        x, y = edge[a["bucket"]], edge[a["bucket"] + 1]
+        x, y = np.searchsorted(bucket, [a["bucket"], a["bucket"] + 1])
         hot[x:y] = np.unpackbits(np.frombuffer(a["payload"], np.uint8), count=y - x)
     return hot
 
@@ -224,14 +230,12 @@ def _send_classes(bits: int):  # noqa: ANN202
                 chunk, s = _shared_of(r, bits)
                 bucket = _bucket(s.key, bits)
                 order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
                 out = []
-                for b, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-                    if y > x:
-                        c = order[x:y]
-                        size = s.n[c] + LENGTH - 1
-                        at = np.repeat(s.lo[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        out.append({"bucket": b, "chunk": r["chunk"], "payload": z.compress(np.int64(y - x).tobytes() + s.least[c].tobytes() + s.n[c].astype(np.uint8).tobytes() + s.off[c].astype(np.uint8).tobytes() + chunk.data[at].tobytes())})
+                for b, x, y in _held(bucket[order]):
+                    c = order[x:y]
+                    size = s.n[c] + LENGTH - 1
+                    at = np.repeat(s.lo[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    out.append({"bucket": b, "chunk": r["chunk"], "payload": z.compress(np.int64(y - x).tobytes() + s.least[c].tobytes() + s.n[c].astype(np.uint8).tobytes() + s.off[c].astype(np.uint8).tobytes() + chunk.data[at].tobytes())})
                 yield pa.RecordBatch.from_pylist(out, _TO_BUCKET)
 
     return run
@@ -299,11 +303,12 @@ def _removed(chunk: Chunk, s: Shared, answers: list[dict], bits: int) -> np.ndar
     if len(s.runs):
         bucket = _bucket(s.key, bits)
         order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        sorted_ = bucket[order]
         first = np.cumsum(s.n) - s.n
         least = np.full(int(s.n.sum()), _NO_ID)
         for a in answers or []:
-            c = order[edge[a["bucket"]] : edge[a["bucket"] + 1]]
+            x, y = np.searchsorted(sorted_, [a["bucket"], a["bucket"] + 1])
+            c = order[x:y]
             k, n = len(c), s.n[c]
             skip = -(-k // 8)
             even = np.unpackbits(np.frombuffer(a["payload"], np.uint8, skip), count=k).astype(bool)
