@@ -165,11 +165,20 @@ def companions(paths: DataFrame, path: str = "file_path") -> DataFrame:
     return paths.select(p.alias("path"), F.inline(made))
 
 
+def companion_files(paths: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
+    """(path, kind, companion) of the companions that a listing `files` (path) has; of a stem with both
+    spellings of its extension the small one."""
+    plain = F.regexp_replace("path", r"\.M4A$", ".m4a")
+    there = files.groupBy(plain.alias("companion")).agg(F.min_by("path", F.col("path") != plain).alias("found"))
+    kind = F.when(F.col("kind") == "stem", F.regexp_extract("companion", r"---(\w+)\.m4a$", 1)).otherwise(F.col("kind"))
+    return companions(paths, path).join(there, "companion").select("path", kind.alias("kind"), F.col("found").alias("companion"))
+
+
 def missing_artifacts(paths: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
     """(path, missing): which of stems, karaoke, subtitles a song lacks, given a listing `files` (path).
     Both stems are needed, one subtitle file is enough."""
     wanted = companions(paths, path)
-    there = wanted.join(files.select(F.col("path").alias("companion")).distinct().withColumn("__there", F.lit(True)), "companion", "left")
+    there = wanted.join(files.select(F.regexp_replace("path", r"\.M4A$", ".m4a").alias("companion")).distinct().withColumn("__there", F.lit(True)), "companion", "left")
     have = F.coalesce("__there", F.lit(False))
     by = there.groupBy("path").agg(*((F.bool_and if k == "stem" else F.bool_or)(F.when(F.col("kind") == k, have)).alias(k) for k in ("stem", "karaoke", "subtitles")))
     return by.select("path", F.array_compact(F.array(*(F.when(~F.col(k), F.lit("stems" if k == "stem" else k)) for k in ("karaoke", "stem", "subtitles")))).alias("missing"))

@@ -372,6 +372,17 @@ def neighbours(rows: DataFrame, key: str, order: str, start: str, end: str) -> D
     return rows.withColumn("prev_end", F.last(end, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("next_start", F.first(start, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
 
 
+def words_around(words: DataFrame, spans: DataFrame, key: str, pad: float = M.WORD_PAD) -> DataFrame:
+    """Words that start in the padded range of a span of their song, both ends included."""
+    return words.join(spans.select(key, "t0", "t1"), key).where((F.col("start") >= F.col("t0") - pad) & (F.col("start") <= F.col("t1") + pad)).drop("t0", "t1")
+
+
+def spans_to_repair(spans: DataFrame, suspects: DataFrame, key: str) -> DataFrame:
+    """Spans (key, after, before) that hold a suspect line between their anchors, and how many."""
+    inside = (F.col("line_id") > F.col("after")) & (F.col("line_id") < F.col("before"))
+    return spans.join(suspects, key).where(inside).groupBy(key, "after", "before").agg(F.count("*").alias("n_suspects"))
+
+
 def cue_ends(cues: DataFrame, key: str, order: list[str], hold: float = 4.0) -> DataFrame:
     """cues (start) with `end`: where the next one starts; the last holds a while."""
     w = W.partitionBy(key).orderBy(*order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import browse as B, catalogue as C, render as R, songs as S
+from ..operators import browse as B, catalogue as C, matching as M, render as R, songs as S
 from ..sources import readers as I
 from ..streaming import queue as Q
 from .base import query, table
@@ -185,3 +185,75 @@ def position_message(spark: SparkSession, sf: str) -> DataFrame:
 def random_sample(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id")
     return B.sample(d, d.where("doc_id % 10 = 0"), 25, "doc_id", seed=7)
+
+
+# rules of names and words
+
+
+@query("""SELECT p_partkey, p_partkey % 2 = 0 AS has_separator, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' & Bo' END AS kept, p_partkey % 4 <> 3 AS similar FROM part""")
+def name_rules(spark: SparkSession, sf: str) -> DataFrame:
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    name = F.concat("p_name", F.when(k % 2 == 0, " - x").otherwise("-x"))
+    credit = F.concat(brand, F.when(k % 3 == 0, " & Bo").otherwise(""), F.lit(" - Song"))
+    other = F.when(k % 4 == 0, brand).when(k % 4 == 1, F.concat(brand, F.lit("!"))).when(k % 4 == 2, F.substring(brand, 1, 3)).otherwise("")
+    found = F.when(k % 3 == 0, brand).otherwise("Somebody")
+    return table(spark, sf, "part").select("p_partkey", T.has_separator(name).alias("has_separator"), M.kept_artist(credit, found).alias("kept"), T.similar(brand, other).alias("similar"))
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS same, CASE WHEN event_id % 8 IN (1, 3, 5) THEN 'i am' WHEN event_id % 8 = 4 THEN 'are not' END AS expanded FROM events""")
+def word_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal; a contraction and a word of it, both ways; two contractions of the same; and what is none of these."""
+    k = F.col("event_id") % 8
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k + 1).cast("int"))
+    a, b = pick("song", "im", "am", "im", "arent", "im", "song", "x"), pick("song", "am", "im", "i", "aint", "are", "songs", "im")
+    return table(spark, sf, "events").select("event_id", T.same_word(a, b).alias("same"), T.expand(a).alias("expanded"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'g' || page_id END AS genius_id, CASE WHEN page_id % 3 = 1 THEN 'raw' END AS mode FROM pages")
+def choice_read(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("page_id") % 3, F.col("page_id").cast("string")
+    body = F.when(k == 0, F.concat(F.lit('{"genius_id": "g'), n, F.lit('", "more": 1}'))).when(k == 1, F.concat(F.lit('{"mode":"raw","genius_id":"g'), n, F.lit('"}'))).otherwise("{broken")
+    return table(spark, sf, "pages").select("page_id", I.choice(body).alias("c")).select("page_id", "c.*")
+
+
+@query("""SELECT conv_id, turn, 0 AS line_no, 'Hey ' || role AS text, 'Hey ' || role AS align_text FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 1, role || ' (oh)', role || ' oh' FROM conversations WHERE turn % 2 = 1
+UNION ALL SELECT conv_id, turn, 0, 'Hey', 'Hey' FROM conversations WHERE turn % 2 = 1""")
+def lyrics_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    srt = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,000\n<i>Hey "), "role", F.lit("</i> (oh)\n"))
+    plain = F.concat(F.lit("[Chorus]\nHey\n\n"), "role", F.lit(" (oh)\n---"))
+    even = F.col("turn") % 2 == 0
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.when(even, "a/b.SRT").otherwise("a/b.txt").alias("path"), F.when(even, srt).otherwise(plain).alias("text"))
+    return I.lyrics(c, ["conv_id", "turn"], "path", "text")
+
+
+@query("""SELECT 'lib/s' || page_id || '.mp4' AS path, kind, CASE WHEN kind = 'vocal' AND page_id % 4 = 0 THEN 'lib/vocal/s' || page_id || '---vocal.m4a' WHEN kind = 'vocal' THEN 'lib/vocal/s' || page_id || '---vocal.M4A' WHEN kind = 'karaoke' THEN 'lib/karaoke/s' || page_id || '.ass' END AS companion
+FROM pages, (VALUES ('vocal', 2), ('karaoke', 3)) x(kind, m) WHERE page_id % m = 0""")
+def companion_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    made = lambda where, form: p.where(where).select(F.format_string(form, "page_id").alias("path"))
+    files = made("page_id % 4 = 0", "lib/vocal/s%d---vocal.m4a").unionByName(made("page_id % 2 = 0", "lib/vocal/s%d---vocal.M4A")).unionByName(made("page_id % 3 = 0", "lib/karaoke/s%d.ass"))
+    return C.companion_files(p.select(F.format_string("lib/s%d.mp4", "page_id").alias("file_path")), files)
+
+
+@query("SELECT event_id % 20 AS room, user_id::VARCHAR AS user, bool_or(event_id % 3 = 0) AS any_paused, bool_and(event_id % 3 = 0) AS all_paused FROM events GROUP BY 1, 2")
+def queue_paused(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.paused_of(_queue(spark, sf))
+
+
+# spans and the words around them
+
+
+@query("""WITH s AS (SELECT user_id, min(event_id)::DOUBLE AS t0, max(event_id) / 2.0::DOUBLE AS t1 FROM events GROUP BY 1) SELECT e.user_id, event_id FROM events e JOIN s ON s.user_id = e.user_id AND event_id >= t0 - 2 AND event_id <= t1 + 2""")
+def padded_words(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("start", F.col("event_id").cast("double"))
+    s = e.groupBy("user_id").agg(F.min("start").alias("t0"), (F.max("start") / 2.0).alias("t1"))
+    return S.words_around(e, s, "user_id").select("user_id", "event_id")
+
+
+@query("""WITH g AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1), s AS (SELECT conv_id, x AS after, least(x + 4, last + 1) AS before FROM g, LATERAL (SELECT unnest(range(-1, last, 4)) AS x))
+SELECT s.conv_id AS song, after, before, count(*) AS n_suspects FROM s JOIN conversations c ON c.conv_id = s.conv_id AND turn > after AND turn < before AND turn % 5 = 2 GROUP BY 1, 2, 3""")
+def suspect_spans(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    last = c.groupBy(F.col("conv_id").alias("song")).agg(F.max("turn").alias("last"))
+    spans = last.select("song", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.greatest(F.col("last") - 1, F.lit(-1)), F.lit(4).cast("bigint"))).alias("after"), "last").where("after < last").select("song", "after", F.least(F.col("after") + 4, F.col("last") + 1).alias("before"))
+    return S.spans_to_repair(spans, c.where("turn % 5 = 2").select(F.col("conv_id").alias("song"), F.col("turn").alias("line_id")), "song")

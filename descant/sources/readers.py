@@ -159,6 +159,11 @@ def segment_lines(segments: DataFrame, key: list[str], column: str = "segments")
     return out.select(*key, "line_no", F.trim("s.text").alias("text"), words.alias("words")).select("*", F.col("words")[0]["start"].alias("start"), F.try_element_at("words", F.lit(-1))["end"].alias("end"))
 
 
+def choice(body: Column) -> Column:
+    """A stored lyric choice: struct (genius_id, mode); broken JSON gives nulls."""
+    return F.from_json(body, "genius_id string, mode string")
+
+
 def choices(spark: SparkSession, path: str) -> DataFrame:
-    """Sidecar files of lyric choices; broken files give nulls."""
-    return texts(spark, path).select("path", F.from_json("text", "genius_id string, mode string").alias("c")).select("path", "c.*")
+    """Sidecar files of lyric choices."""
+    return texts(spark, path).select("path", choice(F.col("text")).alias("c")).select("path", "c.*")

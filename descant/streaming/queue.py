@@ -174,6 +174,12 @@ def preview(queue: DataFrame, n: int = 5, room: str = "room") -> DataFrame:
     return last.where(F.col("rank") < n)
 
 
+def paused_of(queue: DataFrame, room: str = "room") -> DataFrame:
+    """(room, user, any_paused, all_paused)."""
+    p = F.coalesce("paused", F.lit(False))
+    return queue.groupBy(room, "user").agg(F.bool_or(p).alias("any_paused"), F.bool_and(p).alias("all_paused"))
+
+
 def read_model(rows: DataFrame, fields: list[str], order: str, room: str = "room") -> DataFrame:
     """(room, body): what a view is sent, the room's rows in order as a JSON list. A view holds one room."""
     item = F.struct(F.col(order).alias("__at"), F.struct(*fields).alias("item"))
