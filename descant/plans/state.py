@@ -87,3 +87,18 @@ def event_bus(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select((F.col("event_id") % 20).alias("room"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"))
     h = spark.createDataFrame([("view", 1), ("click", 2), ("view", 3)], "name string, registered int")
     return K.dispatched(e, h).select("room", F.col("seq").alias("event_id"), "registered", F.col("call").cast("bigint").alias("call"))
+
+
+@query("""WITH i AS (SELECT event_id AS n, event_id % 7 = 0 AS cancelling, CASE WHEN event_id % 3 <> 0 THEN 'p' || event_id % 9 END AS song_path, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'active' WHEN 2 THEN 'complete' ELSE 'error' END AS d, CASE event_id % 5 WHEN 0 THEN 'waiting' WHEN 1 THEN 'complete' ELSE 'error' END AS said, user_id FROM events),
+s AS (SELECT *, CASE WHEN cancelling THEN 'cancelling' WHEN song_path IS NULL THEN CASE WHEN d = 'error' THEN 'error' ELSE 'waiting' END WHEN song_path = 'p1' THEN 'active' WHEN song_path IN ('p2', 'p4') THEN 'pending' WHEN said IN ('complete', 'error') THEN said ELSE 'complete' END AS s FROM i)
+SELECT n AS event_id, s AS status, list_filter([CASE WHEN NOT cancelling AND (d IN ('active', 'pending') OR s IN ('active', 'pending')) AND (n % 2 = 0 OR user_id = 7) THEN 'cancel' END, CASE WHEN NOT cancelling AND (d IN ('complete', 'error') OR s IN ('complete', 'error')) AND n % 2 = 0 THEN 'remove' END,
+CASE WHEN NOT cancelling AND d = 'complete' AND s = 'complete' AND song_path IS NOT NULL THEN 'enqueue' END], lambda x: x IS NOT NULL) AS actions FROM s""")
+def tracker_status(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("event_id")
+    pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), (n % k + 1).cast("int"))
+    items = table(spark, sf, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("user"), (n % 7 == 0).alias("cancelling"), F.when(n % 3 != 0, F.concat(F.lit("p"), (n % 9).cast("string"))).alias("song_path"),
+        pick(4, "pending", "active", "complete", "error").alias("download_status"), pick(5, "waiting", "complete", "error", "error", "error").alias("processing_status"),
+    )
+    now = items.withColumn("processing_status", K.status(F.lit("p1"), F.array(F.lit("p2"), F.lit("p4"))))
+    return now.select("event_id", F.col("processing_status").alias("status"), K.actions(n % 2 == 0, F.lit("7")).alias("actions"))
