@@ -35,3 +35,24 @@ def test_stages(spark, tmp_path):
     assert ids(kept[4]) == mixed and set(kept[4].columns) >= {"doc_id", "shard", "slot"}
     assert P.run(spark, str(tmp_path)).count() == len(mixed)
     assert [n for n, _ in P.STAGES] and P.ORACLE_SQL is None
+
+
+def test_edges(spark, tmp_path):
+    """Null and repeated ids are judged by what they hold; an empty table gives an empty result."""
+    rng = random.Random(8)
+    common = "the of and to in is that for it as with was on are by this be".split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.45 else "wo" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item = prose(30)
+    rows = [(i, prose(150), "en", "s", 0) for i in range(60)]
+    leak = prose(60) + " " + item
+    rows += [(7, leak, "en", "s", 0), (None, leak + " more", "en", None, 0), (None, prose(150), None, None, 0), (9, prose(20_000), "en", "s", 0), rows[3]]
+    spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = P.decontaminate_stage(spark, docs, str(tmp_path)).collect()
+    assert len(left) == 63 and sum(r.doc_id == 7 for r in left) == 1 and sum(r.doc_id is None for r in left) == 1
+    kept = P.near_dedup_stage(spark, docs, str(tmp_path)).collect()
+    # the repeated row goes, one of the leaks, which are near copies, and one of the texts of id 7, which are one node
+    assert len(kept) == len(rows) - 3
+    none = docs.limit(0)
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
