@@ -38,6 +38,13 @@ def songs(table: DataFrame, inputs: list[str], outputs: dict[str, str], run: Cal
     return table.mapInArrow(batches, ", ".join([own, *(f"`{n}` {k}" for n, k in outputs.items())]))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by song to as many partitions as the session shuffles to. Songs are small and their alignment
+    is not: by bytes alone adaptive execution would put them into a few tasks. Grouping by the song needs no
+    further shuffle."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _window_rows(found: list[M.Windows], rescued: bool) -> list[dict]:
     return [{"line_id": k, "from": b, "to": e, "score": s, "rescued": rescued} for k, line in enumerate(found) for b, e, s in zip(*(c.tolist() for c in line), strict=True)]
 

@@ -13,7 +13,7 @@ def songs(spark: SparkSession, sf: str) -> DataFrame:
     with gaps: every seventh is missing, and from the fourth line on they come 4 s later than aligned."""
     sentences = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), r"(?<=[.!?]) ")
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("song"), "turn", sentences.alias("said"))
-    t = turns.groupBy("song").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("ls")).select("song", F.flatten("ls.said").alias("lines"))
+    t = S.dealt(turns, "song").groupBy("song").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("ls")).select("song", F.flatten("ls.said").alias("lines"))
     t = t.withColumn("flat", F.flatten(F.transform("lines", lambda line, i: F.transform(F.filter(F.split(line, " "), lambda w: w.rlike(r"[\p{L}\p{N}_]")), lambda w: F.struct(w.alias("word"), i.alias("line"))))))
     timed = lambda extra: F.transform("flat", lambda x, i: F.struct(x["word"].alias("word"), (i * 0.6 + extra(x)).alias("start"), (i * 0.6 + 0.5 + extra(x)).alias("end"), i.alias("i")))
     aligned = F.transform(timed(lambda x: F.lit(0.0)), lambda w: w.dropFields("i"))
@@ -74,7 +74,7 @@ def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     said = F.split(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), r"([.!?]) ", "$1\n"), "\n")
     tokens = F.transform(said, lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_ ]", ""), " "), lambda w: w != ""))
     t = table(spark, sf, "conversations").select(F.col("conv_id").alias("song"), F.struct("turn", tokens.alias("ls")).alias("t"))
-    g = t.groupBy("song").agg(F.array_sort(F.collect_list("t")).alias("ts")).select("song", F.flatten("ts.ls").alias("lines"))
+    g = S.dealt(t, "song").groupBy("song").agg(F.array_sort(F.collect_list("t")).alias("ts")).select("song", F.flatten("ts.ls").alias("lines"))
     return g.withColumn("heard", F.filter(F.flatten("lines"), lambda w, i: i % 5 != 4))
 
 
