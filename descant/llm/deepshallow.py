@@ -20,27 +20,19 @@ class BlindTrie:
 
     @staticmethod
     def _common(a: bytes, b: bytes) -> int:
-        lo, hi = 0, len(a)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if a[lo:mid] == b[lo:mid]:
-                lo = mid
-            else:
-                hi = mid - 1
-        return lo
+        differing = int.from_bytes(a, "big") ^ int.from_bytes(b, "big")
+        return len(a) - (differing.bit_length() + 7) // 8
 
-    def add(self, s: bytes, item: int) -> None:
+    def add(self, s: bytes, items: list[int]) -> None:
+        """A string that is not in the trie yet, with its items."""
         if self.root is None:
-            self.root = [s, [item]]
+            self.root = [s, items]
             return
         node = self.root
         while len(node) == 3:
             node = node[1].get(s[node[0]], node[2])
-        if node[0] == s:
-            node[1].append(item)
-            return
         at = self._common(s, node[0])
-        leaf = [s, [item]]
+        leaf = [s, items]
         node, up, byte = self.root, None, 0
         while len(node) == 3 and node[0] < at:
             up, byte = node, s[node[0]]
@@ -95,13 +87,20 @@ def sort(words: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndar
         end = np.append(start[1:], n)
         for g in np.unique(group[differs]).tolist():
             b, e = start[g], end[g]
-            trie = BlindTrie()
             raw = words[order[b:e], shallow:].astype(">u8").tobytes()
             size = 8 * (width - shallow)
+            equal: dict[bytes, list[int]] = {}
             for k, item in enumerate(order[b:e].tolist()):
-                trie.add(raw[k * size : (k + 1) * size], item)
+                equal.setdefault(raw[k * size : (k + 1) * size], []).append(item)
+            if len(equal) < 3:  # a trie of one branch
+                ordered = [equal[s] for s in sorted(equal)]
+            else:
+                trie = BlindTrie()
+                for s, items in equal.items():
+                    trie.add(s, items)
+                ordered = trie.groups()
             at = b
-            for items in trie.groups():
+            for items in ordered:
                 order[at : at + len(items)] = items
                 new[at] = True
                 new[at + 1 : at + len(items)] = False
