@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, html, mixing, neardup, paragraphs, quality, sharding, substrings, urls, warc
+from . import decontamination, html, mixing, neardup, paragraphs, periodic, quality, sharding, substrings, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -60,6 +60,34 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(tables(spark, sf_dir, "pages"))
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """With h = crc32(doc_id) and g = h / 10: where h % 10 = 0, the words from a = g % n on become the first
+    p = 1 + (n - a) / (3 + g % 8) of them over and over."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, digit = F.floor(h / 10), h % 10
+
+    def tail(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        new = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i).cast("int")))
+        return F.when(n > 0, F.array_join(new, " "))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    return docs.withColumn("text", F.when(digit == 0, F.get(F.transform(words, tail), F.lit(0))).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(periodic_tails(tables(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    digest = F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -83,7 +111,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op5_deep_shallow, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text)}
+    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op5_deep_shallow, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
