@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, html, mixing, neardup, paragraphs, periodic, quality, sharding, substrings, urls, warc
+from . import codes, decontamination, html, mixing, neardup, paragraphs, periodic, quality, sharding, substrings, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -88,6 +88,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(tables(spark, sf_dir, "embeddings"))
+    return found.withColumn("codebooks_sha256", F.lit(codes.fingerprint(books)))
+
+
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -109,10 +114,31 @@ m AS (SELECT p.*, rule, verdict, row_number() OVER (PARTITION BY n ORDER BY leng
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+#: One round: the nearest entry of each part, then the floor of the mean of its parts.
+_OP13_ROUND = """
+a{r} AS MATERIALIZED (SELECT vec_id, p, min(d)[1] AS error, min(d)[2] AS e FROM (SELECT vec_id, c.p, [list_sum(list_transform(list_zip(t.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e] AS d FROM parts t JOIN c{r} c ON c.p = t.p) GROUP BY ALL)"""
+_OP13_UPDATE = """,
+s{r} AS (SELECT p, e, i, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT a.p, a.e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r} a JOIN parts USING (vec_id, p)) GROUP BY ALL),
+m{r} AS (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY ALL),
+c{n} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (p, e)),"""
+_OP13_SQL = (
+    """
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) r(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),"""
+    + "".join(_OP13_ROUND.format(r=r) + _OP13_UPDATE.format(r=r, n=r + 1) for r in range(codes.ROUNDS))
+    + _OP13_ROUND.format(r=codes.ROUNDS)
+    + """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(error)::BIGINT AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c6) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op5_deep_shallow, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op5_deep_shallow, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text, op11_periodic_runs, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2_SQL, "op9_warc_round_trip": _OP9_SQL}
+    return {"op2_url_filters": _OP2_SQL, "op9_warc_round_trip": _OP9_SQL, "op13_vector_codes": _OP13_SQL}
