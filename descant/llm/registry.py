@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import codes, decontamination, html, mixing, neardup, paragraphs, periodic, quality, sharding, substrings, urls, warc
+from . import codes, decontamination, html, languages, mixing, neardup, paragraphs, periodic, quality, sharding, substrings, urls, warc
 from .common import tables
 
 #: The rules of the production filter.
@@ -88,6 +88,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return languages.predict(docs, languages.train(docs.where(~held_out)), keep={"held_out": held_out})
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = codes.compress(tables(spark, sf_dir, "embeddings"))
     return found.withColumn("codebooks_sha256", F.lit(codes.fingerprint(books)))
@@ -137,7 +143,7 @@ FROM coded JOIN kept USING (vec_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op5_deep_shallow, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text, op11_periodic_runs, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_paragraph_minhash, op2_url_filters, op3_bag_minhash, op4_source_mix, op5_deep_shallow, op6_decontamination, op7_quality_rules, op8_kd_shards, op9_warc_round_trip, op10_main_text, op11_periodic_runs, op12_language_id, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
