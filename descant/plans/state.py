@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..streaming import queue as Q, tracker as K
+from ..streaming import ordered as O, queue as Q, signals as S, tracker as K
 from .base import query, table
 
 
@@ -54,24 +54,87 @@ def reorder(spark: SparkSession, sf: str) -> DataFrame:
     return Q.reordered(e, 10, 3).select("event_id", F.col("position").cast("bigint").alias("position"))
 
 
-@query()
+#: The queue as a state per room, one event a step: what stands where is in a list.
+_QUEUE_SQL = """WITH RECURSIVE ev AS (SELECT event_id % 20 AS room, row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) AS k, user_id::VARCHAR AS u, 'song' || event_id % 997 AS f, (event_id % 5)::INTEGER AS s, event_id % 4 AS a, event_id % 3 AS b,
+  CASE WHEN event_id % 10 < 6 THEN 'enqueue' WHEN event_id % 10 = 6 THEN 'pop' WHEN event_id % 30 = 7 THEN 'pause_song' WHEN event_id % 30 = 17 THEN 'up' WHEN event_id % 30 = 27 THEN 'delete' WHEN event_id % 30 = 8 THEN 'pause_user' WHEN event_id % 30 = 18 THEN 'bottom' WHEN event_id % 30 = 28 THEN 'front' WHEN event_id % 500 = 499 THEN 'clear' ELSE 'reorder' END AS act FROM events),
+q AS (SELECT DISTINCT room, 0::BIGINT AS k, []::STRUCT(u VARCHAR, f VARCHAR, s INTEGER, p BOOLEAN)[] AS x, NULL::VARCHAR AS playing FROM ev
+UNION ALL SELECT room, k,
+  CASE WHEN act IN ('enqueue', 'front') THEN CASE WHEN i >= 0 OR own + coalesce((playing = u)::INTEGER, 0) >= 4 THEN x ELSE x[1:place] || [{'u': u, 'f': f, 's': s, 'p': false}] || x[place + 1:] END
+    WHEN act = 'pop' THEN CASE WHEN j IS NULL THEN x ELSE x[1:j - 1] || x[j + 1:] END
+    WHEN act = 'pause_song' THEN list_transform(x, lambda y, n: {'u': y.u, 'f': y.f, 's': y.s, 'p': (n = i + 1) <> y.p})
+    WHEN act = 'pause_user' THEN list_transform(x, lambda y: {'u': y.u, 'f': y.f, 's': y.s, 'p': CASE WHEN y.u = u THEN open_ > 0 ELSE y.p END})
+    WHEN act = 'clear' THEN [] WHEN act = 'delete' THEN CASE WHEN i < 0 THEN x ELSE x[1:i] || x[i + 2:] END
+    WHEN old BETWEEN 0 AND len(x) - 1 AND new BETWEEN 0 AND len(x) - 1 AND NOT (act <> 'reorder' AND old = new) THEN (x[1:old] || x[old + 2:])[1:new] || [x[old + 1]] || (x[1:old] || x[old + 2:])[new + 1:] ELSE x END,
+  CASE WHEN act = 'pop' THEN x[j].u ELSE playing END
+FROM (SELECT *, CASE act WHEN 'reorder' THEN a ELSE i END AS old, CASE act WHEN 'reorder' THEN b WHEN 'up' THEN i - 1 WHEN 'bottom' THEN len(x) - 1 END AS new,
+    CASE WHEN act = 'front' THEN 0 ELSE coalesce(list_min(list_filter(range(len(x)), lambda n: len(list_filter(x[1:n], lambda y: y.u = x[n + 1].u)) > own)), len(x)) END AS place
+  FROM (SELECT ev.*, x, playing, coalesce(list_position(list_transform(x, lambda y: y.f), f), 0) - 1 AS i, len(list_filter(x, lambda y: y.u = u)) AS own, len(list_filter(x, lambda y: y.u = u AND NOT y.p)) AS open_,
+      list_min(list_filter(range(1, len(x) + 1), lambda n: NOT x[n].p)) AS j FROM q JOIN ev ON ev.room = q.room AND ev.k = q.k + 1))),
+last AS (SELECT room, arg_max(x, k) AS x FROM q GROUP BY room)
+SELECT room::VARCHAR AS room, (n - 1)::INTEGER AS position, x[n].u AS "user", x[n].f AS file, x[n].f AS title, x[n].s AS semitones, x[n].p AS paused FROM (SELECT room, x, unnest(range(1, len(x) + 1)) AS n FROM last)"""
+#: What became of each video, since every one has at most one event of a kind.
+_TRACKER_SQL = """WITH v AS (SELECT event_id // 7 AS v, max(CASE WHEN event_id % 7 = 0 THEN user_id::VARCHAR END) AS u, bool_or(event_id % 7 = 0) AS queued, bool_or(event_id % 7 = 1) AS started, bool_or(event_id % 7 = 2 AND event_id % 3 <> 0) AS down, bool_or(event_id % 7 = 2 AND event_id % 3 = 0) AS failed,
+  bool_or(event_id % 7 = 3 AND event_id % 5 = 0) AS cancel, bool_or(event_id % 7 = 4 AND event_id % 2 = 0) AS done, bool_or(event_id % 7 = 4 AND event_id % 2 = 1) AS bad, bool_or(event_id % 7 = 5 AND event_id % 5 = 0) AS cancelled, bool_or(event_id % 7 = 6 AND event_id % 11 = 0) AS deleted FROM events GROUP BY 1),
+i AS (SELECT (v % 20)::VARCHAR AS room, (row_number() OVER (PARTITION BY v % 20 ORDER BY v) - 1)::INTEGER AS place, lpad(v::VARCHAR, 11, 'v') AS video, u, CASE WHEN down THEN 'complete' WHEN failed THEN 'error' WHEN started THEN 'active' ELSE 'pending' END AS d, down, down AND done AS done, down AND bad AS bad, down AND cancel AS cancelling, failed AND NOT down AS failed
+  FROM v WHERE queued AND NOT (down AND deleted) AND NOT (down AND cancel AND cancelled)),
+s AS (SELECT *, CASE WHEN cancelling THEN 'cancelling' WHEN NOT down THEN CASE WHEN failed THEN 'error' ELSE 'waiting' END WHEN bad THEN 'error' ELSE 'complete' END AS s FROM i)
+SELECT room, place, 't' || video AS title, 'https://e.com/watch?v=' || video AS url, u AS "user", CASE WHEN down THEN 's---' || video || '.mp4' END AS song_path, d AS download_status, s AS processing_status, CASE WHEN failed OR bad THEN 'boom' END AS error_message, cancelling, CASE WHEN done THEN 'srt+joint' END AS lyric_method,
+list_filter([CASE WHEN NOT cancelling AND (d IN ('active', 'pending') OR s IN ('active', 'pending')) AND (place % 2 = 0 OR u = '7') THEN 'cancel' END, CASE WHEN NOT cancelling AND (d IN ('complete', 'error') OR s IN ('complete', 'error')) AND place % 2 = 0 THEN 'remove' END,
+CASE WHEN NOT cancelling AND d = 'complete' AND s = 'complete' THEN 'enqueue' END], lambda x: x IS NOT NULL) AS actions FROM s"""
+
+
+def _told(items: DataFrame) -> DataFrame:
+    now = items.withColumn("processing_status", K.status(F.lit("none"), F.array().cast("array<string>")))
+    return now.withColumn("actions", K.actions(F.col("place") % 2 == 0, F.lit("7")))
+
+
+def _timed(events: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """Events with the time of their table."""
+    return events.join(table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at")), "seq")
+
+
+@query(_QUEUE_SQL)
 def queue_fold(spark: SparkSession, sf: str) -> DataFrame:
     return Q.fold(queue_events(spark, sf), limit=4)
 
 
-@query()
+@query(_QUEUE_SQL)
+def queue_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The queues after the history went through the stream, slice by slice."""
+    events = _timed(queue_events(spark, sf), spark, sf)
+    return Q.present(O.results(O.replay(events, "room", lambda s: Q.stream(s, limit=4))))
+
+
+@query(_TRACKER_SQL)
 def tracker_fold(spark: SparkSession, sf: str) -> DataFrame:
-    items = K.fold(tracker_events(spark, sf))
-    now = items.withColumn("processing_status", K.status(F.lit("none"), F.array().cast("array<string>")))
-    return now.withColumn("actions", K.actions(F.col("place") % 2 == 0, F.lit("7")))
+    return _told(K.fold(tracker_events(spark, sf)))
+
+
+@query(_TRACKER_SQL)
+def tracker_stream(spark: SparkSession, sf: str) -> DataFrame:
+    events = _timed(tracker_events(spark, sf), spark, sf)
+    return _told(K.present(O.results(O.replay(events, "room", K.stream))))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_id / 1000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), n AS (SELECT user_id, list(t ORDER BY i) AS ts, list(event_id ORDER BY i) AS ids FROM e GROUP BY 1),
+_THROTTLE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id / 1000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), n AS (SELECT user_id, list(t ORDER BY i) AS ts, list(event_id ORDER BY i) AS ids FROM e GROUP BY 1),
 r AS (SELECT user_id, ts, ids, 1::BIGINT AS i FROM n UNION ALL SELECT user_id, ts, ids, nxt FROM (SELECT user_id, ts, ids, list_min(list_filter(range(i + 1, len(ts) + 1), lambda j: ts[j] - ts[i] >= 0.5)) AS nxt FROM r) WHERE nxt IS NOT NULL)
-SELECT user_id, ts[i] AS at, ids[i] AS "order" FROM r""")
+SELECT user_id, ts[i] AS at, ids[i] AS "order" FROM r"""
+
+
+def _ticks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") / 1000).alias("at"))
+
+
+@query(_THROTTLE_SQL)
 def tick_throttle(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") / 1000).alias("at"))
-    return K.throttled(e, "user_id", "event_id", "at", 0.5)
+    return K.throttled(_ticks(spark, sf), "user_id", "event_id", "at", 0.5)
+
+
+@query(_THROTTLE_SQL)
+def throttle_stream(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = _ticks(spark, sf).withColumnRenamed("event_id", "seq").withColumn("at", F.timestamp_millis("seq"))
+    out = O.replay(ticks, "user_id", lambda s: S.throttled(s.withColumn("at", F.unix_micros("at") / 1_000_000), "user_id", "seq", "at", 0.5))
+    return O.results(out).select(F.col("key").cast("bigint").alias("user_id"), "at", "order")
 
 
 @query("""WITH a AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'new' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0)
@@ -82,7 +145,28 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return K.changes(c.where("c_custkey % 4 <> 0"), after, "c_custkey", "value")
 
 
-@query("SELECT room, event_id, registered, row_number() OVER (PARTITION BY room ORDER BY event_id, registered) AS call FROM (SELECT event_id % 20 AS room, event_id, event_type FROM events) JOIN (VALUES ('view', 1), ('click', 2), ('view', 3)) h(name, registered) ON name = event_type")
+@query("""WITH s AS (SELECT user_id % 5 AS view, event_id // 200 AS version, event_type AS item, (count(*) % 3)::VARCHAR AS value FROM events GROUP BY ALL), v AS (SELECT view, version, lag(version) OVER (PARTITION BY view ORDER BY version) AS before FROM (SELECT DISTINCT view, version FROM s))
+SELECT s.view, s.version, s.item, 'send' AS op, s.value FROM s JOIN v USING (view, version) LEFT JOIN s b ON b.view = s.view AND b.version = v.before AND b.item = s.item WHERE b.value IS DISTINCT FROM s.value
+UNION ALL SELECT v.view, v.version, b.item, 'clear', NULL FROM v JOIN s b ON b.view = v.view AND b.version = v.before WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.view = v.view AND s.version = v.version AND s.item = b.item)""")
+def snapshot_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """What five views are sent, as the counts of their event types change from one lot of 200 events to the next."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 5).cast("string").alias("view"), F.floor(F.col("event_id") / 200).alias("version"), F.col("event_type").alias("item"))
+    shown = e.groupBy("view", "version", "item").agg((F.count("*") % 3).cast("string").alias("value")).withColumn("at", F.timestamp_seconds("version"))
+    out = O.replay(shown, "view", S.changes, seq="version")
+    return O.results(out).select(F.col("view").cast("bigint").alias("view"), "version", "item", "op", "value")
+
+
+_BUS_SQL = "SELECT room, event_id, registered, row_number() OVER (PARTITION BY room ORDER BY event_id, registered) AS call FROM (SELECT event_id % 20 AS room, event_id, event_type FROM events) JOIN (VALUES ('view', 1), ('click', 2), ('view', 3)) h(name, registered) ON name = event_type"
+
+
+@query(_BUS_SQL)
+def bus_stream(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select((F.col("event_id") % 20).cast("string").alias("room"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("at"))
+    out = O.replay(e, "room", lambda s: S.dispatched(s, {"view": [1, 3], "click": [2]}))
+    return O.results(out).select(F.col("room").cast("bigint").alias("room"), F.col("seq").alias("event_id"), "registered", "call")
+
+
+@query(_BUS_SQL)
 def event_bus(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select((F.col("event_id") % 20).alias("room"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"))
     h = spark.createDataFrame([("view", 1), ("click", 2), ("view", 3)], "name string, registered int")

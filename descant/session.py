@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: AQE picks partition counts, splits skewed joins and switches to broadcasts by measured sizes, so the
@@ -22,3 +26,15 @@ def session(name: str = "descant", master: str | None = None, **settings: str) -
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Without the setting a cluster gets
+    an error; where all runs on this machine (tests) a temporary folder becomes the checkpoint folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='descant-')}"
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/descant-{uuid.uuid4().hex}"

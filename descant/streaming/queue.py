@@ -6,13 +6,14 @@ sorted events (batch) and over stored state (stream). A room's queue is bounded
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+
+from . import ordered
 
 EXEMPT = frozenset(["System", "Randomizer"])
 
@@ -102,31 +103,56 @@ def _rows(room: str, q: Queue) -> pd.DataFrame:
 
 def fold(events: DataFrame, limit: int = 0, fair: bool = True) -> DataFrame:
     """The queue (ROWS) of each room after its events in the order of seq."""
+    return ordered.folded(events, "room", "seq", lambda: Queue(limit=limit, fair=fair), _rows, ROWS)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        q = Queue(limit=limit, fair=fair)
-        for e in rows.sort_values("seq").astype(object).where(rows.notna(), None).to_dict("records"):
-            q.apply(e)
-        return _rows(key[0], q)
 
-    return events.groupBy("room").applyInPandas(run, ROWS)
+EVENT = "action string, user string, file string, title string, semitones int, index int, to int"
+_ITEM = "user string, file string, title string, semitones int, paused boolean"
+_FIELDS = [f.split()[0] for f in _ITEM.split(", ")]
 
 
-def stream(events: DataFrame, limit: int = 0, fair: bool = True) -> DataFrame:
-    """The fold on a stream: each micro-batch gives the queue of the rooms that it touches, with the
-    number of events seen so far (`version`). Events of a room are taken in the order of seq inside a batch."""
+class Room(ordered.Ordered):
+    """A room's queue in state: its songs as a list, the one that plays as a value. A run of events reads and
+    writes the list once; it is bounded by the users' limits."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"items": [], "playing": None, "n": 0}
-        q = Queue(held["items"], held["playing"], limit, fair)
-        rows = pd.concat(list(batches))
-        for e in rows.sort_values("seq").astype(object).where(rows.notna(), None).to_dict("records"):
-            q.apply(e)
-        n = held["n"] + len(rows)
-        state.update((json.dumps({"items": q.items, "playing": q.playing, "n": n}),))
-        yield _rows(key[0], q).assign(version=n)
+    def __init__(self, limit: int, fair: bool) -> None:
+        super().__init__(EVENT, [*(c.split()[0] for c in ROWS.split(", ")), "version"])
+        self.limit, self.fair = limit, fair
 
-    return events.groupBy("room").applyInPandasWithState(run, f"{ROWS}, version long", "state string", "append", GroupStateTimeout.NoTimeout)
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.songs = handle.getListState("songs", _ITEM)
+        self.playing = handle.getValueState("playing", _ITEM)
+        self.version = handle.getValueState("version", "n long")
+
+    def apply(self, key: str, events: list[dict]) -> Iterator[tuple]:
+        item = lambda v: dict(zip(_FIELDS, v, strict=True))
+        back = lambda x: tuple(x[f] for f in _FIELDS)
+        playing = self.playing.get()
+        q = Queue([item(v) for v in self.songs.get()], playing and item(playing), self.limit, self.fair)
+        for e in events:
+            q.apply(e)
+        n = (self.version.get() or (0,))[0] + len(events)
+        self.version.update((n,))
+        self.songs.put([back(x) for x in q.items]) if q.items else self.songs.clear()
+        self.playing.update(back(q.playing)) if q.playing else self.playing.clear()
+        for k, x in enumerate(q.items):
+            yield (key, k, *back(x), n)
+        if not q.items:
+            yield (key, None, None, None, None, None, None, n)
+
+
+def stream(events: DataFrame, limit: int = 0, fair: bool = True, delay: str = "10 seconds", at: str = "at") -> DataFrame:
+    """The fold on a stream: the queues (ROWS, version, late) of the rooms whose events the watermark has passed;
+    `version` is the number of a room's events so far, an empty queue is one row without a position."""
+    return ordered.in_order(ordered.with_fields(events, EVENT), "room", Room(limit, fair), f"{ROWS}, version long", delay, at)
+
+
+def present(changes: DataFrame) -> DataFrame:
+    """The rooms' queues (ROWS) of their greatest version: what `fold` gives for the same events."""
+    fields = [c.split()[0] for c in ROWS.split(", ")]
+    queues = changes.groupBy("room", "version").agg(F.collect_list(F.struct(*fields)).alias("songs"))
+    last = queues.groupBy("room").agg(F.max_by("songs", "version").alias("songs"))
+    return last.select(F.inline("songs")).where("position IS NOT NULL")
 
 
 def fair_order(requests: DataFrame, room: str = "room", user: str = "user", order: str = "seq") -> DataFrame:

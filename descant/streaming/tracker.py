@@ -3,13 +3,15 @@ actions are derived at read. Events: (room, seq, name, url, song_path, title, us
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+
+from . import ordered
 
 #: Values of seq whose calls are put in order in one window.
 RUN = 10_000
@@ -24,76 +26,135 @@ def video_of(url: str | None) -> str | None:
 
 
 class Tracker:
-    """Items in the order of their downloads."""
-
-    def __init__(self, items: list[dict] | None = None) -> None:
-        self.items = items or []
-
-    def _first(self, **want) -> dict | None:  # noqa: ANN003
-        return next((x for x in self.items if all(x[k] in v if isinstance(v, tuple) else x[k] == v for k, v in want.items())), None)
+    """Jobs by number in the order of their downloads. Indexes from url and video id to the jobs whose download is
+    open, and from path to jobs, so that an event reads the jobs that it names. The mappings are dictionaries
+    in batch and maps of state in a stream. A null url or path names no job."""
+
+    def __init__(self, jobs: Any = None, urls: Any = None, videos: Any = None, paths: Any = None, n: int = 0) -> None:
+        self.jobs, self.urls, self.videos, self.paths = ({} if x is None else x for x in (jobs, urls, videos, paths))
+        self.n = n
+
+    @property
+    def items(self) -> list[dict]:
+        return [self.jobs.get(k) for k in sorted(self.jobs.keys())]
+
+    def _of(self, index: Any, key: str | None) -> list[int]:
+        return list(index.get(key) or []) if key is not None else []
+
+    def _link(self, index: Any, key: str | None, k: int) -> None:
+        if key is not None:
+            index[key] = sorted({*self._of(index, key), k})
+
+    def _unlink(self, index: Any, key: str | None, k: int) -> None:
+        held = self._of(index, key)
+        if k in held and len(held) > 1:
+            index[key] = [x for x in held if x != k]
+        elif held == [k]:
+            index.pop(key)
+
+    def _first(self, index: Any, key: str | None, holds: Callable[[dict], bool] = lambda x: True) -> int | None:
+        return next((k for k in self._of(index, key) if holds(self.jobs.get(k))), None)
+
+    def _set(self, k: int | None, **new: Any) -> None:
+        if k is not None:
+            self.jobs[k] = self.jobs.get(k) | new
+
+    def _close(self, k: int | None, **new: Any) -> None:
+        """The download has ended: url and video name this job no more."""
+        if k is not None:
+            url = self.jobs.get(k)["url"]
+            self._unlink(self.urls, url, k)
+            self._unlink(self.videos, video_of(url), k)
+            self._set(k, **new)
+
+    def _remove(self, k: int) -> None:
+        self._close(k)
+        self._unlink(self.paths, self.jobs.get(k)["song_path"], k)
+        self.jobs.pop(k)
 
     def apply(self, e: dict) -> None:
-        name, path = e["name"], e.get("song_path")
-        waiting = ("pending", "active")
-        match name:
+        url, path = e.get("url"), e.get("song_path")
+        match e["name"]:
             case "download_queued":
-                self.items.append(dict.fromkeys(FIELDS) | {"title": e.get("title"), "url": e.get("url"), "user": e.get("user"), "download_status": "pending", "processing_status": "waiting", "cancelling": False})
+                k, self.n = self.n, self.n + 1
+                self.jobs[k] = dict.fromkeys(FIELDS) | {"title": e.get("title"), "url": url, "user": e.get("user"), "download_status": "pending", "processing_status": "waiting", "cancelling": False}
+                self._link(self.urls, url, k)
+                self._link(self.videos, video_of(url), k)
             case "download_started":
-                if x := self._first(url=e.get("url"), download_status="pending"):
-                    x["download_status"] = "active"
+                self._set(self._first(self.urls, url, lambda x: x["download_status"] == "pending"), download_status="active")
             case "song_downloaded":
-                hit = next((x for x in self.items if x["download_status"] in waiting and e.get("video") and video_of(x["url"]) == e["video"]), None)
-                if hit:
-                    hit |= {"song_path": path, "download_status": "complete"}
+                k = self._first(self.videos, e.get("video") or None)
+                self._close(k, song_path=path, download_status="complete")
+                if k is not None:
+                    self._link(self.paths, path, k)
             case "download_error":
-                if x := self._first(url=e.get("url"), download_status=waiting):
-                    x |= {"download_status": "error", "error_message": e.get("error") or "Unknown error"}
+                self._close(self._first(self.urls, url), download_status="error", error_message=e.get("error") or "Unknown error")
             case "processing_complete":
-                if x := self._first(song_path=path):
-                    x |= {"processing_status": "complete"} | ({"lyric_method": e["method"]} if e.get("method") is not None else {})
+                said = {"lyric_method": e["method"]} if e.get("method") is not None else {}
+                self._set(self._first(self.paths, path), processing_status="complete", **said)
             case "processing_error":
-                if x := self._first(song_path=path):
-                    x |= {"processing_status": "error", "error_message": e.get("error") or "Unknown error"}
+                self._set(self._first(self.paths, path), processing_status="error", error_message=e.get("error") or "Unknown error")
             case "cancel":
-                if x := self._first(song_path=path):
-                    x["cancelling"] = True
+                self._set(self._first(self.paths, path), cancelling=True)
             case "processing_cancelled":
-                if x := self._first(song_path=path, cancelling=True):
-                    self.items.remove(x)
+                k = self._first(self.paths, path, lambda x: x["cancelling"])
+                if k is not None:
+                    self._remove(k)
             case "song_deleted" | "processing_skipped":
-                self.items = [x for x in self.items if x["song_path"] != path]
+                for k in self._of(self.paths, path):
+                    self._remove(k)
 
 
 def _rows(room: str, t: Tracker) -> pd.DataFrame:
     return pd.DataFrame([{"room": room, "place": k} | x for k, x in enumerate(t.items)], columns=["room", "place", *FIELDS])
 
 
-def _events(rows: pd.DataFrame) -> list[dict]:
-    return rows.sort_values("seq").astype(object).where(rows.notna(), None).to_dict("records")
+def fold(events: DataFrame) -> DataFrame:
+    return ordered.folded(events, "room", "seq", Tracker, _rows, ROWS)
 
 
-def fold(events: DataFrame) -> DataFrame:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t = Tracker()
-        for e in _events(rows):
-            t.apply(e)
-        return _rows(key[0], t)
+EVENT = "name string, url string, song_path string, title string, user string, error string, method string, video string"
+_JOB = ", ".join(f"{f} {'boolean' if f == 'cancelling' else 'string'}" for f in FIELDS)
+CHANGES = f"room string, job long, version long, removed boolean, {_JOB}"
+
 
-    return events.groupBy("room").applyInPandas(run, ROWS)
+class Jobs(ordered.Ordered):
+    """A room's jobs in maps of state: an event reads and writes the jobs that it names, however many the room has.
+    What it gives is each job that changed, with the number of the room's events so far."""
 
+    def __init__(self) -> None:
+        super().__init__(EVENT, ["room", "job", "version", "removed", *FIELDS])
 
-def stream(events: DataFrame) -> DataFrame:
-    """The fold on a stream; `version` counts the events of the room so far."""
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.jobs = handle.getMapState("jobs", "job long", _JOB)
+        self.indexes = [handle.getMapState(name, "key string", "jobs array<long>") for name in ("urls", "videos", "paths")]
+        self.count = handle.getValueState("count", "jobs long, version long")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, n = json.loads(state.get[0]) if state.exists else ([], 0)
-        t, rows = Tracker(items), pd.concat(list(batches))
-        for e in _events(rows):
+    def apply(self, key: str, events: list[dict]) -> Iterator[tuple]:
+        n, version = self.count.get() or (0, 0)
+        jobs = ordered.Held(self.jobs, lambda v: dict(zip(FIELDS, v, strict=True)), lambda x: tuple(x[f] for f in FIELDS))
+        indexes = [ordered.Held(x, lambda v: list(v[0]), lambda v: (v,)) for x in self.indexes]
+        t = Tracker(jobs, *indexes, n)
+        for e in events:
             t.apply(e)
-        state.update((json.dumps([t.items, n + len(rows)]),))
-        yield _rows(key[0], t).assign(version=n + len(rows))
+        version += len(events)
+        for x in indexes:
+            x.flush()
+        self.count.update((t.n, version))
+        for k, x in jobs.flush():
+            yield (key, k, version, x is None, *((x or {}).get(f) for f in FIELDS))
+
+
+def stream(events: DataFrame, delay: str = "10 seconds", at: str = "at") -> DataFrame:
+    """Changed jobs (CHANGES, late) of a stream of events; a job's row of the greatest version is its present state."""
+    return ordered.in_order(ordered.with_fields(events, EVENT), "room", Jobs(), CHANGES, delay, at)
+
 
-    return events.groupBy("room").applyInPandasWithState(run, f"{ROWS}, version long", "state string", "append", GroupStateTimeout.NoTimeout)
+def present(changes: DataFrame) -> DataFrame:
+    """The rooms' jobs (ROWS) after all changes: what `fold` gives for the same events."""
+    last = changes.groupBy("room", "job").agg(F.max_by(F.struct("removed", *FIELDS), "version").alias("x")).where("NOT x.removed")
+    place = F.row_number().over(W.partitionBy("room").orderBy("job")) - 1
+    return last.select("room", place.alias("place"), *(F.col(f"x.{f}") for f in FIELDS))
 
 
 def status(active: Column, pending: Column) -> Column:

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no driver
 #: Queries that SQL cannot express, and the tests of what they apply.
 ELSEWHERE = {
     "joint": "test_timing.test_joint", "repair": "test_timing.test_repair_moves_a_line_between_its_anchors", "timing_prior": "test_timing.test_prior", "global_align": "test_timing.test_line_maps_equal_brute_force",
-    "render_script": "test_timing.test_song_tables_and_rendering", "bundle_summary": "test_timing.test_song_tables_and_rendering", "queue_fold": "test_state.test_queue_actions", "tracker_fold": "test_state.test_tracker_states",
+    "render_script": "test_timing.test_song_tables_and_rendering", "bundle_summary": "test_timing.test_song_tables_and_rendering",
 }
 
 

@@ -1,12 +1,14 @@
 """Queue and tracker folds, and their streams against the batch folds."""
 
+import json
 import random
+import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from descant.operators import catalogue as C
-from descant.streaming import queue as Q, tracker as K
+from descant.streaming import ordered as O, queue as Q, signals as S, tracker as K
 
 
 def enqueued(users, **options):
@@ -59,37 +61,169 @@ def test_tracker_states():
     assert not t.items
 
 
-def run_stream(spark, tmp_path, events, stream, name):
-    """Feed events in three micro-batches and return the last rows of each room."""
-    for k in range(3):
-        events.where(f"seq % 1000 >= {k * 334} and seq % 1000 < {(k + 1) * 334}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+def stored(tmp_path, name, events, cuts, closing):
+    """Events as files of a stream, a micro-batch per cut; at last an event of each key that is far ahead, so that
+    the watermark passes all others."""
+    events = events.withColumn("at", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+    for cut in [*cuts, closing]:
+        part = cut if isinstance(cut, DataFrame) else events.where(F.col("n").isin(cut))
+        if isinstance(cut, DataFrame):
+            part = part.withColumn("at", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        time.sleep(0.02)  # files are taken in the order of their times
+    return events.schema
+
+
+def run_stream(spark, tmp_path, rows, schema, stream, name, seed=1, delay=20.0, late=()):
+    """Rows (n, t, ...) of a stream, shuffled by less than the delay and cut at random; `late` come at the end."""
+    rng = random.Random(seed)
+    order = sorted(rows, key=lambda r: r[1] + rng.random() * delay * 0.4)
+    cuts, at = [], 0
+    while at < len(order):
+        size = rng.randrange(1, len(order) // 3 + 2)
+        cuts.append([r[0] for r in order[at : at + size]])
+        at += size
+    cuts.append([r[0] for r in late])
+    events = spark.createDataFrame([*rows, *late], schema)
+    keys = sorted({r[2] for r in rows})
+    far = max(r[1] for r in rows) + 1e6
+    closing = spark.createDataFrame([(10**9 + k, far, key, *([None] * (len(schema.split(",")) - 3))) for k, key in enumerate(keys)], schema)
+    kind = stored(tmp_path, name, events, [c for c in cuts if c], closing)
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}").drop("t")
     q = stream(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-state").start()
     q.processAllAvailable()
     q.stop()
-    return spark.sql(f"SELECT * FROM {name} WHERE (room, version) IN (SELECT room, max(version) FROM {name} GROUP BY room)").drop("version")
+    return spark.table(name), q.recentProgress
 
 
-def test_queue_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(7)
-    acts = ["enqueue"] * 6 + ["pop", "up", "pause_song", "delete", "front"]
-    rows = [(rng.choice("xy"), k, rng.choice(acts), rng.choice("abc"), f"f{rng.randrange(12)}") for k in range(1000)]
-    events = spark.createDataFrame(rows, "room string, seq long, action string, user string, file string")
-    got = run_stream(spark, tmp_path, events, Q.stream, "queue_out")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, Q.fold(events).collect()))
+def text_rows(df):
+    return sorted(tuple("" if x is None else str(x) for x in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_queue_stream_equals_batch(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    acts = ["enqueue"] * 6 + ["pop", "up", "pause_song", "delete", "front", "pause_user", "clear"]
+    schema = "n long, t double, room string, action string, user string, file string, semitones int"
+    rows = [(k, k / 4, rng.choice("xyz"), rng.choices(acts, [9] * 11 + [9, 1])[0], rng.choice("abc"), f"f{rng.randrange(12)}", rng.choice([None, 2])) for k in range(400)]
+    events = spark.createDataFrame(rows, schema).withColumnRenamed("n", "seq")
+    out, _ = run_stream(spark, tmp_path, rows, schema, lambda s: Q.stream(s.withColumnRenamed("n", "seq"), limit=5, delay="20 seconds"), f"queue_{seed}", seed)
+    got = Q.present(O.results(out))
+    assert O.late_events(out, "room").count() == 0
+    assert text_rows(got) == text_rows(Q.fold(events, limit=5)) and got.count() > 3
 
 
-def test_tracker_stream_equals_batch(spark, tmp_path):
+def test_late_events_go_to_the_side_table(spark, tmp_path):
+    schema = "n long, t double, room string, action string, user string, file string"
+    rows = [(k, float(k), "r", "enqueue", "ab"[k % 2], f"f{k}") for k in range(100)]
+    late = [(200, 5.5, "r", "clear", None, None), (201, 30.5, "r", "delete", None, "f3")]
+    out, _ = run_stream(spark, tmp_path, rows, schema, lambda s: Q.stream(s.withColumnRenamed("n", "seq"), delay="20 seconds"), "queue_late", late=late)
+    assert Q.present(O.results(out)).count() == 100
+    assert sorted(json.loads(r.event)["seq"] for r in O.late_events(out, "room").collect()) == [200, 201]
+
+
+def test_tracker_stream_equals_batch_and_touches_named_jobs(spark, tmp_path):
     rng = random.Random(7)
-    names = ["download_queued", "download_started", "song_downloaded", "download_error", "processing_complete", "processing_error", "cancel", "song_deleted"]
+    names = ["download_queued", "download_started", "song_downloaded", "download_error", "processing_complete", "processing_error", "cancel", "processing_cancelled", "song_deleted", "processing_skipped"]
+    schema = "n long, t double, room string, name string, url string, song_path string, title string, user string, error string, method string, video string"
     rows = []
-    for k in range(1000):
+    for k in range(700):
         v = f"v{rng.randrange(30)}"
-        rows.append((rng.choice("xy"), k, names[0] if k < 60 else rng.choice(names), f"e/watch?v={v}", f"p{v}", "t", "u", "bad", "m", v))
-    events = spark.createDataFrame(rows, "room string, seq long, name string, url string, song_path string, title string, user string, error string, method string, video string")
-    got = run_stream(spark, tmp_path, events, K.stream, "tracker_out")
-    key = lambda r: tuple("" if x is None else str(x) for x in r)
-    assert sorted(map(key, got.collect())) == sorted(map(key, K.fold(events).collect()))
+        rows.append((k, k / 4, rng.choice("xy"), names[0] if k < 120 or rng.random() < 0.3 else rng.choice(names), f"e/watch?v={v}" if rng.random() < 0.95 else None, f"p{v}" if rng.random() < 0.95 else None, f"t{k}", "u", rng.choice([None, "bad"]), rng.choice([None, "m"]), v))
+    events = spark.createDataFrame(rows, schema).withColumnRenamed("n", "seq")
+    out, progress = run_stream(spark, tmp_path, rows, schema, lambda s: K.stream(s.withColumnRenamed("n", "seq"), delay="20 seconds"), "tracker_out")
+    changes = O.results(out)
+    assert text_rows(K.present(changes)) == text_rows(K.fold(events))
+    # each run of events gives the jobs it changed, not the room's
+    per_run = [r["count"] for r in changes.groupBy("room", "version").count().collect()]
+    assert sum(per_run) < 2 * len(rows) and K.fold(events).count() > 60
+    written = sum(p["stateOperators"][0]["customMetrics"]["rocksdbPutCount"] for p in progress if p["stateOperators"])
+    assert written < 3 * len(rows)  # buffer, jobs and indexes together, whatever the room holds
+
+
+def test_tracker_equals_a_scan_of_all_jobs():
+    """Against the rules told over a plain list."""
+    rng = random.Random(3)
+    names = ["download_queued"] * 3 + ["download_started", "song_downloaded", "download_error", "processing_complete", "processing_error", "cancel", "processing_cancelled", "song_deleted"]
+    t, jobs = K.Tracker(), []
+    for _ in range(3000):
+        v, name = f"v{rng.randrange(8)}", rng.choice(names)
+        url, path = f"e/watch?v={v}", f"p{rng.randrange(8)}"
+        t.apply({"name": name, "url": url, "song_path": path, "video": v, "title": "t", "error": "bad"})
+        first = lambda holds: next((x for x in jobs if holds(x)), None)
+        waits = lambda x: x["download_status"] in ("pending", "active") and x["url"] == url
+        here = lambda x: x["song_path"] == path
+        new = {}
+        match name:
+            case "download_queued":
+                jobs.append(dict.fromkeys(K.FIELDS) | {"title": "t", "url": url, "download_status": "pending", "processing_status": "waiting", "cancelling": False})
+                continue
+            case "download_started":
+                x, new = first(lambda x: x["url"] == url and x["download_status"] == "pending"), {"download_status": "active"}
+            case "song_downloaded":
+                x, new = first(waits), {"song_path": path, "download_status": "complete"}
+            case "download_error":
+                x, new = first(waits), {"download_status": "error", "error_message": "bad"}
+            case "processing_complete":
+                x, new = first(here), {"processing_status": "complete"}
+            case "processing_error":
+                x, new = first(here), {"processing_status": "error", "error_message": "bad"}
+            case "cancel":
+                x, new = first(here), {"cancelling": True}
+            case "processing_cancelled":
+                x = first(lambda x: here(x) and x["cancelling"])
+                jobs = [y for y in jobs if y is not x]
+            case "song_deleted":
+                jobs, x = [y for y in jobs if not here(y)], None
+        if x:
+            x |= new
+    assert t.items == jobs and len(jobs) > 300
+
+
+def test_throttle_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, round(rng.random() * 800) / 8, rng.choice("ab")) for k in range(300)]
+    out, _ = run_stream(spark, tmp_path, rows, "n long, t double, key string", lambda s: S.throttled(s.withColumn("sec", F.unix_micros("at") / 1_000_000).drop("at"), "key", "n", "sec", 0.5, "20 seconds"), "ticks")
+    got = O.results(out).where("order < 1000000000")
+    want = K.throttled(spark.createDataFrame(rows, "n long, t double, key string"), "key", "n", "t", 0.5)
+    assert text_rows(got) == text_rows(want) and got.count() > 100
+
+
+def test_snapshot_stream_equals_batch_changes(spark, tmp_path):
+    rng = random.Random(6)
+    snaps, rows, n = {}, [], 0
+    for view in "vw":
+        for version in range(25):
+            shown = {f"i{k}": rng.choice("pq") for k in range(6) if rng.random() < 0.6}
+            snaps[view, version] = shown
+            for item, value in shown.items() or [(None, None)]:
+                rows.append((n, version * 4.0, view, version, item, value, version == 9))
+                n += 1
+    schema = "n long, t double, view string, version long, item string, value string, resend boolean"
+    out, _ = run_stream(spark, tmp_path, rows, schema, lambda s: S.changes(s, "20 seconds"), "shown")
+    got = sorted(map(str, ((r.view, r.version, r.item, r.op, r.value) for r in O.results(out).where("version IS NOT NULL").collect())))
+    want = []
+    for (view, version), shown in snaps.items():
+        before = snaps.get((view, version - 1), {})
+        to_rows = lambda s: spark.createDataFrame(list(s.items()), "item string, value string")
+        if version in (1, 2, 9, 10):
+            for r in K.changes(to_rows(before), to_rows(shown), "item", "value").where("op IS NOT NULL").collect():
+                want.append((view, version, r.item, r.op, r.value))
+        else:
+            want += [(view, version, i, "clear", None) for i in before if i not in shown] + [(view, version, i, "send", x) for i, x in shown.items() if before.get(i) != x]
+        if version == 9:
+            want += [(view, 9, i, "send", x) for i, x in shown.items() if before.get(i) == x]
+    assert got == sorted(map(str, want))
+
+
+def test_bus_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k, k / 2, rng.choice("rs"), rng.choice(["x", "y", "z", None])) for k in range(200)]
+    handlers = [("x", 2), ("x", 1), ("y", 5)]
+    schema = "n long, t double, room string, name string"
+    out, _ = run_stream(spark, tmp_path, rows, schema, lambda s: S.dispatched(s.withColumnRenamed("n", "seq"), {"x": [2, 1], "y": [5]}, "20 seconds"), "calls")
+    want = K.dispatched(spark.createDataFrame(rows, schema).withColumnRenamed("n", "seq"), spark.createDataFrame(handlers, "name string, registered int"))
+    assert text_rows(O.results(out)) == text_rows(want.select("room", "seq", "registered", "call"))
 
 
 # catalogue
