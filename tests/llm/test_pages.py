@@ -118,7 +118,50 @@ def test_main_text_of_an_article(spark):
     ],
 )
 def test_structure_of_pages(page, text):
-    assert "\n\n".join(t for t, kind in html.blocks(page) if kind != html.MARKED) == text
+    assert "\n\n".join(t for t, kind, _ in html.blocks(page) if kind != html.MARKED) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>x</title><body><article><p>Text of it.</article>", "Text of it."),
+        ("<html><head><title>x</title><meta charset=utf-8><article><p>Text of it.</article>", "Text of it."),
+        ("<head><title>x</title>Words at once.<p>And more.", "Words at once.\n\nAnd more."),
+        ('<article><div style="overflow: hidden"><p>Some prose.</p></div>', "Some prose."),
+        ('<article><p title="the hidden gem">Some prose.</p><p hidden>No.</p><p hidden="hidden">No.<p data-hidden aria-hidden="true">Yes.', "Some prose.\n\nYes."),
+        ('<article><p>See <a title="hidden valley" href=/x>linked words</a> here.', "See linked words here."),
+        ('<article><section id="social-history"><h2>Social history</h2><p>Long ago.</section><section id="search-algorithms"><p>They search.</section><div class="story-search">Found it.</div>', "Social history\n\nLong ago.\n\nThey search.\n\nFound it."),
+        ('<article><p>One.<menu><li>Do this thing now.</menu><p>Two.', "One.\n\nDo this thing now.\n\nTwo."),
+        ('<article><p>One.<div class="ad-slot-3">No.</div><div id="comment-list">No.</div><div class="related-posts">No.</div><p>Two.', "One.\n\nTwo."),
+        ('<article><p class=a"b>One.<p title="a > b" class=\'x\'>2 < 3 and <3.<br/>a<b>b</b></article', "One.\n\n2 < 3 and <3. ab"),
+        ('<article><div <p>One.</div><img src="x>y"/>Two.<!-- no <p> --><!doctype x><?no?>Three.<!-->Four.', "One.\n\nTwo.Three.Four."),
+    ],
+)
+def test_text_that_only_looks_marked_stays(page, text):
+    assert "\n\n".join(t for t, kind, _ in html.blocks(page) if kind != html.MARKED) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "x ', "<span>a", "<div>", "<a x='", "<p><span>", "</b>", "<!x ", "<td><b>", "<a <", '<p class="', "&amp", "<li>x<i>"])
+def test_time_grows_with_the_length_of_malformed_pages(piece):
+    import time
+
+    def took(n):
+        page = "<article>" + piece * (n // len(piece))
+        began = time.process_time()
+        html.blocks(page)
+        return time.process_time() - began
+
+    small, large = took(500_000), took(4_000_000)
+    assert large < 20 and large < 30 * max(small, 0.05)
+
+
+def test_weak_names_go_where_other_pages_of_the_host_have_them(spark):
+    """A name that says more than its mark is decided by the array: over element and name, wherever they stand."""
+    body = lambda k: f'<article><h1>The title {k}</h1><p>Text number {k} is here.</p><div class="social-feed">Feed {k} of friend{k}.</div><section id="social-history{k}"><p>A history {k}.</p></section></article>'
+    rows = [(k, "http://h.com/x", body(k)) for k in range(4)] + [(9, "http://i.com", body(9))] + [(10 + k, "http://copies.com", body(10)) for k in range(4)]
+    got = {r.page_id: r.text for r in html.extract(pages_of(spark, rows)).collect()}
+    assert all(got[k] == f"The title {k}\n\nText number {k} is here.\n\nA history {k}." for k in range(4))
+    assert "Feed 9" in got[9] and all("Feed 10" in got[10 + k] for k in range(4))
 
 
 def test_short_repeated_labels_inside_articles_go_and_prose_stays(spark):
