@@ -253,7 +253,12 @@ def align_text(c: Column) -> Column:
 
 def is_lyric(c: Column) -> Column:
     """A stripped line that is neither blank nor a bracketed header and has a letter once cleaned."""
-    return (strip(c) != "") & ~strip(c).rlike(r"^\[[^\]]*\]$") & lyric_line(strip(c)).rlike(_LETTER)
+    return is_cleaned_lyric(strip(c), lyric_line(strip(c)))
+
+
+def is_cleaned_lyric(stripped: Column, cleaned: Column) -> Column:
+    """The same of a line that is stripped and cleaned already."""
+    return (stripped != "") & ~stripped.rlike(r"^\[[^\]]*\]$") & cleaned.rlike(_LETTER)
 
 
 def plain_line(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..sources.packs import write_packs
 
 LEAD_IN, LEAD_OUT, MIN_CENTIS = 0.80, 0.20, 10
 
@@ -78,7 +79,7 @@ def line_timings(placed: Column) -> Column:
     return F.transform(placed, lambda o, k: F.struct(F.coalesce(o["line_id"], k).alias("line_id"), o["start"].alias("start"), o["end"].alias("end"), F.coalesce(F.size(o["words"]), F.lit(0)).alias("n_words")))
 
 
-def write_bundles(bundles: DataFrame, path: str) -> None:
-    """bundles (stem, bundle as JSON) as text files below path, a folder a stem; Spark's commit protocol
-    shows a bundle whole or not at all."""
-    bundles.select("stem", F.col("bundle").alias("value")).write.partitionBy("stem").mode("overwrite").text(path)
+def write_bundles(bundles: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """bundles (stem, bundle as JSON) as song packs below path, which `sources.bundles` reads: many a file, and all
+    of a job's or none."""
+    write_packs(bundles.select("stem", F.lit("bundle").alias("kind"), F.col("bundle").alias("body")), path, mode)

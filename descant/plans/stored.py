@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
+from ..operators import catalogue as C, render
 from ..operators.snapshots import Snapshots
 from ..session import shared_dir
-from .base import query, table
+from ..sources import packs, readers
+from .base import SQL, query, table
+from .words import lrc_songs, srt_songs
 
 
 def _songs(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,3 +53,58 @@ def bucketed_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_of_version(spark: SparkSession, sf: str) -> DataFrame:
     """The first version, read after the changes."""
     return _changed(spark, sf).read(1)
+
+
+# song packs
+
+
+def _packed(songs: DataFrame) -> DataFrame:
+    """songs (stem, kind, body) written as packs and read again."""
+    path = shared_dir(songs.sparkSession)
+    packs.write_packs(songs, path)
+    return packs.read_packs(songs.sparkSession, path)
+
+
+@query("SELECT doc_id::VARCHAR AS stem, source AS kind, text AS body FROM documents")
+def song_packs(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.col("source").alias("kind"), F.col("text").alias("body")))
+
+
+@query(SQL["lrc_parse"])
+def packed_lrc(spark: SparkSession, sf: str) -> DataFrame:
+    """Stamped songs through packs."""
+    held = _packed(lrc_songs(spark, sf).select(F.col("user_id").cast("string").alias("stem"), F.lit("lrc").alias("kind"), F.col("text").alias("body")))
+    out = readers.stamped_rows(held, ["stem"], "body")
+    return out.select(F.col("stem").cast("bigint").alias("user_id"), F.col("pos").cast("bigint").alias("pos"), "text", "start", "end")
+
+
+@query(SQL["srt_parse"])
+def packed_srt(spark: SparkSession, sf: str) -> DataFrame:
+    """Captions through packs."""
+    held = _packed(srt_songs(spark, sf).select(F.col("doc_id").cast("string").alias("stem"), F.lit("srt").alias("kind"), F.col("srt").alias("body")))
+    out = readers.caption_rows(held, ["stem"], "body")
+    return out.select(F.col("stem").cast("bigint").alias("doc_id"), F.col("cue_no").cast("bigint").alias("cue_no"), "text", "start", "end")
+
+
+@query("SELECT conv_id, list(text ORDER BY turn) AS align_lines FROM conversations GROUP BY conv_id")
+def bundles_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Debug bundles of all conversations, as the bundle writer stores and the bundle reader reads them."""
+    lines = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"].alias("align_lines"))
+    path = shared_dir(spark)
+    render.write_bundles(lines.select(F.col("conv_id").cast("string").alias("stem"), render.bundle({"lyrics": F.struct("align_lines")}).alias("bundle")), path)
+    return readers.bundles(spark, path).select(F.col("stem").cast("bigint").alias("conv_id"), "align_lines")
+
+
+_LISTED = "SELECT DISTINCT source || '.mp4' AS name FROM documents"
+
+
+@query(_LISTED)
+def library_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """A real listing: a file per source is written, below a folder per source, with others beside it, and the
+    folder is scanned for media."""
+    root = shared_dir(spark)
+    made = table(spark, sf, "documents").select("source").distinct()
+    named = made.select(F.explode(F.array(*(F.concat("source", F.lit(e)) for e in (".mp4", ".txt", ".jpg")))).alias("name"), F.lit("x").alias("value"))
+    named.write.partitionBy("name").text(root)
+    found = readers.files(spark, root).select(F.regexp_extract(F.url_decode("path"), "name=([^/]*)/", 1).alias("name"))
+    return C.distinct_of(found.where(T.is_media(F.col("name"))), "name")

@@ -204,14 +204,18 @@ s AS (SELECT user_id, n * 2.5 AS start, event_type AS text FROM e UNION ALL SELE
 p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start) - 1 AS pos, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS nxt FROM s)
 SELECT user_id, pos, text, start::DOUBLE AS start, coalesce(nxt, start + 4.0)::DOUBLE AS "end" FROM p""")
 def lrc_parse(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.stamped_rows(lrc_songs(spark, sf), ["user_id"], "text")
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def lrc_songs(spark: SparkSession, sf: str) -> DataFrame:
+    """A stamped song per user: their events, every third with a second stamp."""
     from pyspark.sql import Window as W
 
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     stamp = lambda s: F.concat(F.lit("["), F.floor(s / 60).cast("string"), F.lit(":"), F.format_string("%05.2f", s % 60), F.lit("]"))
     line = F.concat(stamp(F.col("n") * F.lit(2.5)), F.when(F.col("n") % 3 == 0, stamp(F.lit(4000.0) + F.col("n"))).otherwise(""), F.lit(" "), F.col("event_type"))
-    song = table(spark, sf, "events").withColumn("n", n).groupBy("user_id").agg(F.concat(F.lit("[ti:x]\n[0:01.00]\nno stamp\n"), F.array_join(F.sort_array(F.collect_list(F.struct("n", line.alias("l"))))["l"], "\n")).alias("text"))
-    out = R.stamped_rows(song, ["user_id"], "text")
-    return out.withColumn("pos", F.col("pos").cast("bigint"))
+    return table(spark, sf, "events").withColumn("n", n).groupBy("user_id").agg(F.concat(F.lit("[ti:x]\n[0:01.00]\nno stamp\n"), F.array_join(F.sort_array(F.collect_list(F.struct("n", line.alias("l"))))["l"], "\n")).alias("text"))
 
 
 _CAPTION = _sql_collapse(_sql_remove(_sql_collapse("translate(" + _sql_remove("x", "<[^>]+>", r"\[[^\]]*\]", "[♪♫♬♩]") + ", '‘’“”', '''''\"\"')"), r"\([^)]*\)"))
@@ -221,6 +225,10 @@ _CAPTION = _sql_collapse(_sql_remove(_sql_collapse("translate(" + _sql_remove("x
 t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS cue_no, i, {_CAPTION} AS text FROM l)
 SELECT doc_id, cue_no, text, (i % 60) + 0.25::DOUBLE AS start, 3600 + (i % 60) + 0.5::DOUBLE AS "end" FROM t WHERE regexp_matches(text, '\p{{L}}')""")
 def srt_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return R.caption_rows(srt_songs(spark, sf), ["doc_id"], "srt").withColumn("cue_no", F.col("cue_no").cast("bigint"))
+
+
+def srt_songs(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of a text as a caption of its own, every fourth in parentheses."""
 
     def cue(x: F.Column, i: F.Column) -> F.Column:
@@ -229,7 +237,7 @@ def srt_parse(spark: SparkSession, sf: str) -> DataFrame:
         return F.when(F.trim(x) != "", F.concat((i + 1).cast("string"), F.lit("\n"), F.format_string("00:00:%02d,250 --> 01:00:%02d.500", i % 60, i % 60), F.lit("\n"), body))
 
     srt = F.array_join(F.array_compact(F.transform(F.split("text", "\n"), cue)), "\n\n")
-    return R.caption_rows(table(spark, sf, "documents").select("doc_id", srt.alias("srt")), ["doc_id"], "srt").withColumn("cue_no", F.col("cue_no").cast("bigint"))
+    return table(spark, sf, "documents").select("doc_id", srt.alias("srt"))
 
 
 @query("SELECT c_custkey, c_name AS \"trackName\", c_mktsegment AS \"artistName\", NULL::VARCHAR AS \"albumName\", c_custkey AS id, (60 * (c_custkey % 7) + 5)::DOUBLE AS duration FROM customer")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from .packs import read_packs
 
 LAST_HOLD = 4.0
 
@@ -34,7 +35,10 @@ def stamped_rows(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     cue = F.struct(start.alias("start"), "line_no", "stamp_no", F.col("body").alias("text"))
     # a song's cues are a bounded list: sorted where they are gathered
     song = found.groupBy(*key).agg(F.array_sort(F.collect_list(cue)).alias("cues"))
-    return song.select(*key, F.posexplode("cues").alias("pos", "c"), "cues").select(*key, "pos", "c.text", "c.start", F.coalesce(F.try_element_at("cues", F.col("pos") + 2)["start"], F.col("c.start") + LAST_HOLD).alias("end"))
+    # the end is found inside the list, so that no row carries it
+    end = lambda c, i: F.coalesce(F.get("cues", i + 1)["start"], c["start"] + LAST_HOLD)
+    timed = F.transform("cues", lambda c, i: F.struct(c["text"].alias("text"), c["start"].alias("start"), end(c, i).alias("end")))
+    return song.select(*key, F.posexplode(timed).alias("pos", "c")).select(*key, "pos", "c.text", "c.start", "c.end")
 
 
 def stamped_header(text: Column) -> Column:
@@ -59,7 +63,9 @@ def caption_rows(rows: DataFrame, key: list[str], text: str) -> DataFrame:
 
 def lyric_rows(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """Plain lyrics: (key, line_id, text, align_text) of the lines that are lyrics, renumbered."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(T.is_lyric(x).alias("keep"), T.lyric_line(F.trim(x)).alias("text"))), lambda s: s["keep"])
+    # each line is stripped and cleaned once
+    cleaned = F.transform(F.transform(F.split(text, "\n"), T.strip), lambda x: F.struct(x.alias("line"), T.lyric_line(x).alias("text")))
+    lines = F.filter(cleaned, lambda s: T.is_cleaned_lyric(s["line"], s["text"]))
     return rows.select(*key, F.posexplode(lines).alias("line_id", "l")).select(*key, "line_id", "l.text", T.align_text(F.col("l.text")).alias("align_text"))
 
 
@@ -118,7 +124,12 @@ def bundle_lines(bundles: DataFrame, body: str) -> DataFrame:
 
 
 def bundles(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, align_lines) of stored debug bundles, one JSON file a song."""
+    """(stem, align_lines) of debug bundles as `render.write_bundles` stores them, many a file."""
+    return bundle_lines(read_packs(spark, path).where("kind = 'bundle'"), "body").select("stem", "align_lines")
+
+
+def bundle_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same of one JSON file a song."""
     return bundle_lines(texts(spark, path).select(T.stem(F.col("path")).alias("stem"), "text"), "text").drop("text")
 
 

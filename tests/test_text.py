@@ -143,8 +143,7 @@ def test_bundles_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", ["x", "y"]), ("b c", [])], "stem string, lines array<string>")
     made = rows.select("stem", render.bundle({"lyrics": F.struct(F.col("lines").alias("align_lines"))}).alias("bundle"))
     render.write_bundles(made, f"{tmp_path}/b")
-    held = R.texts(spark, f"{tmp_path}/b/*").select(F.regexp_extract(F.url_decode("path"), "stem=([^/]*)/", 1).alias("stem"), "text")
-    assert {r.stem: r.align_lines for r in R.bundle_lines(held, "text").collect()} == {"a": ["x", "y"], "b c": []}
+    assert {r.stem: r.align_lines for r in R.bundles(spark, f"{tmp_path}/b").collect()} == {"a": ["x", "y"], "b c": []}
     (tmp_path / "song.json").write_text("{broken")
     (tmp_path / "other.json").write_text('{"lyrics": {"align_lines": ["z"]}}')
-    assert {r.stem: r.align_lines for r in R.bundles(spark, f"{tmp_path}/*.json").collect()} == {"song": None, "other": ["z"]}
+    assert {r.stem: r.align_lines for r in R.bundle_files(spark, f"{tmp_path}/*.json").collect()} == {"song": None, "other": ["z"]}
