@@ -16,6 +16,7 @@ from pyspark.sql.types import DataType
 
 from ..functions import text as T
 from . import timing as M
+from .ranks import SMALL, medians
 
 WORDS = "array<struct<word:string,start:double,end:double>>"
 LINES = f"array<struct<line_id:int,text:string,words:{WORDS},start:double,end:double,source:string>>"
@@ -361,10 +362,11 @@ def alpha_weight(overlap: Column, count: Column) -> Column:
     return F.when((count >= M.HEARD_ENOUGH) & ~overlap, 0.0).otherwise(1.0)
 
 
-def robust_offset(rows: DataFrame, key: str, value: str) -> DataFrame:
+def robust_offset(rows: DataFrame, key: str, value: str, small: int = SMALL) -> DataFrame:
     """(key, n, median, mad): median and median absolute deviation."""
-    mid = rows.groupBy(key).agg(F.median(value).alias("median"))
-    return rows.join(mid, key).groupBy(key).agg(F.count(value).alias("n"), F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    mid = medians(rows, key, value, small)
+    away = rows.join(mid.select(key, "median"), key).select(key, F.abs(F.col(value) - F.col("median")).alias("away"))
+    return mid.join(medians(away, key, "away", small).select(key, F.col("median").alias("mad")), key)
 
 
 def upper_median(values: Column) -> Column:

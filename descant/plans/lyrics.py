@@ -247,6 +247,12 @@ def robust_offset(spark: SparkSession, sf: str) -> DataFrame:
     return S.robust_offset(table(spark, sf, "events"), "user_id", "value")
 
 
+@query("SELECT event_type, count(value) AS n, median(value) AS median FROM events GROUP BY 1")
+def hot_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians of few large keys, by digits."""
+    return medians(table(spark, sf, "events"), "event_type", "value", small=50)
+
+
 @query("SELECT conv_id, list_sort(list(len(text)))[count(*) // 2 + 1] AS mid FROM conversations GROUP BY 1")
 def upper_median(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.length("text").cast("bigint")).alias("x"))

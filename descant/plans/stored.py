@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import catalogue as C, render
+from ..operators import browse as B, catalogue as C, grams, ordered_pages, render
 from ..operators.snapshots import Snapshots
 from ..session import shared_dir
 from ..sources import packs, readers
+from . import library  # noqa: F401
 from .base import SQL, query, table
 from .words import lrc_songs, srt_songs
 
@@ -108,3 +109,35 @@ def library_listing(spark: SparkSession, sf: str) -> DataFrame:
     named.write.partitionBy("name").text(root)
     found = readers.files(spark, root).select(F.regexp_extract(F.url_decode("path"), "name=([^/]*)/", 1).alias("name"))
     return C.distinct_of(found.where(T.is_media(F.col("name"))), "name")
+
+
+# pages in a stored order and an index for substrings
+
+
+@query(SQL["browse_page"])
+def browse_page_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The page of `browse_page` from files in the order of the folded name."""
+    root = shared_dir(spark)
+    p = table(spark, sf, "part").select("p_partkey", "p_name", B.sort_key(F.col("p_name")).alias("folded"))
+    ordered_pages.store(p, ["folded", "p_partkey"], root, file_rows=1_000)
+    return ordered_pages.stored_page(spark, root, 3, 50).select("p_partkey", "p_name", "position")
+
+
+@query("WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS position FROM orders) SELECT * FROM o WHERE (o_totalprice, o_orderkey) > (SELECT (o_totalprice, o_orderkey) FROM o WHERE position = 500) ORDER BY position LIMIT 70")
+def browse_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The 70 orders behind the 500th, by its key."""
+    root = shared_dir(spark)
+    order = ["o_totalprice", "o_orderkey"]
+    ordered_pages.store(table(spark, sf, "orders").select(*order), order, root, file_rows=10_000)
+    last = ordered_pages.stored_page(spark, root, 500, 1).first()
+    return ordered_pages.after(spark, root, order, tuple(last[c] for c in order), 70)
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.org/en') UNION ALL SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an')")
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses by the index, and a query that is too short for it."""
+    pages, parts = table(spark, sf, "pages").select("page_id", "url"), table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("url"))
+    root, other = shared_dir(spark), shared_dir(spark)
+    grams.store(pages, "page_id", "url", root)
+    grams.store(parts, "page_id", "url", other)
+    return grams.search(pages, "page_id", "url", root, "Example.ORG/en").unionByName(grams.search(parts, "page_id", "url", other, "AN"))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: AQE picks partition counts, splits skewed joins and switches to broadcasts by measured sizes, so the
 #: plans carry no hints. Time stamps are read and compared in UTC.
@@ -38,3 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
         top = f"file://{tempfile.mkdtemp(prefix='descant-')}"
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/descant-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet in a shared folder and read again: the lineage ends there."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._descant_path = path
+    return out
+
+
+def release(*written: DataFrame | None) -> None:
+    """Delete tables of `cut` whose readers are written themselves."""
+    for df in written:
+        if path := getattr(df, "_descant_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
