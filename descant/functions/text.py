@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -24,7 +25,8 @@ NOISE_WORDS = [
     r"feat\.?", r"ft\.?", "remaster", "as popularized by", "karafun", "instrumental", "minus one", "minusone", "made famous by", "by",
     "karaoke version", "hd", "hq", "coversph", "singkaraoke", "in the style of", "no lead vocal", "with lyrics", "cc",
 ]
-NOISE = "|".join(rf"\b{w}\b" for w in NOISE_WORDS)
+#: All of them behind one look at the first letter, which most places fail.
+NOISE = rf"(?=[{''.join(sorted({w[0] for w in NOISE_WORDS}))}])\b(?:{'|'.join(NOISE_WORDS)})\b"
 #: Marks of a special version in a track's name (fixed values).
 VERSION_MARKS = [" - ", "ao vivo", "live", "remix", "version", "karaoke", "acoustic", "instrumental", "cover", "radio edit", "extended"]
 #: Phrases that introduce the artist (fixed values).
@@ -51,12 +53,25 @@ MEDIA_FORMATS = ["mp4", "mp3", "zip", "mkv", "avi", "webm", "mov"]
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+_SPACES = "".join(chr(k) for k in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c evaluated once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, rf"{SPACE}+", " "))
+    """White space runs as one space, none at the ends; ASCII text takes the cheaper pattern."""
+    return let(c, lambda x: F.trim(F.when(is_ascii(x), F.regexp_replace(x, r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F]+", " ")).otherwise(F.regexp_replace(x, rf"{SPACE}+", " "))))
 
 
 def remove_all(c: Column, *patterns: str) -> Column:
@@ -161,25 +176,54 @@ def before_playlist(url: Column) -> Column:
 # names
 
 
+def _by_script(c: Column, rule: Callable[[Column, bool], Column]) -> Column:
+    """rule(c, ascii): ASCII text needs neither the patterns of Unicode classes nor those of other characters."""
+    return let(c, lambda x: F.when(is_ascii(x), rule(x, True)).otherwise(rule(x, False)))
+
+
+def _without_noise(c: Column, ascii_: bool) -> Column:
+    return remove_all(c, f"(?i){NOISE}" if ascii_ else f"(?iU){NOISE}")
+
+
+def _plain(c: Column, ascii_: bool) -> Column:
+    return F.translate(c if ascii_ else remove_all(c, EMOJI), "_", " ")
+
+
 def clean_query(c: Column) -> Column:
-    c = F.translate(remove_all(c, EMOJI), "_", " ")
-    return collapse(remove_all(c, r"\([^)]*\)", r"\[[^\]]*\]", f"(?iU){NOISE}"))
+    return collapse(_by_script(c, lambda x, a: _without_noise(remove_all(_plain(x, a), r"\([^)]*\)", r"\[[^\]]*\]"), a)))
 
 
 def clean_lyric_query(c: Column) -> Column:
-    return collapse(remove_all(F.translate(remove_all(c, EMOJI), "_", " "), f"(?iU){NOISE}"))
+    return collapse(_by_script(c, lambda x, a: _without_noise(_plain(x, a), a)))
+
+
+def _without_tail(c: Column) -> Column:
+    """Without karaoke and what follows, then without noise words at the end; each pattern runs only on text that
+    holds its word, or ends in one."""
+    c = let(c, lambda x: F.when(F.lower(x).contains("karaoke"), remove_all(x, TAIL_KARAOKE)).otherwise(x))
+    last = lambda x: F.substring(F.rtrim(x, F.lit(" \t\n\x0b\f\r.!")), -20, 20)
+    return let(c, lambda x: F.when(last(x).rlike(r"(?i)\b(?:video|lyrics?|hd|hq|instrumental|vocal|cc)$"), remove_all(x, TAIL_NOISE)).otherwise(x))
+
+
+def _credited(c: Column) -> Column:
+    """Without its credit, then ` - ` and the artist; null without a credit."""
+    artist = F.trim(F.when(c.rlike(CREDIT_IN_PARENS), F.regexp_extract(c, CREDIT_IN_PARENS, 1)).otherwise(F.regexp_extract(c, CREDIT_INLINE, 1)))
+    title = _without_tail(remove_all(c, CREDIT_IN_PARENS, CREDIT_INLINE, rf"{SPACE}*[\(\[][^\)\]]*[\)\]]{SPACE}*$"))
+    low = F.lower(c)
+    may = low.contains("famous") | low.contains("style") | low.contains("performed") | low.contains("popularized")
+    return F.when(may, let(artist, lambda a: F.when(a != "", F.concat(F.trim(remove_all(title, r"\s*-\s*$")), F.lit(" - "), a))))
+
+
+def _tidied(c: Column, ascii_: bool) -> Column:
+    c = F.translate(F.regexp_replace(c, r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F]", " ") if ascii_ else F.regexp_replace(remove_all(c, EMOJI), SPACE, " "), "_", " ")
+    plain = lambda x: _without_tail(remove_all(x, r" *\([^)]*\) *$", r" *\[[^\]]*\] *$"))
+    c = let(c, lambda x: F.coalesce(_credited(x), plain(x)))
+    return c if ascii_ else F.regexp_replace(c, rf"{SPACE}*[–—]{SPACE}*", " - ")
 
 
 def tidy(c: Column) -> Column:
     """A display name: with a credit phrase `title - artist`, else without trailing groups and noise."""
-    c = F.translate(F.regexp_replace(remove_all(c, EMOJI), SPACE, " "), "_", " ")
-    in_parens, inline = F.regexp_extract(c, CREDIT_IN_PARENS, 1), F.regexp_extract(c, CREDIT_INLINE, 1)
-    artist = F.trim(F.when(c.rlike(CREDIT_IN_PARENS), in_parens).otherwise(inline))
-    title = remove_all(c, CREDIT_IN_PARENS, CREDIT_INLINE, rf"{SPACE}*[\(\[][^\)\]]*[\)\]]{SPACE}*$", TAIL_KARAOKE, TAIL_NOISE)
-    credited = F.concat(F.trim(remove_all(title, r"\s*-\s*$")), F.lit(" - "), artist)
-    plain = remove_all(c, rf"{SPACE}*\([^)]*\){SPACE}*$", rf"{SPACE}*\[[^\]]*\]{SPACE}*$", TAIL_KARAOKE, TAIL_NOISE)
-    c = F.regexp_replace(F.when(artist != "", credited).otherwise(plain), rf"{SPACE}*[–—]{SPACE}*", " - ")
-    return remove_all(collapse(c), r"\s*-\s*$")
+    return remove_all(collapse(_by_script(c, _tidied)), r"\s*-\s*$")
 
 
 def display_name(p: Column) -> Column:

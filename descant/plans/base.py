@@ -24,3 +24,9 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, dealt by rows: the work on its texts is dear, the texts are few."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..operators import matching as M
 from ..sources import readers as R
-from .base import query, table
+from .base import dealt, query, table
 
 
 def _sql_collapse(x: str) -> str:
@@ -65,12 +65,12 @@ _NAME = f"replace({_sql_remove(_TITLE, _PICTURES)}, '_', ' ')"
 
 @query(f"SELECT doc_id, {_sql_collapse(_sql_remove(_NAME, *_BRACKETS, _EMPTY_WORDS))} AS cleaned FROM documents")
 def clean_query(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.clean_query(_title()).alias("cleaned"))
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.clean_query(_title()).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, {_sql_collapse(_sql_remove(_NAME, _EMPTY_WORDS))} AS cleaned FROM documents")
 def clean_lyric_query(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.clean_lyric_query(_title()).alias("cleaned"))
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.clean_lyric_query(_title()).alias("cleaned"))
 
 
 _END_WORDS = r"(?i)(\s*\b(official\s+video|official\s+music\s+video|lyrics|lyric|hd|hq|instrumental|with\s+lyrics|no\s+lead\s+vocal|cc)\b[\s.!]*)+$"
@@ -80,7 +80,7 @@ _DASHES = _sql_collapse(f"regexp_replace({_ENDLESS}, '\\s*[–—]\\s*', ' - ',
 
 @query(f"SELECT doc_id, {_sql_remove(_DASHES, r'\s*-\s*$')} AS name FROM documents")
 def tidy(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.tidy(_title()).alias("name"))
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.tidy(_title()).alias("name"))
 
 
 @query("SELECT p_partkey, p_name || ' - Ann' || p_size AS name FROM part")
@@ -195,7 +195,7 @@ def captions_available(spark: SparkSession, sf: str) -> DataFrame:
 k AS (SELECT doc_id, line_no, trim(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(line, '<[^>]+>', '', 'g'), '\[[^\]]*\]', '', 'g'), '[♪♫♬♩]', '', 'g'), '‘’“”', '''''""'), '\s+', ' ', 'g')) AS text FROM l WHERE line <> '' AND NOT regexp_matches(line, '^\s*\[[^\]]*\]\s*$'))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS line_id, text, trim(regexp_replace(translate(text, '()', ''), '\s+', ' ', 'g')) AS align_text FROM k WHERE regexp_matches(text, '\p{L}')""")
 def lyric_lines(spark: SparkSession, sf: str) -> DataFrame:
-    found = R.lyric_rows(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    found = R.lyric_rows(dealt(table(spark, sf, "documents").select("doc_id", "text")), ["doc_id"], "text")
     return found.withColumn("line_id", F.col("line_id").cast("bigint"))
 
 
