@@ -1,11 +1,13 @@
 """Alignment of time-stamped words to the lines of songs, on a table with one row per song: the aligned
 words, the heard words, the lines as shown and as aligned. Songs are small, so a song's lists stay in its
-row and nothing is shuffled until a repair splits a song into spans. Steps are column expressions; windows,
-chains and word pairs come from the kernels of `timing`, in Arrow batches.
+row and nothing is shuffled. What looks at single values of a row is column expressions; windows, chains, word
+pairs and the lines made of them come from kernels over Arrow batches, since a filter per word or line inside
+Spark's lambdas costs the square of a song.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,8 +57,9 @@ def windows(table: DataFrame, ratio: float = M.EDIT_RATIO, fallback: bool = True
     run windows of the lines that have none."""
 
     def run(lines: list[list[str]], heard: list[str]) -> dict:
-        main = [M.fuzzy_windows(x, heard, ratio) for x in lines]
-        other = [M.run_windows(x, heard) if fallback and not len(m[0]) else M._NONE for x, m in zip(lines, main, strict=True)]
+        all_heard = M.Heard(heard)
+        main = M.all_windows(lines, all_heard, ratio)
+        other = [M.run_windows(x, all_heard) if fallback and not len(m[0]) else M._NONE for x, m in zip(lines, main, strict=True)]
         return {"windows": _window_rows(main, False) + _window_rows(other, True)}
 
     return songs(table, ["lines", "heard"], {"windows": _WINDOWS}, run)
@@ -109,28 +112,6 @@ def ranges(sizes: Column, n: Column) -> Column:
     return F.aggregate(sizes, start, step)["out"]
 
 
-def _aligned_words(c: Column) -> Column:
-    return F.transform(F.get("tokens", c["line_id"]), lambda t, i: F.struct(t["raw"].alias("word"), F.get("aligned", c["from"] + i)["start"].alias("start"), F.get("aligned", c["from"] + i)["end"].alias("end")))
-
-
-def _heard_words(c: Column) -> Column:
-    """The line's words with the times of their partners; runs without one share the gap evenly."""
-    own = lambda at: F.get("heard", c["from"] + F.get(c["pairs"], at))
-
-    def word(t: Column, i: Column) -> Column:
-        prev = F.array_max(F.transform(c["pairs"], lambda p, j: F.when(p.isNotNull() & (j < i), j)))
-        following = F.array_min(F.transform(c["pairs"], lambda p, j: F.when(p.isNotNull() & (j > i), j)))
-        begin = F.coalesce(own(prev)["end"], F.get("heard", c["from"])["start"])
-        end = F.greatest(begin, F.coalesce(own(following)["start"], F.get("heard", c["to"] - 1)["end"]))
-        before = F.coalesce(prev, F.lit(-1))
-        slot = (end - begin) / (F.coalesce(following, F.size(c["pairs"])) - before - 1)
-        at = i - before - 1
-        alone = F.get(c["pairs"], i).isNull()
-        return F.struct(t["raw"].alias("word"), F.when(alone, begin + at * slot).otherwise(own(i)["start"]).alias("start"), F.when(alone, begin + (at + 1) * slot).otherwise(own(i)["end"]).alias("end"))
-
-    return F.transform(F.get("tokens", c["line_id"]), word)
-
-
 def _line(k: Column, text: Column, words: Column, start: Column, end: Column, source: Column) -> Column:
     return F.struct(k.cast("int").alias("line_id"), text.alias("text"), words.cast(WORDS).alias("words"), start.alias("start"), end.alias("end"), source.alias("source"))
 
@@ -139,18 +120,6 @@ def _numbers(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def interpolated(placed: Column, n_lines: Column, song_end: Column) -> Column:
-    """One object per line: lines without a placement get an empty one from the end of the nearest placed
-    line before to the start of the nearest one after."""
-
-    def line(k: Column) -> Column:
-        last = F.coalesce(F.try_element_at(F.filter(placed, lambda o: (o["line_id"] < k) & o["end"].isNotNull()), F.lit(-1))["end"], F.lit(0.0))
-        following = F.coalesce(_first(F.filter(placed, lambda o: (o["line_id"] > k) & o["start"].isNotNull()))["start"], song_end)
-        return F.coalesce(_of_line(placed, k), _line(k, F.lit(""), F.array(), last, F.greatest(last, following), F.lit("interp")))
-
-    return F.transform(_numbers(n_lines), line)
-
-
 def _song_end() -> Column:
     return F.coalesce(F.try_element_at("aligned", F.lit(-1))["end"], F.lit(0.0))
 
@@ -158,7 +127,7 @@ def _song_end() -> Column:
 #: Counts of a placement and their types.
 STATS = {k: "int" for k in ("n_lines", "n_align_words", "n_transcribe_words", "n_main_candidates", "n_anchor_candidates", "n_align_candidates", "n_selected", "align_won", "transcribe_won")} | {"interpolated": "array<int>", "score": "double"}
 _COUNTS = ("n_main_candidates", "n_anchor_candidates", "n_align_candidates")
-_WORK = ("tokens", "names", "slices", "chain")
+_WORK = ("tokens", "chain")
 
 
 def _times(words: list[dict]) -> np.ndarray:
@@ -169,29 +138,88 @@ def _names(heard: list[dict]) -> list[str]:
     return [M.token(w["word"] or "") for w in heard]
 
 
+def _word(word: str, start: float, end: float) -> dict:
+    return {"word": word, "start": start, "end": end}
+
+
+def _slices(tokens: list[list], n: int) -> list[tuple[int, int] | None]:
+    """As `ranges`, in Python."""
+    out, at = [], 0
+    for line in tokens:
+        fits = len(line) > 0 and at + len(line) <= n
+        out.append((at, at + len(line)) if fits else None)
+        at += len(line) if fits else 0
+    return out
+
+
+def _heard_words(line: list[dict], pairs: list[int | None], heard: list[dict]) -> list[dict]:
+    """The line's words with the times of their partners among the window's words; runs without one share the gap
+    between their neighbours evenly."""
+    following: list[int | None] = [None] * len(pairs)
+    nxt = None
+    for i in range(len(pairs) - 1, -1, -1):
+        following[i] = nxt
+        nxt = i if pairs[i] is not None else nxt
+    out, prev = [], None
+    for i, (t, own) in enumerate(zip(line, pairs, strict=True)):
+        if own is not None:
+            out.append(_word(t["raw"], heard[own]["start"], heard[own]["end"]))
+            prev = i
+            continue
+        begin = heard[0]["start"] if prev is None else heard[pairs[prev]]["end"]
+        after = following[i]
+        end = max(begin, heard[-1]["end"] if after is None else heard[pairs[after]]["start"])
+        before = -1 if prev is None else prev
+        slot = (end - begin) / ((len(pairs) if after is None else after) - before - 1)
+        at = i - before - 1
+        out.append(_word(t["raw"], begin + at * slot, begin + (at + 1) * slot))
+    return out
+
+
+def _filled(placed: dict[int, dict], n: int, song_end: float) -> list[dict]:
+    """One object per line: lines without a placement get an empty one from the end of the nearest placed line
+    before to the start of the nearest one after."""
+    known = lambda k, field, otherwise: otherwise if k not in placed or placed[k][field] is None else placed[k][field]
+    after: list[float] = [song_end] * n
+    for k in range(n - 2, -1, -1):
+        after[k] = known(k + 1, "start", after[k + 1])
+    out, last = [], 0.0
+    for k in range(n):
+        out.append(placed.get(k) or {"line_id": k, "text": "", "words": [], "start": last, "end": max(last, after[k]), "source": "interp"})
+        last = known(k, "end", last)
+    return out
+
+
+def filled(table: DataFrame) -> DataFrame:
+    """table (placed, n, song_end) with an object for each of the n lines."""
+    return songs(table, ["placed", "n", "song_end"], {"filled": LINES}, lambda placed, n, end: {"filled": _filled({o["line_id"]: o for o in reversed(placed)}, n, end)})
+
+
+def _place(tokens: list[list[dict]], lines: list[str], aligned: list[dict], heard: list[dict], names: list[str], alpha: float, margin: float, ratio: float, fallback: bool) -> dict:
+    """The chain of a song's candidates, their counts, and one object per line."""
+    norms, slices = [[t["norm"] for t in x] for x in tokens], _slices(tokens, len(aligned))
+    chain, counts = M.chosen(norms, names, _times(heard), slices, _times(aligned), alpha, margin, ratio, fallback)
+    placed = {}
+    for c in chain:
+        k, low, high = c["line_id"], c["from"], c["to"]
+        if c["source"] == "transcribe":
+            c["pairs"] = M.lockstep(norms[k], names[low:high], M.LOOKAHEAD, M.LOOKAHEAD, confirm=1, budget=1)
+            words = _heard_words(tokens[k], c["pairs"], heard[low:high])
+        else:
+            words = [_word(t["raw"], w["start"], w["end"]) for t, w in zip(tokens[k], aligned[low:high], strict=True)]
+        placed[k] = {"line_id": k, "text": lines[k], "words": words, "start": words[0]["start"], "end": words[-1]["end"], "source": c["source"]}
+    return {"chain": chain, "placed": _filled(placed, len(lines), aligned[-1]["end"] if aligned else 0.0)} | counts
+
+
 def placement(table: DataFrame, alpha: float = M.ALPHA, margin: float = M.MARGIN, ratio: float = M.EDIT_RATIO, fallback: bool = True) -> DataFrame:
     """table (aligned, heard, lines, align_lines) with `placed` (LINES), STATS and what they come from: each
     line stands where its aligned words or a window of heard words say, whichever chain scores best."""
 
-    def cut(align_lines: list[str]) -> dict:
-        return {"tokens": [[{"norm": t, "raw": w} for t, w in M.tokens_of(x or "")] for x in align_lines]}
-
-    def run(tokens: list, slices: list[dict], aligned: list[dict], heard: list[dict]) -> dict:
-        norms, names = [[t["norm"] for t in x] for x in tokens], _names(heard)
-        chain, counts = M.chosen(norms, names, _times(heard), [None if s["from"] is None else (s["from"], s["to"]) for s in slices], _times(aligned), alpha, margin, ratio, fallback)
-        for c in chain:
-            if c["source"] == "transcribe":
-                c["pairs"] = M.lockstep(norms[c["line_id"]], names[c["from"] : c["to"]], M.LOOKAHEAD, M.LOOKAHEAD, confirm=1, budget=1)
-        return {"chain": chain} | counts
-
-    ready = songs(table, ["align_lines"], {"tokens": _TOKENS}, cut).withColumn("slices", ranges(F.transform("tokens", lambda t: F.size(t)), F.size("aligned")))
-    chosen = songs(ready, ["tokens", "slices", "aligned", "heard"], {"chain": _CHAIN} | dict.fromkeys(_COUNTS, "int"), run)
+    def run(lines: list[str], align_lines: list[str], aligned: list[dict], heard: list[dict]) -> dict:
+        tokens = [[{"norm": t, "raw": w} for t, w in M.tokens_of(x or "")] for x in align_lines]
+        return {"tokens": tokens} | _place(tokens, lines, aligned, heard, _names(heard), alpha, margin, ratio, fallback)
 
-    def line(c: Column) -> Column:
-        words = F.when(c["source"] == "align", _aligned_words(c)).otherwise(_heard_words(c))
-        return _line(c["line_id"], F.get("lines", c["line_id"]), words, _first(words)["start"], F.try_element_at(words, F.lit(-1))["end"], c["source"])
-
-    won = chosen.withColumn("placed", F.transform("chain", line)).withColumn("placed", interpolated(F.col("placed"), F.size("lines"), _song_end()))
+    won = songs(table, ["lines", "align_lines", "aligned", "heard"], {"tokens": _TOKENS, "chain": _CHAIN, "placed": LINES} | dict.fromkeys(_COUNTS, "int"), run)
     count = lambda source: F.size(F.filter("placed", lambda o: o["source"] == source))
     return won.withColumns({
         "n_lines": F.size("lines"), "n_align_words": F.size("aligned"), "n_transcribe_words": F.size("heard"), "n_selected": F.size("chain"), "align_won": count("align"), "transcribe_won": count("transcribe"),
@@ -207,35 +235,35 @@ def joint(table: DataFrame, **knobs: float) -> DataFrame:
 # repair and prior
 
 
+_ANCHORS = "array<struct<line_id:int,start:double,end:double>>"
+
+
+def _judge(objects: list[dict], tokens: list[list[dict]], names: list[str], starts: np.ndarray, margin: float, ratio: float) -> dict:
+    norms = [tuple(t["norm"] for t in x) for x in tokens]
+    often, anchors, suspects = Counter(norms), [], []
+    windows = M.all_windows(norms, M.Heard(names), ratio)
+    for o in objects:
+        line = norms[o["line_id"]]
+        unplaced = o["source"] not in ("align", "transcribe") or o["start"] is None
+        share = 0.0
+        if line and o["start"] is not None:
+            lo, hi = np.searchsorted(starts, [o["start"] - margin, o["end"] + margin])
+            share = M.heard_in(windows[o["line_id"]], lo, hi) / len(line)
+        if line and (unplaced or share < M.SUSPECT_RATIO):
+            suspects.append(o["line_id"])
+        if not unplaced and len(line) >= M.ANCHOR_TOKENS and often[line] == 1 and share >= M.ANCHOR_RATIO:
+            anchors.append({k: o[k] for k in ("line_id", "start", "end")})
+    return {"anchors": anchors, "suspects": suspects}
+
+
 def _anchors_and_suspects(placed: DataFrame, margin: float = M.MARGIN, ratio: float = M.EDIT_RATIO) -> DataFrame:
     """placement with `anchors` (line_id, start, end) and `suspects` (line ids). Lines without tokens are
     neither; a line that nothing placed is suspect; the rest is judged by how much of it was heard there."""
 
     def run(objects: list[dict], tokens: list, heard: list[dict]) -> dict:
-        names, starts = _names(heard), np.array([w["start"] for w in heard], float)
-        out = []
-        for o in objects:
-            line = [t["norm"] for t in tokens[o["line_id"]]]
-            if not line or o["start"] is None:
-                out.append(0.0)
-                continue
-            lo, hi = np.searchsorted(starts, [o["start"] - margin, o["end"] + margin])
-            out.append(M.heard_in(line, names, lo, hi, ratio)[0] / len(line))
-        return {"shares": out}
-
-    def judged(o: Column, k: Column) -> Column:
-        norms = lambda t: F.transform(t, lambda x: x["norm"])
-        n, share = F.size(F.get("tokens", o["line_id"])), F.get("shares", k)
-        unplaced = ~o["source"].isin("align", "transcribe") | o["start"].isNull()
-        alone = F.size(F.filter("tokens", lambda t: norms(t) == norms(F.get("tokens", o["line_id"])))) == 1
-        return F.struct(
-            o["line_id"].alias("line_id"), o["start"].alias("start"), o["end"].alias("end"), ((n > 0) & (unplaced | (share < M.SUSPECT_RATIO))).alias("suspect"),
-            (~unplaced & (n >= M.ANCHOR_TOKENS) & alone & (share >= M.ANCHOR_RATIO)).alias("anchor"),
-        )
+        return _judge(objects, tokens, _names(heard), np.array([w["start"] for w in heard], float), margin, ratio)
 
-    known = songs(placed, ["placed", "tokens", "heard"], {"shares": "array<double>"}, run).withColumn("judged", F.transform("placed", judged))
-    anchors = F.transform(F.filter("judged", lambda j: j["anchor"]), lambda j: F.struct(j["line_id"].alias("line_id"), j["start"].alias("start"), j["end"].alias("end")))
-    return known.withColumns({"anchors": anchors, "suspects": F.transform(F.filter("judged", lambda j: j["suspect"]), lambda j: j["line_id"])}).drop("judged", "shares")
+    return songs(placed, ["placed", "tokens", "heard"], {"anchors": _ANCHORS, "suspects": "array<int>"}, run)
 
 
 def spans(anchors: Column, n_lines: Column, duration: Column, pad: float = M.SLICE_PAD) -> Column:
@@ -248,49 +276,56 @@ def spans(anchors: Column, n_lines: Column, duration: Column, pad: float = M.SLI
     return F.transform(inner, lambda p: F.struct(p["a"]["line_id"].alias("after"), p["b"]["line_id"].alias("before"), F.greatest(p["a"]["start"] - pad, F.lit(0.0)).alias("t0"), F.least(p["b"]["end"] + pad, duration).alias("t1")))
 
 
-def _sung(objects: Column) -> Column:
-    return F.filter(objects, lambda o: (F.size(o["words"]) > 0) & o["start"].isNotNull())
-
+def _merged(first: list[dict], results: list[dict], n: int, song_end: float) -> list[dict]:
+    def sung(objects: list[dict]) -> dict[int, dict]:
+        return {o["line_id"]: o for o in reversed(objects) if o["words"] and o["start"] is not None}
 
-def merged(first: Column, results: Column, n_lines: Column, song_end: Column) -> Column:
-    """Per line the first placement or that of the span around it, results (after, before, placed). The first
-    one stays outside of spans; where it is missing and the new one was not heard; and where the new one reaches
-    more than the tolerance into an edge anchor. Else the new one holds, also if it left the line out."""
-    old = _sung(first)
+    old, placed = sung(first), {}
+    new = [(r, sung(r["placed"]), {o["line_id"]: o["source"] for o in reversed(r["placed"])}) for r in results]
+    for k in range(n):
+        own = old.get(k)
+        span = next((x for x in new if x[0]["after"] < k < x[0]["before"]), None)
+        if span is not None:
+            r, there, said = span
+            again = there.get(k)
+            before, behind = old.get(r["after"]), old.get(r["before"])
+            deep = again is not None and (before is not None and again["start"] < before["end"] - M.EDGE_TOLERANCE or behind is not None and again["end"] > behind["start"] + M.EDGE_TOLERANCE)
+            if not deep and (own is not None or said.get(k) == "transcribe"):
+                own = again
+        if own is not None:
+            placed[k] = own
+    return _filled(placed, n, song_end)
 
-    def line(k: Column) -> Column:
-        own, span = _of_line(old, k), _first(F.filter(results, lambda r: (r["after"] < k) & (k < r["before"])))
-        new, said = _of_line(_sung(span["placed"]), k), _of_line(span["placed"], k)["source"]
-        low, high = _of_line(old, span["after"])["end"] - M.EDGE_TOLERANCE, _of_line(old, span["before"])["start"] + M.EDGE_TOLERANCE
-        deep = F.coalesce(new["start"] < low, F.lit(False)) | F.coalesce(new["end"] > high, F.lit(False))
-        stays = span.isNull() | (own.isNull() & ~said.eqNullSafe(F.lit("transcribe"))) | deep
-        return F.when(stays, own).otherwise(new)
 
-    return interpolated(F.array_compact(F.transform(_numbers(n_lines), line)), n_lines, song_end)
+def merged(table: DataFrame) -> DataFrame:
+    """table (first, results, n, song_end) with `merged`: per line the first placement or that of the span around
+    it, results (after, before, placed). The first one stays outside of spans; where it is missing and the new one
+    was not heard; and where the new one reaches more than the tolerance into an edge anchor. Else the new one
+    holds, also if it left the line out."""
+    return songs(table, ["first", "results", "n", "song_end"], {"merged": LINES}, lambda *x: {"merged": _merged(*x)})
 
 
 def repaired(table: DataFrame, key: str = "song") -> DataFrame:
-    """joint, then each span that holds a suspect line placed anew as a song of its own, with the words
-    around it. table has `duration` too. Spans of a song meet again by its key."""
+    """joint, then each span that holds a suspect line placed anew as a song of its own, with the words around it.
+    table has `duration` too. A song's spans are placed where its row is; nothing is shuffled."""
     base = _anchors_and_suspects(placement(table))
     base = base.withColumn("spans", spans(F.col("anchors"), F.size("lines"), F.col("duration")))
     chosen = F.filter("spans", lambda s: F.exists("suspects", lambda k: (s["after"] < k) & (k < s["before"])))
     counts = {"n_anchors": F.size("anchors"), "n_suspects": F.size("suspects"), "n_spans": F.size("spans"), "n_replayed": F.size("chosen")}
-    whole = base.withColumn("chosen", chosen).withColumns(counts).select(key, "aligned", "heard", "lines", "align_lines", F.col("placed").alias("first"), *counts, F.explode_outer("chosen").alias("span"), _song_end().alias("song_end"), F.size("lines").alias("n"))
-    lo = F.greatest(F.col("span.after"), F.lit(0))
-    hi = F.least(F.col("span.before"), F.col("n") - 1)
-    none = F.array()
-    within = lambda words, pad: F.filter(words, lambda w: (w["start"] >= F.col("span.t0") - pad) & (w["start"] <= F.col("span.t1") + pad))
-    part = lambda name: F.coalesce(F.slice(name, lo + 1, hi - lo + 1), none.cast("array<string>"))
-    small = whole.select(
-        key, "first", "song_end", "n", *counts, "span", lo.alias("lo"), F.coalesce(within("aligned", 0.0), none.cast(WORDS)).alias("aligned"), F.coalesce(within("heard", M.WORD_PAD), none.cast(WORDS)).alias("heard"), part("lines").alias("lines"), part("align_lines").alias("align_lines")
-    )
-    again = placement(small)
-    moved = F.transform("placed", lambda o: o.withField("line_id", (o["line_id"] + F.col("lo")).cast("int")))
-    result = F.when(F.col("span").isNotNull() & (F.size("aligned") > 0), F.struct(F.col("span.after").alias("after"), F.col("span.before").alias("before"), moved.alias("placed")))
-    one = lambda c: F.first(c).alias(c)
-    back = again.select(key, "first", "song_end", "n", *counts, result.alias("result")).groupBy(key).agg(one("first"), one("song_end"), one("n"), *map(one, counts), F.collect_list("result").alias("results"))
-    return back.select(key, merged(F.col("first"), F.col("results"), F.col("n"), F.col("song_end")).alias("placed"), *counts)
+    whole = base.withColumn("chosen", chosen).withColumns(counts).select(key, "tokens", "lines", "aligned", "heard", "chosen", F.col("placed").alias("first"), *counts)
+
+    def run(tokens: list, lines: list[str], aligned: list[dict], heard: list[dict], first: list[dict], chosen: list[dict]) -> dict:
+        names, out = _names(heard), []
+        for s in chosen:
+            lo, hi = max(s["after"], 0), min(s["before"], len(lines) - 1) + 1
+            own = [w for w in aligned if s["t0"] <= w["start"] <= s["t1"]]
+            near = [k for k, w in enumerate(heard) if s["t0"] - M.WORD_PAD <= w["start"] <= s["t1"] + M.WORD_PAD]
+            if own:
+                found = _place(tokens[lo:hi], lines[lo:hi], own, [heard[k] for k in near], [names[k] for k in near], M.ALPHA, M.MARGIN, M.EDIT_RATIO, True)
+                out.append({"after": s["after"], "before": s["before"], "placed": [o | {"line_id": o["line_id"] + lo} for o in found["placed"]]})
+        return {"placed": _merged(first, out, len(lines), aligned[-1]["end"] if aligned else 0.0)}
+
+    return songs(whole, ["tokens", "lines", "aligned", "heard", "first", "chosen"], {"placed": LINES}, run).select(key, "placed", *counts)
 
 
 def middle(values: Column) -> Column:

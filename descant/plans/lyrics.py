@@ -160,10 +160,21 @@ def repair_merge(spark: SparkSession, sf: str) -> DataFrame:
     again = F.transform("placed", lambda o: line(o, new_start(o), new_start(o) + 2, F.when(k(o) % 2 == 1, "transcribe").otherwise("align")))
     last = F.try_element_at("placed", F.lit(-1))["line_id"]
     p = _placed(spark, sf).withColumns({"first": first, "n": last + 1, "results": F.array(F.struct(F.lit(0).alias("after"), F.floor(last / 2).cast("int").alias("before"), again.alias("placed")))})
-    out = p.select("song", F.inline_outer(S.merged(F.col("first"), F.col("results"), F.col("n"), F.lit(0.0)))).where("source <> 'interp'")
+    out = S.merged(p.withColumn("song_end", F.lit(0.0))).select("song", F.inline_outer("merged")).where("source <> 'interp'")
     return out.select("song", F.col("line_id").cast("bigint").alias("line_id"), "start")
 
 
+@query(f"""WITH {_PLACED}, e AS (SELECT *, coalesce(last_value("end" IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS low,
+coalesce(first_value(start IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 500.0) AS high FROM l)
+SELECT conv_id AS song, k AS line_id, coalesce(start, low)::DOUBLE AS start, coalesce("end", greatest(low, high))::DOUBLE AS "end", CASE WHEN start IS NULL THEN 'interp' ELSE 'align' END AS source FROM e""")
+def interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines without a place, between those that have one."""
+    line = lambda o: F.struct(o["line_id"].alias("line_id"), F.lit("").alias("text"), F.array().cast(S.WORDS).alias("words"), o["start"].alias("start"), o["end"].alias("end"), F.lit("align").alias("source"))
+    there = F.transform(F.filter("placed", lambda o: o["start"].isNotNull()), line)
+    p = _placed(spark, sf).select("song", there.alias("placed"), (F.try_element_at("placed", F.lit(-1))["line_id"] + 1).alias("n"), F.lit(500.0).alias("song_end"))
+    return S.filled(p).select("song", F.inline("filled")).select("song", F.col("line_id").cast("bigint").alias("line_id"), "start", "end", "source")
+
+
 @query(f"""WITH {_PLACED}, q AS (SELECT *, k * 10.0 - 4 + CASE WHEN k % 5 = 2 THEN -9 ELSE 0 END AS cue FROM l), f AS (SELECT conv_id, count(*) AS n_fit, median(start - cue) AS med FROM q WHERE start IS NOT NULL AND k % 3 <> 0 GROUP BY 1),
 d AS (SELECT conv_id, n_fit, any_value(med) AS med, median(abs(start - cue - med)) AS mad FROM q JOIN f USING (conv_id) WHERE start IS NOT NULL AND k % 3 <> 0 GROUP BY 1, 2),
 a AS (SELECT q.conv_id, k, start, greatest(cue + med, 0.0) AS target, n_fit, CASE WHEN coalesce(n_fit, 0) < 4 THEN 'few_anchors' WHEN mad > 0.75 THEN 'wide_spread' END AS bailed FROM q LEFT JOIN d USING (conv_id))
