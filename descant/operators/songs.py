@@ -80,6 +80,11 @@ def mapped(table: DataFrame) -> DataFrame:
     return songs(table, ["sheet", "cue_lines"], {"pairs": "array<struct<line_id:int,cue:int>>"}, lambda a, b: {"pairs": [{"line_id": i, "cue": j} for i, j in M.map_lines(a, b)]})
 
 
+def paired(table: DataFrame, **options: int) -> DataFrame:
+    """table (left, right: token lists) with `pairs`: for each left token the place of the right one it pairs with."""
+    return songs(table, ["left", "right"], {"pairs": "array<int>"}, lambda a, b: {"pairs": M.lockstep(a, b, **options)})
+
+
 def cue_spans(pairs: Column, cues: Column) -> Column:
     """(line_id, start, end) of the lines that map to a cue (start, end); null if none does."""
     spans = F.transform(pairs, lambda p: F.struct(p["line_id"].alias("line_id"), F.get(cues, p["cue"])["start"].alias("start"), F.get(cues, p["cue"])["end"].alias("end")))

@@ -57,7 +57,40 @@ def bundle_summary(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("song", S.summary(F.col("placed")).alias("s")).select("song", "s.*", R.bundle({"summary": F.col("s")}).alias("bundle"))
 
 
-# windows and chains
+# pairs, windows and chains
+
+
+def _lockstep_sql(ahead_left: int, ahead_right: int, confirm: int, budget: int) -> str:
+    """One step a row: a pair, a jump to one, a right token passed over, or a left one given up."""
+    then = " AND ".join([f"(i + di + {c} >= nl OR j + dj + {c} >= nr OR l[i + di + {c} + 1] = r[j + dj + {c} + 1])" for c in range(1, confirm)] or ["true"])
+    return f"""WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '') AS l FROM conversations),
+b AS (SELECT conv_id, turn, l, len(l) AS nl, r, len(r) AS nr FROM (SELECT *, flatten(list_transform(l, lambda x, k: CASE WHEN k % 6 = 5 THEN [] WHEN k % 9 = 4 THEN ['zz', x, 'zz'] ELSE [x] END)) AS r FROM (SELECT conv_id, turn, list_transform(l, lambda x: 'q' || x) AS l FROM w))),
+s AS (SELECT conv_id, turn, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS passed, NULL::BIGINT AS a, NULL::BIGINT AS c FROM b
+UNION ALL SELECT conv_id, turn, CASE WHEN hit IS NOT NULL THEN i + hit[2] + 1 WHEN passed + 1 >= {budget} THEN i + 1 ELSE i END, CASE WHEN hit IS NOT NULL THEN j + hit[3] + 1 ELSE j + 1 END, CASE WHEN hit IS NOT NULL OR passed + 1 >= {budget} THEN 0 ELSE passed + 1 END, i + hit[2], j + hit[3]
+FROM (SELECT s.*, CASE WHEN l[i + 1] = r[j + 1] THEN [0, 0, 0] ELSE list_min(flatten(list_transform(range(least({ahead_left + 1}, nl - i)), lambda di: list_transform(list_filter(range(least({ahead_right + 1}, nr - j)), lambda dj: di + dj > 0 AND l[i + di + 1] = r[j + dj + 1] AND {then}), lambda dj: [di + dj, di, dj])))) END AS hit
+  FROM s JOIN b USING (conv_id, turn) WHERE i < nl AND j < nr))
+SELECT conv_id, turn, a AS "left", c AS "right" FROM s WHERE a IS NOT NULL"""
+
+
+def _pairs(spark: SparkSession, sf: str, **options: int) -> DataFrame:
+    """A turn's tokens against themselves with some left out and some put in."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+", " "), " "), lambda x: x != "")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.transform(words, lambda x: F.concat(F.lit("q"), x)).alias("left"))
+    other = lambda x, k: F.when(k % 6 == 5, F.array().cast("array<string>")).when(k % 9 == 4, F.array(F.lit("zz"), x, F.lit("zz"))).otherwise(F.array(x))
+    found = S.paired(c.withColumn("right", F.flatten(F.transform("left", lambda x, k: other(x, k + 1)))), **options)
+    out = found.select("conv_id", "turn", F.posexplode("pairs").alias("left", "right")).where(F.col("right").isNotNull())
+    return out.select("conv_id", "turn", F.col("left").cast("bigint").alias("left"), F.col("right").cast("bigint").alias("right"))
+
+
+@query(_lockstep_sql(3, 10, 2, 10))
+def lockstep_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf)
+
+
+@query(_lockstep_sql(3, 3, 1, 1))
+def lockstep_window(spark: SparkSession, sf: str) -> DataFrame:
+    """As inside a window of the placement."""
+    return _pairs(spark, sf, ahead_left=3, ahead_right=3, confirm=1, budget=1)
 
 
 _SAID = r"""s AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, turn, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS ls FROM conversations)),
