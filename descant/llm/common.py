@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +59,33 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._descant_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables of `cut` made inside are deleted at the end, but for those given to the function that this yields:
+    what is left is what the result reads, once the result is written inside as well."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _SCOPES.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        release(*(x for x in made if not any(x is k for k in kept)))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as P
 from descant.llm.common import cut
+from tests import oracle
 
 
 def test_stages(spark, tmp_path):
@@ -56,3 +57,15 @@ def test_edges(spark, tmp_path):
     none = docs.limit(0)
     none.write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_only_the_result_is_left(spark, tmp_path):
+    """Of all tables that the stages write, what the result reads stays."""
+    import glob
+
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{top}/descant-*"))
+    got = P.run(spark, oracle.SF)
+    left = set(glob.glob(f"{top}/descant-*")) - before
+    assert {f.removeprefix("file://").rsplit("/", 1)[0] for f in got.inputFiles()} == left and len(left) == 1
+    assert got.count() > 0
