@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from descant.llm import decontamination, mixing, neardup, quality, sharding
-from descant.llm.common import cut, tables
+from descant.llm.common import cut, release, scope, tables
 
 #: No stage can be told in SQL as a whole (signatures, divergence, block-max WAND); tests hold each
 #: stage against a brute-force version.
@@ -53,7 +53,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. A stage's tables, and its input, are deleted once its result is written: one table is left."""
     docs = tables(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        with scope() as keep:
+            result = keep(cut(stage(spark, docs, sf_dir)))
+        release(docs)
+        docs = result
+    return docs
