@@ -24,6 +24,7 @@ WORDS = "array<struct<word:string,start:double,end:double>>"
 LINES = f"array<struct<line_id:int,text:string,words:{WORDS},start:double,end:double,source:string>>"
 _TOKENS = "array<array<struct<norm:string,raw:string>>>"
 _WINDOWS = "array<struct<line_id:int,from:int,to:int,score:int,rescued:boolean>>"
+_CANDIDATES = "array<struct<line_id:int,source:string,t0:double,t1:double,score:double,from:int,to:int>>"
 _CHAIN = "array<struct<line_id:int,source:string,t0:double,t1:double,score:double,from:int,to:int,pairs:array<int>>>"
 
 
@@ -65,6 +66,17 @@ def windows(table: DataFrame, ratio: float = M.EDIT_RATIO, fallback: bool = True
     return songs(table, ["lines", "heard"], {"windows": _WINDOWS}, run)
 
 
+def candidates(table: DataFrame, alpha: float = M.ALPHA, margin: float = M.MARGIN, ratio: float = M.EDIT_RATIO, fallback: bool = True) -> DataFrame:
+    """table (lines: token lists, heard: tokens, heard_at and aligned_at: their times (start, end)) with the
+    `candidates` of each song and their best `chain`."""
+
+    def run(lines: list[list[str]], heard: list[str], heard_at: list[dict], aligned_at: list[dict]) -> dict:
+        columns, _ = M.candidates(lines, heard, _times(heard_at), _slices(lines, len(aligned_at)), _times(aligned_at), alpha, margin, ratio, fallback)
+        return {"candidates": M.as_rows(columns, list(range(len(columns[0])))), "chain": M.as_rows(columns, M.best_chain(columns[0], columns[3], columns[4], columns[5]))}
+
+    return songs(table, ["lines", "heard", "heard_at", "aligned_at"], {"candidates": _CANDIDATES, "chain": _CANDIDATES}, run)
+
+
 def schedule(table: DataFrame) -> DataFrame:
     """table with `chain`: the best chain of the candidates (line_id, t0, t1, score) of each song."""
 
@@ -243,8 +255,8 @@ def joint(table: DataFrame, **knobs: float) -> DataFrame:
 _ANCHORS = "array<struct<line_id:int,start:double,end:double>>"
 
 
-def _judge(objects: list[dict], tokens: list[list[dict]], names: list[str], starts: np.ndarray, margin: float, ratio: float) -> dict:
-    norms = [tuple(t["norm"] for t in x) for x in tokens]
+def _judge(objects: list[dict], lines: list[list[str]], names: list[str], starts: np.ndarray, margin: float, ratio: float) -> dict:
+    norms = list(map(tuple, lines))
     often, anchors, suspects = Counter(norms), [], []
     windows = M.all_windows(norms, M.Heard(names), ratio)
     for o in objects:
@@ -266,11 +278,20 @@ def _anchors_and_suspects(placed: DataFrame, margin: float = M.MARGIN, ratio: fl
     neither; a line that nothing placed is suspect; the rest is judged by how much of it was heard there."""
 
     def run(objects: list[dict], tokens: list, heard: list[dict]) -> dict:
-        return _judge(objects, tokens, _names(heard), np.array([w["start"] for w in heard], float), margin, ratio)
+        return _judge(objects, [[t["norm"] for t in x] for x in tokens], _names(heard), np.array([w["start"] for w in heard], float), margin, ratio)
 
     return songs(placed, ["placed", "tokens", "heard"], {"anchors": _ANCHORS, "suspects": "array<int>"}, run)
 
 
+def judged(table: DataFrame, margin: float = M.MARGIN, ratio: float = M.EDIT_RATIO) -> DataFrame:
+    """The same for a table (placed, lines: token lists, heard: tokens, heard_at: their times)."""
+
+    def run(objects: list[dict], lines: list[list[str]], heard: list[str], heard_at: list[dict]) -> dict:
+        return _judge(objects, lines, heard, np.array([w["start"] for w in heard_at], float), margin, ratio)
+
+    return songs(table, ["placed", "lines", "heard", "heard_at"], {"anchors": _ANCHORS, "suspects": "array<int>"}, run)
+
+
 def spans(anchors: Column, n_lines: Column, duration: Column, pad: float = M.SLICE_PAD) -> Column:
     """Spans (after, before, t0, t1) of the lines between neighbouring anchors; the song's ends are edges
     before the first and after the last line. Spans without a line inside are left out."""
@@ -310,14 +331,25 @@ def merged(table: DataFrame) -> DataFrame:
     return songs(table, ["first", "results", "n", "song_end"], {"merged": LINES}, lambda *x: {"merged": _merged(*x)})
 
 
+#: Counts of a repair; n_kept is how many of the spans that were to be placed anew had no words and stayed.
+PLAN = ["n_anchors", "n_suspects", "n_spans", "n_replayed"]
+
+
+def replay_plan(table: DataFrame) -> DataFrame:
+    """table (anchors, suspects, n lines, duration) with `chosen`, the spans that hold a suspect line, and PLAN. Without
+    anchors there is nothing to hold a repair against, and without suspects nothing to repair: no span then."""
+    none = F.array().cast("array<struct<after:int,before:int,t0:double,t1:double>>")
+    some = (F.size("anchors") > 0) & (F.size("suspects") > 0)
+    out = table.withColumn("spans", F.when(some, spans(F.col("anchors"), F.col("n"), F.col("duration"))).otherwise(none))
+    out = out.withColumn("chosen", F.filter("spans", lambda s: F.exists("suspects", lambda k: (s["after"] < k) & (k < s["before"]))))
+    return out.withColumns({"n_anchors": F.size("anchors"), "n_suspects": F.size("suspects"), "n_spans": F.size("spans"), "n_replayed": F.size("chosen")})
+
+
 def repaired(table: DataFrame, key: str = "song") -> DataFrame:
     """joint, then each span that holds a suspect line placed anew as a song of its own, with the words around it.
     table has `duration` too. A song's spans are placed where its row is; nothing is shuffled."""
-    base = _anchors_and_suspects(placement(table))
-    base = base.withColumn("spans", spans(F.col("anchors"), F.size("lines"), F.col("duration")))
-    chosen = F.filter("spans", lambda s: F.exists("suspects", lambda k: (s["after"] < k) & (k < s["before"])))
-    counts = {"n_anchors": F.size("anchors"), "n_suspects": F.size("suspects"), "n_spans": F.size("spans"), "n_replayed": F.size("chosen")}
-    whole = base.withColumn("chosen", chosen).withColumns(counts).select(key, "tokens", "lines", "aligned", "heard", "chosen", F.col("placed").alias("first"), *counts)
+    base = replay_plan(_anchors_and_suspects(placement(table)).withColumn("n", F.size("lines")))
+    whole = base.select(key, "tokens", "lines", "aligned", "heard", "chosen", F.col("placed").alias("first"), *PLAN)
 
     def run(tokens: list, lines: list[str], aligned: list[dict], heard: list[dict], first: list[dict], chosen: list[dict]) -> dict:
         names, out = _names(heard), []
@@ -328,9 +360,9 @@ def repaired(table: DataFrame, key: str = "song") -> DataFrame:
             if own:
                 found = _place(tokens[lo:hi], lines[lo:hi], own, [heard[k] for k in near], [names[k] for k in near], M.ALPHA, M.MARGIN, M.EDIT_RATIO, True)
                 out.append({"after": s["after"], "before": s["before"], "placed": [o | {"line_id": o["line_id"] + lo} for o in found["placed"]]})
-        return {"placed": _merged(first, out, len(lines), aligned[-1]["end"] if aligned else 0.0)}
+        return {"placed": _merged(first, out, len(lines), aligned[-1]["end"] if aligned else 0.0), "n_kept": len(chosen) - len(out)}
 
-    return songs(whole, ["tokens", "lines", "aligned", "heard", "first", "chosen"], {"placed": LINES}, run).select(key, "placed", *counts)
+    return songs(whole, ["tokens", "lines", "aligned", "heard", "first", "chosen"], {"placed": LINES, "n_kept": "int"}, run).select(key, "placed", *PLAN, "n_kept")
 
 
 def middle(values: Column) -> Column:

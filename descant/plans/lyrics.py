@@ -144,6 +144,69 @@ def interval_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return S.schedule(g).select("song", F.inline_outer("chain")).where("line_id is not null").withColumn("line_id", F.col("line_id").cast("bigint"))
 
 
+#: Heard words half a second apart, aligned ones 0.6 s; each line's range, its fuzzy windows, and how they agree.
+_CANDIDATES = f"""{_SAID} d AS (SELECT *, levenshtein(a, win) AS d FROM w),
+f AS (SELECT conv_id, line_id, start AS "from", start + size AS upto, size, n - d AS score FROM d WHERE d <= greatest(1, floor(n * 0.25)) AND n - d >= least(2, n)),
+y AS (SELECT l.conv_id, line_id, len(ws) AS n, ws, hs, sum(len(ws)) OVER (PARTITION BY l.conv_id ORDER BY line_id) - len(ws) AS base FROM l JOIN h ON h.conv_id = l.conv_id),
+x AS (SELECT *, base * 0.6::DOUBLE AS a0, (base + n - 1) * 0.6::DOUBLE + 0.5::DOUBLE AS a1 FROM y WHERE n > 0),
+v AS (SELECT *, len(list_filter(range(len(hs)), lambda k: k * 0.5::DOUBLE < a0 - 0.3::DOUBLE)) AS lo, len(list_filter(range(len(hs)), lambda k: k * 0.5::DOUBLE < a1 + 0.3::DOUBLE)) AS hi FROM x),
+k AS (SELECT conv_id, line_id, 0 AS kind, 0 AS size, base AS "from", a0 AS t0, a1 AS t1, coalesce((SELECT max(score) FROM f WHERE f.conv_id = v.conv_id AND f.line_id = v.line_id AND f."from" >= lo AND f.upto <= hi), 0) + CASE WHEN hi - lo >= 2 AND NOT list_has_any(ws, hs[lo + 1:hi]) THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS score FROM v
+  UNION ALL SELECT f.conv_id, f.line_id, 1, size, f."from", t0, t1, f.score + 2.0::DOUBLE * least(1.0::DOUBLE, greatest(least(t1, a1) - greatest(t0, a0), 0.0::DOUBLE) / (a1 - a0)) FROM (SELECT *, "from" * 0.5::DOUBLE AS t0, (upto - 1) * 0.5::DOUBLE + 0.4::DOUBLE AS t1 FROM f) f JOIN x USING (conv_id, line_id))"""
+_CHAIN = """, c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY line_id, t0, kind, size) AS i FROM k),
+g AS (SELECT conv_id, count(*) AS n, list(line_id ORDER BY i) AS ls, list(t0 ORDER BY i) AS a, list(t1 ORDER BY i) AS b, list(score ORDER BY i) AS s FROM c GROUP BY 1),
+r AS (SELECT conv_id, 0::BIGINT AS i, []::DOUBLE[] AS total, []::BIGINT[] AS link FROM g
+  UNION ALL SELECT conv_id, i + 1, list_append(total, s[i + 1] + greatest(best, 0)), list_append(link, CASE WHEN best > 0 THEN list_position(sums, best) ELSE 0 END)
+  FROM (SELECT *, coalesce(list_max(sums), 0) AS best FROM (SELECT r.conv_id, r.i, total, link, s, list_transform(range(1, r.i + 1), lambda j: CASE WHEN ls[j] < ls[r.i + 1] AND b[j] <= a[r.i + 1] THEN total[j] END) AS sums FROM r JOIN g ON g.conv_id = r.conv_id WHERE r.i < n))),
+t AS (SELECT r.conv_id, link, list_position(total, list_max(total)) AS pos FROM r JOIN g ON g.conv_id = r.conv_id WHERE r.i = n),
+p AS (SELECT conv_id, link, pos FROM t UNION ALL SELECT conv_id, link, link[pos] FROM p WHERE link[pos] > 0)
+SELECT p.conv_id AS song, line_id, CASE kind WHEN 0 THEN 'align' ELSE 'transcribe' END AS source, "from", t0, t1, score FROM p JOIN c ON c.conv_id = p.conv_id AND c.i = p.pos"""
+
+
+def _clocked(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda words, step, length: F.transform(words, lambda w, i: F.struct((i * step).alias("start"), (i * step + length).alias("end")))
+    return _sentences(spark, sf).withColumns({"heard_at": at(F.col("heard"), 0.5, 0.4), "aligned_at": at(F.flatten("lines"), 0.6, 0.5)})
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return S.candidates(_clocked(spark, sf), ratio=0.25, fallback=False)
+
+
+def _candidate_rows(df: DataFrame, column: str) -> DataFrame:
+    rows = df.select("song", F.inline_outer(column)).where("line_id IS NOT NULL")
+    return rows.select("song", F.col("line_id").cast("bigint").alias("line_id"), "source", F.col("from").cast("bigint").alias("from"), "t0", "t1", "score")
+
+
+@query(f"""WITH {_CANDIDATES} SELECT conv_id AS song, line_id, CASE kind WHEN 0 THEN 'align' ELSE 'transcribe' END AS source, "from", t0, t1, score FROM k""")
+def placement_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """What could place each line: its aligned range and the windows of heard words, scored by what was heard and by
+    how far the two agree."""
+    return _candidate_rows(_scored(spark, sf), "candidates")
+
+
+@query(f"WITH RECURSIVE {_CANDIDATES}{_CHAIN}")
+def placement_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates that place the lines: in order, without overlap, of the largest sum."""
+    return _candidate_rows(_scored(spark, sf), "chain")
+
+
+@query(f"""WITH {_CANDIDATES}, o AS (SELECT *, line_id % 8 = 3 OR line_id % 8 = 5 OR line_id % 8 = 7 AS unplaced, count(*) OVER (PARTITION BY conv_id, ws) AS often,
+CASE WHEN line_id % 8 = 5 THEN 0.0 ELSE coalesce((SELECT max(score) FROM f WHERE f.conv_id = v.conv_id AND f.line_id = v.line_id AND f."from" >= lo AND f.upto <= hi), 0)::DOUBLE / n END AS share FROM v)
+SELECT conv_id AS song, line_id, unplaced OR share < 0.5 AS suspect, NOT unplaced AND n >= 4 AND often = 1 AND share >= 0.75 AS anchor FROM o""")
+def anchors_and_suspects(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines at their aligned ranges, some without a place and some interpolated: which of them the heard words
+    confirm, and which they do not."""
+    t = _clocked(spark, sf).withColumn("upto", F.transform("lines", lambda line, i: F.size(F.flatten(F.slice("lines", F.lit(1), i + 1)))))
+
+    def line(words: F.Column, i: F.Column) -> F.Column:
+        low, high = F.get("upto", i) - F.size(words), F.get("upto", i) - 1
+        start = F.when(i % 8 != 5, F.get("aligned_at", low)["start"])
+        return F.struct(i.alias("line_id"), start.alias("start"), F.get("aligned_at", high)["end"].alias("end"), F.when(i % 4 == 3, "interp").when(i % 4 == 1, "transcribe").otherwise("align").alias("source"))
+
+    found = S.judged(t.withColumn("placed", F.transform("lines", line)), ratio=0.25)
+    rows = found.select("song", F.posexplode("lines").alias("line_id", "words"), "anchors", "suspects").where(F.size("words") > 0)
+    return rows.select("song", F.col("line_id").cast("bigint").alias("line_id"), F.array_contains("suspects", F.col("line_id")).alias("suspect"), F.exists("anchors", lambda a: a["line_id"] == F.col("line_id")).alias("anchor"))
+
+
 _SRT = "lpad((({0}) // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((({0}) % 1000)::VARCHAR, 3, '0')"
 
 
@@ -180,6 +243,20 @@ def repair_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.select("song", F.col("after").cast("bigint").alias("after"), F.col("before").cast("bigint").alias("before"), "t0", "t1")
 
 
+@query(f"""WITH {_PLACED}, c AS (SELECT conv_id, max(k) + 1 AS n, list(k ORDER BY k) FILTER (k % 5 = 2 AND start IS NOT NULL) AS anchors, list(k ORDER BY k) FILTER (start IS NULL OR k % 9 = 4) AS suspects FROM l GROUP BY 1),
+e AS (SELECT conv_id, n, coalesce(len(anchors), 0) AS a, coalesce(len(suspects), 0) AS s, suspects, [-1] || coalesce(anchors, []) || [n] AS edges FROM c),
+g AS (SELECT conv_id, a, s, CASE WHEN a > 0 AND s > 0 THEN list_filter(list_transform(range(1, len(edges)), lambda i: [edges[i], edges[i + 1]]), lambda x: x[2] - x[1] > 1) ELSE [] END AS spans, suspects FROM e)
+SELECT conv_id AS song, a AS n_anchors, s AS n_suspects, len(spans) AS n_spans, len(list_filter(spans, lambda x: len(list_filter(suspects, lambda k: x[1] < k AND k < x[2])) > 0)) AS n_replayed FROM g""")
+def realign_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Which spans of a song are placed anew, counted; songs without anchors or suspects have none."""
+    p = _placed(spark, sf)
+    there = F.filter("placed", lambda o: (o["line_id"] % 5 == 2) & o["start"].isNotNull())
+    bad = F.transform(F.filter("placed", lambda o: o["start"].isNull() | (o["line_id"] % 9 == 4)), lambda o: o["line_id"])
+    n = F.try_element_at("placed", F.lit(-1))["line_id"] + 1
+    plan = S.replay_plan(p.select("song", there.alias("anchors"), bad.alias("suspects"), n.alias("n"), (n * 10.0).cast("double").alias("duration")))
+    return plan.select("song", *(F.col(c).cast("bigint").alias(c) for c in S.PLAN))
+
+
 @query(f"""WITH {_PLACED}, m AS (SELECT conv_id, k, start AS old, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 2 THEN k * 10.0 - 9 ELSE k * 10.0 + 1 END AS new, k % 2 = 1 AS heard FROM l),
 c AS (SELECT conv_id, max(k) AS last, max(k) // 2 AS b FROM l GROUP BY 1), e AS (SELECT c.*, (SELECT "end" FROM l WHERE l.conv_id = c.conv_id AND k = 0) - 0.5 AS low, (SELECT start FROM l WHERE l.conv_id = c.conv_id AND k = b) + 0.5 AS high FROM c),
 v AS (SELECT m.conv_id, k, CASE WHEN NOT (k > 0 AND k < b) OR (old IS NULL AND NOT heard) OR (new IS NOT NULL AND (coalesce(new < low, false) OR coalesce(new + 2 > high, false))) THEN old ELSE new END AS start FROM m JOIN e USING (conv_id))

@@ -116,6 +116,26 @@ def tracker_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _told(K.present(O.results(O.replay(events, "room", K.stream))))
 
 
+@query(
+    "WITH t AS (" + _TRACKER_SQL + """), j AS (SELECT room, place, '{"title":"' || title || '","url":"' || url || '","user":"' || "user" || '"' || coalesce(',"song_path":"' || song_path || '"', '') || ',"download_status":"' || download_status || '","processing_status":"' || processing_status || '"'
+|| coalesce(',"error_message":"' || error_message || '"', '') || ',"cancelling":' || cancelling::VARCHAR || coalesce(',"lyric_method":"' || lyric_method || '"', '') || ',"actions":[' || array_to_string(list_transform(actions, lambda x: '"' || x || '"'), ',') || ']}' AS item FROM t)
+SELECT room, '[' || string_agg(item, ',' ORDER BY place) || ']' AS body FROM j GROUP BY room"""
+)
+def processing_read_model(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return K.processing_status(K.fold(tracker_events(spark, sf)), F.lit("none"), none, F.col("place") % 2 == 0, F.lit("7"))
+
+
+@query("""WITH q AS (SELECT event_id % 20 AS room, event_id, user_id, event_id % 3 = 0 AS paused FROM events WHERE event_id >= 20), p AS (SELECT event_id AS room, user_id, value FROM events WHERE event_id < 20),
+n AS (SELECT room, min(event_id) AS event_id, arg_min(user_id, event_id) AS user_id FROM q WHERE NOT paused GROUP BY 1)
+SELECT p.room::VARCHAR AS room, '{"now_playing":"song' || p.room || '","now_playing_user":"' || p.user_id || '","is_paused":' || (p.room % 2 = 0)::VARCHAR || ',"up_next":' || coalesce('"song' || n.event_id || '"', 'null') || ',"next_user":' || coalesce('"' || n.user_id || '"', 'null') || '}' AS body FROM p LEFT JOIN n USING (room)""")
+def now_playing_read_model(spark: SparkSession, sf: str) -> DataFrame:
+    r = _requests(spark, sf)
+    playing = r.where("seq < 20").select("room", F.col("file").alias("now_playing"), F.col("user").alias("now_playing_user"), (F.col("seq") % 2 == 0).alias("is_paused"))
+    waiting = r.where("seq >= 20").select("room", "user", F.col("file").alias("title"), F.col("seq").alias("position"), (F.col("seq") % 3 == 0).alias("paused"))
+    return Q.now_playing(playing, waiting)
+
+
 _THROTTLE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id / 1000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), n AS (SELECT user_id, list(t ORDER BY i) AS ts, list(event_id ORDER BY i) AS ids FROM e GROUP BY 1),
 r AS (SELECT user_id, ts, ids, 1::BIGINT AS i FROM n UNION ALL SELECT user_id, ts, ids, nxt FROM (SELECT user_id, ts, ids, list_min(list_filter(range(i + 1, len(ts) + 1), lambda j: ts[j] - ts[i] >= 0.5)) AS nxt FROM r) WHERE nxt IS NOT NULL)
 SELECT user_id, ts[i] AS at, ids[i] AS "order" FROM r"""

@@ -212,6 +212,16 @@ def read_model(rows: DataFrame, fields: list[str], order: str, room: str = "room
     return rows.groupBy(room).agg(F.to_json(F.array_sort(F.collect_list(item))["item"]).alias("body"))
 
 
+def now_playing(playing: DataFrame, queue: DataFrame, room: str = "room") -> DataFrame:
+    """(room, body): what is sent of a room's playback. playing: a row per room with what the player says; the next
+    song that is not paused comes from the queue, and is null without one."""
+    following = queue.where(~F.coalesce("paused", F.lit(False))).groupBy(room).agg(F.min_by(F.struct("title", "user"), "position").alias("__next"))
+    both = playing.join(following, room, "left")
+    state = [F.col(c) for c in playing.columns if c != room]
+    item = F.struct(*state, F.col("__next.title").alias("up_next"), F.col("__next.user").alias("next_user"))
+    return both.select(room, F.to_json(item, {"ignoreNullFields": "false"}).alias("body"))
+
+
 def position_message(waiting: Column, active: Column, title: Column) -> Column:
     """What a requester is told: the place in line, counting the download that runs."""
     ahead = waiting + F.when(active, 1).otherwise(0)

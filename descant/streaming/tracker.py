@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from . import ordered
+from .queue import read_model
 
 #: Values of seq whose calls are put in order in one window.
 RUN = 10_000
@@ -179,6 +180,13 @@ def actions(admin: Column, viewer: Column, state: str = "processing_status") ->
     return F.array_compact(F.array(F.when(free & going & (admin | owner), "cancel"), F.when(free & ended & admin, "remove"), F.when(free & done, "enqueue")))
 
 
+def processing_status(items: DataFrame, active: Column, pending: Column, admin: Column, viewer: Column) -> DataFrame:
+    """(room, body): what a viewer is sent of a room's jobs, in their order, with status and allowed actions as of now.
+    `active` is the path that is being processed, `pending` those that wait."""
+    now = items.withColumn("processing_status", status(active, pending)).withColumn("actions", actions(admin, viewer))
+    return read_model(now, [*FIELDS, "actions"], "place")
+
+
 def throttled(ticks: DataFrame, key: str, order: str, at: str, every: float = 0.5) -> DataFrame:
     """(key, at, order) of the ticks that are at least `every` seconds after the last one let through. Ticks are
     sorted by key and time inside partitions and streamed through; a task keeps one time, whatever a key holds."""
