@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import codes, decontamination, html, languages, mixing, neardup, paragraphs, periodic, quality, sharding, substrings, urls, warc
-from .common import tables
+from .common import cut, scope, tables
 
 #: The rules of the production filter.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def written(result: Callable[[], DataFrame]) -> DataFrame:
+    """The result as a table of its own; those that it came from are deleted."""
+    with scope() as keep:
+        return keep(cut(result()))
+
+
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the documents, those that lose something have n_removed > 0; the others are whole."""
-    return paragraphs.dedup(tables(spark, sf_dir, "documents")).drop("spans")
+    return written(lambda: paragraphs.dedup(tables(spark, sf_dir, "documents")).drop("spans"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +30,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.classes(tables(spark, sf_dir, "documents"))
+    found = written(lambda: neardup.classes(tables(spark, sf_dir, "documents")))
     return found.withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
 
 
@@ -33,7 +39,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(tables(spark, sf_dir, "documents")).drop("spans")
+    return written(lambda: substrings.dedup(tables(spark, sf_dir, "documents")).drop("spans"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shard(tables(spark, sf_dir, "documents"), 16)
+    found = written(lambda: sharding.shard(tables(spark, sf_dir, "documents"), 16))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -57,7 +63,7 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(tables(spark, sf_dir, "pages"))
+    return written(lambda: html.extract(tables(spark, sf_dir, "pages")))
 
 
 def periodic_tails(docs: DataFrame) -> DataFrame:
