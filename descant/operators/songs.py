@@ -193,6 +193,15 @@ def _heard_words(line: list[dict], pairs: list[int | None], heard: list[dict]) -
     return out
 
 
+def window_words(table: DataFrame) -> DataFrame:
+    """table (left: tokens, pairs, right_at: times of the right tokens) with `words`: the left tokens with their times."""
+
+    def run(left: list[str], pairs: list[int | None], right_at: list[dict]) -> dict:
+        return {"words": _heard_words([{"raw": w} for w in left], pairs, right_at) if right_at else []}
+
+    return songs(table, ["left", "pairs", "right_at"], {"words": WORDS}, run)
+
+
 def _filled(placed: dict[int, dict], n: int, song_end: float) -> list[dict]:
     """One object per line: lines without a placement get an empty one from the end of the nearest placed line
     before to the start of the nearest one after."""

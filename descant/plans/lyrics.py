@@ -60,7 +60,7 @@ def bundle_summary(spark: SparkSession, sf: str) -> DataFrame:
 # pairs, windows and chains
 
 
-def _lockstep_sql(ahead_left: int, ahead_right: int, confirm: int, budget: int) -> str:
+def _lockstep_sql(ahead_left: int, ahead_right: int, confirm: int, budget: int, then_select: str = "") -> str:
     """One step a row: a pair, a jump to one, a right token passed over, or a left one given up."""
     then = " AND ".join([f"(i + di + {c} >= nl OR j + dj + {c} >= nr OR l[i + di + {c} + 1] = r[j + dj + {c} + 1])" for c in range(1, confirm)] or ["true"])
     return f"""WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '') AS l FROM conversations),
@@ -68,16 +68,20 @@ b AS (SELECT conv_id, turn, l, len(l) AS nl, r, len(r) AS nr FROM (SELECT *, fla
 s AS (SELECT conv_id, turn, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS passed, NULL::BIGINT AS a, NULL::BIGINT AS c FROM b
 UNION ALL SELECT conv_id, turn, CASE WHEN hit IS NOT NULL THEN i + hit[2] + 1 WHEN passed + 1 >= {budget} THEN i + 1 ELSE i END, CASE WHEN hit IS NOT NULL THEN j + hit[3] + 1 ELSE j + 1 END, CASE WHEN hit IS NOT NULL OR passed + 1 >= {budget} THEN 0 ELSE passed + 1 END, i + hit[2], j + hit[3]
 FROM (SELECT s.*, CASE WHEN l[i + 1] = r[j + 1] THEN [0, 0, 0] ELSE list_min(flatten(list_transform(range(least({ahead_left + 1}, nl - i)), lambda di: list_transform(list_filter(range(least({ahead_right + 1}, nr - j)), lambda dj: di + dj > 0 AND l[i + di + 1] = r[j + dj + 1] AND {then}), lambda dj: [di + dj, di, dj])))) END AS hit
-  FROM s JOIN b USING (conv_id, turn) WHERE i < nl AND j < nr))
-SELECT conv_id, turn, a AS "left", c AS "right" FROM s WHERE a IS NOT NULL"""
+  FROM s JOIN b USING (conv_id, turn) WHERE i < nl AND j < nr))""" + (then_select or """
+SELECT conv_id, turn, a AS "left", c AS "right" FROM s WHERE a IS NOT NULL""")
 
 
-def _pairs(spark: SparkSession, sf: str, **options: int) -> DataFrame:
-    """A turn's tokens against themselves with some left out and some put in."""
+def _told_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """A turn's tokens, and the same with some left out and some put in."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+", " "), " "), lambda x: x != "")
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.transform(words, lambda x: F.concat(F.lit("q"), x)).alias("left"))
     other = lambda x, k: F.when(k % 6 == 5, F.array().cast("array<string>")).when(k % 9 == 4, F.array(F.lit("zz"), x, F.lit("zz"))).otherwise(F.array(x))
-    found = S.paired(c.withColumn("right", F.flatten(F.transform("left", lambda x, k: other(x, k + 1)))), **options)
+    return c.withColumn("right", F.flatten(F.transform("left", lambda x, k: other(x, k + 1))))
+
+
+def _pairs(spark: SparkSession, sf: str, **options: int) -> DataFrame:
+    found = S.paired(_told_twice(spark, sf), **options)
     out = found.select("conv_id", "turn", F.posexplode("pairs").alias("left", "right")).where(F.col("right").isNotNull())
     return out.select("conv_id", "turn", F.col("left").cast("bigint").alias("left"), F.col("right").cast("bigint").alias("right"))
 
@@ -93,6 +97,23 @@ def lockstep_window(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf, ahead_left=3, ahead_right=3, confirm=1, budget=1)
 
 
+_TIMES = """, m AS (SELECT conv_id, turn, nl, nr, unnest(range(nl)) AS i FROM b), o AS (SELECT m.*, s.c, CASE WHEN s.c IS NOT NULL THEN m.i END AS own FROM m LEFT JOIN (SELECT conv_id, turn, a, c FROM s WHERE a IS NOT NULL) s ON s.conv_id = m.conv_id AND s.turn = m.turn AND s.a = m.i),
+n AS (SELECT *, max(own) OVER p AS prev, min(own) OVER f AS nxt, last_value(c IGNORE NULLS) OVER p AS pc, first_value(c IGNORE NULLS) OVER f AS nc FROM o
+  WINDOW p AS (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT *, coalesce(pc * 0.5::DOUBLE + 0.25::DOUBLE, 0.0) AS lo, greatest(coalesce(pc * 0.5::DOUBLE + 0.25::DOUBLE, 0.0), coalesce(nc * 0.5::DOUBLE, (nr - 1) * 0.5::DOUBLE + 0.25::DOUBLE)) AS hi FROM n),
+k AS (SELECT *, (hi - lo) / (coalesce(nxt, nl) - coalesce(prev, -1) - 1) AS slot, i - coalesce(prev, -1) - 1 AS at_ FROM g)
+SELECT conv_id, turn, i AS "left", CASE WHEN c IS NOT NULL THEN c * 0.5::DOUBLE ELSE lo + at_ * slot END AS start, CASE WHEN c IS NOT NULL THEN c * 0.5::DOUBLE + 0.25::DOUBLE ELSE lo + (at_ + 1) * slot END AS "end" FROM k"""
+
+
+@query(_lockstep_sql(3, 3, 1, 1, _TIMES))
+def window_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The times of a turn's words: their partner's, or an even share of the gap between their neighbours'."""
+    found = S.paired(_told_twice(spark, sf), ahead_left=3, ahead_right=3, confirm=1, budget=1)
+    at = F.transform("right", lambda w, j: F.struct((j * 0.5).alias("start"), (j * 0.5 + 0.25).alias("end")))
+    words = S.window_words(found.withColumn("right_at", at)).select("conv_id", "turn", F.posexplode("words").alias("left", "w"))
+    return words.select("conv_id", "turn", F.col("left").cast("bigint").alias("left"), "w.start", "w.end")
+
+
 _SAID = r"""s AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, turn, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS ls FROM conversations)),
 l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS line_id, list_filter(string_split(regexp_replace(lower(line), '[^\p{L}\p{N}_ ]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM s),
 h AS (SELECT conv_id, list_transform(list_filter(list_zip(ws, range(0, len(ws)::BIGINT)), lambda x: x[2] % 5 <> 4), lambda x: x[1]) AS hs FROM (SELECT conv_id, flatten(list(ws ORDER BY line_id)) AS ws FROM l GROUP BY 1)),
