@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import render as R, songs as S
+from ..operators.ranks import medians
 from .base import query, table
 
 
