@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 #: Blocks whose characters are dropped from names (fixed values).
 EMOJI = (
@@ -99,6 +100,7 @@ def fold_text(x: str) -> str:
 _NON_WORD = re.compile(r"[^\w]")
 
 
+@lru_cache(1 << 16)
 def token(x: str) -> str:
     return _NON_WORD.sub("", fold_text(unicodedata.normalize("NFKC", x).lower()))
 
@@ -114,12 +116,6 @@ def normalize_token(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else token(x))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("norm", StringType()), StructField("raw", StringType())])))
-def line_tokens(s: pd.Series) -> pd.Series:
-    """The tokens of a line that have a normal form, with the raw word."""
-    return s.map(lambda x: None if x is None else [{"norm": t, "raw": w} for w in x.split() if (t := token(w))])
-
-
 @F.pandas_udf(StringType())
 def ascii_only(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x).encode("ascii", "ignore").decode())
