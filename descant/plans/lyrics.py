@@ -25,7 +25,7 @@ def songs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def joint(spark: SparkSession, sf: str) -> DataFrame:
-    return S.joint(songs(spark, sf)).select("song", *S.STATS, F.col("placed.source").alias("sources"))
+    return S.joint(songs(spark, sf), keep=["song"]).select("song", *S.STATS, F.col("placed.source").alias("sources"))
 
 
 @query()
@@ -48,13 +48,13 @@ def global_align(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def render_script(spark: SparkSession, sf: str) -> DataFrame:
-    placed = S.joint(songs(spark, sf)).select("song", F.inline_outer("placed")).where("line_id is not null")
+    placed = S.joint(songs(spark, sf), keep=["song"]).select("song", F.inline_outer("placed")).where("line_id is not null")
     return R.karaoke_script(placed, "song")
 
 
 @query()
 def bundle_summary(spark: SparkSession, sf: str) -> DataFrame:
-    placed = S.joint(songs(spark, sf)).select("song", "placed")
+    placed = S.joint(songs(spark, sf), keep=["song"]).select("song", "placed")
     return placed.select("song", S.summary(F.col("placed")).alias("s")).select("song", "s.*", R.bundle({"summary": F.col("s")}).alias("bundle"))
 
 
