@@ -38,7 +38,7 @@ def settings_of_values(spark: SparkSession, sf: str) -> DataFrame:
     held = F.array("c_name", F.col("c_acctbal").cast("string"), (F.col("c_nationkey") - 5).cast("string"), "c_mktsegment", F.when(F.col("c_acctbal") < 0, "No").otherwise("ON"))
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.explode(held).alias("v"))
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("v"))
-    return c.unionByName(d).select("name", T.setting(F.col("v")).alias("s")).select("name", "s.*")
+    return c.unionByName(d).select("name", F.inline(F.array(T.setting(F.col("v")))))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 3 < 2 THEN text END AS genius_id, CASE WHEN n_chars % 3 > 0 THEN source END AS mode FROM documents")
