@@ -35,7 +35,7 @@ _CREDIT = r"(?:made\s+famous\s+by|in\s+the\s+style\s+of|originally\s+performed\s
 CREDIT_IN_PARENS = rf"(?i)\((?:as\s+)?{_CREDIT}[:\s]+([^)]+)\)"
 CREDIT_INLINE = rf"(?i)\b{_CREDIT}[:\s]+(.+?)(?:\s*[\(\[]|$)"
 #: What a title loses at its end (fixed values).
-TAIL_KARAOKE = r"(?i)\s*\bkaraoke\b.*$"
+TAIL_KARAOKE = r"(?i)\bkaraoke\b.*$"
 TAIL_NOISE = r"(?i)(?:\s*\b(?:official\s+(?:music\s+)?video|lyrics?|hd|hq|instrumental|with\s+lyrics|no\s+lead\s+vocal|cc)\b[\s.!]*)+$"
 #: Cyrillic letters that look like Latin ones, and these (fixed values).
 LOOK_ALIKES = ("аеіоруѕсхј", "aeiopyscxj")
@@ -70,9 +70,22 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_SPACES))
 
 
+_BLANKS = r" \t\n\x0B\f\r\x1C\x1D\x1E\x1F"
+
+
 def collapse(c: Column) -> Column:
-    """White space runs as one space, none at the ends; ASCII text takes the cheaper pattern."""
-    return let(c, lambda x: F.trim(F.when(is_ascii(x), F.regexp_replace(x, r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F]+", " ")).otherwise(F.regexp_replace(x, rf"{SPACE}+", " "))))
+    """White space runs as one space, none at the ends; ASCII text takes the cheaper pattern. Single spaces, which most
+    runs are, match neither."""
+    ascii_, other = rf"[{_BLANKS[1:]}][{_BLANKS}]*| [{_BLANKS}]+", rf"{SPACE[:-1]}&&[^ ]]{SPACE}*| {SPACE}+"
+    return let(c, lambda x: F.trim(F.when(is_ascii(x), F.regexp_replace(x, ascii_, " ")).otherwise(F.regexp_replace(x, other, " "))))
+
+
+def swap(c: Column, old: str, new: str) -> Column:
+    """Each of the characters as another one, or gone; as `translate`, which makes an object of every character."""
+    for x in dict.fromkeys([new] if not new else new):
+        own = old if not new else "".join(a for a, b in zip(old, new, strict=True) if b == x)
+        c = F.replace(c, F.lit(own), F.lit(x)) if len(own) == 1 else F.regexp_replace(c, f"[{own}]", x)
+    return c
 
 
 def remove_all(c: Column, *patterns: str) -> Column:
@@ -182,7 +195,7 @@ def _without_noise(c: Column, ascii_: bool) -> Column:
 
 
 def _plain(c: Column, ascii_: bool) -> Column:
-    return F.translate(c if ascii_ else remove_all(c, EMOJI), "_", " ")
+    return swap(c if ascii_ else remove_all(c, EMOJI), "_", " ")
 
 
 def clean_query(c: Column) -> Column:
@@ -196,7 +209,8 @@ def clean_lyric_query(c: Column) -> Column:
 def _without_tail(c: Column) -> Column:
     """Without karaoke and what follows, then without noise words at the end; each pattern runs only on text that
     holds its word, or ends in one."""
-    c = let(c, lambda x: F.when(F.lower(x).contains("karaoke"), remove_all(x, TAIL_KARAOKE)).otherwise(x))
+    cut = lambda x: let(remove_all(x, TAIL_KARAOKE), lambda y: F.when(y != x, F.rtrim(y, F.lit(" \t\n\x0b\f\r"))).otherwise(x))
+    c = let(c, lambda x: F.when(F.lower(x).contains("karaoke"), cut(x)).otherwise(x))
     last = lambda x: F.substring(F.rtrim(x, F.lit(" \t\n\x0b\f\r.!")), -20, 20)
     return let(c, lambda x: F.when(last(x).rlike(r"(?i)\b(?:video|lyrics?|hd|hq|instrumental|vocal|cc)$"), remove_all(x, TAIL_NOISE)).otherwise(x))
 
@@ -205,21 +219,22 @@ def _credited(c: Column) -> Column:
     """Without its credit, then ` - ` and the artist; null without a credit."""
     artist = F.trim(F.when(c.rlike(CREDIT_IN_PARENS), F.regexp_extract(c, CREDIT_IN_PARENS, 1)).otherwise(F.regexp_extract(c, CREDIT_INLINE, 1)))
     title = _without_tail(remove_all(c, CREDIT_IN_PARENS, CREDIT_INLINE, rf"{SPACE}*[\(\[][^\)\]]*[\)\]]{SPACE}*$"))
-    low = F.lower(c)
-    may = low.contains("famous") | low.contains("style") | low.contains("performed") | low.contains("popularized")
-    return F.when(may, let(artist, lambda a: F.when(a != "", F.concat(F.trim(remove_all(title, r"\s*-\s*$")), F.lit(" - "), a))))
+    may = let(F.lower(c), lambda low: low.contains("famous") | low.contains("style") | low.contains("performed") | low.contains("popularized"))
+    return F.when(F.when(may, c.rlike(rf"(?i){_CREDIT}")), let(artist, lambda a: F.when(a != "", F.concat(F.trim(remove_all(title, r"\s*-\s*$")), F.lit(" - "), a))))
 
 
 def _tidied(c: Column, ascii_: bool) -> Column:
-    c = F.translate(F.regexp_replace(c, r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F]", " ") if ascii_ else F.regexp_replace(remove_all(c, EMOJI), SPACE, " "), "_", " ")
-    plain = lambda x: _without_tail(remove_all(x, r" *\([^)]*\) *$", r" *\[[^\]]*\] *$"))
+    c = F.regexp_replace(c, r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F_]", " ") if ascii_ else F.regexp_replace(remove_all(c, EMOJI), f"{SPACE[:-1]}_]", " ")
+    # a group at the end is looked for where one ends
+    group = lambda x, mark, pattern: let(x, lambda y: F.when(F.rtrim(y).endswith(mark), remove_all(y, pattern)).otherwise(y))
+    plain = lambda x: _without_tail(group(group(x, ")", r" *\([^)]*\) *$"), "]", r" *\[[^\]]*\] *$"))
     c = let(c, lambda x: F.coalesce(_credited(x), plain(x)))
     return c if ascii_ else F.regexp_replace(c, rf"{SPACE}*[–—]{SPACE}*", " - ")
 
 
 def tidy(c: Column) -> Column:
     """A display name: with a credit phrase `title - artist`, else without trailing groups and noise."""
-    return remove_all(collapse(_by_script(c, _tidied)), r"\s*-\s*$")
+    return let(collapse(_by_script(c, _tidied)), lambda x: F.when(x.endswith("-"), remove_all(x, r"\s*-\s*$")).otherwise(x))
 
 
 def display_name(p: Column) -> Column:
@@ -277,18 +292,17 @@ _LETTER = r"\p{L}"
 
 
 def lyric_line(c: Column) -> Column:
-    c = remove_all(F.translate(c, "\n", " "), r"<[^>]+>", r"\[[^\]]*\]", "[♪♫♬♩]")
-    return collapse(F.translate(c, "‘’“”", "''\"\""))
+    c = remove_all(swap(c, "\n", " "), r"<[^>]+>", r"\[[^\]]*\]", "[♪♫♬♩]")
+    return collapse(swap(c, "‘’“”", "''\"\""))
 
 
 def caption_line(c: Column) -> Column:
     """lyric_line without (..), empty if no letter is left."""
-    out = collapse(remove_all(lyric_line(c), r"\([^)]*\)"))
-    return F.when(out.rlike(_LETTER), out).otherwise("")
+    return let(collapse(remove_all(lyric_line(c), r"\([^)]*\)")), lambda out: F.when(out.rlike(_LETTER), out).otherwise(""))
 
 
 def align_text(c: Column) -> Column:
-    return collapse(F.translate(c, "()", ""))
+    return collapse(swap(c, "()", ""))
 
 
 def is_lyric(c: Column) -> Column:
@@ -356,18 +370,18 @@ def safe_name(c: Column, windows: bool = False) -> Column:
 def setting(c: Column, text: Column | bool = False) -> Column:
     """A typed reading of a stored setting: struct (kind, as_bool, as_long, as_double, as_string). text:
     whether the setting's default is text; then it is read as it stands."""
-    low, bare = F.lower(c), F.regexp_replace(c, "^-+", "")
+    # no reading as a truth value is longer than five characters, and a number begins as one: long texts stop there
+    low = F.when(F.length(c) <= 5, F.lower(c))
+    number = lambda bare: F.when(bare.rlike("^[0-9]+$"), "int").when(F.when(bare.rlike("^[0-9.]"), F.regexp_replace(bare, r"^([^.]*)\.([^.]*.*)$", "$1$2").rlike("^[0-9]+$")), "float").otherwise("string")
     kind = (
         F.when(F.lit(text) if isinstance(text, bool) else text, "string")
         .when(low.isin("true", "yes", "on", "false", "no", "off"), "bool")
-        .when(bare.rlike("^[0-9]+$"), "int")
-        .when(F.regexp_replace(bare, r"^([^.]*)\.([^.]*.*)$", "$1$2").rlike("^[0-9]+$"), "float")
-        .otherwise("string")
+        .otherwise(let(F.ltrim(c, F.lit("-")), number))
     )
-    return F.struct(
-        kind.alias("kind"), F.when(kind == "bool", low.isin("true", "yes", "on")).alias("as_bool"), F.when(kind == "int", c.try_cast("bigint")).alias("as_long"),
-        F.when(kind == "float", c.try_cast("double")).alias("as_double"), F.when(kind == "string", c).alias("as_string"),
-    )
+    return let(kind, lambda k: F.struct(
+        k.alias("kind"), F.when(k == "bool", low.isin("true", "yes", "on")).alias("as_bool"), F.when(k == "int", c.try_cast("bigint")).alias("as_long"),
+        F.when(k == "float", c.try_cast("double")).alias("as_double"), F.when(k == "string", c).alias("as_string"),
+    ))
 
 
 def stem_role(name: Column) -> Column:

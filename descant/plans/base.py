@@ -27,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores, dealt by rows: the work on its texts is dear, the texts are few."""
+    """A table dealt by rows, three parts a core at least: the work on its texts is dear, the texts are few. The number of
+    splits does not tell how even they are, as a row group goes to one split, and a file may be a single one."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows.repartition(max(3 * cores, rows.rdd.getNumPartitions()))

@@ -107,8 +107,8 @@ def _line() -> F.Column:
 
 @query(f"SELECT doc_id, {_LYRIC} AS line, {_sql_collapse(f'''translate({_LYRIC}, '()', '')''')} AS align_text FROM documents")
 def lyric_line(spark: SparkSession, sf: str) -> DataFrame:
-    x = T.lyric_line(_line())
-    return table(spark, sf, "documents").select("doc_id", x.alias("line"), T.align_text(x).alias("align_text"))
+    both = T.let(T.lyric_line(_line()), lambda x: F.struct(x.alias("line"), T.align_text(x).alias("align_text")))
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.inline(F.array(both)))
 
 
 @query(rf"SELECT doc_id, CASE WHEN regexp_matches(x, '\p{{L}}') THEN x ELSE '' END AS line FROM (SELECT doc_id, {_sql_collapse(_sql_remove(_LYRIC, r'\([^)]*\)'))} AS x FROM documents)")
@@ -232,12 +232,12 @@ def srt_songs(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of a text as a caption of its own, every fourth in parentheses."""
 
     def cue(x: F.Column, i: F.Column) -> F.Column:
-        aside = F.concat(F.lit("("), F.translate(x, "()", ""), F.lit(")"))
+        aside = F.concat(F.lit("("), T.swap(x, "()", ""), F.lit(")"))
         body = F.when(i % 4 == 3, aside).otherwise(F.concat(F.lit("<i>"), x, F.lit("</i> ♪")))
         return F.when(F.trim(x) != "", F.concat((i + 1).cast("string"), F.lit("\n"), F.format_string("00:00:%02d,250 --> 01:00:%02d.500", i % 60, i % 60), F.lit("\n"), body))
 
     srt = F.array_join(F.array_compact(F.transform(F.split("text", "\n"), cue)), "\n\n")
-    return table(spark, sf, "documents").select("doc_id", srt.alias("srt"))
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", srt.alias("srt"))
 
 
 @query("SELECT c_custkey, c_name AS \"trackName\", c_mktsegment AS \"artistName\", NULL::VARCHAR AS \"albumName\", c_custkey AS id, (60 * (c_custkey % 7) + 5)::DOUBLE AS duration FROM customer")

@@ -55,10 +55,13 @@ def _seconds(c: Column) -> Column:
 def caption_rows(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """Captions: (key, cue_no, text, start, end) of the cues that hold a lyric once cleaned."""
     stamp = r"(\d+:\d{2}:\d{2}[,.]\d{1,3})"
-    cues = rows.select(*key, F.posexplode(F.split(F.regexp_replace(text, "\r\n", "\n"), r"\n\s*\n")).alias("cue_no", "cue"))
     pattern = rf"(?s)^\s*\d*\s*\n?{stamp}\s*-->\s*{stamp}[^\n]*\n?(.*)$"
-    found = cues.where(F.col("cue").rlike(pattern)).select(*key, "cue_no", *(F.regexp_extract("cue", pattern, i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "body"))))
-    return found.select(*key, "cue_no", T.caption_line(F.col("body")).alias("text"), _seconds(F.col("a")).alias("start"), _seconds(F.col("b")).alias("end")).where("text <> ''")
+    # a cue is matched once: its parts stand between marks, and one without a match is what it was
+    parts = lambda x: T.let(F.regexp_replace(x, pattern, "\x01$1\x01$2\x01$3"), lambda y: F.when(y != x, F.split(y, "\x01", 4)))
+    cue = lambda p: F.struct(T.caption_line(p[3]).alias("text"), _seconds(p[1]).alias("start"), _seconds(p[2]).alias("end"))
+    read = F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), r"\n\s*\n"), lambda x: T.let(parts(x), lambda p: F.when(p.isNotNull(), cue(p))))
+    # a cue is cleaned once: the filter is behind the rows it makes
+    return rows.select(*key, F.posexplode(read).alias("cue_no", "c")).where("c.text <> ''").select(*key, "cue_no", "c.text", "c.start", "c.end")
 
 
 def lyric_rows(rows: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Text functions, sources and matching on golden cases."""
 
 import os
+import random
+import re
 import subprocess
 import sys
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +151,47 @@ def test_bundles_round_trip(spark, tmp_path):
     (tmp_path / "song.json").write_text("{broken")
     (tmp_path / "other.json").write_text('{"lyrics": {"align_lines": ["z"]}}')
     assert {r.stem: r.align_lines for r in R.bundle_files(spark, f"{tmp_path}/*.json").collect()} == {"song": None, "other": ["z"]}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_text_is_read_once(spark):
+    d = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    srt = plan(R.caption_rows(d, ["doc_id"], "text"))
+    assert srt.count("-->") == 1 and srt.count(r"\([^)]*\)") == 1
+    assert plan(d.select(F.inline(F.array(T.setting(F.col("text")))))).count("[0-9.]") == 1
+    assert plan(d.select(T.caption_line(F.col("text")).alias("r"))).count("♪") == 1
+    for f in (T.tidy, T.clean_query, T.lyric_line, T.align_text):
+        assert "translate(" not in plan(d.select(f(F.col("text")).alias("r")))
+
+
+def test_a_file_of_one_row_group_is_dealt(spark, tmp_path):
+    from descant.plans.base import dealt
+
+    pq.write_table(pa.table({"doc_id": range(4000), "text": [f"{k * 7919} " * 50 for k in range(4000)]}), tmp_path / "documents.parquet", compression="none")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        t = dealt(spark.read.parquet(str(tmp_path / "documents.parquet")))
+        sizes = [r["count"] for r in t.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(sizes) >= 3 * spark.sparkContext.defaultParallelism and max(sizes) < 2000
+
+
+def test_patterns_equal_plain_rules(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", " ", "  ", "\t", "\n", "_", "(", ")", "[x]", "-", "é", " ", " ", "Karaoke", " karaoke x", "HD", "’", "“"]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k long, x string")
+    got = rows.select("k", T.collapse(F.col("x")), T.swap(F.col("x"), "‘’“”", "''\"\""), T.swap(F.col("x"), "()", "")).collect()
+    space = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+    for k, a, b, c in got:
+        assert a == re.sub(space, " ", texts[k]).strip(" ")
+        assert b == texts[k].translate(str.maketrans("‘’“”", "''\"\"")) and c == texts[k].replace("(", "").replace(")", "")
+
+
+@pytest.mark.parametrize("value, kind", [("-" * 3 + "12", "int"), (".5", "float"), ("5.", "float"), ("1.2.3", "string"), ("x1.2", "string"), ("TRUE", "bool"), ("truely", "string"), ("", "string"), ("12\n", "int")])
+def test_settings_at_the_edges(spark, value, kind):
+    assert spark.createDataFrame([(value,)], "v string").select(T.setting(F.col("v"))["kind"]).first()[0] == kind
