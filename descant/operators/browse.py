@@ -17,8 +17,10 @@ def search(songs: DataFrame, query: str, path: str) -> DataFrame:
 
 
 def starts_with_letter(songs: DataFrame, letter: str, name: str) -> DataFrame:
-    """Accents fold: the first base character decides."""
-    return songs.where(F.substring(sort_key(F.col(name)), 1, 1) == letter.lower())
+    """Accents fold: the first base character decides. It is found among the leading characters up to the first ASCII
+    one, so no whole text goes to Python."""
+    head = F.regexp_extract(F.lower(name), r"(?s)^[^\x00-\x7F]*.?", 0)
+    return songs.where(F.substring(T.strip_accents(head), 1, 1) == letter.lower())
 
 
 def starts_with_number(songs: DataFrame, name: str) -> DataFrame:

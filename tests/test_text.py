@@ -195,3 +195,12 @@ def test_patterns_equal_plain_rules(spark):
 @pytest.mark.parametrize("value, kind", [("-" * 3 + "12", "int"), (".5", "float"), ("5.", "float"), ("1.2.3", "string"), ("x1.2", "string"), ("TRUE", "bool"), ("truely", "string"), ("", "string"), ("12\n", "int")])
 def test_settings_at_the_edges(spark, value, kind):
     assert spark.createDataFrame([(value,)], "v string").select(T.setting(F.col("v"))["kind"]).first()[0] == kind
+
+
+def test_a_letter_needs_the_head_of_a_text_only(spark):
+    names = ["Étude " * 50, "\u0301\u0308Ecole", "e", "\u0301e", "", "\né", "東e", "İx", None, "ÉÉ", "zebra"]
+    rows = spark.createDataFrame(list(enumerate(names)), "k long, name string")
+    for letter in ("E", "i", "z"):
+        got = B.starts_with_letter(rows, letter, "name")
+        assert {r.k for r in got.collect()} == {r.k for r in rows.where(F.substring(B.sort_key(F.col("name")), 1, 1) == letter.lower()).collect()}
+    assert "regexp_extract" in plan(got)
