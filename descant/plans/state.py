@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..streaming import ordered as O, queue as Q, signals as S, tracker as K
 from .base import query, table
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select((F.col("event_id") % 20).cast("string").alias("room"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("user"), F.concat(F.lit("song"), F.col("event_id").cast("string")).alias("file"))
+    return _requests_of(table(spark, sf, "events"))
 
 
-def queue_events(spark: SparkSession, sf: str) -> DataFrame:
+def _requests_of(events: DataFrame, *more: Column) -> DataFrame:
+    return events.select((F.col("event_id") % 20).cast("string").alias("room"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("user"), F.concat(F.lit("song"), F.col("event_id").cast("string")).alias("file"), *more)
+
+
+def queue_events(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
     """A mix of all actions; files repeat so that some requests are refused."""
     n = F.col("seq")
     action = F.when(n % 10 < 6, "enqueue").when(n % 10 == 6, "pop").when(n % 30 == 7, "pause_song").when(n % 30 == 17, "up").when(n % 30 == 27, "delete").when(n % 30 == 8, "pause_user").when(n % 30 == 18, "bottom").when(n % 30 == 28, "front").when(n % 500 == 499, "clear").otherwise("reorder")
-    return _requests(spark, sf).withColumn("action", action).withColumn("file", F.concat(F.lit("song"), (n % 997).cast("string"))).withColumn("semitones", (n % 5).cast("int")).withColumn("index", (n % 4).cast("int")).withColumn("to", (n % 3).cast("int"))
+    return _requests_of(table(spark, sf, "events"), *more).withColumn("action", action).withColumn("file", F.concat(F.lit("song"), (n % 997).cast("string"))).withColumn("semitones", (n % 5).cast("int")).withColumn("index", (n % 4).cast("int")).withColumn("to", (n % 3).cast("int"))
 
 
-def tracker_events(spark: SparkSession, sf: str) -> DataFrame:
+def tracker_events(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
     """Six downloads a round and what becomes of them."""
     n = F.col("event_id")
     k, video = n % 7, F.lpad(F.floor(n / 7).cast("string"), 11, "v")
     name = F.when(k == 0, "download_queued").when(k == 1, "download_started").when((k == 2) & (n % 3 != 0), "song_downloaded").when(k == 2, "download_error").when((k == 3) & (n % 5 == 0), "cancel").when(k == 4, F.when(n % 2 == 0, "processing_complete").otherwise("processing_error")).when((k == 5) & (n % 5 == 0), "processing_cancelled").when((k == 6) & (n % 11 == 0), "song_deleted").otherwise("stage_changed")
     return table(spark, sf, "events").select(
         (F.floor(n / 7) % 20).cast("string").alias("room"), n.alias("seq"), name.alias("name"), F.concat(F.lit("https://e.com/watch?v="), video).alias("url"), F.concat(F.lit("s---"), video, F.lit(".mp4")).alias("song_path"),
-        F.concat(F.lit("t"), video).alias("title"), F.col("user_id").cast("string").alias("user"), F.lit("boom").alias("error"), F.lit("srt+joint").alias("method"), video.alias("video"),
+        F.concat(F.lit("t"), video).alias("title"), F.col("user_id").cast("string").alias("user"), F.lit("boom").alias("error"), F.lit("srt+joint").alias("method"), video.alias("video"), *more,
     )
 
 
@@ -88,9 +92,9 @@ def _told(items: DataFrame) -> DataFrame:
     return now.withColumn("actions", K.actions(F.col("place") % 2 == 0, F.lit("7")))
 
 
-def _timed(events: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    """Events with the time of their table."""
-    return events.join(table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at")), "seq")
+def _at() -> Column:
+    """The time of an event's row."""
+    return F.col("ts").cast("timestamp").alias("at")
 
 
 @query(_QUEUE_SQL)
@@ -101,7 +105,7 @@ def queue_fold(spark: SparkSession, sf: str) -> DataFrame:
 @query(_QUEUE_SQL)
 def queue_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The queues after the history went through the stream, slice by slice."""
-    events = _timed(queue_events(spark, sf), spark, sf)
+    events = queue_events(spark, sf, _at())
     return Q.present(O.results(O.replay(events, "room", lambda s: Q.stream(s, limit=4))))
 
 
@@ -112,7 +116,7 @@ def tracker_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_TRACKER_SQL)
 def tracker_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = _timed(tracker_events(spark, sf), spark, sf)
+    events = tracker_events(spark, sf, _at())
     return _told(K.present(O.results(O.replay(events, "room", K.stream))))
 
 

@@ -6,6 +6,7 @@ sorted events (batch) and over stored state (stream). A room's queue is bounded
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,28 +19,46 @@ from . import ordered
 EXEMPT = frozenset(["System", "Randomizer"])
 
 
-def fair_place(queue: list[dict], user: str) -> int:
-    """Users take turns: before the first song of a later round than the user's next one, else last."""
-    own = sum(x["user"] == user for x in queue)
-    seen: Counter[str] = Counter()
+def fair_place(queue: list[dict], user: str, own: int) -> int:
+    """Users take turns: before the first song of a later round than the user's next one, else last. `own` is the number
+    of the user's songs."""
+    seen: dict[str, int] = {}
     for k, x in enumerate(queue):
-        if seen[x["user"]] > own:
+        other = x["user"]
+        if (n := seen.get(other, 0)) > own:
             return k
-        seen[x["user"]] += 1
+        seen[other] = n + 1
     return len(queue)
 
 
 class Queue:
+    """The songs in order, with their files and the number of songs of each user, so that most events need no scan."""
+
     def __init__(self, items: list[dict] | None = None, playing: dict | None = None, limit: int = 0, fair: bool = True, exempt: frozenset[str] = EXEMPT) -> None:
         self.items, self.playing, self.limit, self.fair, self.exempt = items or [], playing, limit, fair, exempt
+        self.files = Counter(x["file"] for x in self.items)
+        self.users = Counter(x["user"] for x in self.items)
 
     def place(self, file: str) -> int:
-        return next((k for k, x in enumerate(self.items) if x["file"] == file), -1)
+        return next(k for k, x in enumerate(self.items) if x["file"] == file) if file in self.files else -1
 
     def limited(self, user: str) -> bool:
         if not self.limit or user in self.exempt:
             return False
-        return sum(x["user"] == user for x in self.items) + bool(self.playing and self.playing["user"] == user) >= self.limit
+        return self.users[user] + bool(self.playing and self.playing["user"] == user) >= self.limit
+
+    def insert(self, k: int, item: dict) -> None:
+        self.items.insert(k, item)
+        self.files[item["file"]] += 1
+        self.users[item["user"]] += 1
+
+    def take(self, k: int) -> dict:
+        item = self.items.pop(k)
+        for counts, value in ((self.files, item["file"]), (self.users, item["user"])):
+            counts[value] -= 1
+            if not counts[value]:
+                del counts[value]
+        return item
 
     def move(self, old: int, new: int) -> bool:
         n = len(self.items)
@@ -51,35 +70,36 @@ class Queue:
     def apply(self, e: dict) -> bool:
         """Whether the event changed or was accepted."""
         action, user, file = e["action"], e.get("user"), e.get("file")
-        at = self.place(file) if file is not None else -1
+        held = file is not None and file in self.files
         last = len(self.items) - 1
+        at = self.place(file) if held and action not in ("enqueue", "front") else -1
         match action:
             case "enqueue" | "front":
-                if at >= 0 or self.limited(user):
+                if held or self.limited(user):
                     return False
                 item = {"user": user, "file": file, "title": e.get("title") or file, "semitones": int(e.get("semitones") or 0), "paused": False}
-                self.items.insert(0 if action == "front" else fair_place(self.items, user) if self.fair else len(self.items), item)
+                self.insert(0 if action == "front" else fair_place(self.items, user, self.users[user]) if self.fair else len(self.items), item)
                 return True
             case "pop":
                 k = next((k for k, x in enumerate(self.items) if not x["paused"]), None)
-                self.playing = self.items.pop(k) if k is not None else None
+                self.playing = self.take(k) if k is not None else None
                 return k is not None
             case "pause_song":
                 if at >= 0:
                     self.items[at]["paused"] = not self.items[at]["paused"]
                 return at >= 0
             case "pause_user":
-                own = [x for x in self.items if x["user"] == user]
+                own = [x for x in self.items if x["user"] == user] if user in self.users else []
                 state = not all(x["paused"] for x in own)
                 for x in own:
                     x["paused"] = state
                 return bool(own)
             case "clear":
-                self.items = []
+                self.items, self.files, self.users = [], Counter(), Counter()
                 return True
             case "delete":
                 if at >= 0:
-                    del self.items[at]
+                    self.take(at)
                 return at >= 0
             case "reorder":
                 return self.move(int(e["index"]), int(e["to"]))
@@ -112,33 +132,35 @@ _FIELDS = [f.split()[0] for f in _ITEM.split(", ")]
 
 
 class Room(ordered.Ordered):
-    """A room's queue in state: its songs as a list, the one that plays as a value. A run of events reads and
-    writes the list once; it is bounded by the users' limits."""
+    """A room's queue in state: its songs and the one that plays, as JSON. What is ripe at a time reads and writes it
+    once; it is bounded by the users' limits."""
 
     def __init__(self, limit: int, fair: bool) -> None:
         super().__init__(EVENT, [*(c.split()[0] for c in ROWS.split(", ")), "version"])
         self.limit, self.fair = limit, fair
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.songs = handle.getListState("songs", _ITEM)
-        self.playing = handle.getValueState("playing", _ITEM)
-        self.version = handle.getValueState("version", "n long")
-
-    def apply(self, key: str, events: list[dict]) -> Iterator[tuple]:
-        item = lambda v: dict(zip(_FIELDS, v, strict=True))
-        back = lambda x: tuple(x[f] for f in _FIELDS)
-        playing = self.playing.get()
-        q = Queue([item(v) for v in self.songs.get()], playing and item(playing), self.limit, self.fair)
+        self.rooms = handle.getMapState("rooms", "room string", "queue string")
+        self.open: dict[str | None, list] = {}
+
+    def apply(self, key: str, own: None, events: list[dict]) -> Iterator[tuple]:
+        if key not in self.open:
+            found = self.rooms.getValue((key,))
+            n, items, playing = json.loads(found[0]) if found else (0, [], None)
+            self.open[key] = [n, Queue(items, playing, self.limit, self.fair)]
         for e in events:
-            q.apply(e)
-        n = (self.version.get() or (0,))[0] + len(events)
-        self.version.update((n,))
-        self.songs.put([back(x) for x in q.items]) if q.items else self.songs.clear()
-        self.playing.update(back(q.playing)) if q.playing else self.playing.clear()
-        for k, x in enumerate(q.items):
-            yield (key, k, *back(x), n)
-        if not q.items:
-            yield (key, None, None, None, None, None, None, n)
+            self.open[key][1].apply(e)
+        self.open[key][0] += len(events)
+        yield from ()
+
+    def finish(self) -> Iterator[tuple]:
+        for key, (n, q) in self.open.items():
+            self.rooms.updateValue((key,), (json.dumps([n, q.items, q.playing]),))
+            for k, x in enumerate(q.items):
+                yield (key, k, *(x[f] for f in _FIELDS), n)
+            if not q.items:
+                yield (key, None, None, None, None, None, None, n)
+        self.open = {}
 
 
 def stream(events: DataFrame, limit: int = 0, fair: bool = True, delay: str = "10 seconds", at: str = "at") -> DataFrame:

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -18,17 +19,13 @@ class Throttle(ordered.Ordered):
         super().__init__("tick double", ["key", "at", "order"])
         self.every = every
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.emitted = handle.getValueState("emitted", "tick double")
-
-    def apply(self, key: str, events: list[dict]) -> Iterator[tuple]:
-        held = self.emitted.get()
-        last = held[0] if held else None
+    def apply(self, key: str, own: float | None, events: list[dict]) -> Iterator[tuple]:
+        last = own
         for e in events:
             if last is None or e["tick"] - last >= self.every:
                 last = e["tick"]
                 yield (key, last, e["seq"])
-        self.emitted.update((last,))
+        return last
 
 
 def throttled(ticks: DataFrame, key: str, order: str, at: str, every: float = 0.5, delay: str = "10 seconds") -> DataFrame:
@@ -47,11 +44,11 @@ class Shown(ordered.Ordered):
         super().__init__("item string, value string, resend boolean", ["view", "version", "item", "op", "value"])
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getMapState("sent", "item string", "value string")
+        self.sent = handle.getMapState("sent", "view string", "items string")
 
-    def apply(self, key: str, events: list[dict]) -> Iterator[tuple]:
-        sent = {k[0]: v[0] for k, v in self.sent.iterator()}
-        before = dict(sent)
+    def apply(self, key: str, own: None, events: list[dict]) -> Iterator[tuple]:
+        found = self.sent.getValue((key,))
+        sent = json.loads(found[0]) if found else {}
         versions: dict[int, list[dict]] = {}
         for e in events:
             versions.setdefault(e["seq"], []).append(e)
@@ -64,11 +61,7 @@ class Shown(ordered.Ordered):
                 elif again or item not in sent or sent[item] != wanted[item]:
                     yield (key, version, item, "send", wanted[item])
             sent = wanted
-        for item in before.keys() | sent.keys():
-            if item not in sent:
-                self.sent.removeKey((item,))
-            elif item not in before or before[item] != sent[item]:
-                self.sent.updateValue((item,), (sent[item],))
+        self.sent.updateValue((key,), (json.dumps(sent),))
 
 
 def changes(snapshots: DataFrame, delay: str = "10 seconds", at: str = "at") -> DataFrame:
@@ -85,16 +78,13 @@ class Bus(ordered.Ordered):
         super().__init__("name string", ["room", "seq", "registered", "call"])
         self.handlers = {k: sorted(v) for k, v in handlers.items()}
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.calls = handle.getValueState("calls", "n long")
-
-    def apply(self, key: str, events: list[dict]) -> Iterator[tuple]:
-        n = (self.calls.get() or (0,))[0]
+    def apply(self, key: str, own: int | None, events: list[dict]) -> Iterator[tuple]:
+        n = own or 0
         for e in events:
             for registered in self.handlers.get(e["name"], ()):
                 n += 1
                 yield (key, e["seq"], registered, n)
-        self.calls.update((n,))
+        return n
 
 
 def dispatched(events: DataFrame, handlers: dict[str, list[int]], delay: str = "10 seconds", at: str = "at") -> DataFrame:

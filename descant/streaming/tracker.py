@@ -120,30 +120,29 @@ CHANGES = f"room string, job long, version long, removed boolean, {_JOB}"
 
 
 class Jobs(ordered.Ordered):
-    """A room's jobs in maps of state: an event reads and writes the jobs that it names, however many the room has.
+    """Rooms' jobs in maps of state: an event reads and writes the jobs that it names, however many the room has.
     What it gives is each job that changed, with the number of the room's events so far."""
 
     def __init__(self) -> None:
         super().__init__(EVENT, ["room", "job", "version", "removed", *FIELDS])
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState("jobs", "job long", _JOB)
-        self.indexes = [handle.getMapState(name, "key string", "jobs array<long>") for name in ("urls", "videos", "paths")]
-        self.count = handle.getValueState("count", "jobs long, version long")
-
-    def apply(self, key: str, events: list[dict]) -> Iterator[tuple]:
-        n, version = self.count.get() or (0, 0)
-        jobs = ordered.Held(self.jobs, lambda v: dict(zip(FIELDS, v, strict=True)), lambda x: tuple(x[f] for f in FIELDS))
-        indexes = [ordered.Held(x, lambda v: list(v[0]), lambda v: (v,)) for x in self.indexes]
+        self.jobs = handle.getMapState("jobs", "room string, job long", _JOB)
+        self.indexes = [handle.getMapState(name, "room string, key string", "jobs array<long>") for name in ("urls", "videos", "paths")]
+
+    def apply(self, key: str, own: list[int] | None, events: list[dict]) -> Iterator[tuple]:
+        n, version = own or (0, 0)
+        jobs = ordered.Held(self.jobs, key, lambda v: dict(zip(FIELDS, v, strict=True)), lambda x: tuple(x[f] for f in FIELDS))
+        indexes = [ordered.Held(x, key, lambda v: list(v[0])) for x in self.indexes]
         t = Tracker(jobs, *indexes, n)
         for e in events:
             t.apply(e)
         version += len(events)
         for x in indexes:
             x.flush()
-        self.count.update((t.n, version))
         for k, x in jobs.flush():
             yield (key, k, version, x is None, *((x or {}).get(f) for f in FIELDS))
+        return [t.n, version]
 
 
 def stream(events: DataFrame, delay: str = "10 seconds", at: str = "at") -> DataFrame:

@@ -4,8 +4,9 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from descant.operators import catalogue as C
 from descant.streaming import ordered as O, queue as Q, signals as S, tracker as K
@@ -226,6 +227,111 @@ def test_bus_stream_equals_batch(spark, tmp_path):
     assert text_rows(O.results(out)) == text_rows(want.select("room", "seq", "registered", "call"))
 
 
+class Entries(dict):
+    """A state of values or of a map, by hand; counts what is written."""
+
+    written = 0
+
+    def get(self):
+        return dict.get(self, None)
+
+    def update(self, value):
+        self[None] = value
+
+    def getValue(self, key):
+        return dict.get(self, key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+        self.written += 1
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Handle:
+    def getMapState(self, *_):
+        return Entries()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.at = at
+
+
+class Water:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+class Seen(O.Ordered):
+    """Gives the events as they come, and notes the size of each call."""
+
+    def __init__(self, key, output):
+        super().__init__("name string", ["key", "seq"])
+        self.output, self.sizes = output, []
+
+    def apply(self, key, own, events):
+        self.sizes.append(len(events))
+        for e in events:
+            yield (key, e["seq"])
+        return (own or 0) + len(events)
+
+
+def packs_of(rows):
+    names = ["bucket", "__key", "at_us", "seq", "name"]
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 1000]), kinds)], names) for k in range(0, len(rows), 1000)]
+    return [Row(**r) for b in O._packed(iter(batches)) for r in b.to_pylist()]
+
+
+def given(out):
+    return [tuple(r.values()) for pack in out for r in O._read(pack.rows).to_pylist()]
+
+
+def test_events_wait_in_packs_and_are_handed_over_in_bounded_runs():
+    rng = random.Random(4)
+    times = rng.sample(range(10**6), 60_000)
+    rows = [(0, "ab"[k % 3 == 0], 1000 * t, k, "x") for k, t in enumerate(times)]
+    s = Seen("key", pa.schema([("key", pa.string()), ("seq", pa.int64()), ("late", pa.string())]))
+    s.init(Handle())
+    first, second = rows[:40_000], rows[40_000:]
+    assert given(s.handleInputRows((0,), iter(packs_of(first)), Water(0))) == []
+    assert len(s.waiting) <= 40_000 // O.PACK + 1 and s.handle.at == min(t for t in times[:40_000]) + 1
+    # half of the time passes, then the rest comes, part of it too late for its key
+    got = given(s.handleExpiredTimer((0,), Water(500_000), None))
+    want = lambda key, lo, hi, part: [k for _, name, _, k, _ in sorted(part, key=lambda r: r[2]) if name == key and lo <= times[k] < hi]
+    for key in "ab":
+        assert [k for name, k, _ in got if name == key] == want(key, 0, 500_000, first)
+    last = {key: times[want(key, 0, 500_000, first)[-1]] for key in "ab"}
+    out = given(s.handleInputRows((0,), iter(packs_of(second)), Water(500_000))) + given(s.handleExpiredTimer((0,), Water(10**7), None))
+    for key in "ab":
+        assert [k for name, k, late in out if name == key and late is None] == want(key, last[key] + 1, 10**6, rows)
+        assert sorted(json.loads(late)["seq"] for name, _, late in out if name == key and late) == sorted(want(key, 0, last[key] + 1, second))
+    assert not s.waiting and max(s.sizes) <= O.PACK and s.waiting.written < 30
+
+
+def test_an_event_without_time_goes_to_the_side_table():
+    s = Seen("key", pa.schema([("key", pa.string()), ("seq", pa.int64()), ("late", pa.string())]))
+    s.init(Handle())
+    out = given(s.handleInputRows((0,), iter(packs_of([(0, None, 5, 2, "x"), (0, None, None, 1, None), (0, "k", 5, None, "y")])), Water(1)))
+    assert [(k, seq, late and json.loads(late)["seq"]) for k, seq, late in out] == [(None, None, 1), ("k", None, None), (None, 2, None)]
+
+
+def test_a_queue_counts_its_files_and_users():
+    rng = random.Random(12)
+    q, looks = Q.Queue(limit=3), []
+    q.place = lambda file: looks.append(file) or Q.Queue.place(q, file)
+    for _ in range(4000):
+        q.apply({"action": rng.choice(["enqueue"] * 6 + ["front", "pop", "delete", "up", "bottom", "pause_user"]), "user": rng.choice("abcdefgh"), "file": f"f{rng.randrange(40)}"})
+        assert q.files == Q.Counter(x["file"] for x in q.items) and q.users == Q.Counter(x["user"] for x in q.items)
+        assert max(q.users.values(), default=0) <= 3
+    assert 0 < len(looks) < 1300  # a request does not scan the queue for its file
+
+
 # catalogue
 
 
