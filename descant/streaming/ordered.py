@@ -41,44 +41,55 @@ PACK, HELD, HELD_BYTES, BUCKETS = 8_192, 262_144, 32 << 20, 512
 NO_TIME = -(2**63)
 
 
-class Held:
-    """The part of a map state under one first key. A key is read at most once, what changed is written by `flush`."""
-
-    def __init__(self, state: MapState, owner: Any, load: Callable[[tuple], Any] = lambda v: v[0], store: Callable[[Any], tuple] = lambda v: (v,)) -> None:
-        self.state, self.owner, self.load, self.store = state, owner, load, store
-        self.seen: dict[Any, Any] = {}
+class Paged:
+    """The part of a map state under one first key, as pages of many entries (JSON), since each entry of state that is read
+    or written costs a message. `page_of` gives the number of a key's page. A page is read at most once, those that
+    changed are written by `flush`; `size` is the number of entries in memory."""
+
+    def __init__(self, state: MapState, owner: Any, page_of: Callable[[Any], int], load: Callable[[Any], Any] = lambda v: v, store: Callable[[Any], Any] = lambda v: v) -> None:
+        self.state, self.owner, self.page_of, self.load, self.store = state, owner, page_of, load, store
+        self.pages: dict[int, dict[Any, Any]] = {}
+        self.stored: set[int] = set()
         self.changed: set[Any] = set()
-        self.absent: set[Any] = set()
+        self.size = 0
+
+    def _page(self, number: int) -> dict[Any, Any]:
+        if number not in self.pages:
+            found = self.state.getValue((self.owner, number))
+            if found is not None:
+                self.stored.add(number)
+            self.pages[number] = {k: self.load(v) for k, v in json.loads(found[0])} if found is not None else {}
+            self.size += len(self.pages[number])
+        return self.pages[number]
 
     def get(self, key: Any) -> Any:
-        if key not in self.seen:
-            found = self.state.getValue((self.owner, key))
-            if found is None:
-                self.absent.add(key)
-            self.seen[key] = None if found is None else self.load(found)
-        return self.seen[key]
+        return self._page(self.page_of(key)).get(key)
 
     def __setitem__(self, key: Any, value: Any) -> None:
-        self.seen[key] = value
+        page = self._page(self.page_of(key))
+        self.size += key not in page
+        page[key] = value
         self.changed.add(key)
 
     def pop(self, key: Any) -> None:
-        self[key] = None
+        self.size -= self._page(self.page_of(key)).pop(key, None) is not None
+        self.changed.add(key)
 
     def keys(self) -> list:
         """All keys of the map: reads the whole of it."""
-        stored = {k[1] for k in self.state.keys() if k[0] == self.owner}
-        return sorted((stored - self.changed) | {k for k in self.changed if self.seen[k] is not None})
+        for owner, number in [k for k in self.state.keys() if k[0] == self.owner]:
+            self._page(number)
+        return sorted(k for page in self.pages.values() for k in page)
 
     def flush(self) -> list[tuple[Any, Any]]:
-        """Write the changes and return them; None stands for a key that is gone."""
-        out = [(k, self.seen[k]) for k in sorted(self.changed)]
-        for k, v in out:
-            if v is not None:
-                self.state.updateValue((self.owner, k), self.store(v))
-            elif k not in self.absent and self.state.containsKey((self.owner, k)):
-                self.state.removeKey((self.owner, k))
-        self.seen, self.changed, self.absent = {}, set(), set()
+        """Write the pages that changed and return the changes; None stands for a key that is gone."""
+        out = [(k, self.get(k)) for k in sorted(self.changed)]
+        for number in sorted({self.page_of(k) for k in self.changed}):
+            if page := self.pages[number]:
+                self.state.updateValue((self.owner, number), (json.dumps([[k, self.store(v)] for k, v in page.items()]),))
+            elif number in self.stored:
+                self.state.removeKey((self.owner, number))
+        self.pages, self.stored, self.changed, self.size = {}, set(), set(), 0
         return out
 
 

@@ -3,6 +3,7 @@ actions are derived at read. Events: (room, seq, name, url, song_path, title, us
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -114,36 +115,53 @@ def fold(events: DataFrame) -> DataFrame:
     return ordered.folded(events, "room", "seq", Tracker, _rows, ROWS)
 
 
+def _hashed(pages: int) -> Callable[[str], int]:
+    return lambda key: zlib.crc32(key.encode("utf-8", "surrogatepass")) % pages
+
+
 EVENT = "name string, url string, song_path string, title string, user string, error string, method string, video string"
 _JOB = ", ".join(f"{f} {'boolean' if f == 'cancelling' else 'string'}" for f in FIELDS)
+#: The maps of a room in state with the page of a key, and entries of pages that a task holds before it writes them.
+PAGES: dict[str, Callable[[Any], int]] = {"jobs": lambda k: k // 32, "urls": _hashed(64), "videos": _hashed(64), "paths": _hashed(1_024)}
+HELD = 131_072
 CHANGES = f"room string, job long, version long, removed boolean, {_JOB}"
 
 
 class Jobs(ordered.Ordered):
-    """Rooms' jobs in maps of state: an event reads and writes the jobs that it names, however many the room has.
-    What it gives is each job that changed, with the number of the room's events so far."""
+    """Rooms' jobs in pages of state: an event reads and writes the pages of the jobs that it names, however many the room
+    has. Jobs that follow each other share a page; names are dealt to a fixed number of pages of a room. What it gives
+    is each job that changed, with the number of the room's events so far."""
 
     def __init__(self) -> None:
         super().__init__(EVENT, ["room", "job", "version", "removed", *FIELDS])
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState("jobs", "room string, job long", _JOB)
-        self.indexes = [handle.getMapState(name, "room string, key string", "jobs array<long>") for name in ("urls", "videos", "paths")]
+        self.maps = [handle.getMapState(name, "room string, page long", "entries string") for name in PAGES]
+        self.open: dict[str | None, list] = {}
 
     def apply(self, key: str, own: list[int] | None, events: list[dict]) -> Iterator[tuple]:
         n, version = own or (0, 0)
-        jobs = ordered.Held(self.jobs, key, lambda v: dict(zip(FIELDS, v, strict=True)), lambda x: tuple(x[f] for f in FIELDS))
-        indexes = [ordered.Held(x, key, lambda v: list(v[0])) for x in self.indexes]
-        t = Tracker(jobs, *indexes, n)
+        if key not in self.open:
+            jobs, *indexes = (ordered.Paged(x, key, page_of) for x, page_of in zip(self.maps, PAGES.values(), strict=True))
+            jobs.load, jobs.store = lambda v: dict(zip(FIELDS, v, strict=True)), lambda x: [x[f] for f in FIELDS]
+            self.open[key] = [Tracker(jobs, *indexes, n), version]
+        t = self.open[key][0]
         for e in events:
             t.apply(e)
         version += len(events)
-        for x in indexes:
-            x.flush()
-        for k, x in jobs.flush():
-            yield (key, k, version, x is None, *((x or {}).get(f) for f in FIELDS))
+        self.open[key][1] = version
+        if sum(x.size for t, _ in self.open.values() for x in (t.jobs, t.urls, t.videos, t.paths)) >= HELD:
+            yield from self.finish()
         return [t.n, version]
 
+    def finish(self) -> Iterator[tuple]:
+        for key, (t, version) in self.open.items():
+            for x in (t.urls, t.videos, t.paths):
+                x.flush()
+            for k, x in t.jobs.flush():
+                yield (key, k, version, x is None, *((x or {}).get(f) for f in FIELDS))
+        self.open = {}
+
 
 def stream(events: DataFrame, delay: str = "10 seconds", at: str = "at") -> DataFrame:
     """Changed jobs (CHANGES, late) of a stream of events; a job's row of the greatest version is its present state."""

@@ -332,6 +332,33 @@ def test_a_queue_counts_its_files_and_users():
     assert 0 < len(looks) < 1300  # a request does not scan the queue for its file
 
 
+def test_jobs_share_pages_of_state(monkeypatch):
+    """6,000 events on 2,000 jobs in several runs, with a small bound on what a task holds: the jobs of the fold, few entries."""
+    monkeypatch.setattr(K, "HELD", 900)
+    p, jobs, fold, told, own = K.Jobs(), 2_000, K.Tracker(), {}, None
+    p.start(Handle())
+    events = []
+    for k in range(jobs):
+        v = {"url": f"e/watch?v=v{k}", "video": f"v{k}", "song_path": f"p{k}"}
+        events += [{"name": name, **v} for name in ("download_queued", "song_downloaded", "song_deleted" if k % 5 == 0 else "processing_complete")]
+    for a in range(0, len(events), 1_500):
+        run = p.apply("r", own, events[a : a + 1_500])
+        while True:
+            try:
+                _, k, _, removed, *x = next(run)
+            except StopIteration as e:
+                own = e.value
+                break
+            told[k] = None if removed else x
+        told |= {k: None if removed else x for _, k, _, removed, *x in p.finish()}
+    for e in events:
+        fold.apply(e)
+    assert own == [jobs, len(events)]
+    assert [dict(zip(K.FIELDS, told[k])) for k in sorted(told) if told[k]] == fold.items and len(fold.items) == 1_600
+    written = dict(zip(K.PAGES, (m.written for m in p.maps)))
+    assert written["jobs"] <= jobs / 32 + 8 and written["urls"] == written["videos"] == 0 and written["paths"] < jobs
+
+
 # catalogue
 
 
