@@ -82,7 +82,7 @@ def _told_twice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str, **options: int) -> DataFrame:
-    found = S.paired(_told_twice(spark, sf), **options)
+    found = S.paired(_told_twice(spark, sf), ["conv_id", "turn"], **options)
     out = found.select("conv_id", "turn", F.posexplode("pairs").alias("left", "right")).where(F.col("right").isNotNull())
     return out.select("conv_id", "turn", F.col("left").cast("bigint").alias("left"), F.col("right").cast("bigint").alias("right"))
 
@@ -189,12 +189,9 @@ def _clocked(spark: SparkSession, sf: str) -> DataFrame:
     return _sentences(spark, sf).withColumns({"heard_at": at(F.col("heard"), 0.5, 0.4), "aligned_at": at(F.flatten("lines"), 0.6, 0.5)})
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return S.candidates(_clocked(spark, sf), ratio=0.25, fallback=False)
-
-
-def _candidate_rows(df: DataFrame, column: str) -> DataFrame:
-    rows = df.select("song", F.inline_outer(column)).where("line_id IS NOT NULL")
+def _candidate_rows(spark: SparkSession, sf: str, column: str) -> DataFrame:
+    scored = S.candidates(_clocked(spark, sf), ratio=0.25, fallback=False, keep=["song"], wanted=(column,))
+    rows = scored.select("song", F.inline_outer(column)).where("line_id IS NOT NULL")
     return rows.select("song", F.col("line_id").cast("bigint").alias("line_id"), "source", F.col("from").cast("bigint").alias("from"), "t0", "t1", "score")
 
 
@@ -202,13 +199,13 @@ def _candidate_rows(df: DataFrame, column: str) -> DataFrame:
 def placement_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """What could place each line: its aligned range and the windows of heard words, scored by what was heard and by
     how far the two agree."""
-    return _candidate_rows(_scored(spark, sf), "candidates")
+    return _candidate_rows(spark, sf, "candidates")
 
 
 @query(f"WITH RECURSIVE {_CANDIDATES}{_CHAIN}")
 def placement_chain(spark: SparkSession, sf: str) -> DataFrame:
     """The candidates that place the lines: in order, without overlap, of the largest sum."""
-    return _candidate_rows(_scored(spark, sf), "chain")
+    return _candidate_rows(spark, sf, "chain")
 
 
 @query(f"""WITH {_CANDIDATES}, o AS (SELECT *, line_id % 8 = 3 OR line_id % 8 = 5 OR line_id % 8 = 7 AS unplaced, count(*) OVER (PARTITION BY conv_id, ws) AS often,
