@@ -111,7 +111,7 @@ def window_words(spark: SparkSession, sf: str) -> DataFrame:
     """The times of a turn's words: their partner's, or an even share of the gap between their neighbours'."""
     found = S.paired(_told_twice(spark, sf), ahead_left=3, ahead_right=3, confirm=1, budget=1)
     at = F.transform("right", lambda w, j: F.struct((j * 0.5).alias("start"), (j * 0.5 + 0.25).alias("end")))
-    words = S.window_words(found.withColumn("right_at", at)).select("conv_id", "turn", F.posexplode("words").alias("left", "w"))
+    words = S.window_words(found.withColumn("right_at", at), ["conv_id", "turn"]).select("conv_id", "turn", F.posexplode("words").alias("left", "w"))
     return words.select("conv_id", "turn", F.col("left").cast("bigint").alias("left"), "w.start", "w.end")
 
 
