@@ -28,6 +28,17 @@ def session(name: str = "descant", master: str | None = None, **settings: str) -
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch between Spark and Python workers of the alignment.
+BATCH_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes in this session, unless the session has a lower limit of its own."""
+    if int(spark.conf.get(_BATCH, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Without the setting a cluster gets
     an error; where all runs on this machine (tests) a temporary folder becomes the checkpoint folder."""
