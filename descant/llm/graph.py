@@ -6,17 +6,15 @@ a pivot with all members of its keys is a star. Every candidate pair lies inside
 (the sorted hashes of its shingles) travels once to each of its stars.
 
 Stars of at most STAR members and ELEMENTS hashes are settled where they meet, one at a time and exactly:
-members are compared with the pivot, and those that are not similar to it with every other member that
-shares one of their rarest hashes. By the prefix principle a set X that has similarity of at least t with Y
-shares at least t |X| hashes with it, so one of the |X| - t |X| + 1 rarest hashes of X is in Y. What goes
-out is one link a member, to the smallest one of its component, not the pairs.
-
-In larger stars members are compared with the pivot only, one row a member. If members of several components
-are left then, the same principle parts the star: with the hashes of a star in one order, rarest first, X and
-Y can be similar only if they share one of the first |X| - t |X| + 1 hashes of X that is also among the first
-|Y| - t |Y| + 1 of Y. Those (pivot, hash) pairs are the keys of the next step, where members of several
-components have them. The pivot itself is in none of them, so groups shrink, and steps go on until no large
-star has an open member: no candidate pair is lost, up to links inside a component.
+members are compared with the pivot, and those that are not similar to it (the open ones) with every other
+member. The hashes that two members share are counted for all members at once: hashes of at least one member
+in 64 are bits of a row of words, the others have lists of their members. What goes out is one link a member,
+to the smallest one of its component, not the pairs.
+
+Larger stars are dealt into blocks of that size, and each pair of blocks, and each block alone, is settled
+like a small star by a task of its own; a pair of blocks compares open members with those of the other block.
+So all pairs but those of members similar to one pivot are compared in one step, whatever the edits have in
+common, and no task holds more than two blocks. The members of a star of k blocks travel k times.
 """
 
 from __future__ import annotations
@@ -25,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded, cut, release
 
@@ -67,89 +65,82 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-# small stars
-
-
-class _Forest:
-    def __init__(self, ids: list) -> None:
-        known: dict = {}
-        self.parent = [known.setdefault(x, k) for k, x in enumerate(ids)]  # rows of one id hang together
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.find(x), self.find(y)
-        self.parent[max(a, b)] = min(a, b)
-
-
-def star_links(ids: list, pivot: int, bags: list[np.ndarray], least: float) -> list[tuple]:
+def star_links(ids: list, pivot: int | None, bags: list[np.ndarray], least: float, side: np.ndarray | None = None) -> list[tuple]:
     """Links (id, smallest id of its component) of what is similar among the members; bags are sorted and
-    distinct. Rows of one id hang together."""
+    distinct. Rows of one id hang together. No pivot: the member that shares most. With sides, pairs of one
+    side are left to the task that has that side alone."""
     n = len(bags)
     size = np.array([len(b) for b in bags])
     first = np.cumsum(size) - size
-    forest = _Forest(ids)
+    known: dict = {}
+    label = np.array([known.setdefault(x, k) for k, x in enumerate(ids)])
+    values, code, counts = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    own = lambda k: code[first[k] : first[k] + size[k]]
+
+    def join(x: int, common: np.ndarray, among: np.ndarray | bool = True) -> None:
+        """x with those of `among` that have enough of the `common` hashes with it."""
+        like = (common >= least * (size + size[x] - common)) & (label != label[x]) & among
+        if like.any():
+            label[np.isin(label, label[like])] = label[x]
 
     def found() -> list[tuple]:
         least_of: dict[int, object] = {}
-        roots = [forest.find(k) for k in range(n)]
-        for k, i in zip(roots, ids, strict=True):
+        for k, i in zip(label.tolist(), ids, strict=True):
             least_of[k] = min(i, least_of.get(k, i))
-        return list({(i, least_of[k]) for k, i in zip(roots, ids, strict=True) if i != least_of[k]})
+        return list({(i, least_of[k]) for k, i in zip(label.tolist(), ids, strict=True) if i != least_of[k]})
 
-    flat = np.concatenate(bags)
-    values, code = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
+    if pivot is None:
+        pivot = int(np.argmax(np.bincount(owner, counts[code], n)))
     mark = np.zeros(len(values), bool)
-    own = lambda k: code[first[k] : first[k] + size[k]]
     mark[own(pivot)] = True
-    common = np.bincount(owner, mark[code], n)
-    for x in np.flatnonzero(common >= least * (size + size[pivot] - common)).tolist():
-        forest.join(x, pivot)
-    open_ = [x for x in range(n) if forest.find(x) != forest.find(pivot)]
-    if not open_ or n == 2:
+    join(pivot, np.bincount(owner, mark[code], n))
+    open_ = np.flatnonzero(label != label[pivot])
+    if not len(open_) or n == 2:
         return found()
-    counts = np.bincount(code)
-    by_code = owner[np.argsort(code, kind="stable")]
-    ends = np.cumsum(counts)
-    for x in open_:
-        mine = own(x)
-        rare = mine[np.argsort(counts[mine], kind="stable")[: size[x] - int(np.ceil(least * size[x] - 1e-9)) + 1]]
-        near = np.unique(np.concatenate([by_code[ends[c] - counts[c] : ends[c]] for c in rare.tolist()] or [np.zeros(0, np.int64)]))
-        near = near[(np.minimum(size[near], size[x]) >= least * np.maximum(size[near], size[x]) - 1e-9) & (near != x)]
-        if not len(near):
-            continue
-        mark[:] = False
-        mark[mine] = True
-        for y in near.tolist():
-            if forest.find(x) != forest.find(y):
-                both = int(mark[own(y)].sum())
-                if both >= least * (size[x] + size[y] - both):
-                    forest.join(x, y)
+
+    often = (counts > 1) & (counts * 64 >= n)
+    few = (counts > 1) & ~often
+    at = np.flatnonzero(often[code])
+    column = (np.cumsum(often) - 1)[code[at]]
+    wide = (int(often.sum()) + 63) // 64
+    bits = np.zeros(n * wide, np.uint64)
+    if len(at):  # in the order of member and hash, so that the bits of a word stand together
+        word = owner[at] * wide + (column >> 6)
+        edge = np.flatnonzero(np.diff(word, prepend=-1))
+        bits[word[edge]] = np.bitwise_or.reduceat(np.uint64(1) << (column & 63).astype(np.uint64), edge)
+    bits = np.ascontiguousarray(bits.reshape(n, wide).T)
+    at = np.flatnonzero(few[code])
+    lists = owner[at][np.argsort(code[at], kind="stable")]
+    ends = np.cumsum(counts * few)
+    for x in open_.tolist():
+        common = np.bitwise_count(bits & bits[:, x, None]).sum(0, dtype=np.int64)
+        if len(mine := own(x)[few[own(x)]]):
+            common += np.bincount(np.concatenate([lists[e - c : e] for e, c in zip(ends[mine].tolist(), counts[mine].tolist(), strict=True)]), minlength=n)
+        join(x, common, True if side is None else side != side[x])
     return found()
 
 
 def _settle(least: float, kind: pa.DataType):  # noqa: ANN202
-    """Rows (id, p, bag), those of a star one after the other, to links (a, b)."""
+    """Rows (id, p, i, j, own, bag), those of a pair (i, j) of blocks of a star one after the other, to links
+    (a, b); own is the row's block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, ids, bags = None, [], []
+        star, ids, blocks, bags = None, [], [], []
         found: list[tuple] = []
 
         def done() -> None:
-            if len(ids) > 1:
-                found.extend(star_links(ids, ids.index(star), bags, least))
+            if len(ids) > 1 and (star[1] == star[2] or len(set(blocks)) > 1):
+                pivot = ids.index(star[0]) if star[0] in ids else None
+                found.extend(star_links(ids, pivot, bags, least, np.array(blocks) if star[1] < star[2] else None))
 
         for batch in batches:
-            for i, p, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if p != star:
+            for i, p, low, high, own, bag in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if (p, low, high) != star:
                     done()
-                    star, ids, bags = p, [], []
+                    star, ids, blocks, bags = (p, low, high), [], [], []
                 ids.append(i)
+                blocks.append(own)
                 bags.append(unpack(bag.as_buffer()))
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found, strict=True)], names=["a", "b"])
@@ -161,51 +152,20 @@ def _settle(least: float, kind: pa.DataType):  # noqa: ANN202
     return run
 
 
-# large stars
+def large_stars(rows: DataFrame) -> DataFrame:
+    """(p, parts) of the stars that take several blocks, written."""
+    parts = F.ceil(F.greatest(F.count("*") / STAR, F.sum(F.octet_length("bag")) / (ELEMENTS * WIDTH))).cast("int")
+    return cut(rows.groupBy("p").agg(parts.alias("parts")).where("parts > 1"))
 
 
-def _compare(least: float):  # noqa: ANN202
-    """Rows (id, p, x, y) with bags x of id and y of p to (id, p, linked)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ps, xs, ys = batch.columns
-            linked = []
-            for x, y in zip(xs, ys, strict=True):
-                both = np.concatenate([unpack(x.as_buffer()), unpack(y.as_buffer())])
-                common = len(both) - len(np.unique(both))
-                linked.append(common >= least * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([ids, ps, pa.array(linked, pa.bool_())], names=["id", "p", "linked"])
-
-    return run
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, p, bag) to (id, p, es)."""
-    for batch in batches:
-        for begin in range(0, len(batch), 1024):
-            ids, ps, bags = batch.slice(begin, 1024).columns
-            yield pa.RecordBatch.from_arrays([ids, ps, pa.array([unpack(b.as_buffer()) for b in bags], pa.list_(pa.int64()))], names=["id", "p", "es"])
-
-
-def _parted(rows: DataFrame, found: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(id, key) by which open large stars are parted; rows (id, p, bag) and found (id, p, linked) of large stars."""
-    kind = rows.schema["id"].dataType.simpleString()
-    name = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-    known = found.join(name("id"), "id", "left").join(name("p"), "p", "left").select("id", "p", F.coalesce("id_label", "id").alias("label"), (~F.col("linked") & (F.coalesce("id_label", "id") != F.coalesce("p_label", "p"))).alias("failed"))
-    open_ = cut(known.groupBy("p").agg(F.bool_or("failed").alias("open")).where("open").select("p"))
-    known = cut(known.join(bounded(open_, 64), "p"))
-    es = rows.join(bounded(open_, 64), "p").where("id <> p").select("id", "p", "bag").mapInArrow(_hashes, f"id {kind}, p {kind}, es array<bigint>")
-    each = cut(es.join(known, ["id", "p"]).select("id", "p", "label", "failed", F.size("es").alias("n"), F.explode("es").alias("e")))
-    counts = each.groupBy("p", "e").agg(F.count("*").alias("c"), (F.bool_or("failed") & (F.min("label") < F.max("label"))).alias("useful"))
-    first = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
-    ranked = each.join(counts, ["p", "e"]).groupBy("id", "p").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "e", "useful"))).alias("es"))  # of one bag
-    kept = ranked.select("id", "p", F.explode(F.filter(F.slice("es", F.lit(1), first), lambda x: x["useful"])).alias("x"))
-    held = cut(kept.select("id", "p", F.xxhash64("p", "x.e").alias("key")).join(known, ["id", "p"]).select("id", "key", "label", "failed"))
-    wanted = held.groupBy("key").agg(F.bool_or("failed").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("f and lo < hi").select("key")
-    out = cut(held.join(wanted, "key").select("id", "key").distinct())
-    release(open_, known, each, held)
-    return out
+def dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows (id, p, bag) to (id, p, i, j, own, bag): a small star is one block, a row of a larger one stands in
+    its block's pairs (i, j), i <= j, with each block."""
+    # of several bags of one id each is dealt by itself
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "bag"), F.col("parts"))).otherwise(0).cast("int")
+    each = rows.join(bounded(large, 64), "p", "left").withColumn("own", own)
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return each.select("id", "p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "bag")
 
 
 def stars(keys: DataFrame) -> DataFrame:
@@ -220,45 +180,19 @@ def stars(keys: DataFrame) -> DataFrame:
     return out
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
 def link(keys: DataFrame, ship: Callable[[DataFrame], DataFrame], least: float) -> DataFrame | None:
     """Labels (id, label) of the components of ids that share a key and have similar bags; None if no two
     are similar. keys (id, key), each pair once. ship(wanted) adds `bag` to the written table wanted
     (id, ps) from the texts."""
     kind = keys.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "binary": pa.binary()}[kind]
-    edges: list[DataFrame] = []
-    bags = None
-    while True:
-        wanted = stars(keys)
-        release(keys)
-        if bags is None:
-            if wanted.isEmpty():
-                return None
-            held = bags = cut(ship(wanted))
-        else:
-            held = bags.select("id", "bag").join(bounded(wanted, 64), "id")
-        rows = held.select("id", F.explode("ps").alias("p"), "bag")
-        large = cut(rows.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.octet_length("bag")).alias("size")).where((F.col("n") > STAR) | (F.col("size") > ELEMENTS * WIDTH)).select("p"))
-        some = not large.isEmpty()
-        small = rows.join(bounded(large, 64), "p", "left_anti") if some else rows
-        edges.append(cut(small.select("id", "p", "bag").repartition("p").sortWithinPartitions("p").mapInArrow(_settle(least, arrow), f"a {kind}, b {kind}")))
-        if not some:
-            break
-        pivots = bags.select(F.col("id").alias("p"), F.col("bag").alias("y")).join(bounded(large, 64), "p", "left_semi")
-        pairs = rows.where("id <> p").join(pivots, "p").select("id", "p", F.col("bag").alias("x"), "y")
-        found = cut(pairs.mapInArrow(_compare(least), f"id {kind}, p {kind}, linked boolean"))
-        edges.append(cut(found.where("linked").select(F.col("id").alias("a"), F.col("p").alias("b"))))
-        labels = components(_union(edges))
-        keys = _parted(rows.join(bounded(large, 64), "p", "left_semi"), found, labels, least)
-        release(found, large, wanted, labels)
-    links = _union(edges)
+    wanted = stars(keys)
+    if wanted.isEmpty():
+        return None
+    bags = cut(ship(wanted))
+    rows = bags.select("id", F.explode("ps").alias("p"), "bag")
+    large = large_stars(rows)
+    links = cut(dealt(rows, large).repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_settle(least, arrow), f"a {kind}, b {kind}"))
     out = None if links.isEmpty() else components(links)
-    release(bags, wanted, *edges)
+    release(bags, wanted, large, links)
     return out

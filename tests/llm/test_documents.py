@@ -207,6 +207,59 @@ def test_a_hot_group_of_edited_copies_equals_brute_force(spark, monkeypatch):
     assert 1 < len(set(want.values())) < 200
 
 
+def edited_sets(rng, n):
+    """Sets around one original: about half are not similar to it, and their rarest hashes are the original's."""
+    base = [rng.randrange(1 << 64) for _ in range(100)]
+    out = []
+    for _ in range(n):
+        k = rng.choice([1, 4, 9, 12, 13, 16])
+        out.append(set(base) - set(rng.sample(base, k)) | {rng.randrange(1 << 64) for _ in range(k)})
+    return out
+
+
+def test_a_large_star_is_settled_in_one_step(spark, monkeypatch):
+    """Not in a step for each pivot: the open members of a star have hashes in common with nearly all others."""
+    monkeypatch.setattr(graph, "STAR", 32)
+    steps = []
+    stars = graph.stars
+    monkeypatch.setattr(graph, "stars", lambda keys: steps.append(1) or (stars(keys) if len(steps) == 1 else pytest.fail("a second step")))
+    sets = edited_sets(random.Random(7), 300)
+    sets += [sets[-1] ^ {1 << 60}]
+    bags = spark.createDataFrame([(i, graph.pack(np.sort(np.array([*s], np.uint64)))) for i, s in enumerate(sets)], "id long, bag binary")
+    keys = spark.createDataFrame([(i, 1) for i in range(len(sets))], "id long, key long")
+    labels = {r.id: r.label for r in graph.link(keys, lambda wanted: wanted.join(bags, "id"), 0.8).collect()}
+    want = linked_by_brute_force(sets)
+    assert {i: labels.get(i, i) for i in want} == want
+    assert 50 < len(set(want.values())) < 250
+
+
+def test_blocks_of_a_star_compare_all_pairs():
+    """Each block alone and both against each other: together the links of the whole star."""
+    rng = random.Random(2)
+    sets = edited_sets(rng, 200) + edited_sets(rng, 60)
+    bags = [graph.unpack(graph.pack(np.sort(np.array([*s], np.uint64)))) for s in sets]
+    side = np.array([rng.randrange(2) for _ in sets])
+    whole = graph.star_links([*range(len(sets))], 0, bags, 0.8)
+    parts = graph.star_links([*range(len(sets))], None, bags, 0.8, side)
+    for s in (0, 1):
+        own = np.flatnonzero(side == s).tolist()
+        parts += graph.star_links(own, None, [bags[k] for k in own], 0.8)
+    for links in (whole, parts):
+        label = {}
+        for a, b in links:
+            label.setdefault(a, set()).add(b)
+            label.setdefault(b, set()).add(a)
+        seen = {}
+        for i in range(len(sets)):
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen[x] = i
+                    todo += label.get(x, ())
+        assert seen == linked_by_brute_force(sets)
+
+
 @pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no driver tables")
 def test_near_duplicates_of_the_given_table_equal_brute_force(spark):
     """Pairs that share a rare shingle are all that can be similar: the prefix principle, on one machine."""
