@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from descant.llm import decontamination, deepshallow, graph, mixing, neardup, paragraphs, quality, sharding, substrings
 from descant.llm.common import bag_as_set, jaccard, normal_bytes, shingles, word_hashes
 from tests import oracle
@@ -303,6 +304,25 @@ def test_keep_one_keeps_all_columns(spark, corpus):
     assert neardup.keep_one(frame(spark, [])).count() == 0
 
 
+def test_keep_one_of_a_large_group_of_edited_copies(spark, monkeypatch):
+    """The pipeline's second stage: about half of the copies are not similar to the original, and stay."""
+    monkeypatch.setattr(graph, "STAR", 32)
+    steps = []
+    stars = graph.stars
+    monkeypatch.setattr(graph, "stars", lambda keys: steps.append(1) or (stars(keys) if len(steps) == 1 else pytest.fail("a second step")))
+    rng = random.Random(9)
+    base = words(rng, 100, 10**6)
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            w[rng.randrange(100)] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), None, None, 0))
+    want = {i for i, c in classes_by_brute_force(rows).items() if i == c}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, frame(spark, rows), "").collect()) == sorted(want)
+    assert 50 < len(want) < 250
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60), (99, 98)]
     got = {r.id: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
